@@ -27,7 +27,7 @@ from . import common
 
 #: \s of the Rust engines: the White_Space property (Python's also has \x1c to \x1f).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-CACHE = 400_000  #: entries of a worker's cache of text units; it is emptied when full
+CACHE = 120_000  #: entries of a worker's cache of text units; it is emptied when full
 PAIRS = 2_000_000  #: entries of the memo of pairs
 
 
@@ -136,10 +136,6 @@ class ByteBPE:
             self.units[x] = ids.tobytes()
         return ids.tobytes()
 
-    def decode(self, ids: bytes | None) -> bytes:
-        """Raises KeyError for an id that the vocabulary does not have."""
-        return b"".join(map(self.bytes_of.__getitem__, array("I", ids or b"")))
-
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
 
@@ -159,7 +155,7 @@ def _added(df: DataFrame, column: str, make) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to = None
-        for b in batches:
+        for b in common.sliced(batches):
             to = to or make()
             yield pa.RecordBatch.from_arrays([*b.columns, to(b)], [*names, column])
 
@@ -177,12 +173,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str
     return _added(df, out, make)
 
 
-def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the column out: the bytes that packed ids stand for (null ids: empty)."""
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """df with the column out: the bytes that packed ids stand for (null ids: empty).  An id that the vocabulary lacks is a KeyError."""
 
     def make():
-        c, at = coder(path, pattern), df_columns.index(ids)
-        return lambda b: pa.array([c.decode(x) for x in b.column(at).to_pylist()], pa.binary())
+        table, at = {i: b for b, i in read_ranks(path).items()}, df_columns.index(ids)
+
+        def decoded(x: bytes | None) -> bytes:
+            return b"".join(map(table.__getitem__, array("I", x or b"")))
+
+        return lambda b: pa.array([decoded(x) for x in b.column(at).to_pylist()], pa.binary())
 
     df_columns = df.columns
     return _added(df, out, make)
@@ -193,5 +193,5 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode(encode(common.spread(docs.select("doc_id", "text")), *where).drop("text"), *where)
+    coded = decode(encode(common.spread(docs.select("doc_id", "text")), *where).drop("text"), where[0])
     return coded.select("doc_id", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -61,6 +61,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def sliced(batches, size: int = 4 << 20):
+    """The same rows in batches of about size bytes, so that their Python objects stay small (a single long row stays whole)."""
+    for b in batches:
+        step = max(1, int(b.num_rows * size / max(1, b.nbytes)))
+        for k in range(0, b.num_rows, step):
+            yield b.slice(k, step)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
