@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import byte_bpe
+from . import byte_bpe, quality_rules, secrets, token_file, warc
 from .common import table
 
 
 def queries():
     return {
         "op1_byte_bpe": lambda spark, d: byte_bpe.digests(table(spark, d, "documents")),
+        "op2_quality_rules": lambda spark, d: quality_rules.digests(table(spark, d, "documents")),
+        "op3_token_file": lambda spark, d: token_file.digests(table(spark, d, "documents")),
+        "op6_warc": lambda spark, d: warc.digests(table(spark, d, "pages")),
+        "op8_secrets": lambda spark, d: secrets.digests(table(spark, d, "documents")),
     }
 
 
