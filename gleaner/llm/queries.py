@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, quality_rules, secrets, token_file, warc
+from . import byte_bpe, cnn, licenses, neural_lm, quality_rules, secrets, token_file, warc
 from .common import table
 
 
@@ -12,7 +12,10 @@ def queries():
         "op2_quality_rules": lambda spark, d: quality_rules.digests(table(spark, d, "documents")),
         "op3_token_file": lambda spark, d: token_file.digests(table(spark, d, "documents")),
         "op6_warc": lambda spark, d: warc.digests(table(spark, d, "pages")),
+        "op7_licenses": lambda spark, d: licenses.digests(table(spark, d, "documents")),
         "op8_secrets": lambda spark, d: secrets.digests(table(spark, d, "documents")),
+        "op9_neural_lm": lambda spark, d: neural_lm.digests(table(spark, d, "documents")),
+        "op10_cnn": lambda spark, d: cnn.digests(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
 
