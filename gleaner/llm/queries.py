@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, cnn, licenses, neural_lm, quality_rules, secrets, token_file, warc
+from . import byte_bpe, cnn, decontaminate, jaccard_join, licenses, neural_lm, quality_rules, secrets, token_file, warc
 from .common import table
 
 
@@ -11,6 +11,8 @@ def queries():
         "op1_byte_bpe": lambda spark, d: byte_bpe.digests(table(spark, d, "documents")),
         "op2_quality_rules": lambda spark, d: quality_rules.digests(table(spark, d, "documents")),
         "op3_token_file": lambda spark, d: token_file.digests(table(spark, d, "documents")),
+        "op4_jaccard_join": lambda spark, d: jaccard_join.digests(table(spark, d, "documents")),
+        "op5_decontaminate": lambda spark, d: decontaminate.digests(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op6_warc": lambda spark, d: warc.digests(table(spark, d, "pages")),
         "op7_licenses": lambda spark, d: licenses.digests(table(spark, d, "documents")),
         "op8_secrets": lambda spark, d: secrets.digests(table(spark, d, "documents")),
