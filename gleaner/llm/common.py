@@ -69,6 +69,24 @@ def sliced(batches, size: int = 4 << 20):
             yield b.slice(k, step)
 
 
+class Memo:
+    """make(key), kept for the keys of late: two generations of at most so many keys, none longer than 64."""
+
+    def __init__(self, most: int, make):
+        self.most, self.make, self.young, self.old = most, make, {}, {}
+
+    def find(self, key):
+        if (value := self.young.get(key)) is None:
+            if (value := self.old.get(key)) is None:
+                value = self.make(key)
+                if len(key) > 64:
+                    return value
+            if len(self.young) >= self.most:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+        return value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from . import common, files
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BBq")
-CACHE = 200_000  #: entries of a worker's cache of white-space-separated units
+CACHE = 120_000  #: keys in a generation of a worker's two memos
 
 
 def masked(data) -> int:
@@ -72,10 +73,19 @@ def unpack(data: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if has_id else None, np.frombuffer(data, f"<u{width}", offset=META.size).astype("<u4")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters by which byte-level models write bytes: printable Latin-1 as it is, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 class Units:
     """Ids of texts by the tokenizers library, which sees each distinct unit between ASCII white space once.
 
     The tokenizer drops white space and treats what stands between it separately, so the units' ids make up the text's.
+    Latin letters, with or without full stops and commas behind them, are one or two pre-tokens: these go to the library's
+    model in lower case, by its letters for bytes.  Any other unit goes through the whole library.
     """
 
     def __init__(self, path: str):
@@ -83,18 +93,26 @@ class Units:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-        self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.type = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.units = common.Memo(CACHE, self.unit)
+        self.parts = common.Memo(CACHE, self.part)
+
+    def part(self, s: str) -> bytes:
+        return array(self.type, [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def unit(self, unit: bytes) -> bytes:
+        text = unit.decode()
+        low = text.lower()
+        word = low.rstrip(".,")
+        if word.isalpha() and max(text) < "\u0250" and max(word) < "\u0250":
+            return self.parts.find(word) + self.parts.find(low[len(word) :]) if len(word) < len(low) else self.parts.find(word)
+        return array(self.type, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        units = (text or "").encode().split()
-        if new := [u for u in dict.fromkeys(units) if u not in self.known]:
-            if len(self.known) > CACHE:
-                self.known.clear()
-                new = list(dict.fromkeys(units))
-            found = self.tokenizer.encode_batch_fast([u.decode() for u in new], add_special_tokens=False)
-            self.known.update((u, np.array(e.ids, self.type).tobytes()) for u, e in zip(new, found, strict=True))
-        return b"".join(map(self.known.__getitem__, units))
+        known, find = self.units.young.get, self.units.find
+        return b"".join([known(u) or find(u) for u in (text or "").encode().split()])
 
 
 _units: dict[str, Units] = {}
@@ -120,7 +138,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = units_of(tokenizer)
-        end, part = np.array([end_id], units.type).tobytes(), TaskContext.get().partitionId()
+        end, part = array(units.type, [end_id]).tobytes(), TaskContext.get().partitionId()
         uri, at, tokens, index = f"{folder}/tokens-{part:06d}.rec", 0, 0, []
         with files.published(uri) as out:
             for b in common.sliced(batches):

@@ -1,5 +1,7 @@
+import random
 import struct
 import zlib
+from array import array
 
 import public_tokenizers as P
 import pytest
@@ -29,6 +31,14 @@ def test_digests(docs, empty, rows, library):
     assert token_file.digests(empty).count() == 0
 
 
+def test_units_match_the_library(library):
+    rng, units = random.Random(2), token_file.units_of(PATH)
+    letters = ["a", "B", "é", "É", "ß", "İ", "ſ", "ŉ", "ŸΣ", "ς", "e\u0301", "H\u0331", "K", "1", "½", ".", ",", "..", "'s", "'", "-", " ", "\n", "\u00a0", "\u2003", "\x1c", "日", "😀", "ʼ", "ª", "º", "µ", "ǅ", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(6000)]
+    for text, want in zip(texts, library(texts), strict=True):
+        assert array("H", units.encode(text)).tolist() == want, repr(text)
+
+
 def test_shuffled_reads_and_damage(spark, docs):
     folder = common.fresh_path(spark, "t")
     uri = max(token_file.write(docs, PATH, folder, 2).collect(), key=lambda r: r.n_docs).uri
