@@ -27,7 +27,7 @@ from . import common
 
 #: \s of the Rust engines: the White_Space property (Python's also has \x1c to \x1f).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-CACHE = 120_000  #: entries of a worker's cache of text units; it is emptied when full
+CACHE = 120_000  #: keys in a generation of a worker's two memos
 PAIRS = 2_000_000  #: entries of the memo of pairs
 
 
@@ -45,8 +45,8 @@ class ByteBPE:
         self.pieces = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.longest = max(map(len, self.pieces))
         self.memo: dict[int, bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.found: dict[str, array] = {}
+        self.units = common.Memo(CACHE, lambda x: self.unit(" " + x))
+        self.found = common.Memo(CACHE, lambda p: array("I", self.piece(p.encode().decode("latin-1"))))
         # A token that its own merges do not produce is only ever found as a whole piece.
         self.inner = {s: i for s, i in self.pieces.items() if self.merged(s) == [i]}
         self.trie = ahocorasick.Automaton()
@@ -115,25 +115,14 @@ class ByteBPE:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        known = self.units.get
+        known, find = self.units.young.get, self.units.find
         first, *rest = self.cut(text) if self.ragged(text) else text.split(" ")
-        return self.unit(first, "") + b"".join([known(x) or self.unit(x) for x in rest])
-
-    def unit(self, x: str, space: str = " ") -> bytes:
-        """Ids of a unit, those with a space in front from the cache."""
-        ids = array("I")
-        for p in self.split(space + x):
-            if (part := self.found.get(p)) is None:
-                part = array("I", self.piece(p.encode().decode("latin-1")))
-                if len(p) <= 64:
-                    if len(self.found) >= CACHE:
-                        self.found.clear()
-                    self.found[p] = part
-            ids += part
-        if space and len(x) <= 64:
-            if len(self.units) >= CACHE:
-                self.units.clear()
-            self.units[x] = ids.tobytes()
+        return self.unit(first) + b"".join([known(x) or find(x) for x in rest])
+
+    def unit(self, x: str) -> bytes:
+        ids, find = array("I"), self.found.find
+        for p in self.split(x):
+            ids += find(p)
         return ids.tobytes()
 
 
