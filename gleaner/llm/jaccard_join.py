@@ -209,12 +209,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y: a of two sets) with distance, and u, v: the representatives' doc_ids."""
-    x = sets.select(F.col("a").alias("x"), F.col("doc_id").alias("u"), F.col("tokens").alias("xs"))
-    y = sets.select(F.col("a").alias("y"), F.col("doc_id").alias("v"), F.col("tokens").alias("ys"))
-    both = pairs.join(x, "x").join(y, "y").withColumn("common", F.size(F.array_intersect("xs", "ys")))
-    union = F.size("xs") + F.size("ys") - F.col("common")
-    return both.select("x", "y", "u", "v", "common", union.alias("all"), (1 - F.col("common") / union).alias("distance"))
+    """pairs (x, y: a of two sets) with xb, yb (their b), common and all (sizes of intersection and union), distance."""
+    x = sets.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("tokens").alias("xs"))
+    y = sets.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("tokens").alias("ys"))
+    both = pairs.join(x, "x").join(y, "y").select("x", "xb", "y", "yb", F.size(F.array_intersect("xs", "ys")).alias("common"), (F.size("xs") + F.size("ys")).alias("_sum"))
+    union = F.col("_sum") - F.col("common")
+    return both.select("x", "xb", "y", "yb", "common", union.alias("all"), (1 - F.col("common") / union).alias("distance"))
 
 
 def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> DataFrame:
@@ -222,22 +222,29 @@ def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> Da
     spark = docs.sparkSession
     sketch = sketch_of(profiled)
     shared = spark.sparkContext.broadcast((sketch, max(job.floor, int(8 * sketch.mean()))))
-    lists = signature_rows(docs, job, shared).groupBy("sig").agg(F.max_by("a", "rank").alias("centre"), F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig", "centre")
+    # Only signatures of two different sets matter; their rows are made again rather than moved with all the others.
+    lists = signature_rows(docs, job, shared).groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig")
     lists = common.spool(lists, "lists")
-    only = spark.sparkContext.broadcast(bitmap_of(lists.select("sig")))
-    members = common.spool(signature_rows(docs, job, shared, only).distinct().join(lists.select("sig"), "sig"), "members")
-    nodes = members.select("a").distinct().join(reps, "a")
-    nodes = common.spool(nodes.select("a", "b", "doc_id"), "nodes")
+    only = spark.sparkContext.broadcast(bitmap_of(lists))
+    members = common.spool(signature_rows(docs, job, shared, only).distinct().join(lists, "sig"), "members")
+    nodes = common.spool(members.select("a").distinct().join(reps, "a").select("a", "b", "doc_id"), "nodes")
     wanted = spark.sparkContext.broadcast(bitmap_of(nodes.select("doc_id")))
-    sets = common.spool(set_rows(docs, job, wanted).join(nodes, ["a", "b", "doc_id"]).dropDuplicates(["a", "b", "doc_id"]), "sets")
-
-    # First round: every member against its list's centre; distances are kept for the triangle inequality.
-    centred = members.join(lists, "sig")
-    tested = common.spool(verified(centred.where("a <> centre").select(F.col("a").alias("x"), F.col("centre").alias("y")).distinct(), sets), "tested")
+    sets = common.spool(set_rows(docs, job, wanted).drop("doc_id").dropDuplicates(["a", "b"]), "sets")
+    sized = F.expr(f"100 * least(n, m) >= {job.percent} * greatest(n, m)")
     near = F.expr(f"100 * common >= {job.percent} * all")
-    edges = tested.where(near).select("u", "v")
-    away = tested.groupBy("x", "y").agg(F.min("distance").alias("distance"))
-    left = centred.where("a <> centre").join(away, (F.col("a") == F.col("x")) & (F.col("centre") == F.col("y"))).select("sig", "a", "n", "rank", "centre", "distance")
+
+    def linked(tested: DataFrame) -> DataFrame:
+        u = nodes.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("doc_id").alias("u"))
+        v = nodes.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("doc_id").alias("v"))
+        return tested.where(near).join(u, ["x", "xb"]).join(v, ["y", "yb"]).select("u", "v")
+
+    # First round: every member of similar size against its list's centre; distances serve the triangle inequality.
+    centres = members.groupBy("sig").agg(F.max_by("a", "rank").alias("centre"), F.max_by("n", "rank").alias("m"))
+    centred = common.spool(members.join(centres, "sig").where("a <> centre"), "centred")
+    tested = common.spool(verified(centred.where(sized).select(F.col("a").alias("x"), F.col("centre").alias("y")).distinct(), sets), "tested")
+    edges = linked(tested)
+    away = tested.groupBy(F.col("x").alias("a"), F.col("y").alias("centre")).agg(F.min("distance").alias("distance"))
+    left = centred.join(away, ["a", "centre"], "left").select("sig", "a", "n", "rank", "distance")
     for turn in range(ROUNDS):
         edges = common.spool(edges.distinct(), "links")
         labels = components(edges)
@@ -247,10 +254,10 @@ def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> Da
         left = common.spool(left.join(split.select("sig", "next", "own", "m", "span"), "sig"), "left")
         if turn == ROUNDS - 1 or left.isEmpty():
             break
-        close = F.expr(f"label <> own and 100 * least(n, m) >= {job.percent} * greatest(n, m) and abs(distance - span) <= {1 - job.percent / 100} + 1e-9")
+        close = sized & F.expr(f"label <> own and coalesce(abs(distance - span) <= {1 - job.percent / 100} + 1e-9, true)")
         more = verified(left.where(close).select(F.col("a").alias("x"), F.col("next").alias("y")).distinct(), sets)
-        edges = edges.union(more.where(near).select("u", "v"))
-        left = left.where("a <> next").select("sig", "a", "n", "rank", "centre", "distance")
+        edges = edges.union(linked(more))
+        left = left.where("a <> next").select("sig", "a", "n", "rank", "distance")
     # The rest: pairs across components, where their first common signature is.
     own = members.join(left.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.collect_list("sig").alias("sigs"))
     rest = left.select("sig", "a", "n", "label", "distance").join(own, "a")
@@ -260,11 +267,11 @@ def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> Da
         (F.col("sig") == F.col("o_sig"))
         & (F.col("a") < F.col("o_a"))
         & (F.col("label") != F.col("o_label"))
-        & F.expr(f"100 * least(n, o_n) >= {job.percent} * greatest(n, o_n) and abs(distance - o_distance) <= {1 - job.percent / 100} + 1e-9")
+        & F.expr(f"100 * least(n, o_n) >= {job.percent} * greatest(n, o_n) and coalesce(abs(distance - o_distance) <= {1 - job.percent / 100} + 1e-9, true)")
         & (F.array_min(F.array_intersect("sigs", "o_sigs")) == F.col("sig")),
     )
     last = verified(pairs.select(F.col("a").alias("x"), F.col("o_a").alias("y")), sets)
-    return edges.union(last.where(near).select("u", "v"))
+    return edges.union(linked(last))
 
 
 def join(docs: DataFrame, words: int, percent: int, floor: int = 256) -> DataFrame:
