@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from . import stat_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register
+from .registry import QUERIES, SQL
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["flagship_group_contrast"](spark, sf_dir)
