@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .rounding import ROUNDED
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -26,9 +29,15 @@ def query(name: str, sql: str | None = None, longs: str = "", doubles: str = "")
         sql = f"select * replace ({', '.join(casts)}) from ({sql}) as q"
 
     def add(f):
-        QUERIES[name] = lambda spark, d: f(Tables(spark, d))
+        rounded = ROUNDED.get(name, "").split()
+
+        def run(spark: SparkSession, d: str) -> DataFrame:
+            df = f(Tables(spark, d))
+            return df.withColumns({c: F.round(c, 6) + 0.0 for c in rounded}) if rounded else df
+
+        QUERIES[name] = run
         if sql:
-            SQL[name] = sql
+            SQL[name] = sql if not rounded else f"select * replace ({', '.join(f'round({c}, 6) + 0.0 as {c}' for c in rounded)}) from ({sql}) as r"
         return f
 
     return add

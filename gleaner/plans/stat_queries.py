@@ -28,12 +28,15 @@ def scored(t):
 
 
 SCORED = "(select doc_id, source, lang, quality, toxic, cast(n_chars as double) as chars from documents join labels using (doc_id))"
-GOOD = F.col("quality") == 1
+
+
+def good():
+    return F.col("quality") == 1
 
 
 @query("sta01_sta02_welch_cohen", finished(f"select {MOMENTS.format(v='chars', g='quality = 1')} from {SCORED}"))
 def _(t):
-    return shown(A.contrast(scored(t), [], "chars", GOOD))
+    return shown(A.contrast(scored(t), [], "chars", good()))
 
 
 @query("sta22_pre_post_contrast", finished("select o_orderpriority, " + MOMENTS.format(v="o_totalprice", g=f"o_orderdate >= date '{AT}'") + " from orders group by o_orderpriority", "o_orderpriority,"))
@@ -87,7 +90,7 @@ def _(t):
     """All subsets in one scan: conditional moments, then rows from columns."""
     v, parts = F.col("chars"), []
     for k, w in SUBSETS.items():
-        for side, g in (("1", GOOD), ("2", ~GOOD)):
+        for side, g in (("1", good()), ("2", ~good())):
             x = F.when(F.expr(w) & g, v)
             parts += [F.count(x).alias(f"{k}_n{side}"), F.avg(x).alias(f"{k}_mean{side}"), F.var_samp(x).alias(f"{k}_var{side}")]
     wide = scored(t).agg(*parts)
@@ -115,7 +118,7 @@ def _(t):
 @query("sta35_auc", RANK_SQL.format(by="", byp="", v="n_chars", g="quality = 1", src="documents join labels using (doc_id)", p="", grp=""), doubles="u delta auc")
 def _(t):
     d = t.documents.join(t.labels, "doc_id")
-    return A.rank_test(d, "n_chars", GOOD).select("n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"))
+    return A.rank_test(d, "n_chars", good()).select("n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"))
 
 
 @query("sta15_spearman", "with r as (select l_returnflag, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2.0 as x, rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2.0 as y from lineitem) select l_returnflag, round(corr(x, y), 8) as rho, count(*) as n from r group by l_returnflag")
@@ -166,7 +169,7 @@ WILSON = "case when n > 0 then round({f}({b}, (k / n + z * z / (2 * n) {s} z * s
 
 @query("sta36_sta38_wilson", f"with c as (select source, count_if(quality = 1) as k, count(quality) as n, 1.959963984540054::double as z from documents left join labels using (doc_id) group by source) select source, k, n, {WILSON.format(f='greatest', b='0.0', s='-')} as low, {WILSON.format(f='least', b='1.0', s='+')} as high from c", longs="k", doubles="low high")
 def _(t):
-    c = t.documents.join(t.labels, "doc_id", "left").groupBy("source").agg(F.count_if(GOOD).alias("k"), F.count("quality").alias("n"))
+    c = t.documents.join(t.labels, "doc_id", "left").groupBy("source").agg(F.count_if(good()).alias("k"), F.count("quality").alias("n"))
     low, high = scalars.wilson(F.col("k"), F.col("n"))
     return c.select("source", "k", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
@@ -174,19 +177,19 @@ def _(t):
 @query("sta37_threshold_recall", "select t as threshold, count_if(quality = 1 and n_chars >= t) / count_if(quality = 1) as recall, count_if(quality = 1 and n_chars >= t) / nullif(count_if(n_chars >= t), 0) as precision from documents join labels using (doc_id), (select unnest([200, 1000, 3000]) as t) group by t")
 def _(t):
     d = t.documents.join(t.labels, "doc_id")
-    one = [F.struct(F.lit(k).alias("threshold"), (F.count_if(GOOD & (F.col("n_chars") >= k)) / F.count_if(GOOD)).alias("recall"), F.try_divide(F.count_if(GOOD & (F.col("n_chars") >= k)), F.count_if(F.col("n_chars") >= k)).alias("precision")) for k in (200, 1000, 3000)]
+    one = [F.struct(F.lit(k).alias("threshold"), (F.count_if(good() & (F.col("n_chars") >= k)) / F.count_if(good())).alias("recall"), F.try_divide(F.count_if(good() & (F.col("n_chars") >= k)), F.count_if(F.col("n_chars") >= k)).alias("precision")) for k in (200, 1000, 3000)]
     return d.agg(F.array(*one).alias("r")).select(F.explode("r").alias("r")).select("r.*")
 
 
 @query("mth02_cohen_h", "select round(2 * asin(sqrt(avg(toxic) filter (quality = 1))) - 2 * asin(sqrt(avg(toxic) filter (quality = 0))), 9) as h from labels")
 def _(t):
-    p = t.labels.agg(F.avg(F.when(GOOD, F.col("toxic"))).alias("a"), F.avg(F.when(~GOOD, F.col("toxic"))).alias("b"))
+    p = t.labels.agg(F.avg(F.when(good(), F.col("toxic"))).alias("a"), F.avg(F.when(~good(), F.col("toxic"))).alias("b"))
     return p.select(F.round(scalars.cohen_h(F.col("a"), F.col("b")), 9).alias("h"))
 
 
 @query("sta07_sta08_tost")
 def _(t):
-    m = A.contrast(scored(t), [], "chars", GOOD).first()
+    m = A.contrast(scored(t), [], "chars", good()).first()
     rows = [(w, *A.tost(m.n1, m.mean1, m.var1, m.n2, m.mean2, m.var2, welch=w).values()) for w in (False, True)]
     return t.spark.createDataFrame(rows, "welch boolean, difference double, bound double, p double, equivalent boolean")
 
@@ -203,7 +206,7 @@ def _(t):
 
 @query("sta06_cluster_bootstrap")
 def _(t):
-    return t.spark.createDataFrame([A.cluster_bootstrap(scored(t), "source", "chars", GOOD)], "difference double, low double, high double, p double, n_clusters long")
+    return t.spark.createDataFrame([A.cluster_bootstrap(scored(t), "source", "chars", good())], "difference double, low double, high double, p double, n_clusters long")
 
 
 def designed(t):
@@ -273,7 +276,7 @@ def _(t):
 @query("fig07_agg11_prevalence_difference", "select kind, round(avg(v) filter (quality = 1) - avg(v) filter (quality = 0), 9) as difference from (select quality, unnest(['toxic', 'long', 'table']) as kind, unnest([cast(toxic as double), cast(n_chars > 3000 as double), cast(contains(text, '|') as double)]) as v from documents join labels using (doc_id)) group by kind")
 def _(t):
     d = t.documents.join(t.labels, "doc_id").select("quality", F.col("toxic").cast("double").alias("toxic"), (F.col("n_chars") > 3000).cast("double").alias("long"), F.contains("text", F.lit("|")).cast("double").alias("table"))
-    diff = d.agg(*((F.avg(F.when(GOOD, F.col(c))) - F.avg(F.when(~GOOD, F.col(c)))).alias(c) for c in ("toxic", "long", "table")))
+    diff = d.agg(*((F.avg(F.when(good(), F.col(c))) - F.avg(F.when(~good(), F.col(c)))).alias(c) for c in ("toxic", "long", "table")))
     return diff.unpivot([], ["toxic", "long", "table"], "kind", "v").select("kind", F.round("v", 9).alias("difference"))
 
 
@@ -299,4 +302,4 @@ def composite_documents(t):
 @query("flagship_group_contrast")
 def flagship(t):
     """Does the composite score differ between the groups?"""
-    return A.contrast(composite_documents(t), [], "composite", GOOD)
+    return A.contrast(composite_documents(t), [], "composite", good())

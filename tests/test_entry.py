@@ -15,7 +15,7 @@ sys.path.insert(0, str(ROOT))
 
 def plain(v):
     if isinstance(v, float):
-        return "%.8g" % v
+        return "%.11g" % v
     return v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
