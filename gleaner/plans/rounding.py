@@ -9,14 +9,20 @@ ROUNDED = {
     "agg09_grouping_sets": "mean",
     "agg12_agg07_means_by_entity": "discount quantity tax",
     "agg16_rates": "rate",
+    "agg17_totals_from_means": "total",
     "agg18_dat01_weekly_share": "share",
     "agg19_win03_peak_baseline": "ratio",
     "agg20_share_yes": "share_yes",
+    "agg21_agg23_agreement_by_bucket": "agreement",
     "fig01_quartiles_histogram": "q1 q2 q3",
+    "fig02_fig06_group_means": "mean se",
+    "fig04_fig17_monthly_by_group": "mean",
     "fig07_agg11_prevalence_difference": "difference",
+    "fig08_fig09_normalised_mix": "share",
     "jon07_sta21_controlled_difference": "difference",
     "mth01_mth03_numbers": "clipped even ratio",
     "mth02_cohen_h": "h",
+    "prj07_prefix_columns": "l_discount l_extendedprice l_quantity l_tax",
     "prj09_group_split": "chars_good",
     "prj11_safe_numeric": "k none",
     "prj16_quadrants": "share",
