@@ -31,6 +31,7 @@ from . import common
 CHUNKS, CHUNK = 64, 1 << 16
 CELLS = CHUNKS * CHUNK  #: cells of the count sketch, whatever the corpus
 CLASSES = 16
+SHARED = 16  #: tokens that the heads of two linked sets share at least (small sets: their overlap)
 BITS = 1 << 24
 ROUNDS = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -176,22 +177,27 @@ def signature_rows(docs: DataFrame, job: Job, shared, only=None) -> DataFrame:
     return docs.mapInArrow(run, "sig long, a long, n long, rank long")
 
 
-def set_rows(docs: DataFrame, job: Job, only) -> DataFrame:
-    """doc_id, a, b, tokens of the documents whose doc_id's bit is set in only."""
+def set_rows(docs: DataFrame, job: Job, shared, only) -> DataFrame:
+    """a, b, tokens, head, least of the documents whose doc_id's bit is set in only.
+
+    The head is the prefix extended by SHARED - 1 tokens; linked sets share SHARED tokens of their heads, or least if fewer.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(only.value, "u1"))
+        bits, sketch = np.unpackbits(np.frombuffer(only.value, "u1")), shared.value[0]
         for b in common.sliced(batches):
             rows = []
             for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
                 if doc_id is not None and bits[bit(np.array([doc_id], "i8").view("u8"))[0]]:
                     s = job.shingles(text.as_py())
-                    rows.append((doc_id, *set_id(s), s.view("i8")))
+                    need = job.overlap(len(s))
+                    head = s[np.lexsort((s, sketch[cell(s)]))[: len(s) - need + SHARED]]
+                    rows.append((*set_id(s), s.view("i8"), head.view("i8"), min(SHARED, need)))
             if rows:
-                d, x, y, s = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.list_(pa.int64()))], ["doc_id", "a", "b", "tokens"])
+                x, y, s, h, m = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64())), pa.array(m, pa.int64())], ["a", "b", "tokens", "head", "least"])
 
-    return docs.mapInArrow(run, "doc_id long, a long, b long, tokens array<long>")
+    return docs.mapInArrow(run, "a long, b long, tokens array<long>, head array<long>, least long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -209,7 +215,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y: a of two sets) with xb, yb (their b), common and all (sizes of intersection and union), distance."""
+    """pairs (x, y: a of two sets) with xb, yb (their b), common and all (sizes of intersection and union), distance.
+
+    Pairs whose heads share too little are left out: they cannot link.  Only the others meet with their whole sets.
+    """
+    hx = sets.select(F.col("a").alias("x"), F.col("head").alias("xh"), F.col("least").alias("xl"))
+    hy = sets.select(F.col("a").alias("y"), F.col("head").alias("yh"), F.col("least").alias("yl"))
+    close = pairs.join(hx, "x").join(hy, "y").where(F.size(F.array_intersect("xh", "yh")) >= F.least("xl", "yl"))
+    pairs = common.spool(close.select("x", "y").distinct(), "close")
     x = sets.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("tokens").alias("xs"))
     y = sets.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("tokens").alias("ys"))
     both = pairs.join(x, "x").join(y, "y").select("x", "xb", "y", "yb", F.size(F.array_intersect("xs", "ys")).alias("common"), (F.size("xs") + F.size("ys")).alias("_sum"))
@@ -229,7 +242,7 @@ def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> Da
     members = common.spool(signature_rows(docs, job, shared, only).distinct().join(lists, "sig"), "members")
     nodes = common.spool(members.select("a").distinct().join(reps, "a").select("a", "b", "doc_id"), "nodes")
     wanted = spark.sparkContext.broadcast(bitmap_of(nodes.select("doc_id")))
-    sets = common.spool(set_rows(docs, job, wanted).drop("doc_id").dropDuplicates(["a", "b"]), "sets")
+    sets = common.spool(set_rows(docs, job, shared, wanted).dropDuplicates(["a", "b"]), "sets")
     sized = F.expr(f"100 * least(n, m) >= {job.percent} * greatest(n, m)")
     near = F.expr(f"100 * common >= {job.percent} * all")
 
