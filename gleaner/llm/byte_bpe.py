@@ -27,8 +27,8 @@ from . import common
 
 #: \s of the Rust engines: the White_Space property (Python's also has \x1c to \x1f).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-CACHE = 120_000  #: keys in a generation of a worker's two memos
-PAIRS = 2_000_000  #: entries of the memo of pairs
+CACHE = 60_000  #: keys in a generation of a worker's two memos
+PAIRS = 500_000  #: entries of the memo of pairs
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -46,7 +46,7 @@ class ByteBPE:
         self.longest = max(map(len, self.pieces))
         self.memo: dict[int, bool] = {}
         self.units = common.Memo(CACHE, lambda x: self.unit(" " + x))
-        self.found = common.Memo(CACHE, lambda p: array("I", self.piece(p.encode().decode("latin-1"))))
+        self.found = common.Memo(CACHE, lambda p: array("I", self.piece(p.encode().decode("latin-1"))).tobytes())
         # A token that its own merges do not produce is only ever found as a whole piece.
         self.inner = {s: i for s, i in self.pieces.items() if self.merged(s) == [i]}
         self.trie = ahocorasick.Automaton()
@@ -120,10 +120,7 @@ class ByteBPE:
         return self.unit(first) + b"".join([known(x) or find(x) for x in rest])
 
     def unit(self, x: str) -> bytes:
-        ids, find = array("I"), self.found.find
-        for p in self.split(x):
-            ids += find(p)
-        return ids.tobytes()
+        return b"".join(map(self.found.find, self.split(x)))
 
 
 _coders: dict[tuple[str, str], ByteBPE] = {}
