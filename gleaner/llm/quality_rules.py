@@ -1,8 +1,9 @@
 """Quality rules under weak supervision, in DataFrame functions only.
 
-Each rule votes good (1), bad (-1) or abstains (0).  A one-coin model holds that a rule which votes is right with an accuracy
-of its own; expectation-maximisation over the counts of vote patterns (at most 3 to the number of rules, whatever the
-corpus) estimates the accuracies and the share of good documents.  A document is kept by its posterior probability.
+Each rule votes good (1), bad (-1) or abstains (0).  A rule that votes has two accuracies, one on good documents and one on
+bad ones (most rules are blind to most kinds of bad documents); expectation-maximisation over the counts of vote patterns
+(at most 3 to the number of rules, whatever the corpus) estimates them and the share of good documents.  A document is kept
+by its posterior probability of being good.
 
 Defined results: a null or empty text has no words, so it fails the base rule and is not kept; an empty table gives no rows;
 repeated rows are judged each.  Texts are taken whole.
@@ -23,7 +24,7 @@ RULES = [
     ("length", "n_words < 50", "n_words >= 80"),
     ("word_length", "word_chars < 2.5 * n_words or word_chars > 15 * n_words", "word_chars between 3 * n_words and 11 * n_words"),
     ("symbols", "n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    ("duplicate_lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
+    ("duplicate_lines", "n_dup_lines > 0.5 * n_lines", "n_dup_lines <= 0.1 * n_lines"),
     ("repeats", "100 * n_repeat_words > 50 * n_words", "100 * n_repeat_words <= 15 * n_words"),
     ("shouting", "n_marks > 0.2 * n_words or n_upper > 0.5 * word_chars", "n_marks <= 0.05 * n_words and n_upper <= 0.2 * word_chars"),
     ("sentences", "n_stops < 0.01 * n_words", "n_stops between 0.02 * n_words and 0.4 * n_words"),
@@ -31,6 +32,10 @@ RULES = [
 ]
 
 
+#: Before the first round: a rule's vote for bad counts much, its vote for good little.
+START, ACCURACY, STRENGTH = 0.7, (0.995, 0.1), 30
+
+
 def repeat_words(w: Column) -> Column:
     """Words of array w inside three-word windows that occur twice or more; windows are sorted by hash and compared by word."""
 
@@ -69,28 +74,39 @@ def votes(feats: DataFrame, rules=RULES) -> DataFrame:
     return feats.withColumns({f"vote_{n}": F.when(F.expr(bad), -1).when(F.expr(good), 1).otherwise(0) for n, bad, good in rules})
 
 
-def fit(patterns: list[tuple[list[int], int]], m: int, rounds: int = 50) -> tuple[float, list[float]]:
-    """Share of good documents and the rules' accuracies, from (votes, count); accuracies stay in 0.55 to 0.99."""
-    prior, acc = 0.7, [0.8] * m
+def fit(patterns: list[tuple[list[int], int]], m: int, rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
+    """Share of good documents, and each rule's accuracy on good and on bad ones, from (votes, count).
+
+    Rules are written so that good documents pass them: that accuracy has a prior worth STRENGTH documents for each one seen.
+    """
+    prior, acc = START, [ACCURACY] * m
+    before = 1 + STRENGTH * sum(n for _, n in patterns)
     for _ in range(rounds):
         good = total = 0.0
-        right, cast = [1.0] * m, [1.25] * m
+        cast, right = [[before, 1.0] for _ in range(m)], [[before * ACCURACY[0], ACCURACY[1]] for _ in range(m)]
         for v, n in patterns:
             p = posterior(v, prior, acc)
             good, total = good + n * p, total + n
             for j, x in enumerate(v):
                 if x:
-                    cast[j] += n
-                    right[j] += n * (p if x > 0 else 1 - p)
+                    cast[j][0] += n * p
+                    cast[j][1] += n * (1 - p)
+                    right[j][x < 0] += n * (p if x > 0 else 1 - p)
         if not total:
             break
         prior = min(0.99, max(0.01, good / total))
-        acc = [min(0.99, max(0.55, a / b)) for a, b in zip(right, cast, strict=True)]
+        acc = [(min(0.999, max(0.8, r[0] / c[0])), min(0.98, max(0.02, r[1] / c[1]))) for r, c in zip(right, cast, strict=True)]
     return prior, acc
 
 
-def posterior(v: list[int], prior: float, acc: list[float]) -> float:
-    z = math.log(prior / (1 - prior)) + sum(x * math.log(a / (1 - a)) for x, a in zip(v, acc, strict=True))
+def weights(accuracy: tuple[float, float]) -> tuple[float, float]:
+    """Log odds of good that a vote for good, and one for bad, add."""
+    g, b = accuracy
+    return math.log(g / (1 - b)), math.log((1 - g) / b)
+
+
+def posterior(v: list[int], prior: float, acc: list[tuple[float, float]]) -> float:
+    z = math.log(prior / (1 - prior)) + sum(weights(a)[x < 0] for x, a in zip(v, acc, strict=True) if x)
     return 1 / (1 + math.exp(-z))
 
 
@@ -102,7 +118,8 @@ def judge(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     prior, acc = fit(sorted(([r[n] for n in names], r["count"]) for r in rows), len(names))
     z = F.lit(math.log(prior / (1 - prior)))
     for n, a in zip(names, acc, strict=True):
-        z = z + F.col(n) * F.lit(math.log(a / (1 - a)))
+        up, down = weights(a)
+        z = z + F.when(F.col(n) > 0, up).when(F.col(n) < 0, down).otherwise(0.0)
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
     out = voted.withColumn("base_failed", failed).withColumn("probability", 1 / (1 + F.exp(-z)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("probability") >= threshold))

@@ -36,8 +36,11 @@ def test_kept_follows_the_posterior(docs):
     assert {r.kept for r in out} == {True, False}
 
 
-def test_estimation_finds_the_better_rule():
-    patterns = [([1, 1, 1], 60), ([1, 1, -1], 20), ([-1, -1, -1], 15), ([-1, -1, 1], 5), ([0, 0, 0], 9)]
-    prior, acc = Q.fit(patterns, 3)
-    assert acc[0] > acc[2] and acc[1] > acc[2] and 0.6 < prior < 0.9
-    assert Q.fit([], 2) == (0.7, [0.8, 0.8])
+def test_estimation_finds_kinds_that_one_rule_sees():
+    good = [1, 1, 1, 1]
+    patterns = [(good, 3000), ([1, -1, 1, 1], 270), ([1, 1, -1, 1], 60), ([1, 1, 1, 0], 200), ([-1, -1, 1, 1], 15), ([0, 0, 0, 0], 9)]
+    prior, acc = Q.fit(patterns, 4)
+    assert Q.posterior([1, -1, 1, 1], prior, acc) < 0.5 and Q.posterior([-1, -1, 1, 1], prior, acc) < 0.1
+    assert Q.posterior(good, prior, acc) > 0.5 and Q.posterior([1, 1, 1, 0], prior, acc) > 0.5
+    assert acc[1][1] > acc[3][1]  # the second rule sees more of the bad documents than the fourth
+    assert Q.fit([], 2) == (Q.START, [Q.ACCURACY] * 2)
