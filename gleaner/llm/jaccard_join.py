@@ -214,6 +214,18 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def held(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of sets whose a is among ids, and few others, before they are moved."""
+    only = sets.sparkSession.sparkContext.broadcast(bitmap_of(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(only.value, "u1"))
+        for b in batches:
+            yield b.filter(pa.array(bits[bit(b.column("a").to_numpy().view("u8"))] == 1))
+
+    return sets.mapInArrow(run, sets.schema)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y: a of two sets) with xb, yb (their b), common and all (sizes of intersection and union), distance.
 
@@ -223,6 +235,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     hy = sets.select(F.col("a").alias("y"), F.col("head").alias("yh"), F.col("least").alias("yl"))
     close = pairs.join(hx, "x").join(hy, "y").where(F.size(F.array_intersect("xh", "yh")) >= F.least("xl", "yl"))
     pairs = common.spool(close.select("x", "y").distinct(), "close")
+    sets = held(sets.select("a", "b", "tokens"), pairs.select("x").union(pairs.select("y")))
     x = sets.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("tokens").alias("xs"))
     y = sets.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("tokens").alias("ys"))
     both = pairs.join(x, "x").join(y, "y").select("x", "xb", "y", "yb", F.size(F.array_intersect("xs", "ys")).alias("common"), (F.size("xs") + F.size("ys")).alias("_sum"))
