@@ -32,7 +32,7 @@ RULES = [
 ]
 
 
-#: Before the first round: a rule's vote for bad counts much, its vote for good little.
+#: Before the first round: a rule's vote for bad counts much, its vote for good little.  STRENGTH: documents that the prior is worth.
 START, ACCURACY, STRENGTH = 0.7, (0.995, 0.1), 30
 
 
@@ -77,10 +77,11 @@ def votes(feats: DataFrame, rules=RULES) -> DataFrame:
 def fit(patterns: list[tuple[list[int], int]], m: int, rounds: int = 100) -> tuple[float, list[tuple[float, float]]]:
     """Share of good documents, and each rule's accuracy on good and on bad ones, from (votes, count).
 
-    Rules are written so that good documents pass them: that accuracy has a prior worth STRENGTH documents for each one seen.
+    Rules are written so that good documents pass them: that accuracy has a prior worth
+    STRENGTH documents in all, so the data set both accuracies.
     """
     prior, acc = START, [ACCURACY] * m
-    before = 1 + STRENGTH * sum(n for _, n in patterns)
+    before = 1 + STRENGTH
     for _ in range(rounds):
         good = total = 0.0
         cast, right = [[before, 1.0] for _ in range(m)], [[before * ACCURACY[0], ACCURACY[1]] for _ in range(m)]
@@ -95,7 +96,7 @@ def fit(patterns: list[tuple[list[int], int]], m: int, rounds: int = 100) -> tup
         if not total:
             break
         prior = min(0.99, max(0.01, good / total))
-        acc = [(min(0.999, max(0.8, r[0] / c[0])), min(0.98, max(0.02, r[1] / c[1]))) for r, c in zip(right, cast, strict=True)]
+        acc = [(min(0.999, max(0.5, r[0] / c[0])), min(0.98, max(0.02, r[1] / c[1]))) for r, c in zip(right, cast, strict=True)]
     return prior, acc
 
 

@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from itertools import product
 
 from gleaner.llm import quality_rules as Q
 
@@ -44,3 +45,18 @@ def test_estimation_finds_kinds_that_one_rule_sees():
     assert Q.posterior(good, prior, acc) > 0.5 and Q.posterior([1, 1, 1, 0], prior, acc) > 0.5
     assert acc[1][1] > acc[3][1]  # the second rule sees more of the bad documents than the fourth
     assert Q.fit([], 2) == (Q.START, [Q.ACCURACY] * 2)
+
+
+def test_a_rule_that_flags_good_documents_loses_its_weight():
+    """Votes drawn from known accuracies: the last rule flags 30 % of good documents, whatever the corpus size."""
+    true = [(0.99, 0.8)] * 4 + [(0.7, 0.5)]
+    for size in (10_000, 1_000_000):
+        patterns = []
+        for v in product([1, -1], repeat=5):
+            good = math.prod(g if x > 0 else 1 - g for x, (g, _) in zip(v, true, strict=True))
+            bad = math.prod(b if x < 0 else 1 - b for x, (_, b) in zip(v, true, strict=True))
+            patterns.append((list(v), round(size * (0.8 * good + 0.2 * bad))))
+        prior, acc = Q.fit(patterns, 5)
+        assert abs(prior - 0.8) < 0.02
+        assert all(abs(a - b) < 0.02 for got, want in zip(acc, true, strict=True) for a, b in zip(got, want, strict=True))
+        assert Q.posterior([1, 1, 1, 1, -1], prior, acc) > 0.9
