@@ -1,13 +1,16 @@
 """Language-model scoring with log-bilinear models in numpy, trained by noise-contrastive estimation.
 
-Outputs are the most frequent words (OUTPUTS, the end token among them) and CLASSES classes of all other words, by their last
-two bytes; inside a class a word has its smoothed relative frequency.  For each of the two words before a token there is a
-log-bilinear model s(context, output) = r[context] . q[output] + b[output].  Its training objective is the noise-contrastive
-one over the whole training corpus: with one context word it depends on the corpus only through pair counts, which are
-gathered from all training documents, and the expectation over the noise (unigram) distribution is summed exactly.  Batched
-matrix products then give normalised tables, and the two models' probabilities are mixed.
-
-Word counts are taken over all training documents.  Documents look up the HEAD most frequent words in a table of fixed size;
+Outputs are the most frequent words (the end token among them) and CLASSES classes of all other words, by their last two
+bytes; inside a class a word has its smoothed relative frequency.  The number of words with an output, and a context, of
+their own is GROWTH times the square root of the training tokens (OUTPUTS at least), so that exact normalisation, which is
+quadratic in it, costs in proportion to the corpus.  For each of the two words before a token there is a log-bilinear model
+s(context, output) = r[context] . q[output] + b[output], whose probabilities are mixed.
+
+Pair counts of the whole corpus are summed in Spark and stay there, dealt by context.  In each of ROUNDS rounds every task
+takes noise-contrastive steps over its pairs, with noise words shared by the contexts of a step; the driver averages the
+vectors, weighted by the tokens seen.  Normalisers are then summed over all outputs for every context.
+
+Word counts are taken over all training documents.  Documents look up the HEAD most frequent words (or those with an output, if more) in a table;
 other words meet their counts in a join.  A null text is an empty one (the end token alone); a null doc_id counts as
 training; repeated rows are counted and scored each; without training documents all scores are uniform.
 """
@@ -27,7 +30,10 @@ from . import common
 
 OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
-DIM, NOISE, STEPS, RATE = 32, 10, 120, 0.05
+GROWTH = 4  #: words with an output of their own, per square root of a training token
+DIM, NOISE, DRAWN, STEPS, ROUNDS, RATE = 32, 10, 1024, 1000, 6, 0.2
+SHRINK = 20  #: tokens that a vector of zeros is worth in each round
+BATCH, CHUNK = 65_536, 2_000_000  #: pairs of a step at most; pairs in a task's memory
 NEAREST = 0.65  #: weight of the model of the word right before
 END = b""  #: no word is empty
 FLUSH = 150_000  #: words that a task counts before it hands them on
@@ -38,8 +44,8 @@ def tokens(text: bytes | None) -> list[bytes]:
     return [*(text or b"").lower().split(), END]
 
 
-def word_class(word: bytes) -> int:
-    return OUTPUTS if word == END else OUTPUTS + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % CLASSES
+def word_class(word: bytes, outputs: int = OUTPUTS) -> int:
+    return outputs if word == END else outputs + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % CLASSES
 
 
 def held_out(doc_id):
@@ -71,19 +77,24 @@ def count_words(training: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The end token and the HEAD - 1 most frequent words: index, output and log10(count + 1) of each; classes' counts of tokens and words."""
+    """The end token and the most frequent words (HEAD in all, or outputs if more): index, output and log10(count + 1) of each; classes' counts of tokens and words."""
 
-    def __init__(self, head: list[tuple[bytes, int]], class_tokens: np.ndarray, class_words: np.ndarray, total: int, distinct: int):
-        own = [END, *[w for w, _ in head if w != END][: OUTPUTS - 1]]
+    def __init__(self, head: list[tuple[bytes, int]], class_tokens: np.ndarray, class_words: np.ndarray, total: int, distinct: int, outputs: int = OUTPUTS):
+        own = [END, *[w for w, _ in head if w != END][: outputs - 1]]
+        self.outputs, self.size = outputs, outputs + CLASSES
         place = {w: k for k, w in enumerate(own)}
         self.index = {w: k for k, (w, _) in enumerate(head)}
-        self.output = np.array([place[w] if w in place else word_class(w) for w, _ in head], "i4")
+        self.output = np.array([place[w] if w in place else word_class(w, outputs) for w, _ in head], "i4")
         self.log_count = np.log10(np.array([c for _, c in head], "f8") + 1)
+        tokens = np.zeros(outputs)
         for w, c in head:  # what has an output of its own is in no class
             if w in place:
+                tokens[place[w]] = c
                 class_tokens[word_class(w) - OUTPUTS] -= c
                 class_words[word_class(w) - OUTPUTS] -= 1
-        self.class_log = np.concatenate([np.zeros(OUTPUTS), np.log10(class_tokens + class_words + 1.0)])
+        self.class_log = np.concatenate([np.zeros(outputs), np.log10(class_tokens + class_words + 1.0)])
+        self.unigram = np.concatenate([tokens, class_tokens]) + 0.1
+        self.unigram /= self.unigram.sum()
         self.total, self.distinct = total, distinct
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +103,7 @@ class Vocabulary:
         at = np.array([find(w, -1) for w in words], "i4")
         out = self.output[at] if len(self.output) else np.zeros(len(at), "i4")
         tail = at < 0
-        out[tail] = [word_class(w) for w in compress(words, tail.tolist())]
+        out[tail] = [word_class(w, self.outputs) for w in compress(words, tail.tolist())]
         return at, out
 
 
@@ -107,89 +118,195 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
     sums = {r["class"]: r for r in counts.mapInArrow(run, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
     by_class = np.array([[sums[k]["tokens"], sums[k]["words"]] if k in sums else [0, 0] for k in range(CLASSES)], "f8").T
-    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.octet_length("word") > 0, F.desc("c"), "word").limit(HEAD).collect()]
     total, distinct = int(by_class[0].sum()), int(by_class[1].sum())
-    return Vocabulary(head, by_class[0].copy(), by_class[1].copy(), total, distinct)
+    outputs = max(OUTPUTS, int(GROWTH * total**0.5))
+    head = [(bytes(r.word), r.c) for r in counts.orderBy(F.octet_length("word") > 0, F.desc("c"), "word").limit(max(HEAD, outputs)).collect()]
+    return Vocabulary(head, by_class[0].copy(), by_class[1].copy(), total, distinct, outputs)
 
 
-def contexts(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def contexts(out: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
     """Outputs one and two places before each."""
-    padded = np.concatenate([[SIZE, SIZE], out])
+    padded = np.concatenate([[size, size], out])
     return padded[1:-1], padded[:-2]
 
 
-def count_pairs(training: DataFrame, vocab: Vocabulary) -> np.ndarray:
-    """Counts by (distance - 1, context, output) over all training documents; the table's size does not depend on them."""
-    cells = (SIZE + 1) * SIZE
-    shared = training.sparkSession.sparkContext.broadcast(vocab)
+def count_pairs(training: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """line ((distance - 1) * (size + 1) + context), output, n over all training documents; a line's rows are in one file."""
+    shared, size = training.sparkSession.sparkContext.broadcast(vocab), vocab.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, vocab = np.zeros(2 * cells, "i8"), shared.value
+        vocab, cells, n = shared.value, np.empty(0, "i8"), np.empty(0, "i8")
+
+        def rows():
+            for k in range(0, len(cells), 100_000):
+                x = cells[k : k + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array((x // size).astype("i4")), pa.array((x % size).astype("i4")), pa.array(n[k : k + 100_000])], ["line", "output", "n"])
+
         for b in common.sliced(batches):
-            near, far = [], []
+            keys = []
             for text in b.column("text").to_pylist():
                 out = vocab.look_up(tokens(text))[1].astype("i8")
-                one, two = contexts(out)
-                near.append(one * SIZE + out)
-                far.append(two * SIZE + out + cells)
-            for keys in (np.concatenate(near), np.concatenate(far)):
-                k, n = np.unique(keys, return_counts=True)
-                found[k] += n
-        where = np.nonzero(found)[0]
-        for k in range(0, len(where), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(where[k : k + 100_000]), pa.array(found[where[k : k + 100_000]])], ["cell", "n"])
-
-    sums = training.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(2 * cells)
-    table[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
-    return table.reshape(2, SIZE + 1, SIZE)
+                one, two = contexts(out, size)
+                keys += [one * size + out, (two + size + 1) * size + out]
+            new, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (cells[:0], n[:0])
+            cells, where = np.unique(np.concatenate([cells, new]), return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, times])).astype("i8")
+            if len(cells) > CHUNK:
+                yield from rows()
+                cells, n = cells[:0], n[:0]
+        yield from rows()
 
+    parts = training.select("text").mapInArrow(run, "line int, output int, n long")
+    return common.spool(parts.repartition("line").groupBy("line", "output").agg(F.sum("n").alias("n")), "pairs")
 
-def fit(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Probabilities by (context, output): noise-contrastive estimation on counts of pairs, then normalised.
 
-    A data pair competes with NOISE draws from the unigram distribution; both terms are sums over the table.
+def descend(params, squares, unigram, c, o, n, rng) -> None:
+    """Noise-contrastive steps in place over pairs (context, output, count), some contexts a step; at least STEPS of them.
+
+    A data pair competes with NOISE draws from the unigram distribution, for which DRAWN words stand in each step.
     """
-    rng = np.random.default_rng(seed)
-    total = max(1.0, pairs.sum())
-    unigram = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * SIZE)
-    data = (pairs / total).astype("f4")
-    noise = (data.sum(1, keepdims=True) * unigram * NOISE).astype("f4")
-    shift = np.log(NOISE * unigram).astype("f4")
-    params = [rng.normal(0, 0.1, (SIZE + 1, DIM)).astype("f4"), rng.normal(0, 0.1, (SIZE, DIM)).astype("f4"), np.log(unigram).astype("f4")]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    for step in range(1, STEPS + 1):
-        r, q, b = params
-        right = 1 / (1 + np.exp(-np.clip(r @ q.T + (b - shift), -30, 30)))  # that a pair came from the data
-        error = noise * right - data * (1 - right)
-        rate = RATE * (1 - (step - 1) / STEPS) * np.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-        for p, g, m, v in zip(params, (error @ q, error.T @ r, error.sum(0)), first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            p -= rate * m / (np.sqrt(v) + 1e-10)
     r, q, b = params
-    s = r @ q.T + b
+    shift, cdf = np.log(NOISE * unigram).astype("f4"), np.cumsum(unigram)
+    batch = min(BATCH, max(256, len(c) // STEPS))
+
+    def move(k, at, g):
+        squares[k][at] += g * g
+        params[k][at] -= rate * g / (np.sqrt(squares[k][at]) + 1e-10)
+
+    def right(s):
+        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # that a pair came from the data
+
+    passes = -(-STEPS // max(1, -(-len(c) // batch)))
+    for turn in range(passes):
+        order = np.argsort(rng.permutation(len(r))[c], kind="stable")
+        for k in range(0, len(c), batch):
+            i, rate = order[k : k + batch], RATE * (1 - (turn + k / len(c)) / passes)
+            ci, oi, ni = c[i], o[i], n[i].astype("f4")
+            begin = np.concatenate([[0], np.nonzero(np.diff(ci))[0] + 1])
+            own, mass = ci[begin], np.add.reduceat(ni, begin)
+            w = np.minimum(np.searchsorted(cdf, rng.random(DRAWN) * cdf[-1]), len(cdf) - 1)
+            rc, qo, rl, qw = r[ci], q[oi], r[own], q[w]
+            e = ni * (right(np.einsum("ij,ij->i", rc, qo) + b[oi] - shift[oi]) - 1)
+            noise = right(rl @ qw.T + (b[w] - shift[w])) * (mass[:, None] * np.float32(NOISE / DRAWN))
+            move(0, own, np.add.reduceat(e[:, None] * qo, begin) + noise @ qw)
+            by = np.argsort(where := np.concatenate([oi, w]), kind="stable")
+            begin = np.concatenate([[0], np.nonzero(np.diff(where[by]))[0] + 1])
+            at = where[by][begin]
+            move(1, at, np.add.reduceat(np.concatenate([e[:, None] * rc, noise.T @ rl])[by], begin))
+            move(2, at, np.add.reduceat(np.concatenate([e, noise.sum(0)])[by], begin))
+
+
+def first_model(unigram: np.ndarray, contexts: int, seed: int) -> list[np.ndarray]:
+    """r, q, b: unigram probabilities after every context."""
+    return [np.zeros((contexts, DIM), "f4"), np.random.default_rng(seed).normal(0, 0.1, (len(unigram), DIM)).astype("f4"), np.log(unigram).astype("f4")]
+
+
+def fit(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
+    """Probabilities by (context, output) of one model, from a table of counts in memory."""
+    unigram = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * pairs.shape[1])
+    params, (c, o) = first_model(unigram, len(pairs), seed), np.nonzero(pairs)
+    squares = [np.zeros_like(p) for p in params]
+    for k in range(ROUNDS):
+        descend(params, squares, unigram, c, o, pairs[c, o], np.random.default_rng(seed + k))
+    s = params[0] @ params[1].T + params[2]
     s = np.exp(s - s.max(1, keepdims=True))
     return (s / s.sum(1, keepdims=True)).astype("f4")
 
 
-def score(docs: DataFrame, vocab: Vocabulary, models: list[np.ndarray], counts: DataFrame) -> DataFrame:
+def train(pairs: DataFrame, vocab: Vocabulary) -> tuple[list[list[np.ndarray]], np.ndarray]:
+    """r, q, b of both models, and the logarithms of their normalisers by line."""
+    sc, size, unigram = pairs.sparkSession.sparkContext, vocab.size, vocab.unigram
+    models, lines = [first_model(unigram, size + 1, seed) for seed in (5, 6)], 2 * (size + 1)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [[p.copy() for p in m] for m in shared.value]
+        squares, rng = [[np.zeros_like(p) for p in m] for m in models], np.random.default_rng(7)
+        seen, held, rows = [[np.zeros(size + 1), np.zeros(size)] for _ in models], [], 0
+
+        def learn():
+            line, o, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            for d in (0, 1):
+                at = (line >= size + 1) == bool(d)
+                if at.any():
+                    c = line[at] - d * (size + 1)
+                    descend(models[d], squares[d], unigram, c, o[at], n[at], rng)
+                    seen[d][0] += np.bincount(c, n[at], size + 1)
+                    seen[d][1] += np.bincount(o[at], n[at], size)
+
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("line", "output", "n")])
+            rows += b.num_rows
+            if rows >= CHUNK:
+                learn()
+                held, rows = [], 0
+        if rows:
+            learn()
+        for d in (0, 1):
+            for k, s in ((0, 0), (1, 1), (2, 1)):
+                at = np.nonzero(seen[d][s])[0]
+                for j in range(0, len(at), 50_000):
+                    x = at[j : j + 50_000]
+                    yield pa.RecordBatch.from_pydict({"model": [d], "k": [k], "at": [x.tobytes()], "mass": [seen[d][s][x].tobytes()], "value": [models[d][k][x].tobytes()]})
+
+    for _ in range(ROUNDS):
+        shared = sc.broadcast(models)
+        found = common.spool(pairs.coalesce(sc.defaultParallelism).mapInArrow(local, "model long, k long, at binary, mass binary, value binary"), "vectors")
+        sums, mass = [[np.zeros(p.shape) for p in m] for m in models], [[np.zeros(len(p)) for p in m] for m in models]
+        for x in found.toLocalIterator():
+            at, w = np.frombuffer(x.at, "i8"), np.frombuffer(x.mass)
+            value = np.frombuffer(x.value, "f4").reshape(len(at), -1)
+            sums[x.model][x.k].reshape(len(mass[x.model][x.k]), -1)[at] += w[:, None] * value
+            mass[x.model][x.k][at] += w
+        for m, total, w in zip(models, sums, mass, strict=True):
+            for k in range(3):
+                at = w[k] > 0
+                m[k] = m[k].copy()
+                m[k][at] = (total[k][at].T / (w[k][at] + (SHRINK if k < 2 else 0))).T
+    shared = sc.broadcast(models)
+
+    def normalisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = shared.value
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            out = np.empty(len(ids))
+            for k in range(0, len(ids), 64):
+                for d in (0, 1):
+                    at = k + np.nonzero(ids[k : k + 64] // (size + 1) == d)[0]
+                    if len(at):
+                        r, q, b = models[d]
+                        s = r[ids[at] - d * (size + 1)] @ q.T + b
+                        top = s.max(1)
+                        out[at] = top + np.log(np.exp(s - top[:, None]).sum(1, dtype="f8"))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out)], ["id", "z"])
+
+    z = pairs.sparkSession.range(0, lines, 1, 4 * sc.defaultParallelism).mapInArrow(normalisers, "id long, z double").toArrow()
+    logs = np.empty(lines)
+    logs[z.column("id").to_numpy()] = z.column("z").to_numpy()
+    return models, logs.reshape(2, size + 1)
+
+
+def likelihood(model: list[np.ndarray], logs: np.ndarray, context: np.ndarray, out: np.ndarray) -> np.ndarray:
+    r, q, b = model
+    return np.concatenate([np.exp(np.einsum("ij,ij->i", r[context[k : k + 50_000]], q[out[k : k + 50_000]]) + b[out[k : k + 50_000]] - logs[context[k : k + 50_000]]) for k in range(0, len(out), 50_000)])
+
+
+def score(docs: DataFrame, vocab: Vocabulary, models: tuple[list[list[np.ndarray]], np.ndarray], counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((vocab, models))
     base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, (near, far) = shared.value
+        vocab, ((near, far), (near_log, far_log)) = shared.value
         for b in common.sliced(batches):
             found = []
             for text in b.column("text").to_pylist():
                 words = tokens(text)
                 at, out = vocab.look_up(words)
-                one, two = contexts(out)
+                one, two = contexts(out, vocab.size)
                 tail = at < 0
                 by_count = vocab.log_count[at[~tail]]
-                in_class = out >= OUTPUTS
-                model = np.log10(NEAREST * near[one, out].astype("f8") + (1 - NEAREST) * far[two, out]).sum() - vocab.class_log[out].sum() + vocab.log_count[at[in_class & ~tail]].sum()
+                in_class = out >= vocab.outputs
+                model = np.log10(NEAREST * likelihood(near, near_log, one, out) + (1 - NEAREST) * likelihood(far, far_log, two, out)).sum() - vocab.class_log[out].sum() + vocab.log_count[at[in_class & ~tail]].sum()
                 rest = Counter(compress(words, tail.tolist()))
                 found.append((len(words), int((~tail).sum()), float(by_count.sum()), float(model), list(rest.keys()), list(rest.values())))
             n, known, base, model, rest, times = zip(*found, strict=True)
@@ -221,4 +338,4 @@ def digests(docs: DataFrame) -> DataFrame:
     counts = common.spool(count_words(training), "counts")
     vocab = vocabulary(counts)
     pairs = count_pairs(training, vocab)
-    return score(rows, vocab, [fit(pairs[0]), fit(pairs[1])], counts)
+    return score(rows, vocab, train(pairs, vocab), counts)

@@ -70,3 +70,21 @@ def test_words_share_their_class():
     unseen = (given[N.OUTPUTS :] * 10 ** -v.class_log[N.OUTPUTS :]).sum()
     unused = N.OUTPUTS - len(set(place[place < N.OUTPUTS]))
     assert pytest.approx(1) == (given[place] * 10**inside).sum() + unseen + unused / N.SIZE
+
+
+def test_vocabulary_follows_the_corpus(spark):
+    """Words beyond the first OUTPUTS have an output and a context of their own, and what follows them is learnt."""
+    rng = np.random.default_rng(1)
+    pairs = 3000  # words a<k>, each followed by its own b<k>
+    texts = [" ".join(f"a{k} b{k}" for k in rng.integers(0, pairs, 200)) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "doc_id long, text binary").repartition(4)
+    N.common.ship(spark)
+    counts = N.count_words(rows).cache()
+    vocab = N.vocabulary(counts)
+    assert vocab.outputs == int(N.GROWTH * (1500 * 401) ** 0.5) > N.OUTPUTS
+    models, logs = N.train(N.count_pairs(rows, vocab), vocab)
+    (r, q, b), z = models[0], logs[0]
+    assert np.allclose(np.exp(r[:50] @ q.T + b - z[:50, None]).sum(1), 1, atol=1e-3)
+    common, rare = (vocab.output[[vocab.index[b"%s%d" % (x, k)] for x in (b"a", b"b")]] for k in (0, 1))
+    for c, o in (common, rare):
+        assert N.likelihood(models[0], z, np.array([c]), np.array([o]))[0] > 5 * vocab.unigram[o]
