@@ -46,10 +46,10 @@ OWN = [
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
     Rule("bearer", r"(?i:bearer) [A-Za-z0-9._~+/-]{20,}"),
     Rule("npm", r"npm_[A-Za-z0-9]{36}"),
-    Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^/\s:@]{1,64}:[^/\s:@]{1,64}@"),
+    Rule("login_url", r"[a-z][a-z0-9+.-]{1,20}://[^/\s:@]+:[^/\s:@]+@"),
 ]
 MOST = 24  #: strings in an exact set, terms in a query
 

@@ -45,3 +45,10 @@ def test_many_matches_in_one_text(spark):
     text = "😀 password: abcdef\n" * 2000
     row = S.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert row.n_assign == 2000 and row.spans.split(",")[-1] == "assign:37983:37999"
+
+
+def test_long_logins_and_labels(spark):
+    url, pem = "https://user:" + "t" * 70 + "@", "-----BEGIN " + "VERY " * 8 + "PRIVATE KEY-----"
+    docs = spark.createDataFrame([(1, f"see {url}host and {pem} here")], "doc_id long, text string")
+    found = {x.kind: x.end - x.start for x in S.scan(docs).first().spans}
+    assert found["login_url"] == len(url) and found["pem"] == len(pem)
