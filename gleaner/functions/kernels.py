@@ -22,7 +22,15 @@ def quote_spans(text: str) -> list[tuple[int, int]]:
 
 def negated(text: str, start: int, negators, phrases=()) -> bool:
     """Whether one of the BEFORE tokens before start is a negator, or they hold a negating phrase."""
-    last = [t.lower() for t in TOKEN.findall(text[max(0, start - 400) : start])[-BEFORE:]]
+    size = 400
+    while True:
+        begin = max(0, start - size)
+        last = [t.lower() for t in TOKEN.findall(text[begin:start])]
+        if begin and len(last) <= BEFORE:  # the first one may be cut
+            size *= 4
+            continue
+        last = last[-BEFORE:]
+        break
     return any(t in negators for t in last) or any(p in " ".join(last) for p in phrases)
 
 
