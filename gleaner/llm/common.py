@@ -27,9 +27,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one where that is unset in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,15 +46,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def spool(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df once as Parquet in the shared folder and read it back."""
+    """Cut the lineage: write df once as Parquet in the shared folder and read it back; drop() takes it away again."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.spooled = path
+    return out
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+def drop(*spools: DataFrame) -> None:
+    """Remove spooled tables that nothing reads any more."""
+    for df in spools:
+        spark = df.sparkSession
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(df.spooled)
+        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A spooled table of few and narrow columns, to be broadcast if it is counted to have at most so many rows; else Spark chooses the join."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -6,13 +6,15 @@ token is extended by CLASSES tokens: it then shares CLASSES + 1 tokens with any
 pigeonhole principle, two frequent ones of the same class.  Rare tokens are indexed singly, frequent ones as pairs within
 their class.  Sets too small for the extension index all tokens of the plain prefix singly; sets just above do both.
 
-Copies (equal sets) are one node.  No list of a signature's members is expanded into all pairs: each list elects a centre, and
-its members are verified against it; centres that are done leave the list, and only members of different components go on.
-What remains after ROUNDS centres is paired across components, once for a pair, under the triangle inequality of the Jaccard
-distance to the first centre.  All candidates are verified on whole sets, so the result is exact.
+Copies (equal sets) are one node, named by their smallest doc_id.  No list of a signature's members is expanded into all its
+pairs: in round r a list elects GROWTH ** r centres (the commonest text first, then by hash), and its members are compared with
+these unless they are in one component already.  Centres leave the list, and a list goes when all that is left of it is one
+component.  Before sets are moved, pairs pass two exact bounds: their sizes, and the parity of their tokens by hash bit (each
+bit in which two parities differ is a token that only one of them has).  Whole sets decide, so the result is exact.
 
 Defined results: a document without words has an empty set and links with nothing; a null doc_id has n_shingles and a null
-component_id and links with nothing; rows that repeat a doc_id are one document with several texts.
+component_id and links with nothing; rows that repeat a doc_id are one document with several texts.  An empty table gives no
+rows.  Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +33,10 @@ from . import common
 CHUNKS, CHUNK = 64, 1 << 16
 CELLS = CHUNKS * CHUNK  #: cells of the count sketch, whatever the corpus
 CLASSES = 16
-SHARED = 16  #: tokens that the heads of two linked sets share at least (small sets: their overlap)
-BITS = 1 << 24
-ROUNDS = 3
+GROWTH = 8  #: centres of a list, from round to round
+HOT = 64  #: a list with more members compares parities before it makes pairs
+PARITY = 256  #: bits of the parity that every node has; sets of more than twice as many tokens have a longer one besides
+BITS = 1 << 20, 1 << 27  #: least and most bits of a bitmap
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -133,171 +136,184 @@ def sketch_of(profiled: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def bitmap_of(ids: DataFrame) -> bytes:
-    """Bits of hashed values of a long column: a filter of fixed size that lets all of them, and some others, through."""
+def bitmap_of(ids: DataFrame) -> np.ndarray:
+    """Bits of hashed values of a spooled long column, 16 for each up to a limit: lets all of them, and some others, through."""
+    size = min(BITS[1], max(BITS[0], 1 << (16 * ids.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(BITS, "u1")
+        bits = np.zeros(size, "u1")
         for b in batches:
-            bits[bit(b.column(0).to_numpy().view("u8"))] = 1
+            bits[bit(b.column(0).to_numpy().view("u8"), size)] = 1
         yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(np.packbits(bits).tobytes(), 1)]})
 
-    out = np.zeros(BITS // 8, "u1")
-    for r in ids.coalesce(16).mapInArrow(run, "bits binary").collect():
+    out = np.zeros(size // 8, "u1")
+    for r in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
         out |= np.frombuffer(zlib.decompress(bytes(r.bits)), "u1")
-    return out.tobytes()
+    return out
 
 
-def bit(values: np.ndarray) -> np.ndarray:
-    return ((values * MIX) >> np.uint64(40)).astype("i8")
+def bit(values: np.ndarray, size: int) -> np.ndarray:
+    return ((values * MIX) >> np.uint64(32)).astype("i8") & (size - 1)
 
 
-def signature_rows(docs: DataFrame, job: Job, shared, only=None) -> DataFrame:
-    """sig, a, n, rank of every document's signatures (of those whose bit is set in only); rank prefers common texts."""
+def has(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values the bitmap lets through."""
+    at = bit(values, 8 * len(bits))
+    return bits[at >> 3] >> (7 - (at & 7)).astype("u1") & 1 == 1
+
+
+def parity(s: np.ndarray, size: int) -> np.ndarray:
+    """Parity of the tokens in each of size bits, as longs; XOR of its halves is the parity in half as many bits."""
+    at = (s >> np.uint64(20)).astype("i8") & (size - 1)
+    return np.packbits((np.bincount(at, minlength=size) & 1).astype("u1"), bitorder="little").view("<i8")
+
+
+def held(df: DataFrame, column: str, bits) -> DataFrame:
+    """Rows whose long column the broadcast bitmap lets through, before they are moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(has(bits.value, b.column(column).to_numpy(zero_copy_only=False).view("u8"))))
+
+    return df.mapInArrow(run, df.schema)
+
+
+FOLDED = [f"f{j}" for j in range(PARITY // 64)]
+
+
+def signature_rows(docs: DataFrame, job: Job, shared) -> DataFrame:
+    """sig, a of every document's signatures; and, with sig null, its node: doc_id, a, b, n, rank (prefers common texts), parities."""
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("doc_id", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("rank", pa.int32()), *((f, pa.int64()) for f in FOLDED), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, frequent = shared.value
-        bits = None if only is None else np.unpackbits(np.frombuffer(only.value, "u1"))
         for b in common.sliced(batches):
-            parts = []
-            for text in b.column("text").to_pylist():
+            parts, nodes = [], []
+            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
                 s = job.shingles(text)
                 if len(s):
-                    counts = sketch[cell(s)]
+                    counts, (x, y) = sketch[cell(s)], set_id(s)
                     sig = job.signatures(s, counts, frequent)
-                    if bits is not None:
-                        sig = sig[bits[bit(sig)] == 1]
-                    a = set_id(s)[0]
-                    rank = int(np.log2(1 + counts).mean() * 128) << 40 | a & (1 << 40) - 1
-                    parts.append((sig, np.full((3, len(sig)), [[a], [len(s)], [rank]], "i8")))
+                    parts.append((sig, np.full(len(sig), x, "i8")))
+                    longer = parity(s, 1 << (len(s) // 2).bit_length()).tolist() if len(s) > 2 * PARITY else None
+                    nodes.append((None, x, doc_id, y, len(s), int(np.log2(1 + counts).mean() * 128), *parity(s, PARITY).tolist(), longer))
             if parts:
-                sig, rest = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts], 1)
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), *(pa.array(x) for x in rest)], ["sig", "a", "n", "rank"])
-
-    return docs.mapInArrow(run, "sig long, a long, n long, rank long")
+                sig, a = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), pa.array(a), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*nodes, strict=True), schema, strict=True)], schema=schema)
 
+    return docs.mapInArrow(run, f"sig long, a long, doc_id long, b long, n int, rank int, {', '.join(f'{f} long' for f in FOLDED)}, bits array<long>")
 
-def set_rows(docs: DataFrame, job: Job, shared, only) -> DataFrame:
-    """a, b, tokens, head, least of the documents whose doc_id's bit is set in only.
 
-    The head is the prefix extended by SHARED - 1 tokens; linked sets share SHARED tokens of their heads, or least if fewer.
-    """
+def set_rows(docs: DataFrame, job: Job, wanted) -> DataFrame:
+    """doc_id, a, tokens of the documents whose doc_id the bitmap lets through; dealt by these, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, sketch = np.unpackbits(np.frombuffer(only.value, "u1")), shared.value[0]
         for b in common.sliced(batches):
-            rows = []
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                if doc_id is not None and bits[bit(np.array([doc_id], "i8").view("u8"))[0]]:
-                    s = job.shingles(text.as_py())
-                    need = job.overlap(len(s))
-                    head = s[np.lexsort((s, sketch[cell(s)]))[: len(s) - need + SHARED]]
-                    rows.append((*set_id(s), s.view("i8"), head.view("i8"), min(SHARED, need)))
-            if rows:
-                x, y, s, h, m = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(h, pa.list_(pa.int64())), pa.array(m, pa.int64())], ["a", "b", "tokens", "head", "least"])
+            b = b.filter(pa.array(has(wanted.value, b.column("doc_id").to_numpy().view("u8"))))
+            if b.num_rows:
+                sets = [job.shingles(t) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([set_id(s)[0] for s in sets]), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))], ["doc_id", "a", "tokens"])
 
-    return docs.mapInArrow(run, "a long, b long, tokens array<long>, head array<long>, least long")
+    return docs.mapInArrow(run, "doc_id long, a long, tokens array<long>").repartition("doc_id", "a").dropDuplicates(["doc_id", "a"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (smallest node reachable) of all nodes of edges (u, v): labels spread and jump until none changes."""
+    """node, label (smallest node reachable) of all nodes of edges (u, v), spooled: labels spread and jump until none changes."""
     both = common.spool(edges.union(edges.select("v", "u")).distinct(), "edges")
-    labels = both.select(F.col("u").alias("node"), F.col("u").alias("label")).distinct()
+    labels = common.spool(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.first("u")).alias("label")), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         stepped = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        far = stepped.select(F.col("node").alias("mid"), F.col("mid").alias("label"))
-        new = common.spool(stepped.join(far, "mid").select("node", "label", "old"), "labels")
-        labels = new.select("node", "label")
-        if new.where("label <> old").isEmpty():
+        far = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
+        new = common.spool(stepped.join(far, "mid").select("node", F.least("mid", "far").alias("label"), "old"), "labels")
+        common.drop(labels)
+        labels = new
+        if labels.where("label <> old").isEmpty():
+            common.drop(both)
             return labels
 
 
-def held(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of sets whose a is among ids, and few others, before they are moved."""
-    only = sets.sparkSession.sparkContext.broadcast(bitmap_of(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(only.value, "u1"))
-        for b in batches:
-            yield b.filter(pa.array(bits[bit(b.column("a").to_numpy().view("u8"))] == 1))
-
-    return sets.mapInArrow(run, sets.schema)
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y: a of two sets) with xb, yb (their b), common and all (sizes of intersection and union), distance.
-
-    Pairs whose heads share too little are left out: they cannot link.  Only the others meet with their whole sets.
-    """
-    hx = sets.select(F.col("a").alias("x"), F.col("head").alias("xh"), F.col("least").alias("xl"))
-    hy = sets.select(F.col("a").alias("y"), F.col("head").alias("yh"), F.col("least").alias("yl"))
-    close = pairs.join(hx, "x").join(hy, "y").where(F.size(F.array_intersect("xh", "yh")) >= F.least("xl", "yl"))
-    pairs = common.spool(close.select("x", "y").distinct(), "close")
-    sets = held(sets.select("a", "b", "tokens"), pairs.select("x").union(pairs.select("y")))
-    x = sets.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("tokens").alias("xs"))
-    y = sets.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("tokens").alias("ys"))
-    both = pairs.join(x, "x").join(y, "y").select("x", "xb", "y", "yb", F.size(F.array_intersect("xs", "ys")).alias("common"), (F.size("xs") + F.size("ys")).alias("_sum"))
-    union = F.col("_sum") - F.col("common")
-    return both.select("x", "xb", "y", "yb", "common", union.alias("all"), (1 - F.col("common") / union).alias("distance"))
-
-
-def links(docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job) -> DataFrame:
-    """u, v: doc_ids of representatives, enough links to connect every component (labels as components() gives them)."""
-    spark = docs.sparkSession
-    sketch = sketch_of(profiled)
-    shared = spark.sparkContext.broadcast((sketch, max(job.floor, int(8 * sketch.mean()))))
-    # Only signatures of two different sets matter; their rows are made again rather than moved with all the others.
-    lists = signature_rows(docs, job, shared).groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig")
-    lists = common.spool(lists, "lists")
-    only = spark.sparkContext.broadcast(bitmap_of(lists))
-    members = common.spool(signature_rows(docs, job, shared, only).distinct().join(lists, "sig"), "members")
-    nodes = common.spool(members.select("a").distinct().join(reps, "a").select("a", "b", "doc_id"), "nodes")
-    wanted = spark.sparkContext.broadcast(bitmap_of(nodes.select("doc_id")))
-    sets = common.spool(set_rows(docs, job, shared, wanted).dropDuplicates(["a", "b"]), "sets")
-    sized = F.expr(f"100 * least(n, m) >= {job.percent} * greatest(n, m)")
-    near = F.expr(f"100 * common >= {job.percent} * all")
-
-    def linked(tested: DataFrame) -> DataFrame:
-        u = nodes.select(F.col("a").alias("x"), F.col("b").alias("xb"), F.col("doc_id").alias("u"))
-        v = nodes.select(F.col("a").alias("y"), F.col("b").alias("yb"), F.col("doc_id").alias("v"))
-        return tested.where(near).join(u, ["x", "xb"]).join(v, ["y", "yb"]).select("u", "v")
-
-    # First round: every member of similar size against its list's centre; distances serve the triangle inequality.
-    centres = members.groupBy("sig").agg(F.max_by("a", "rank").alias("centre"), F.max_by("n", "rank").alias("m"))
-    centred = common.spool(members.join(centres, "sig").where("a <> centre"), "centred")
-    tested = common.spool(verified(centred.where(sized).select(F.col("a").alias("x"), F.col("centre").alias("y")).distinct(), sets), "tested")
-    edges = linked(tested)
-    away = tested.groupBy(F.col("x").alias("a"), F.col("y").alias("centre")).agg(F.min("distance").alias("distance"))
-    left = centred.join(away, ["a", "centre"], "left").select("sig", "a", "n", "rank", "distance")
-    for turn in range(ROUNDS):
-        edges = common.spool(edges.distinct(), "links")
-        labels = components(edges)
-        named = nodes.join(labels, nodes["doc_id"] == labels["node"], "left").groupBy("a").agg(F.min(F.coalesce("label", "doc_id")).alias("label"))
-        left = left.drop("label").join(named, "a")
-        split = left.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("a", "rank").alias("next"), F.max_by("label", "rank").alias("own"), F.max_by("n", "rank").alias("m"), F.max_by("distance", "rank").alias("span")).where("low <> high")
-        left = common.spool(left.join(split.select("sig", "next", "own", "m", "span"), "sig"), "left")
-        if turn == ROUNDS - 1 or left.isEmpty():
-            break
-        close = sized & F.expr(f"label <> own and coalesce(abs(distance - span) <= {1 - job.percent / 100} + 1e-9, true)")
-        more = verified(left.where(close).select(F.col("a").alias("x"), F.col("next").alias("y")).distinct(), sets)
-        edges = edges.union(linked(more))
-        left = left.where("a <> next").select("sig", "a", "n", "rank", "distance")
-    # The rest: pairs across components, where their first common signature is.
-    own = members.join(left.select("a").distinct(), "a", "left_semi").groupBy("a").agg(F.collect_list("sig").alias("sigs"))
-    rest = left.select("sig", "a", "n", "label", "distance").join(own, "a")
-    other = rest.select(*(F.col(c).alias(f"o_{c}") for c in ("sig", "a", "n", "label", "distance", "sigs")))
-    pairs = rest.join(
-        other,
-        (F.col("sig") == F.col("o_sig"))
-        & (F.col("a") < F.col("o_a"))
-        & (F.col("label") != F.col("o_label"))
-        & F.expr(f"100 * least(n, o_n) >= {job.percent} * greatest(n, o_n) and coalesce(abs(distance - o_distance) <= {1 - job.percent / 100} + 1e-9, true)")
-        & (F.array_min(F.array_intersect("sigs", "o_sigs")) == F.col("sig")),
-    )
-    last = verified(pairs.select(F.col("a").alias("x"), F.col("o_a").alias("y")), sets)
-    return edges.union(linked(last))
+class Links:
+    """Links between representatives, enough to connect every component; reps: a, b, doc_id, node (a number)."""
+
+    def __init__(self, docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job):
+        self.docs, self.job, self.spark = docs, job, docs.sparkSession
+        sketch = sketch_of(profiled)
+        rows = common.spool(signature_rows(docs, job, self.share((sketch, max(job.floor, int(8 * sketch.mean()))))), "signatures")
+        signed = rows.where("sig is not null").select("sig", "a")
+        # Only signatures of two different sets matter.
+        lists = common.spool(signed.groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig"), "lists")
+        self.nodes = common.spool(rows.where("sig is null").drop("sig").join(reps, ["doc_id", "a", "b"]).dropDuplicates(["doc_id", "a", "b"]), "nodes")
+        members = held(signed, "sig", self.share(bitmap_of(lists))).distinct().join(lists, "sig")
+        members = common.spool(members.join(self.nodes.select("a", "node", "n", "rank"), "a").select("sig", "node", "n", "rank", F.col("node").alias("label")), "members")
+        common.drop(rows, lists)
+        self.alive = self.listed(members, F.max(F.struct("rank", "node"))["node"], F.expr("node = top"))
+        self.made = [members, self.nodes]
+
+    def share(self, value):
+        return self.spark.sparkContext.broadcast(value)
+
+    def listed(self, members: DataFrame, top, centre) -> DataFrame:
+        """Members of the lists that span components, with m (members of the list) and whether they are a centre."""
+        stats = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), top.alias("top")).where("low <> high")
+        return common.spool(members.join(stats.select("sig", "m", "top"), "sig").withColumn("centre", centre).drop("top", "rank"), "alive")
+
+    def near(self) -> str:
+        """SQL: the sizes of x and y, and the parities that all nodes have, allow a link."""
+        p, differ = self.job.percent, " + ".join(f"bit_count(x{f} ^ y{f})" for f in FOLDED)
+        return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and ({differ}) * {100 + p} <= (xn + yn) * {100 - p}"
+
+    def pairs(self, alive: DataFrame) -> DataFrame:
+        """x, y, xl, yl: nodes to compare, and their labels."""
+        rows = alive.select("sig", "node", "n", F.col("label").alias("l"), "centre", "m")
+        hot = rows.where(f"m > {HOT}").join(self.nodes.select("node", *FOLDED), "node")
+        sized = f"100 * least(xn, yn) >= {self.job.percent} * greatest(xn, yn)"
+        out = []
+        for part, close in ((rows.where(f"m <= {HOT}"), sized), (hot, self.near())):
+            columns = [c for c in part.columns if c not in ("sig", "m", "centre")]
+            x = part.where("centre").select("sig", *(F.col(c).alias(f"x{c}") for c in columns))
+            y = part.select("sig", "centre", *(F.col(c).alias(f"y{c}") for c in columns))
+            out.append(y.join(x, "sig").where(F.expr(f"xl <> yl and (not centre or xnode < ynode) and {close}")).select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), "xl", "yl"))
+        return out[0].union(out[1]).distinct()
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """u, v: the labels of pairs that link, spooled."""
+        columns = ["doc_id", "a", "n", *FOLDED, "bits"]
+        x, y = (self.nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}{c}") for c in columns)) for k in "xy")
+        p = self.job.percent
+        # Parities of unequal length: the longer one is folded to half.
+        halved = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+        longer = "if(size({0}) > size({1}), " + halved + ", {0})"
+        apart = f"aggregate(zip_with({longer.format('xbits', 'ybits')}, {longer.format('ybits', 'xbits')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+        unlike = "xbits is null or ybits is null or size(xbits) > 2 * size(ybits) or size(ybits) > 2 * size(xbits)"
+        close = pairs.join(x, "x").join(y, "y").where(F.expr(f"{self.near()} and ({unlike} or {apart} * {100 + p} <= (xn + yn) * {100 - p})"))
+        close = common.spool(close.select("xdoc_id", "xa", "ydoc_id", "ya", "xl", "yl"), "close")
+        ids = common.spool(close.select(F.col("xdoc_id").alias("doc_id")).union(close.select("ydoc_id")).distinct(), "wanted")
+        sets = set_rows(self.docs, self.job, self.share(bitmap_of(ids)))
+        x, y = (sets.select(F.col("doc_id").alias(f"{k}doc_id"), F.col("a").alias(f"{k}a"), F.col("tokens").alias(f"{k}s")) for k in "xy")
+        both = close.join(x, ["xdoc_id", "xa"]).join(y, ["ydoc_id", "ya"]).withColumn("common", F.size(F.array_intersect("xs", "ys")))
+        found = both.where(F.expr(f"100 * common >= {p} * (size(xs) + size(ys) - common)")).select(F.col("xl").alias("u"), F.col("yl").alias("v")).distinct()
+        out = common.spool(found, "links")
+        common.drop(close, ids)
+        return out
+
+    def all(self) -> DataFrame:
+        """u, v: linked nodes."""
+        found, alive, turn = None, self.alive, 0
+        while not alive.isEmpty():
+            turn += 1
+            edges = self.linked(self.pairs(alive))
+            names = components(edges)
+            left = alive.where("not centre").join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+            left = left.select("sig", "node", "n", F.coalesce("new", "label").alias("label"))
+            chosen = F.expr(f"pmod(xxhash64(sig, node, {turn}), {1 << 30}) * m < {GROWTH**turn} * {1 << 30}L")
+            before, alive = alive, self.listed(left, F.lit(None), chosen)
+            common.drop(before, names)
+            found = edges if found is None else found.union(edges)
+            self.made.append(edges)
+        common.drop(alive)
+        return found if found is not None else self.nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
 
 def join(docs: DataFrame, words: int, percent: int, floor: int = 256) -> DataFrame:
@@ -308,14 +324,20 @@ def join(docs: DataFrame, words: int, percent: int, floor: int = 256) -> DataFra
     profiled = profile(rows, job)
     own = profiled.where("chunk is null").drop("chunk", "part")
     sized = own.where("n > 0 and doc_id is not null")
-    reps = common.spool(sized.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")), "reps")
+    reps = sized.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
+    reps = common.spool(reps, "reps")
     # Copies share a representative; a doc_id of several texts ties their representatives together.
     several = sized.groupBy("doc_id").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("doc_id")
-    ties = sized.join(several, "doc_id").select(F.col("doc_id").alias("u"), "a", "b").distinct().join(reps, ["a", "b"]).select("u", F.col("doc_id").alias("v"))
-    labels = components(links(rows.where("doc_id is not null"), profiled, reps, job).union(ties))
-    named = reps.join(labels, reps["doc_id"] == labels["node"], "left").select("a", "b", F.coalesce("label", "doc_id").alias("label"))
-    found = own.join(named, ["a", "b"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("component_id"))
+    ties = sized.join(several, "doc_id").select("doc_id", "a", "b").join(reps.select("a", "b", "node"), ["a", "b"]).select("doc_id", "node")
+    ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    links = Links(rows.where("doc_id is not null"), profiled, reps, job)
+    labels = components(links.all().union(ties))
+    common.drop(*links.made)
+    firsts = labels.join(reps, "node").groupBy("label").agg(F.min("doc_id").alias("first"))
+    named = reps.join(labels.join(firsts, "label").select("node", "first"), "node", "left").select("a", "b", F.coalesce("first", "doc_id").alias("first"))
+    found = sized.join(named, ["a", "b"]).select("doc_id", "n", "first")
+    rest = own.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("first"))
+    return found.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
