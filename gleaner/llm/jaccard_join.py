@@ -7,9 +7,9 @@ pigeonhole principle, two frequent ones of the same class.  Rare tokens are inde
 their class.  Sets too small for the extension index all tokens of the plain prefix singly; sets just above do both.
 
 Copies (equal sets) are one node, named by their smallest doc_id.  No list of a signature's members is expanded into all its
-pairs: in round r a list elects GROWTH ** r centres (the commonest text first, then by hash), and its members are compared with
-these unless they are in one component already.  Centres leave the list, and a list goes when all that is left of it is one
-component.  Before sets are moved, pairs pass two exact bounds: their sizes, and the parity of their tokens by hash bit (each
+pairs: first a list elects its commonest text, in round r some GROWTH ** r members that are not in its pivot's component (both by
+hash), and all members of other components are compared with these centres.  Centres leave the list, and a list goes when all
+that is left of it is one component.  Before sets are moved, pairs pass two exact bounds: their sizes, and the parity of their tokens by hash bit (each
 bit in which two parities differ is a token that only one of them has).  Whole sets decide, so the result is exact.
 
 Defined results: a document without words has an empty set and links with nothing; a null doc_id has n_shingles and a null
@@ -33,7 +33,7 @@ from . import common
 CHUNKS, CHUNK = 64, 1 << 16
 CELLS = CHUNKS * CHUNK  #: cells of the count sketch, whatever the corpus
 CLASSES = 16
-GROWTH = 8  #: centres of a list, from round to round
+GROWTH = 16  #: centres of a list, from round to round
 HOT = 64  #: a list with more members compares parities before it makes pairs
 PARITY = 256  #: bits of the parity that every node has; sets of more than twice as many tokens have a longer one besides
 BITS = 1 << 20, 1 << 27  #: least and most bits of a bitmap
@@ -248,8 +248,11 @@ class Links:
         members = held(signed, "sig", self.share(bitmap_of(lists))).distinct().join(lists, "sig")
         members = common.spool(members.join(self.nodes.select("a", "node", "n", "rank"), "a").select("sig", "node", "n", "rank", F.col("node").alias("label")), "members")
         common.drop(rows, lists)
-        self.alive = self.listed(members, F.max(F.struct("rank", "node"))["node"], F.expr("node = top"))
-        self.made = [members, self.nodes]
+        first = self.listed(members, F.max(F.struct("rank", "node"))["node"], F.expr("node = top"))
+        # Members of long lists take their parities along, so that these prune pairs inside the join.
+        hot = common.spool(first.where(f"m > {HOT}").join(self.nodes.select("node", *FOLDED), "node"), "hot")
+        self.alive = first.where(f"m <= {HOT}").withColumns({f: F.lit(None).cast("long") for f in FOLDED}).unionByName(hot)
+        self.made = [members, self.nodes, first, hot]
 
     def share(self, value):
         return self.spark.sparkContext.broadcast(value)
@@ -260,22 +263,17 @@ class Links:
         return common.spool(members.join(stats.select("sig", "m", "top"), "sig").withColumn("centre", centre).drop("top", "rank"), "alive")
 
     def near(self) -> str:
-        """SQL: the sizes of x and y, and the parities that all nodes have, allow a link."""
+        """SQL: the sizes of x and y, and the parities that both have, allow a link."""
         p, differ = self.job.percent, " + ".join(f"bit_count(x{f} ^ y{f})" for f in FOLDED)
-        return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and ({differ}) * {100 + p} <= (xn + yn) * {100 - p}"
+        return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and coalesce(({differ}) * {100 + p} <= (xn + yn) * {100 - p}, true)"
 
     def pairs(self, alive: DataFrame) -> DataFrame:
         """x, y, xl, yl: nodes to compare, and their labels."""
-        rows = alive.select("sig", "node", "n", F.col("label").alias("l"), "centre", "m")
-        hot = rows.where(f"m > {HOT}").join(self.nodes.select("node", *FOLDED), "node")
-        sized = f"100 * least(xn, yn) >= {self.job.percent} * greatest(xn, yn)"
-        out = []
-        for part, close in ((rows.where(f"m <= {HOT}"), sized), (hot, self.near())):
-            columns = [c for c in part.columns if c not in ("sig", "m", "centre")]
-            x = part.where("centre").select("sig", *(F.col(c).alias(f"x{c}") for c in columns))
-            y = part.select("sig", "centre", *(F.col(c).alias(f"y{c}") for c in columns))
-            out.append(y.join(x, "sig").where(F.expr(f"xl <> yl and (not centre or xnode < ynode) and {close}")).select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), "xl", "yl"))
-        return out[0].union(out[1]).distinct()
+        columns = ["node", "n", "label", *FOLDED]
+        x = alive.where("centre").select("sig", *(F.col(c).alias(f"x{c}") for c in columns))
+        y = alive.select("sig", "centre", *(F.col(c).alias(f"y{c}") for c in columns))
+        met = y.join(x, "sig").where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near()}"))
+        return met.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xlabel").alias("xl"), F.col("ylabel").alias("yl")).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """u, v: the labels of pairs that link, spooled."""
@@ -305,14 +303,14 @@ class Links:
             turn += 1
             edges = self.linked(self.pairs(alive))
             names = components(edges)
-            left = alive.where("not centre").join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
-            left = left.select("sig", "node", "n", F.coalesce("new", "label").alias("label"))
-            chosen = F.expr(f"pmod(xxhash64(sig, node, {turn}), {1 << 30}) * m < {GROWTH**turn} * {1 << 30}L")
-            before, alive = alive, self.listed(left, F.lit(None), chosen)
-            common.drop(before, names)
+            left = alive.where("not centre").drop("m", "centre").join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+            left = left.withColumn("label", F.coalesce("new", "label")).drop("new")
+            draw = f"xxhash64(sig, node, {turn})"
+            chosen = F.expr(f"label <> top and pmod({draw}, {1 << 30}) * m < {GROWTH**turn} * {1 << 30}L")
+            alive = self.listed(left, F.max_by("label", F.expr(draw)), chosen)
+            common.drop(names)
             found = edges if found is None else found.union(edges)
-            self.made.append(edges)
-        common.drop(alive)
+            self.made += [edges, alive]
         return found if found is not None else self.nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
 
