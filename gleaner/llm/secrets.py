@@ -6,7 +6,8 @@ counting; only documents that satisfy a rule's query are searched with its regex
 trigram is searched for in every document.
 
 Spans count code points, end exclusive, leftmost and non-overlapping for each rule.  A null text is searched like an empty
-one; repeated rows and rows of null doc_id are reported each; texts are taken whole.
+one; repeated rows and rows of null doc_id are reported each; texts are taken whole.  An empty table gives no rows; columns
+that keep does not name are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -137,13 +138,18 @@ def candidates(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def scan(docs: DataFrame, rules: list[Rule] | None = None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """keep (doc_id among it), text, and spans, sorted by start and the rules' order."""
+    """keep (doc_id among it), text, and spans, sorted by start and the rules' order; keep may not name a column spans.
+
+    The ids of candidates meet the rows as a broadcast where they are counted to be few, so texts do not move.
+    """
+    if "spans" in keep:
+        raise ValueError("the input has a column spans already")
     rules = BASE + OWN if rules is None else rules
     rest = [c for c in keep if c not in ("doc_id", "text")]
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"), F.struct(*rest, F.lit(0).alias("_")).alias("rest"), F.col("text").isNull().alias("was_null"))
     indexed = [r for r in rules if frozenset() not in trigram_query(r.pattern)]
-    found = candidates(rows.select("doc_id", "text", "h"), indexed).select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "rules")
-    rows = rows.join(found, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
+    found = common.spool(candidates(rows.select("doc_id", "text", "h"), indexed).select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "rules"), "candidates")
+    rows = rows.join(common.small(found), F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")), "left")
     none = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     each = [spans(F.col("text"), r, k) if r not in indexed else F.when(F.coalesce(F.array_contains("rules", r.kind), F.lit(False)), spans(F.col("text"), r, k)).otherwise(none) for k, r in enumerate(rules)]
     out = rows.withColumn("spans", F.array_sort(F.concat(*each)))

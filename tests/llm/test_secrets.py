@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from gleaner.llm import secrets as S
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -52,3 +54,8 @@ def test_long_logins_and_labels(spark):
     docs = spark.createDataFrame([(1, f"see {url}host and {pem} here")], "doc_id long, text string")
     found = {x.kind: x.end - x.start for x in S.scan(docs).first().spans}
     assert found["login_url"] == len(url) and found["pem"] == len(pem)
+
+
+def test_clashing_names_are_refused(docs):
+    with pytest.raises(ValueError, match="spans"):
+        S.scan(docs, keep=("doc_id", "spans"))
