@@ -18,33 +18,40 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier rejects; it is fitted on the labels of the documents given."""
+    """Drop what the classifier rejects; it is fitted on the labels of the documents given.
+
+    A null or empty text is scored as padding, like any other; repeated rows are judged each.
+    """
     net = cnn.train(docs, common.table(spark, sf_dir, "labels"))
     return cnn.score(common.spread(docs.select(*COLUMNS)), net, "_quality").where(F.col("_quality") >= QUALITY).drop("_quality")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id; one row, if its id repeats.
+    """One document of each group of near duplicates stays, that with the smallest doc_id.
 
-    Rows of null doc_id are in no group and stay.
+    Rows of null doc_id are in no group and stay.  Of rows that repeat a doc_id and its text one stays, the first by its
+    other columns; a doc_id's other texts stay with it.  What goes is listed by doc_id; where this list is counted to be
+    short it is broadcast, so that texts do not move.
     """
-    groups = jaccard_join.join(docs, WORDS, PERCENT)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    first = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
-    repeated = first.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
-    once = first.join(repeated, F.col("doc_id") == F.col("_again"), "left_anti")
-    single = first.join(repeated, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(single).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    groups = jaccard_join.join(docs, WORDS, PERCENT).where("doc_id is not null").groupBy(F.col("doc_id").alias("_id"))
+    listed = groups.agg(F.min(F.expr("component_id = doc_id")).alias("_first"), F.count("*").alias("_n")).where("not _first or _n > 1")
+    listed = common.spool(listed.select("_id", "_first"), "listed")
+    rows = docs.select(*COLUMNS).join(common.small(listed), F.col("doc_id") == F.col("_id"), "left")
+    again = rows.where("_first").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("_rest"))
+    return rows.where("_id is null").select(*COLUMNS).unionByName(again.select("doc_id", "text", "_rest.*"))
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold an item of the benchmark."""
+    """Drop documents that hold an item of the benchmark; null and empty texts hold none, repeated rows are judged each."""
     marked = decontaminate.mark(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return marked.where(F.size("item_ids") == 0).select(*COLUMNS)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret by its kind in angle brackets; overlapping spans go together, under the first one's kind."""
+    """Replace every secret by its kind in angle brackets; overlapping spans go together, under the first one's kind.
+
+    Null and empty texts stay as they are; repeated rows are masked each.
+    """
     found = secrets.scan(docs.select(*COLUMNS), keep=COLUMNS)
 
     def step(a, x):
@@ -59,11 +66,17 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts' token ids: doc_id, lang, source, n_tokens, ids."""
+    """The texts' token ids: doc_id, lang, source, n_tokens, ids; fails where these do not decode to the text.
+
+    A null text has no ids, like an empty one; repeated rows are encoded each.
+    """
     import public_tokenizers
 
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    back = byte_bpe.decode(ids.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))).drop("text"), path)
+    checked = F.when(F.xxhash64("decoded") == F.col("_hash"), F.col("ids")).otherwise(F.raise_error(F.lit("ids that do not decode to their text")))
+    return back.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), checked.alias("ids"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("without_secrets", without_secrets), ("encoded", encoded)]
