@@ -21,9 +21,14 @@ def make_dir(uri: str) -> None:
 
 @contextmanager
 def published(uri: str):
-    """An output stream whose content appears under uri only when it is complete; a second attempt replaces the first."""
+    """An output stream whose content appears under uri only when it is complete; a second attempt replaces the first.
+
+    Not every store renames onto an existing file, so the one of an earlier attempt goes before.
+    """
     store, path = fs.FileSystem.from_uri(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with store.open_output_stream(part) as out:
         yield out
+    if store.get_file_info(path).type != fs.FileType.NotFound:
+        store.delete_file(path)
     store.move(part, path)

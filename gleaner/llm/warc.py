@@ -4,9 +4,10 @@ write() makes archives of one gzip stream each.  normalise() inflates such a str
 member of its own and writes a sidecar index (offset and length of each member).  read() fetches members by the index.
 
 Of equal payloads of at least min_bytes, the row with the smallest page_id is a response and the others are revisits, which
-hold no payload but its digest and length.  A null html is an empty payload; a null page_id takes no part in
-deduplication and stays a response; rows that repeat the smallest page_id are responses as well.  Line ends in a url are
-written as blanks.  An empty table gives archives without pages and no rows.
+hold no payload but its digest and length, and refer to the response by its record id, which page_id and digest make up.
+A null html is an empty payload; a null page_id takes no part in deduplication and stays a response; rows that repeat the
+smallest page_id are responses as well (whole copies of a row share the record id).  Line ends in a url are written as
+blanks.  An empty table gives archives without pages and no rows.  Columns but page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -32,20 +33,32 @@ DATE = "2024-01-01T00:00:00Z"  # pages carry no time of their own
 
 
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """page_id, url, payload, digest, refers_to (null for responses)."""
+    """page_id, url, payload, digest, refers_to (null for responses).
+
+    Roles are decided on page_id and digest alone; the list of revisits meets the pages by both, so that a common page is dealt
+    out, and is broadcast where it is counted to be short.
+    """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    copies = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).groupBy(F.col("digest").alias("first_digest")).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(copies, F.col("digest") == F.col("first_digest"), "left").select("page_id", "url", "payload", "digest", F.expr("if(page_id > first_id, first_id, null)").alias("refers_to"))
+    sized = rows.where((F.octet_length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    copies = sized.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.max("page_id").alias("last_id")).where("first_id < last_id")
+    revisits = sized.join(copies, "digest").where("page_id > first_id").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "first_id").distinct()
+    revisits = common.small(common.spool(revisits, "revisits"))
+    return rows.join(revisits, (F.col("page_id") == F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left").select("page_id", "url", "payload", "digest", F.col("first_id").alias("refers_to"))
+
+
+def response_id(page_id: int, digest: str) -> str:
+    return f"<urn:gleaner:page:{page_id}:{digest}>"
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, name: str) -> bytes:
     kind = "response" if refers_to is None else "revisit"
     block = HTTP + (payload if refers_to is None else b"")
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:gleaner:record:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
+    own = f"<urn:gleaner:record:{name}>" if page_id is None or refers_to is not None else response_id(page_id, digest)
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {own}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {' '.join((url or '').split())}", f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http;msgtype=response"]
     if page_id is not None:
         lines.append(f"X-Page-Id: {page_id}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:gleaner:page:{refers_to}>", f"X-Payload-Length: {len(payload)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {response_id(refers_to, digest)}", f"X-Payload-Length: {len(payload)}"]
     return "\r\n".join([*lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -118,7 +131,7 @@ def read(members: DataFrame) -> DataFrame:
         fields, block, _ = parse(io.BytesIO(zlib.decompress(data, 31)))
         page_id = int(fields["x-page-id"]) if "x-page-id" in fields else None
         if fields["warc-type"] == "revisit":
-            return page_id, fields["warc-target-uri"], "revisit", int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2], int(fields["warc-refers-to"].strip("<>").rpartition(":")[2]), None
+            return page_id, fields["warc-target-uri"], "revisit", int(fields["x-payload-length"]), fields["warc-payload-digest"].partition(":")[2], int(fields["warc-refers-to"].split(":")[3]), None
         payload = block.partition(b"\r\n\r\n")[2]
         return page_id, fields["warc-target-uri"], "response", len(payload), hashlib.sha256(payload).hexdigest(), None, payload
 

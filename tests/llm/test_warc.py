@@ -49,3 +49,18 @@ def test_members_and_damage(spark, pages):
         out.write(data[: len(data) // 2])
     with pytest.raises(Exception, match="EOF|cut short|end-of-stream"):
         warc.normalise(whole)
+
+
+def test_every_reference_resolves(spark, pages):
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    ids, revisits = {}, []
+    for r in warc.write(warc.roles(df, 100), common.fresh_path(spark, "w")).collect():
+        with files.open_in(r.uri) as raw, gzip.GzipFile(fileobj=raw) as f:
+            while (found := warc.parse(f)) is not None:
+                ids[found[0]["warc-record-id"]] = found[0]
+                if found[0]["warc-type"] == "revisit":
+                    revisits.append(found[0])
+    assert revisits
+    for r in revisits:
+        to = ids[r["warc-refers-to"]]
+        assert to["warc-type"] == "response" and to["warc-payload-digest"] == r["warc-payload-digest"]
