@@ -6,7 +6,8 @@ records does not look valid by itself.  The data is: width of an id in bytes (u8
 doc_id (i64), ids.  <file>.idx holds offset and whole length (u64 each) of every record, for reads in any order.
 
 Documents are written in ascending doc_id order (null first; equal ids by a hash of the text, then by text), over files
-whose number in the name ascends with doc_id.  A null text gives the end id alone.  Repeated rows are written each.
+whose number in the name ascends with doc_id.  A null text gives the end id alone.  Repeated rows are written each.  An
+empty table gives files without records and no rows; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from . import common, files
 MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BBq")
+PROBE = "The  QUICK bröwn,\tfox. É.g. jump'd\r\n over <|endoftext|> 12 lazy-dogs...\x0band ÀÇ\x0cend"
 CACHE = 120_000  #: keys in a generation of a worker's two memos
 
 
@@ -85,19 +87,21 @@ class Units:
 
     The tokenizer drops white space and treats what stands between it separately, so the units' ids make up the text's.
     Latin letters, with or without full stops and commas behind them, are one or two pre-tokens: these go to the library's
-    model in lower case, by its letters for bytes.  Any other unit goes through the whole library.
+    model in lower case, by its letters for bytes.  Any other unit goes through the whole library, which finds the literals of
+    special tokens in it.  A tokenizer of which this does not hold gives other ids for PROBE and is refused with ValueError.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.type = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.units = common.Memo(CACHE, self.unit)
         self.parts = common.Memo(CACHE, self.part)
+        if self.encode(PROBE) != array(self.type, self.tokenizer.encode(PROBE, add_special_tokens=False).ids).tobytes():
+            raise ValueError(f"{path} does not treat words between white space separately, or in lower case")
 
     def part(self, s: str) -> bytes:
         return array(self.type, [t.id for t in self.model.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()

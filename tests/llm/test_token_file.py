@@ -15,7 +15,6 @@ PATH = P.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda texts: [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -39,6 +38,29 @@ def test_units_match_the_library(library):
         assert array("H", units.encode(text)).tolist() == want, repr(text)
 
 
+def test_special_tokens_are_read_as_the_library_does():
+    assert array("H", token_file.units_of(PATH).encode("see <|endoftext|> here")).tolist() == [862, 49407, 763]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="separately"):
+        token_file.Units(P.path("byte_bpe_50k.json"))
+
+
+def test_extra_columns_are_not_read(docs, clashing):
+    a, b = (sorted(map(tuple, token_file.digests(x).collect()), key=repr) for x in (docs, clashing))
+    assert a == b
+
+
+def test_a_second_attempt_replaces_the_first(spark):
+    uri = common.fresh_path(spark, "twice")
+    for data in (b"first", b"second"):
+        with files.published(uri) as out:
+            out.write(data)
+    with files.open_in(uri) as f:
+        assert f.read() == b"second"
+
+
 def test_shuffled_reads_and_damage(spark, docs):
     folder = common.fresh_path(spark, "t")
     uri = max(token_file.write(docs, PATH, folder, 2).collect(), key=lambda r: r.n_docs).uri
@@ -48,7 +70,7 @@ def test_shuffled_reads_and_damage(spark, docs):
     assert first == sorted(first, key=lambda x: -1 if x is None else x) and len(first) > 1
     with files.open_in(uri) as f:
         data = bytearray(f.read())
-    data[int(offsets[1]) + 30] ^= 1
+    data[int(index[1].sum()) - 5] ^= 1  # the last byte of its data, however short it is
     with files.published(uri) as out:
         out.write(bytes(data))
     token_file.read_at(uri, offsets[0])
