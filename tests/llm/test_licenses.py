@@ -40,3 +40,20 @@ def test_base_columns(docs, clashing, empty, rows, same):
 def test_labels(spark, text, labels):
     row = L.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
     assert row.labels == labels and (row.score > 0) == bool(labels) and row.score <= 1
+
+
+def test_edited_copies_of_whole_texts(spark):
+    """Every license text, with each thirtieth word replaced, some words put in, and prose around it."""
+    rows = []
+    for k, (_, text) in enumerate(L.TEXTS):
+        w = text.split()
+        for j in range(7, len(w), 30):
+            w[j] = f"edited{j}"
+        w[len(w) // 2 : len(w) // 2] = ["Jane", "Doe"]
+        rows.append((k, "Some prose before. " * 5 + " ".join(w) + " and more prose behind."))
+        rows.append((1000 + k, " ".join(w[: len(w) // 3 : 2])))
+    got = {r.doc_id: r for r in L.digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(L.TEXTS):
+        assert label in got[k].labels.split(","), label
+        assert got[k].score >= L.COVER
+        assert got[1000 + k].labels == ""
