@@ -1,4 +1,5 @@
-"""Kernels that need match offsets, run as Arrow batches; each is a pure function of one text, applied by kernel()."""
+"""The functions of text.py that need match offsets, on one text: for single texts, and as brute force in tests; and kernel(),
+which runs such a function as Arrow batches where a pattern is beyond the JVM's expressions."""
 
 from __future__ import annotations
 
@@ -9,9 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-QUOTED = re.compile(r'"[^"]{2,600}"|“[^”]{2,600}”', re.S)
+from . import text as T
+
+QUOTED = re.compile(T.QUOTE)
 TOKEN = re.compile(r"[\w']+")
-BEFORE = 4  #: tokens before a match in which a negator counts
+BEFORE = T.BEFORE
 
 compiled = lru_cache(4096)(re.compile)
 
@@ -47,29 +50,25 @@ def pattern_hit(text: str, patterns, negators, phrases=()) -> tuple[bool, bool]:
 
 
 def gated_mentions(text: str, word: str, context: str, before: int = 300, name: str | None = None) -> int:
-    """Mentions of a word that count only with the context within before characters, and not behind a given name."""
-    total = 0
+    """Mentions of a word with the context within before characters, without those whose full name ends or stands up to 20
+    characters before them."""
+    full, total = f"{name} {word}".lower(), 0
     for m in compiled(rf"\b{re.escape(word)}\b", re.I).finditer(text or ""):
         around = text[max(0, m.start() - before) : m.end() + before]
-        if compiled(context, re.I).search(around) and not (name and name.lower() in text[max(0, m.start() - 20) : m.start()].lower()):
-            total += 1
+        total += bool(compiled(context, re.I).search(around)) and not (name and full in text[max(0, m.start() - 20) : m.end()].lower())
     return total
 
 
-def centrality(headline: str, body: str, pattern: str, speech: str = r"\b(?:said|told|asked)\b") -> tuple[float, float, float, float, float, float]:
-    """Headline, lede (3 sentences), saturating density, share outside reported speech, share in subject position, and the
-    weighted sum (.25, .15, .20, .25, .15), rounded to 4 places."""
-    hit, sentences = compiled(pattern, re.I), [s for s in re.split(r'(?<=[.!?])\s+(?=[A-Z"])', body or "") if s.strip()]
-    with_hit = [s for s in sentences if hit.search(s)]
-    head = float(bool(hit.search(headline or "")))
-    lede = float(any(hit.search(s) for s in sentences[:3]))
-    words = len((body or "").split())
-    x = 100 * len(hit.findall(body or "")) / words if words else 0.0
-    density = x / (x + 1)
-    plain = sum(not compiled(speech, re.I).search(s) for s in with_hit) / len(with_hit) if with_hit else 0.0
-    subject = sum(hit.search(s).start() < len(s) / 3 for s in with_hit) / len(with_hit) if with_hit else 0.0
-    total = 0.25 * head + 0.15 * lede + 0.20 * density + 0.25 * plain + 0.15 * subject
-    return head, lede, round(density, 4), round(plain, 4), round(subject, 4), round(total, 4)
+def centrality(headline: str, body: str, pattern: str) -> tuple[float, float, float, float, float, float]:
+    """head, lede, density, plain, subject and total of text.centrality()."""
+    hit, body = compiled(pattern, re.I), body or ""
+    sentences = [s.strip() for s in re.split(T.SENTENCE_END, body) if s.strip()]
+    at = [m.span() for m in hit.finditer(body)]
+    rate = 100 * len(at) / max(1, len(body.split()))
+    sources = sum(bool(compiled(T.SOURCE_BEFORE, re.I).search(body[max(0, a - T.NEAR_BEFORE) : a]) or compiled(T.SOURCE_AFTER, re.I).search(body[b : b + T.NEAR_AFTER])) for a, b in at)
+    opening = sum(a < T.NEAR_START or any(c in body[a - T.NEAR_START : a] for c in ".!?\n") for a, _ in at)
+    parts = float(bool(hit.search(headline or ""))), float(bool(hit.search(" ".join(sentences[: T.LEDE])))), rate / (rate + 1), 1 - sources / len(at) if at else 0.0, opening / len(at) if at else 0.0
+    return (*parts, round(sum(w * x for w, x in zip(T.CENTRALITY.values(), parts, strict=True)), 4))
 
 
 def kernel(df: DataFrame, function, inputs: list[str], out: str, kind: str, guard=None) -> DataFrame:

@@ -51,6 +51,17 @@ def t_upper(t: float, df: float) -> float:
     return p if t >= 0 else 1 - p
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The t that a variable stays below with probability p >= 0.5, by bisection."""
+    low, high = 0.0, 1.0
+    while t_upper(high, df) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_upper(mid, df) > 1 - p else (low, mid)
+    return (low + high) / 2
+
+
 def f_upper(x: float, d1: float, d2: float) -> float:
     return beta_inc(d2 / 2, d1 / 2, d2 / (d2 + d1 * x)) if x > 0 else 1.0
 

@@ -152,14 +152,107 @@ def fold_attribute(value: Column) -> Column:
     return F.when(low.isin("true", "yes", "1"), "true").when(low.isin("false", "no", "0"), "false").otherwise(low)
 
 
+#: Fixed value: quoted speech, between straight or curly marks.
+QUOTE = r'"[^"]{2,600}"|“[^“”]{2,600}”'
+#: Letters, digits and underscores of any script, as a class of Java and RE2 expressions.
+WORDLY = r"\p{L}\p{N}_"
+BEFORE = 4  #: fixed value: tokens before a match in which a negator counts
+
+
 def fraction_quoted(text: Column) -> Column:
     """Share of characters inside straight or curly quotation marks, 2 to 600 characters long."""
     t = F.coalesce(text, F.lit(""))
-    found = F.regexp_extract_all(t, F.lit('(?s)"[^"]{2,600}"|“[^”]{2,600}”'), F.lit(0))
+    found = F.regexp_extract_all(t, F.lit(QUOTE), F.lit(0))
     inside = F.aggregate(found, F.lit(0), lambda a, x: a + F.length(x))
     return F.when(F.length(t) > 0, inside / F.length(t)).otherwise(F.lit(0.0))
 
 
+SPANS = "array<struct<start:int,end:int>>"
+
+
+def positions(text: Column, pattern: str) -> Column:
+    """start and end (code points from 0, end exclusive) of a pattern's matches: the lengths of matches and of what lies between add up."""
+    t = F.coalesce(text, F.lit(""))
+    lengths = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
+
+    def step(a, x):
+        start = a["at"] + x["gap"]
+        span = F.struct(start.alias("start"), (start + x["size"]).alias("end"))
+        return F.struct((start + x["size"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    found = F.aggregate(F.filter(lengths, lambda x: x["size"] > 0), begin, step, lambda a: a["out"])
+    return F.when(F.regexp_like(t, F.lit(pattern)), found).otherwise(F.array().cast(SPANS))
+
+
+def part(text: Column, start: Column, end: Column) -> Column:
+    """Characters start to end, cut to the text."""
+    low = F.greatest(start, F.lit(0))
+    return F.substring(text, low + 1, F.greatest(end - low, F.lit(0)))
+
+
+def negated(text: Column, start: Column, negators, phrases=()) -> Column:
+    """Whether one of the BEFORE tokens before start is a negator, or they hold a negating phrase.
+
+    The text before is reversed, so that one anchored match takes these tokens, however far back they stand.
+    """
+    token, other = rf"[{WORDLY}']", rf"[^{WORDLY}']"
+    back = F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)), rf"^{other}*((?:{token}+(?:{other}+|$)){{1,{BEFORE}}})", 1)
+    tokens = F.filter(F.split(F.lower(F.reverse(back)), rf"{other}+"), lambda x: x != "")
+    found = F.arrays_overlap(tokens, literal(sorted(negators)))
+    for p in phrases:
+        found = found | F.contains(F.array_join(tokens, " "), F.lit(p))
+    return found
+
+
+def pattern_hit(text: Column, patterns, negators, phrases=()) -> tuple[Column, Column]:
+    """Whether there is a match that is not negated, and one outside quoted speech."""
+    t = F.coalesce(text, F.lit(""))
+    hits = let(F.concat(*(positions(t, f"(?i){p}") for p in patterns)), lambda h: F.filter(h, lambda x: ~negated(t, x["start"], negators, phrases)))
+    outside = let(positions(t, QUOTE), lambda q: F.exists(hits, lambda x: ~inside(x["start"], q)))
+    return F.size(hits) > 0, outside
+
+
+def gated_mentions(text: Column, word: str, context: str, name: str | None = None, around: int = 300, lead: int = 20) -> Column:
+    """Mentions of a word with the context (a pattern) within around characters, without those that end the full name, or
+    have it in the lead characters before them."""
+    t = F.coalesce(text, F.lit(""))
+
+    def counts(m):
+        near = F.regexp_like(part(t, m["start"] - around, m["end"] + around), F.lit(f"(?i){context}"))
+        return near if name is None else near & ~F.contains(F.lower(part(t, m["start"] - lead, m["end"])), F.lit(f"{name} {word}".lower()))
+
+    return F.size(F.filter(positions(t, rf"(?i)\b{re.escape(word)}\b"), counts)).cast("long")
+
+
+#: Fixed values of the centrality score: weights, cues that a mention is a source, and how near they and a sentence's start are.
+CENTRALITY = {"head": 0.25, "lede": 0.15, "density": 0.20, "plain": 0.25, "subject": 0.15}
+SOURCE_BEFORE = r"(?:according to|per|says?|said|told|stated|noted|added|argued|claimed|announced|confirmed)\s*$"
+SOURCE_AFTER = r"^\s*(?:said|says?|told|stated|noted|added|argued|claimed|announced|confirmed|according)"
+NEAR_BEFORE, NEAR_AFTER, NEAR_START, LEDE = 30, 20, 40, 3
+
+
+def centrality(headline: Column, body: Column, pattern: str) -> dict[str, Column]:
+    """How far a text is about a name: head and lede (whether it is there), density (mentions per 100 words, saturating),
+    plain (share of mentions that no verb of speech marks as a source), subject (share near the start of a sentence), n, total."""
+    t, hit = F.coalesce(body, F.lit("")), f"(?i){pattern}"
+    found = positions(t, hit)
+    n = F.size(found).cast("long")
+    head = F.regexp_like(F.coalesce(headline, F.lit("")), F.lit(hit)).cast("double")
+    lede = F.regexp_like(F.array_join(F.slice(sentences(t), 1, LEDE), " "), F.lit(hit)).cast("double")
+    rate = F.lit(100.0) * n / F.greatest(word_count(t), F.lit(1))
+
+    def source(m):
+        return F.regexp_like(part(t, m["start"] - NEAR_BEFORE, m["start"]), F.lit(f"(?i){SOURCE_BEFORE}")) | F.regexp_like(part(t, m["end"], m["end"] + NEAR_AFTER), F.lit(f"(?i){SOURCE_AFTER}"))
+
+    def opens(m):
+        return (m["start"] < NEAR_START) | F.regexp_like(part(t, m["start"] - NEAR_START, m["start"]), F.lit(r"[.!?\n]"))
+
+    share = lambda f: F.when(n > 0, F.size(F.filter(found, f)) / n).otherwise(0.0)
+    out = {"head": head, "lede": lede, "density": rate / (rate + 1), "plain": F.when(n > 0, 1 - share(source)).otherwise(0.0), "subject": share(opens)}
+    return out | {"n": n, "total": F.round(sum((out[k] * w for k, w in CENTRALITY.items()), F.lit(0.0)), 4)}
+
+
 def inside(position: Column, spans: Column) -> Column:
     return F.exists(spans, lambda s: (position >= s["start"]) & (position < s["end"]))
 

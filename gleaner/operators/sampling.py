@@ -22,11 +22,18 @@ def stratified(df: DataFrame, key: str, stratum: str, n: int, seed: int = 42) ->
 
 
 def top_up(df: DataFrame, done: DataFrame, key: str, stratum: str, n: int, seed: int = 42) -> DataFrame:
-    """Those done, and as many others as each stratum needs to have n."""
-    had = df.join(done.select(key).distinct(), key, "left_semi").withColumn("_new", F.lit(0))
-    rest = df.join(done.select(key).distinct(), key, "left_anti").withColumn("_new", F.lit(1))
-    w = Window.partitionBy(stratum).orderBy("_new", draw_order(key, seed), key)
-    return had.unionByName(rest).withColumn("_rn", F.row_number().over(w)).where((F.col("_rn") <= n) | (F.col("_new") == 0)).drop("_rn", "_new")
+    """Those done, and as many others as each stratum needs to have n.
+
+    The others are drawn apart, at most n a stratum, so that Spark prunes each partition to its first rows before they move;
+    the counts of those done are a row a stratum.
+    """
+    ids = done.select(key).distinct()
+    had = df.join(ids, key, "left_semi")
+    counts = had.groupBy(F.col(stratum).alias("_stratum")).agg(F.count("*").alias("_had"))
+    w = Window.partitionBy(stratum).orderBy(draw_order(key, seed), key)
+    fresh = df.join(ids, key, "left_anti").withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n)
+    wanted = fresh.join(counts, F.col(stratum).eqNullSafe(F.col("_stratum")), "left").where(F.col("_rn") + F.coalesce("_had", F.lit(0)) <= n)
+    return had.unionByName(wanted.select(*df.columns))
 
 
 def overlap(df: DataFrame, key: str, coders: list[str], shared: int, own: int, seed: int = 42) -> DataFrame:

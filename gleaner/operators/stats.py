@@ -63,13 +63,15 @@ def tost(n1, m1, v1, n2, m2, v2, bound_sd: float = 0.2, welch: bool = False) ->
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str = "p_bh", by: list[str] | None = None) -> DataFrame:
-    """Adjusted p-values within families; null p-values stay null and do not count."""
-    keys = by or []
-    family = Window.partitionBy(*keys, F.col(p).isNull())
-    order = family.orderBy(F.col(p), *[c for c in df.columns if c not in keys and c != p])
-    ranked = df.withColumn("_rank", F.row_number().over(order)).withColumn("_m", F.count("*").over(family))
-    last = family.orderBy("_rank").rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(last)))).drop("_rank", "_m")
+    """Adjusted p-values within families; null p-values stay null and do not count.
+
+    The rank of a value is the number of values up to it, ties included; the minimum runs from the largest value down.  Both
+    windows grow row by row.
+    """
+    family = Window.partitionBy(*(by or []), F.col(p).isNull())
+    ranked = df.withColumn("_rank", F.count("*").over(family.orderBy(p))).withColumn("_m", F.count("*").over(family))
+    least = F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(family.orderBy(F.col(p).desc()))
+    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), least))).drop("_rank", "_m")
 
 
 # ---- ranks -------------------------------------------------------------------------------------------------------------
@@ -85,8 +87,12 @@ def value_ranks(df: DataFrame, value: str, group: Column, by: list[str] | None =
     dealt = counts.withColumn("_bin", bins).withColumn("_n", F.col("n1") + F.col("n2"))
     below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     shift = dealt.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_s")).withColumn("_below", F.coalesce(F.sum("_s").over(below), F.lit(0))).drop("_s")  # 64 rows a key
+    shift = shift.select("_below", F.col("_bin").alias("_b"), *(F.col(k).alias(f"_s{j}") for j, k in enumerate(keys)))
+    same = F.col("_bin") == F.col("_b")
+    for j, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_s{j}"))
     inner = Window.partitionBy(*keys, "_bin").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = dealt.withColumn("_upto", F.sum("_n").over(inner)).join(shift, [*keys, "_bin"])
+    ranked = dealt.withColumn("_upto", F.sum("_n").over(inner)).join(shift, same).drop("_b", *(f"_s{j}" for j in range(len(keys))))
     return ranked.withColumn("rank", F.col("_below") + F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2).drop("_bin", "_n", "_upto", "_below")
 
 
@@ -101,13 +107,20 @@ def rank_test(df: DataFrame, value: str, group: Column, by: list[str] | None = N
     return s.withColumns({"u": u, "z": F.try_divide(F.greatest(F.abs(u - n * m / 2) - 0.5, F.lit(0.0)) * F.signum(u - n * m / 2), sd), "delta": F.try_divide(2 * u, n * m) - 1, "auc": F.try_divide(u, n * m)}).drop("r1", "ties")
 
 
+def average_rank(df: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
+    """df with the mid-rank of value within keys by (null without a value): ranks of distinct values, joined back."""
+    ranks = value_ranks(df.where(F.col(value).isNotNull()), value, F.lit(True), by).select(*(F.col(k).alias(f"_k{j}") for j, k in enumerate(by)), F.col("value").alias("_v"), F.col("rank").alias(out))
+    same = F.col(value) == F.col("_v")
+    for j, k in enumerate(by):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{j}"))
+    return df.join(ranks, same, "left").drop("_v", *(f"_k{j}" for j in range(len(by))))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Correlation of average ranks, within keys by."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    for c in (x, y):
-        w = Window.partitionBy(*by)
-        both = both.withColumn(f"_{c}", F.rank().over(w.orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2)
-    return both.groupBy(*by).agg(F.corr(f"_{x}", f"_{y}").alias("rho"), F.count("*").alias("n"))
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y)
+    ranked = average_rank(average_rank(both, x, "_x", by), y, "_y", by)
+    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 # ---- contingency tables -------------------------------------------------------------------------------------------------
@@ -175,6 +188,92 @@ def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: str, reps:
     return q.select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
+def weights_of(keys: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) weights by row (a hash of its key) and replicate: the same wherever the row is."""
+    with np.errstate(over="ignore"):
+        x = keys.view("u8")[:, None] + np.arange(1, reps + 1, dtype="u8")[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype("f8")
+
+
+def bootstrap_contrast(df: DataFrame, value: str, group: Column, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """statistic, estimate, low, high: percentile intervals of both means, their difference and Cohen's d.
+
+    Rows get Poisson(1) weights by a hash of their key; every task sums weighted moments for all replicates at once and
+    hands on two rows a replicate, whatever its input.
+    """
+
+    def run(batches):
+        sums = np.zeros((2, reps, 3))
+        for b in batches:
+            keys, first, v = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "first", "value"))
+            for j in range(0, len(v), 1024):
+                w, x, g = weights_of(keys[j : j + 1024], reps), v[j : j + 1024], first[j : j + 1024].astype(bool)
+                for side in (0, 1):
+                    at = g == (side == 0)
+                    sums[side] += w[at].T @ np.stack([np.ones(at.sum()), x[at], x[at] ** 2], 1)
+        import pyarrow as pa
+
+        columns = [np.repeat([1, 2], reps), np.tile(np.arange(reps), 2), *sums.reshape(-1, 3).T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["side", "rep", "w", "s", "q"])
+
+    rows = df.where(F.col(value).isNotNull() & group.isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("key"), group.cast("int").alias("first"), F.col(value).cast("double").alias("value"))
+    parts = rows.mapInArrow(run, "side long, rep long, w double, s double, q double").groupBy("rep")
+    m = parts.agg(*(F.sum(F.when(F.col("side") == k, F.col(c))).alias(f"{n}{k}") for k in (1, 2) for n, c in (("n", "w"), ("s", "s"), ("q", "q"))))
+    moments = m.select(*(e for k in "12" for e in (F.col(f"n{k}"), F.expr(f"try_divide(s{k}, n{k})").alias(f"mean{k}"), F.expr(f"try_divide(q{k} - try_divide(s{k} * s{k}, n{k}), n{k} - 1)").alias(f"var{k}"))))
+    names = {"mean1": "mean_1", "mean2": "mean_2", "difference": "difference", "d": "d"}
+    q = finish_contrast(moments).agg(*(F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q_{c}") for c in names))
+    both = q.crossJoin(contrast(df, [], value, group))  # two single rows
+    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).alias("estimate"), F.col(f"q_{c}")[0].alias("low"), F.col(f"q_{c}")[1].alias("high")) for c, n in names.items()))).alias("r")).select("r.*")
+
+
+def kappa_of(table: np.ndarray) -> np.ndarray:
+    """Cohen's kappa of tables (..., a, b) of counts; nan where chance alone explains all."""
+    n = table.sum((-2, -1))
+    with np.errstate(all="ignore"):
+        agree = np.trace(table, axis1=-2, axis2=-1) / n
+        chance = (table.sum(-1) * table.sum(-2)).sum(-1) / n**2
+        return np.where(chance < 1, (agree - chance) / (1 - chance), np.nan)
+
+
+def kappa_ci(df: DataFrame, a: str, b: str, labels: list, reps: int = 2000, seed: int = 42) -> dict:
+    """n, kappa and its bootstrap interval over pairs of the given labels: resampled pairs are a multinomial draw of the table
+    of counts, so only that table (labels by labels) reaches the driver."""
+    counts = df.where(F.col(a).isin(labels) & F.col(b).isin(labels)).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).collect()
+    table = np.zeros((len(labels), len(labels)), "i8")
+    for r in counts:
+        table[labels.index(r.x), labels.index(r.y)] = r.n
+    n = int(table.sum())
+    if n < 5:  # fixed value: below, there is no interval
+        return {"n": n, "kappa": float(kappa_of(table.astype("f8"))) if n else math.nan, "low": math.nan, "high": math.nan}
+    drawn = kappa_of(np.random.default_rng(seed).multinomial(n, table.ravel() / n, reps).reshape(-1, *table.shape).astype("f8"))
+    drawn = drawn[~np.isnan(drawn)]
+    low, high = np.percentile(drawn, [2.5, 97.5]) if len(drawn) else (math.nan, math.nan)
+    return {"n": n, "kappa": float(kappa_of(table.astype("f8"))), "low": float(low), "high": float(high)}
+
+
+def proportion_ci(k: int, n: int, reps: int = 2000, seed: int = 42) -> tuple[float, float]:
+    """Bootstrap interval of a proportion by order statistics: a resample of 0/1 values is a binomial draw; none for n < 2."""
+    if n < 2:
+        return math.nan, math.nan
+    drawn = np.sort(np.random.default_rng(seed).binomial(n, k / n, reps) / n)
+    return float(drawn[round(0.025 * (reps - 1))]), float(drawn[round(0.975 * (reps - 1))])
+
+
+def agreement(pairs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of coder pairs with <field>_a and <field>_b: agreement by coder pair and field (n, n_equal, share), and the rows that
+    differ (packet, coders, field, both values).  Pairs with a blank label do not count."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(f"{f}_a").alias("value_a"), F.trim(f"{f}_b").alias("value_b")) for f in fields))
+    long = pairs.select("packet", "coder_a", "coder_b", F.explode(each).alias("x")).select("packet", "coder_a", "coder_b", "x.*").where("value_a <> '' and value_b <> ''")
+    table = long.groupBy("coder_a", "coder_b", "field").agg(F.count("*").alias("n"), F.count_if(F.col("value_a") == F.col("value_b")).alias("n_equal")).withColumn("share", F.col("n_equal") / F.col("n"))
+    return table, long.where("value_a <> value_b")
+
+
 def cluster_bootstrap(df: DataFrame, cluster: str, value: str, group: Column, reps: int = 2000, seed: int = 42) -> dict:
     """Difference of group means over resampled clusters; only each cluster's counts and sums reach the driver."""
     v = F.col(value).cast("double")
@@ -261,25 +360,49 @@ def segmented(design: list, lag: int | None = 3, least: int = 6) -> dict:
         meat += (1 - k / (lag + 1)) * (g + g.T)
     cov = inverse @ meat @ inverse
     h = min(12, post - 1)
-    contrast = np.array([0, 0, 1, h])
-    out = {"status": "ok", "n_pre": pre, "n_post": post, "lag": lag, "horizon": h, "effect_at_horizon": float(contrast @ beta), "se_at_horizon": float(math.sqrt(max(contrast @ cov @ contrast, 0))), "durbin_watson": float((np.diff(e) ** 2).sum() / (e**2).sum()) if (e**2).sum() else math.nan}
-    for k, name in enumerate(("const", "time", "post", "time_after")):
-        se = math.sqrt(max(cov[k, k], 0))
-        out |= {name: float(beta[k]), f"se_{name}": se, f"p_{name}": float(tails.t_two_sided(float(beta[k]) / se, n - 4)) if se else math.nan}
+    resid = y - x @ beta
+    out = {"status": "ok", "n_pre": pre, "n_post": post, "lag": lag, "durbin_watson": durbin_watson(resid)}
+    return out | inference(beta, cov, n - 4, h)
+
+
+def durbin_watson(e: np.ndarray) -> float:
+    return float((np.diff(e) ** 2).sum() / (e**2).sum()) if (e**2).sum() else math.nan
+
+
+def inference(beta: np.ndarray, cov: np.ndarray, df: int, horizon: int) -> dict:
+    """Estimate, standard error, p and 95 % interval of every coefficient, and of the effect at the horizon."""
+    out, q = {"horizon": horizon}, tails.t_quantile(0.975, df)
+    for name, at in (("const", [1, 0, 0, 0]), ("time", [0, 1, 0, 0]), ("post", [0, 0, 1, 0]), ("time_after", [0, 0, 0, 1]), ("at_horizon", [0, 0, 1, horizon])):
+        c = np.array(at, "f8")
+        b, se = float(c @ beta), math.sqrt(max(c @ cov @ c, 0))
+        out |= {"effect_at_horizon" if name == "at_horizon" else name: b, f"se_{name}": se, f"p_{name}": float(tails.t_two_sided(b / se, df)) if se else math.nan, f"low_{name}": b - q * se, f"high_{name}": b + q * se}
     return out
 
 
-def glsar(design: list, most: int = 50) -> dict:
-    """The same model with AR(1) errors, iterated until rho settles."""
+def glsar(design: list, most: int = 50, tolerance: float = 1e-4, least: int = 6) -> dict:
+    """The unweighted model with AR(1) errors: rho by Yule-Walker (adjusted for lost pairs) from the residuals, until no
+    coefficient moves by more than the tolerance; inference on the whitened model."""
     rows = sorted(design, key=lambda r: r.month)
-    x, y = np.array([[1, r.time, r.post, r.time_after] for r in rows], "f8"), np.array([r.mean for r in rows])
-    rho, turns = 0.0, 0
-    for turns in range(1, most + 1):
+    pre, post = sum(r.post == 0 for r in rows), sum(r.post == 1 for r in rows)
+    if pre < least or post < least:
+        return {"status": "insufficient_pre_post_months", "n_pre": pre, "n_post": post}
+    x, y = np.array([[1, r.time, r.post, r.time_after] for r in rows], "f8"), np.array([r.mean for r in rows], "f8")
+    n, rho, last, turn = len(y), 0.0, None, 0
+
+    def fitted():
         xs, ys = x[1:] - rho * x[:-1], y[1:] - rho * y[:-1]
-        beta = np.linalg.lstsq(xs, ys, rcond=None)[0]
-        e = y - x @ beta
-        new = float(e[1:] @ e[:-1] / (e[:-1] @ e[:-1])) if (e[:-1] @ e[:-1]) else 0.0
-        if abs(new - rho) < 1e-8:
+        return xs, ys, np.linalg.lstsq(xs, ys, rcond=None)[0]
+
+    for turn in range(1, most):
+        beta = fitted()[2]
+        if last is not None and np.max(np.abs(last - beta) / np.abs(last)) < tolerance:
             break
-        rho = new
-    return {"rho": rho, "iterations": turns, "const": float(beta[0]), "time": float(beta[1]), "post": float(beta[2]), "time_after": float(beta[3])}
+        last = beta
+        e = y - x @ beta
+        e = e - e.mean()
+        spread = (e @ e) / n
+        rho = float((e[:-1] @ e[1:]) / (n - 1) / spread) if spread else 0.0
+    xs, ys, beta = fitted()
+    e = ys - xs @ beta
+    cov = np.linalg.pinv(xs.T @ xs) * (e @ e) / (n - 1 - 4)
+    return {"status": "ok", "n_pre": pre, "n_post": post, "rho": rho, "iterations": turn, "durbin_watson": durbin_watson(e)} | inference(beta, cov, n - 1 - 4, min(12, post - 1))

@@ -9,7 +9,7 @@ from ..functions import scalars, text
 from ..operators import stats as A
 from ..sources import files
 from .registry import query
-from .text_queries import WORDS, count_of
+from .text_queries import WORDS, count_of, hit_sql, placed
 
 LABELLED = "documents left join labels using (doc_id)"
 
@@ -48,12 +48,10 @@ def _(t):
     return t.documents.select("doc_id", N.cooccurrence(F.col("text"), r"\bthat\b", r"\b(?:the|and)\b").alias("n"))
 
 
-@query("txt07_txt15_quoted_themes")
+@query("txt07_txt15_quoted_themes", hit_sql(f"select * from {placed('licensed? under')} union all select * from {placed('public', True)}", ("no", "not")))
 def _(t):
-    from ..functions import kernels
-
-    hit = lambda x: kernels.pattern_hit(x, (r"licensed? under", r"\bpublic\b"), frozenset(("not", "no")))
-    return kernels.kernel(t.documents.select("doc_id", "text"), hit, ["text"], "h", "struct<found:boolean,outside:boolean>", F.lower("text").contains("under") | F.lower("text").contains("public")).select("doc_id", "h.*")
+    found, outside = text.pattern_hit(F.col("text"), (r"licensed? under", r"\bpublic\b"), ("no", "not"))
+    return t.documents.select("doc_id", found.alias("found"), outside.alias("outside"))
 
 
 @query("txt28_txt32_normalised_terms", "select item_id, contains(lower(text), 'ing') or contains(lower(text), 'ent') as any_term from benchmark")

@@ -55,6 +55,8 @@ ROUNDED = {
     "sta36_sta38_wilson": "high low",
     "sta37_threshold_recall": "precision recall",
     "top01_exemplars": "o_totalprice",
+    "sta39_agreement": "share",
+    "txt34_centrality": "density plain subject total",
     "txt09_fraction_quoted": "share",
     "txt16_frame_fraction": "frame_legal frame_narrative frame_technical",
     "txt24_overlap": "score",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars, tails
+from ..operators import relational as R
 from ..operators import stats as A
 from .registry import query
 from .table_queries import MONTH, REGION_ORDERS, region_orders
@@ -194,14 +195,49 @@ def _(t):
     return t.spark.createDataFrame(rows, "welch boolean, difference double, bound double, p double, equivalent boolean")
 
 
-@query("sta05_sta32_bootstrap_ci")
+@query("sta05_bootstrap_contrast")
 def _(t):
-    return A.bootstrap_ci(scored(t), ["quality"], "chars", "doc_id", 500)
+    return A.bootstrap_contrast(scored(t), "chars", good(), "doc_id", 10_000)
 
 
-@query("sta05_poisson_bootstrap")
+@query("sta05_bootstrap_by_group")
 def _(t):
-    return A.poisson_bootstrap(scored(t), ["quality"], "chars", "doc_id", 100)
+    return A.poisson_bootstrap(scored(t), ["source"], "chars", "doc_id", 1000)
+
+
+@query("sta32_kappa_interval")
+def _(t):
+    o = t.orders.select(F.col("o_orderstatus").alias("a"), F.when(F.col("o_orderkey") % 4 == 0, "F").otherwise(F.col("o_orderstatus")).alias("b"))
+    return t.spark.createDataFrame([tuple(A.kappa_ci(o, "a", "b", ["F", "O", "P"]).values())], "n long, kappa double, low double, high double")
+
+
+@query("sta33_proportion_interval")
+def _(t):
+    rows = t.documents.join(t.labels, "doc_id").groupBy("lang").agg(F.count_if(good()).alias("k"), F.count("*").alias("n")).collect()  # a row a language
+    return t.spark.createDataFrame([(r.lang, r.k / r.n, *A.proportion_ci(r.k, r.n)) for r in rows], "lang string, share double, low double, high double")
+
+
+PAIRED = "(select a.o_orderkey as packet, a.o_orderpriority as p_a, case when a.o_orderkey % 7 = 0 then '' when a.o_orderkey % 3 = 0 then '1-URGENT' else a.o_orderpriority end as p_b, a.o_orderstatus as s_a, case when a.o_orderkey % 5 = 0 then ' P ' else a.o_orderstatus end as s_b from orders a)"
+LONG_PAIRS = f"(select packet, 'p' as field, trim(p_a) as value_a, trim(p_b) as value_b from {PAIRED} union all select packet, 's', trim(s_a), trim(s_b) from {PAIRED})"
+
+
+def paired(t):
+    """Two coders' labels of the same packets: the second leaves some blank, and differs in some."""
+    k = F.col("o_orderkey")
+    one = t.orders.select(k.alias("packet"), F.lit("ann").alias("coder"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    two = t.orders.select(k.alias("packet"), F.lit("ben").alias("coder"), F.when(k % 7 == 0, "").when(k % 3 == 0, "1-URGENT").otherwise(F.col("o_orderpriority")).alias("p"), F.when(k % 5 == 0, " P ").otherwise(F.col("o_orderstatus")).alias("s"))
+    pairs = R.coder_pairs(one.unionByName(two).withColumn("x", F.struct("p", "s")), "packet", "coder", "x")
+    return pairs.select("packet", "coder_a", "coder_b", *(F.col(f"label_{k}.{f}").alias(f"{f}_{k}") for f in "ps" for k in "ab"))
+
+
+@query("sta39_agreement", f"select 'ann' as coder_a, 'ben' as coder_b, field, count(*) as n, count_if(value_a = value_b) as n_equal, count_if(value_a = value_b) / count(*) as share from {LONG_PAIRS} where value_a <> '' and value_b <> '' group by field", longs="n_equal")
+def _(t):
+    return A.agreement(paired(t), ["p", "s"])[0]
+
+
+@query("sta39_disagreements", f"select packet, 'ann' as coder_a, 'ben' as coder_b, field, value_a, value_b from {LONG_PAIRS} where value_a <> '' and value_b <> '' and value_a <> value_b")
+def _(t):
+    return A.agreement(paired(t), ["p", "s"])[1]
 
 
 @query("sta06_cluster_bootstrap")
@@ -231,13 +267,14 @@ def _(t):
 @query("sta17_sta18_sta20_its_hac")
 def _(t):
     rows = designed(t).collect()  # a row a month
-    out = [{"lag_rule": str(lag), **{k: v for k, v in A.segmented(rows, lag).items() if isinstance(v, float)}} for lag in (3, None)]
-    return t.spark.createDataFrame([tuple(r.values()) for r in out], ["lag_rule", *list(out[0])[1:]])
+    out = [{"lag_rule": str(lag or "automatic"), **{k: v for k, v in A.segmented(rows, lag).items() if k not in ("status", "n_pre", "n_post")}} for lag in (3, 6, None)]
+    return t.spark.createDataFrame([tuple(r.values()) for r in out], list(out[0]))
 
 
 @query("sta19_glsar")
 def _(t):
-    return t.spark.createDataFrame([A.glsar(designed(t).collect())])
+    fit = A.glsar(designed(t).collect())  # a row a month
+    return t.spark.createDataFrame([tuple(fit.values())], list(fit))
 
 
 @query("sta20_durbin_watson", f"with d as (select month, mean - avg(mean) over () as e from {DESIGN}), l as (select e, e - lag(e) over (order by month) as step from d) select round(sum(step * step) / sum(e * e), 8) as dw from l")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
@@ -228,8 +227,7 @@ def _(t):
 
 @query("win05_average_rank", "select event_id, rank() over (partition by event_type order by value) + (count(*) over (partition by event_type, value) - 1) / 2 as rank from events")
 def _(t):
-    r = F.rank().over(Window.partitionBy("event_type").orderBy("value")) + (F.count("*").over(Window.partitionBy("event_type", "value")) - 1) / 2
-    return t.events.select("event_id", r.alias("rank"))
+    return A.average_rank(t.events.select("event_id", "event_type", "value"), "value", "rank", ["event_type"]).select("event_id", "rank")
 
 
 @query("top01_exemplars", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 20")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
-from ..functions import kernels, scalars, text
+from ..functions import scalars, text
 from ..operators import relational as R
 from ..operators import scoring as S
 from ..sources import files
@@ -142,7 +142,7 @@ def _(t):
     return frames(t).select("doc_id", text.argmax([f"frame_{n}" for n, _ in C.frames]).alias("dominant"))
 
 
-@query("txt09_fraction_quoted", r"""select doc_id, case when length(text) > 0 then coalesce(list_sum(list_transform(regexp_extract_all(text, '(?s)"[^"]{2,600}"|“[^”]{2,600}”'), lambda x: length(x))), 0) / length(text) else 0 end as share from documents""")
+@query("txt09_fraction_quoted", r"""select doc_id, case when length(text) > 0 then coalesce(list_sum(list_transform(regexp_extract_all(text, '"[^"]{2,600}"|“[^“”]{2,600}”'), lambda x: length(x))), 0) / length(text) else 0 end as share from documents""")
 def _(t):
     return t.documents.select("doc_id", text.fraction_quoted(F.col("text")).alias("share"))
 
@@ -204,22 +204,65 @@ def _(t):
     return t.documents.agg(F.count_if(F.lower("text").contains("license")).alias("licensed"), F.count_if(F.regexp_like("text", F.lit(r"\bAND\b"))).alias("shouted"), F.count_if(F.col("text").contains("|")).alias("tabular"), F.count_if(F.lower("text").contains("token =")).alias("secret"))
 
 
-@query("txt06_negation_quotes")
+WORDLY = r"[\p{L}\p{N}_]"
+
+
+def placed(pattern: str, word: bool = False, source: str = "select doc_id, text as t from documents") -> str:
+    """SQL: doc_id, t, s and e (offsets from 0) of a pattern's matches; word: only where no other letter or digit touches."""
+    lists = f"select doc_id, t, string_split_regex(t, '(?i){pattern}') as q, regexp_extract_all(t, '(?i){pattern}') as m from ({source})"
+    each = f"select doc_id, t, cast(coalesce(list_sum(list_transform(q[1:k], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) as bigint) as s, length(m[k]) as n from (select *, unnest(range(1, len(m) + 1)) as k from ({lists}))"
+    alone = f" where (s = 0 or not regexp_matches(substr(t, s, 1), '{WORDLY}')) and not regexp_matches(substr(t, s + n + 1, 1), '{WORDLY}')" if word else ""
+    return f"(select doc_id, t, s, s + n as e from ({each}){alone})"
+
+
+def hit_sql(matches: str, negators, phrases=()) -> str:
+    """SQL: found and outside of every document, from placed() matches."""
+    tokens = f"regexp_extract_all(lower(substr(t, 1, s)), '[\\p{{L}}\\p{{N}}_'']+')[-{text.BEFORE}:]"
+    told = " or ".join([f"list_has_any(w, [{', '.join(repr(n) for n in negators)}])", *(f"contains(array_to_string(w, ' '), '{p}')" for p in phrases)])
+    quotes = placed(text.QUOTE).replace("(?i)", "")
+    plain = f"select * from (select doc_id, s, {tokens} as w from ({matches})) where not ({told})"
+    outside = f"select distinct p.doc_id from ({plain}) p where not exists (select 1 from {quotes} q where q.doc_id = p.doc_id and q.s <= p.s and p.s < q.e)"
+    return f"select doc_id, doc_id in (select doc_id from ({plain})) as found, doc_id in ({outside}) as outside from documents"
+
+
+@query("txt06_negation_quotes", hit_sql(f"select * from {placed('that', True)} union all select * from {placed('was', True)}", C.negators, C.negating_phrases))
 def _(t):
-    patterns, negators, phrases = (r"\bthat\b", r"\bwas\b"), frozenset(C.negators), C.negating_phrases
-    guard = F.lower("text").contains("that") | F.lower("text").contains("was")
-    return kernels.kernel(t.documents.select("doc_id", "text"), lambda x: kernels.pattern_hit(x, patterns, negators, phrases), ["text"], "hit", "struct<found:boolean,outside:boolean>", guard).select("doc_id", "hit.found", "hit.outside")
+    found, outside = text.pattern_hit(F.col("text"), (r"\bthat\b", r"\bwas\b"), C.negators, C.negating_phrases)
+    return t.documents.select("doc_id", found.alias("found"), outside.alias("outside"))
 
 
-@query("txt11_gated_mentions")
+@query("txt08_hits_inside_quotes", f"select d.doc_id, count(distinct m.s) as n, count(distinct case when m.s >= q.s and m.s < q.e then m.s end) as n_quoted from documents d left join {placed('the', True)} m on d.doc_id = m.doc_id left join {placed(text.QUOTE).replace('(?i)', '')} q on d.doc_id = q.doc_id group by d.doc_id")
 def _(t):
-    return kernels.kernel(t.documents.select("doc_id", "text"), lambda x: kernels.gated_mentions(x, "the", r"\blicen[cs]e|\btoken\b"), ["text"], "n", "long", F.lower("text").contains("licen") | F.lower("text").contains("token")).select("doc_id", "n")
+    both = text.let(F.struct(text.positions(F.col("text"), r"(?i)\bthe\b").alias("m"), text.positions(F.col("text"), text.QUOTE).alias("q")), lambda b: F.struct(F.size(b["m"]).cast("long").alias("n"), F.size(F.filter(b["m"], lambda x: text.inside(x["start"], b["q"]))).cast("long").alias("n_quoted")))
+    return t.documents.select("doc_id", both.alias("b")).select("doc_id", "b.*")
+
+
+CONTEXT = r"\blicen[cs]e|\btoken\b|\bpublic\b"
+CONTEXT_SQL = r"(^|[^\p{L}\p{N}_])(licen[cs]e|(token|public)([^\p{L}\p{N}_]|$))"
+
+
+def gated_sql(source: str, around: int) -> str:
+    m = placed("the", True, source)
+    return f"select doc_id, count(*) as n from {m} where regexp_matches(lower(substr(t, greatest(s - {around}, 0) + 1, e + {around} - greatest(s - {around}, 0))), '{CONTEXT_SQL}') and not contains(lower(substr(t, greatest(s - 20, 0) + 1, e - greatest(s - 20, 0))), 'of the') group by doc_id"
+
+
+@query("txt11_gated_mentions", f"select doc_id, coalesce(b.n, 0) as body_n, coalesce(h.n, 0) as headline_n from documents left join ({gated_sql('select doc_id, text as t from documents', 300)}) b using (doc_id) left join ({gated_sql('select doc_id, split_part(text, chr(10), 1) as t from documents', 100)}) h using (doc_id)")
+def _(t):
+    return articles(t).select("doc_id", *(text.gated_mentions(F.col(c), "the", CONTEXT, "of", around).alias(n) for c, n, around in (("text", "body_n", 300), ("headline", "headline_n", 100))))
+
+
+def centrality_sql() -> str:
+    m = placed("that", True)
+    flags = f"select doc_id, count(*) as n, count_if(regexp_matches(substr(t, greatest(s - 30, 0) + 1, least(s, 30)), '(?i){text.SOURCE_BEFORE}') or regexp_matches(substr(t, e + 1, 20), '(?i){text.SOURCE_AFTER}')) as told, count_if(s < 40 or regexp_matches(substr(t, s - 39, 40), '[.!?\\n]')) as opening from {m} group by doc_id"
+    sentences = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"""
+    has = "cast(list_contains(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}_]+'), 'that') as double)"
+    parts = f"select doc_id, coalesce(n, 0) as n, {has.format('split_part(text, chr(10), 1)')} as head, {has.format(f'array_to_string({sentences}[1:3], chr(32))')} as lede, 100.0::double * coalesce(n, 0) / greatest(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')), 1) as x, coalesce(1 - told / n, 0) as plain, coalesce(opening / n, 0) as subject from documents left join ({flags}) using (doc_id)"
+    return f"select doc_id, n, head, lede, x / (x + 1) as density, plain, subject, round(0.25 * head + 0.15 * lede + 0.20 * x / (x + 1) + 0.25 * plain + 0.15 * subject, 4) as total from ({parts})"
 
 
-@query("txt34_centrality")
+@query("txt34_centrality", centrality_sql(), doubles="total density plain subject")
 def _(t):
-    kind = "struct<head:double,lede:double,density:double,plain:double,subject:double,total:double>"
-    return kernels.kernel(articles(t), lambda h, b: kernels.centrality(h, b, r"\bthat\b"), ["headline", "text"], "c", kind).select("doc_id", "c.*")
+    return articles(t).select("doc_id", *(c.alias(k) for k, c in text.centrality(F.col("headline"), F.col("text"), r"\bthat\b").items()))
 
 
 BODY = {e.name: f"({count_of(*e.variants)} + 3 * ({count_of(*e.variants, words=HEAD)}))" for e in C.entities}

@@ -104,3 +104,93 @@ def test_bootstraps(spark):
 def test_tost():
     r = A.tost(1000, 0.0, 1.0, 1000, 0.01, 1.0)
     assert r["equivalent"] and not A.tost(20, 0.0, 1.0, 20, 1.0, 1.0, welch=True)["equivalent"]
+
+
+def test_t_quantile():
+    from gleaner.functions import tails
+
+    assert tails.t_quantile(0.975, 10) == pytest.approx(2.2281388519649, rel=1e-9)
+    assert tails.t_quantile(0.975, 1e6) == pytest.approx(1.95996, abs=1e-4)
+
+
+def test_weights_do_not_depend_on_place_and_have_mean_and_variance_one():
+    import numpy as np
+
+    keys = np.arange(5000, dtype="i8") * 7919
+    w = A.weights_of(keys, 200)
+    assert (w[100:103] == A.weights_of(keys[100:103], 200)).all()
+    assert w.mean() == pytest.approx(1, abs=0.01) and w.var() == pytest.approx(1, abs=0.02)
+
+
+def test_bootstrap_contrast_against_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(k, float(x), bool(g)) for k, (x, g) in enumerate(zip(rng.normal(0, 1, 600) + np.repeat([0.5, 0.0], 300), np.repeat([True, False], 300), strict=True))]
+    df = spark.createDataFrame([*rows, (9999, None, True), (9998, 1.0, None)], "k long, v double, g boolean")
+    got = {r.statistic: r for r in A.bootstrap_contrast(df, "v", F.col("g"), "k", 800).collect()}
+    again = {r.statistic: r for r in A.bootstrap_contrast(df.repartition(5), "v", F.col("g"), "k", 800).collect()}
+    x, y = (np.array([v for _, v, g in rows if g == side]) for side in (True, False))
+    draws = [(a := rng.choice(x, 300)).mean() - (b := rng.choice(y, 300)).mean() for _ in range(800)]
+    assert got["difference"].estimate == pytest.approx(x.mean() - y.mean())
+    for r, k in ((got["difference"].low, 2.5), (got["difference"].high, 97.5)):
+        assert r == pytest.approx(np.percentile(draws, k), abs=0.05)
+    assert got["d"].low < got["d"].estimate < got["d"].high
+    assert all(got[s].low == pytest.approx(again[s].low) for s in got)
+
+
+def test_kappa_and_proportion_intervals(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    a = rng.choice(["x", "y", "z"], 400)
+    b = np.where(rng.random(400) < 0.7, a, rng.choice(["x", "y", "z"], 400))
+    df = spark.createDataFrame([*zip(a.tolist(), b.tolist(), strict=True), ("other", "x"), (None, "x")], "a string, b string")
+    got = A.kappa_ci(df, "a", "b", ["x", "y", "z"], 1000)
+
+    def kappa(p, q):
+        agree = (p == q).mean()
+        chance = sum((p == k).mean() * (q == k).mean() for k in "xyz")
+        return (agree - chance) / (1 - chance)
+
+    draws = [kappa(a[i], b[i]) for i in rng.integers(0, 400, (1000, 400))]
+    assert got["n"] == 400 and got["kappa"] == pytest.approx(kappa(a, b))
+    assert got["low"] == pytest.approx(np.percentile(draws, 2.5), abs=0.02) and got["high"] == pytest.approx(np.percentile(draws, 97.5), abs=0.02)
+    assert math.isnan(A.kappa_ci(df.limit(3), "a", "b", ["x", "y", "z"])["low"])
+    low, high = A.proportion_ci(30, 100, 4000)
+    assert low == pytest.approx(0.21, abs=0.02) and high == pytest.approx(0.39, abs=0.02)
+    assert math.isnan(A.proportion_ci(1, 1)[0])
+
+
+def test_glsar_finds_rho_and_its_inference_matches_the_normal_equations(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import Row
+
+    rng, e, rows = random.Random(4), 0.0, []
+    for k in range(400):
+        e = 0.6 * e + rng.gauss(0, 1)
+        post = int(k >= 200)
+        rows.append(Row(month=dt.date(1900, 1, 1) + dt.timedelta(31 * k), mean=5 + 0.01 * k + 2 * post + 0.02 * post * (k - 200) + e, n=1, time=k, post=post, time_after=post * (k - 200)))
+    r = A.glsar(rows)
+    assert r["rho"] == pytest.approx(0.6, abs=0.1) and r["durbin_watson"] == pytest.approx(2, abs=0.2) and r["horizon"] == 12
+    assert r["effect_at_horizon"] == pytest.approx(r["post"] + 12 * r["time_after"])
+    assert r["low_post"] < r["post"] < r["high_post"] and 0 <= r["p_post"] <= 1
+    assert A.glsar(rows[:203])["status"] == "insufficient_pre_post_months"
+
+
+def test_ranks_and_adjusted_p_values_against_rows(spark):
+    rows = [(g, v, p) for g, v, p in [("a", 1.0, 0.01), ("a", 2.0, 0.02), ("a", 2.0, 0.02), ("a", None, None), (None, 3.0, 0.5), (None, 1.0, 0.04), ("a", 5.0, 0.9)]]
+    df = spark.createDataFrame(rows, "g string, v double, p double")
+    got = {(r.g, r.v): r.k for r in A.average_rank(df, "v", "k", ["g"]).collect()}
+    assert got == {("a", 1.0): 1, ("a", 2.0): 2.5, ("a", None): None, ("a", 5.0): 4, (None, 1.0): 1, (None, 3.0): 2}
+    adjusted = sorted((r.p, r.p_bh) for r in A.benjamini_hochberg(df.where("g = 'a'"), "p").where("p is not null").collect())
+    assert [b for _, b in adjusted] == pytest.approx([0.02 * 4 / 3, 0.02 * 4 / 3, 0.02 * 4 / 3, 0.9])
+
+
+def test_agreement_leaves_blanks_out(spark):
+    pairs = spark.createDataFrame([(1, "a", "b", "x", "x"), (2, "a", "b", "x", " y "), (3, "a", "b", "", "y"), (4, "a", "b", None, "y")], "packet int, coder_a string, coder_b string, f_a string, f_b string")
+    table, differ = A.agreement(pairs, ["f"])
+    assert [tuple(r) for r in table.collect()] == [("a", "b", "f", 2, 1, 0.5)]
+    assert [(r.packet, r.value_a, r.value_b) for r in differ.collect()] == [(2, "x", "y")]
