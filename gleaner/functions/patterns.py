@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import text
 
 PLACEHOLDER = "_P"
+#: How notes say that a text is of little relevance, or about somebody else.
+NOT_RELEVANT = r"low\s*\w*\s*relevan|non-?prosecutor|not\s+(?:about|mainly|only|primarily)|mainly\s+about|wrong\s+(?:da|prosecutor|target)|refers?\s+to\s+another"
 
 
 def expand(templates, variants) -> list[str]:

@@ -95,3 +95,19 @@ def category_counts(df: DataFrame, by: list[str], col: str, allowed: list[str])
 def project(df: DataFrame, schema: T.StructType) -> DataFrame:
     """The schema's columns, cast; those that df lacks are null."""
     return df.select(*((F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+
+
+def validated(df: DataFrame, allowed: dict[str, list[str]], fold=lambda c: c) -> tuple[DataFrame, DataFrame]:
+    """df with values outside of each column's allowed set (after fold) blank, and column, value, n of what was rejected."""
+    folded = df.withColumns({c: F.coalesce(fold(F.col(c)), F.lit("")) for c in allowed})
+    each = F.array(*(F.struct(F.lit(c).alias("column"), F.when((F.col(c) != "") & ~F.col(c).isin(values), F.col(c)).alias("value")) for c, values in allowed.items()))
+    rejected = folded.select(F.explode(each).alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
+    return folded.withColumns({c: F.when(F.col(c).isin(values), F.col(c)).otherwise("") for c, values in allowed.items()}), rejected
+
+
+def labelled(packets: DataFrame, keys: DataFrame, corpus: DataFrame, packet: str, article: str, label: str) -> DataFrame:
+    """packets with a label: the key file's, else the corpus's by article; null if neither has one."""
+    by_packet = keys.select(packet, F.col(label).alias("_key")).dropDuplicates([packet])
+    by_article = corpus.select(article, F.col(label).alias("_corpus")).dropDuplicates([article])
+    out = packets.join(by_packet, packet, "left").join(by_article, article, "left")
+    return out.withColumn(label, F.coalesce(F.when(F.trim("_key") != "", F.col("_key")), "_corpus")).drop("_key", "_corpus")

@@ -79,6 +79,46 @@ def indicator_score(anti: Column, pro: Column, most: int = 5) -> Column:
     return F.when(a > p, -a).when(p > a, p).otherwise(F.lit(0.0))
 
 
+#: Attribute that says which way loaded wording leans: its values, and what a missing or unknown one counts as.
+VALENCES, DEFAULT_VALENCE = ("favorable", "unfavorable"), "unfavorable"
+#: Counts of an article's extractions by class and folded attributes.
+INDICATORS = {
+    "n_total": "class is not null",
+    "n_claims": "class = 'claim'",
+    "n_claims_severe": "class = 'claim' and evidence in ('none', 'anonymous_source')",
+    "n_blame": "class = 'claim' and blame = 'true'",
+    "n_critical": "class = 'imbalance' and stance = 'critical'",
+    "n_supportive": "class = 'imbalance' and stance = 'supportive'",
+    "n_loaded": "class = 'loaded'",
+    "n_loaded_negative": "class = 'loaded' and target in ('entity', 'policy') and leaning = 'unfavorable'",
+    "n_loaded_favorable": "class = 'loaded' and target in ('entity', 'policy') and leaning = 'favorable'",
+    "n_missing_context": "class = 'missing_context'",
+}
+ATTRIBUTES = ("evidence", "blame", "stance", "target", "valence")
+
+
+def flat_extractions(df: DataFrame, key: str, extractions: str) -> DataFrame:
+    """key, class, the folded ATTRIBUTES and leaning (valence, or its default) of every extraction; one empty row without any."""
+    e = df.select(key, F.explode_outer(extractions).alias("_e"))
+    rows = e.select(key, F.col("_e.class").alias("class"), *(text.fold_attribute(F.element_at("_e.attributes", a)).alias(a) for a in ATTRIBUTES))
+    return rows.withColumn("leaning", F.when(F.col("valence").isin(*VALENCES), F.col("valence")).otherwise(DEFAULT_VALENCE))
+
+
+def indicator_counts(flat: DataFrame, key: str) -> DataFrame:
+    """key and INDICATORS, from flat_extractions()."""
+    return flat.groupBy(key).agg(*(F.count_if(F.expr(f"coalesce({rule}, false)")).alias(name) for name, rule in INDICATORS.items()))
+
+
+def quality_counters(flat: DataFrame) -> DataFrame:
+    """reason and n of extractions whose attributes are missing or unknown."""
+    reason = (
+        F.when((F.col("class") == "loaded") & (F.coalesce("valence", F.lit("")) == ""), "legacy_no_valence")
+        .when((F.col("class") == "loaded") & ~F.col("valence").isin(*VALENCES), F.concat(F.lit("unmapped_valence_"), "valence"))
+        .when((F.col("class") == "imbalance") & ~F.coalesce(F.col("stance").isin("critical", "supportive"), F.lit(False)), F.concat(F.lit("unmapped_stance_"), F.coalesce(F.nullif("stance", F.lit("")), F.lit("missing"))))
+    )
+    return flat.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
 class Scorer(Protocol):
     """A model: scores of a batch of texts.  It may raise; the batch's scores are then null."""
 

@@ -11,13 +11,17 @@ from ..sources import files
 from .registry import query
 from .text_queries import WORDS, count_of, hit_sql, placed
 
+SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"""
 LABELLED = "documents left join labels using (doc_id)"
 
 
-@query("txt05_sco02_fallback_windows")
+NAMED = r"len(list_filter({0}, lambda x: list_contains(regexp_split_to_array(lower(x), '[^\p{{L}}\p{{Nd}}_]+'), '{1}')))"
+
+
+@query("txt05_sco02_fallback_windows", f"select doc_id, case when was > 0 then was else the end as n, was > 0 as named from (select doc_id, {NAMED.format(SENTENCES, 'was')} as was, {NAMED.format(SENTENCES, 'the')} as the from documents)")
 def _(t):
     named, generic = (text.windows(F.col("text"), p, 3) for p in (r"\bwas\b", r"\bthe\b"))
-    return t.documents.select("doc_id", F.size(N.with_fallback(named, generic)).alias("n"), (F.size(named) > 0).alias("named"))
+    return t.documents.select("doc_id", F.size(N.with_fallback(named, generic)).cast("long").alias("n"), (F.size(named) > 0).alias("named"))
 
 
 @query("txt12_txt31_generic_references", f"select doc_id, {count_of('the', 'of')} as generic, {count_of('und', 'der')} as untracked from documents")
@@ -39,7 +43,6 @@ def _(t):
     return t.documents.select("doc_id", N.hits(F.col("text"), N.expand(BANK, ["that", "this"])).alias("n"))
 
 
-SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+([A-Z"])', '\1' || chr(1) || '\2', 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"""
 SPLIT = r"'[^\p{L}\p{Nd}_]+'"
 
 
@@ -105,7 +108,7 @@ def _(t):
     return t.documents.join(t.labels, "doc_id", "left").select("doc_id", F.coalesce(v, F.lit(0)).alias("v"), origin.alias("origin"))
 
 
-@query("jon08_jon14_packet_join", "select l.doc_id as doc_id, l.quality, coalesce(d.lang, 'unknown') as lang from labels l left join documents d using (doc_id)")
+@query("jon08_packet_join", "select l.doc_id as doc_id, l.quality, coalesce(d.lang, 'unknown') as lang from labels l left join documents d using (doc_id)")
 def _(t):
     key = t.documents.withColumn("quality", F.lit(9)).drop("quality", "text")
     return t.labels.join(key, "doc_id", "left").select("doc_id", "quality", F.coalesce("lang", F.lit("unknown")).alias("lang"))
@@ -122,7 +125,10 @@ def _(t):
     return d.groupBy("lang").agg(F.count("*").alias("n"), (F.count_if(F.col("quality") == F.col("toxic")) / F.count("*")).alias("agreement"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("n_both"))
 
 
-@query("agg22_downgrade_rate")
+HALF = "z * sqrt(k / n * (1 - k / n) / n + z * z / (4 * n * n))"
+
+
+@query("agg22_downgrade_rate", f"with c as (select source, count_if(quality = 0) as k, count(*) as n, 1.959963984540054::double as z from documents join labels using (doc_id) group by source) select source, k / n as rate, greatest(0.0, (k / n + z * z / (2 * n) - {HALF}) / (1 + z * z / n)) as low, least(1.0, (k / n + z * z / (2 * n) + {HALF}) / (1 + z * z / n)) as high from c", doubles="rate low high")
 def _(t):
     c = t.documents.join(t.labels, "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 0).alias("k"), F.count("*").alias("n"))
     low, high = scalars.wilson(F.col("k"), F.col("n"))

@@ -14,6 +14,15 @@ ROUNDED = {
     "agg19_win03_peak_baseline": "ratio",
     "agg20_share_yes": "share_yes",
     "agg21_agg23_agreement_by_bucket": "agreement",
+    "agg22_downgrade_rate": "high low rate",
+    "fig05_frame_heat_map": "legal narrative technical",
+    "flagship_group_contrast": "d df difference mean1 mean2 t var1 var2",
+    "mdl01_model_plug_in": "score",
+    "mdl02_mean_over_windows": "score",
+    "mdl03_stance": "stance",
+    "mdl04_document_sentiment": "sentiment",
+    "mdl05_frames": "frame_legal frame_narrative frame_technical",
+    "sta13_fisher_exact": "odds p",
     "fig01_quartiles_histogram": "q1 q2 q3",
     "fig02_fig06_group_means": "mean se",
     "fig04_fig17_monthly_by_group": "mean",
@@ -29,7 +38,7 @@ ROUNDED = {
     "sco02_keyword_component": "score",
     "sco03_composite_renorm": "composite",
     "sco07_sco08_theme_validation": "score",
-    "sco09_sco10_indicator_score": "score",
+    "sco09_indicator_score": "score",
     "src05_snk03_jsonl": "value",
     "sta01_sta02_welch_cohen": "d df difference t",
     "sta03_sta04_sta35_rank_tests": "auc delta u",

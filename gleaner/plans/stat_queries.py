@@ -143,7 +143,14 @@ def _(t):
     return A.two_by_two(t.labels, F.col("quality") == 1, F.col("toxic") == 1, []).select("n11", "n10", "n01", "n00", F.round("chi2", 8).alias("chi2"), F.round("risk_ratio", 8).alias("risk_ratio"))
 
 
-@query("sta13_fisher_exact")
+FISHER = """with c as (select count_if(quality = 1 and toxic = 1) as a, count_if(quality = 1 and toxic = 0) as b, count_if(quality = 0 and toxic = 1) as c, count_if(quality = 0 and toxic = 0) as d from labels),
+x as (select *, a + b as r, c + d as s, a + c as k, a + b + c + d as n from c),
+h as (select a, b, c, d, unnest(range(cast(greatest(0, k - s) as bigint), cast(least(k, r) as bigint) + 1)) as i, r, s, k, n from x),
+l as (select *, lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(s + 1) - lgamma(k - i + 1) - lgamma(s - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) as lp from h)
+select cast(any_value(a) as double) * any_value(d) / (cast(any_value(b) as double) * any_value(c)) as odds, least(1.0, sum(exp(lp)) filter (lp <= (select lp from l where i = a) + 1e-7)) as p from l"""
+
+
+@query("sta13_fisher_exact", FISHER, doubles="odds p")
 def _(t):
     c = A.two_by_two(t.labels, F.col("quality") == 1, F.col("toxic") == 1, []).first()
     odds, p = tails.fisher_exact(c.n11, c.n10, c.n01, c.n00)
@@ -334,9 +341,3 @@ def composite_documents(t):
     d = t.documents.join(t.labels, "doc_id").withColumns({"keywords": S.keyword_component(flags), "aspect": F.when(text.mentions(F.col("text"), ["that"]) > 0, -text.frame_fraction(F.col("text"), dict(C.frames)["technical"])), "document": text.frame_fraction(F.col("text"), dict(C.frames)["narrative"])})
     score, negative = S.composite({k: F.col(k) if k in ("keywords", "aspect", "document") else F.lit(None).cast("double") for k in C.weights}, C)
     return d.select("doc_id", "quality", score.alias("composite"), negative.alias("n_negative"))
-
-
-@query("flagship_group_contrast")
-def flagship(t):
-    """Does the composite score differ between the groups?"""
-    return A.contrast(composite_documents(t), [], "composite", good())

@@ -68,7 +68,7 @@ def _(t):
     return R.coder_pairs(t.conversations.groupBy("conv_id", "role").agg(F.count("*").alias("label")), "conv_id", "role", "label")
 
 
-@query("jon10_prj10_resume_anti_join", "select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
+@query("prj10_anti_join", "select doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)")
 def _(t):
     return t.documents.join(t.labels.where("toxic = 1"), "doc_id", "left_anti").select("doc_id")
 
@@ -99,7 +99,7 @@ def _(t):
     return R.latest_success(e, "user_id", "error", "seq").select("user_id", "event_id", "event_type")
 
 
-@query("ded04_ded05_distinct", "select distinct user_id, event_type from events")
+@query("ded04_distinct", "select distinct user_id, event_type from events")
 def _(t):
     return t.events.select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
 
@@ -185,7 +185,7 @@ def _(t):
     return t.conversations.groupBy("conv_id").agg(F.array_join(ordered, ",").alias("roles"), F.bool_or(F.col("role") == "system").alias("has_system"))
 
 
-@query("agg15_agg24_change_counts", "select model, coder, count(*) as n from (select o_orderpriority as model, case when o_orderkey % 5 = 0 then '3-MEDIUM' else o_orderpriority end as coder from orders) where model <> coder group by model, coder")
+@query("agg15_change_counts", "select model, coder, count(*) as n from (select o_orderpriority as model, case when o_orderkey % 5 = 0 then '3-MEDIUM' else o_orderpriority end as coder from orders) where model <> coder group by model, coder")
 def _(t):
     o = t.orders.select(F.col("o_orderpriority").alias("model"), F.when(F.col("o_orderkey") % 5 == 0, "3-MEDIUM").otherwise(F.col("o_orderpriority")).alias("coder"))
     return o.where("model <> coder").groupBy("model", "coder").agg(F.count("*").alias("n"))
@@ -290,7 +290,7 @@ def _(t):
     return t.events.where(F.col("event_type").isin("click", "view")).select("event_id", kept.alias("kept"), text.sorted_json(m).alias("json"))
 
 
-@query("map02_allowed_values", "select count_if(o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')) as rejected, count_if(o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) as kept from orders", longs="rejected kept")
+@query("map02_value_counts", "select count_if(o_orderpriority not in ('1-URGENT', '2-HIGH', '3-MEDIUM')) as rejected, count_if(o_orderpriority in ('1-URGENT', '2-HIGH', '3-MEDIUM')) as kept from orders", longs="rejected kept")
 def _(t):
     p = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), F.col("o_orderpriority"))
     return t.orders.agg(F.count_if(p.isNull()).alias("rejected"), F.count_if(p.isNotNull()).alias("kept"))
@@ -322,7 +322,7 @@ def _(t):
     return files.read_jsonl(t.spark, path, "event_id long, event_type string, value double")
 
 
-@query("src06_snk02_csv", "select c_custkey, c_name, c_mktsegment from customer")
+@query("snk02_csv", "select c_custkey, c_name, c_mktsegment from customer")
 def _(t):
     path = round_trip(t, "csv", lambda p: files.write_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), p, single=True))
     return t.spark.read.schema("c_custkey long, c_name string, c_mktsegment string").options(header=True, escape='"').csv(path)

@@ -103,11 +103,6 @@ def _(t):
     return w.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("w")).cast("long").alias("chars"))
 
 
-@query("txt04_variant_windows")
-def _(t):
-    return t.documents.select("doc_id", text.variant_windows(F.col("text"), ("was", "were", "that"), 3, 10).alias("windows"))
-
-
 @query("txt10_mention_counts_long", " union all ".join(f"select doc_id, '{e.name}' as entity, {count_of(*e.variants)} as body_n, {count_of(*e.variants, words=HEAD)} as headline_n from documents" for e in C.entities))
 def _(t):
     m = S.mention_array(articles(t), C, "text", "headline")
@@ -320,18 +315,7 @@ def _(t):
     return t.events.select("event_id", n.cast("int").alias("n"), confidence.alias("confidence"), F.round(score + 1e-9, 1).alias("score"))
 
 
-@query("sco09_sco10_indicator_score", "select user_id, count_if(event_type = 'error') as n_anti, count_if(event_type in ('purchase', 'signup')) as n_pro, case when least(count_if(event_type = 'error'), 30) > least(count_if(event_type in ('purchase', 'signup')), 30) then -least(count_if(event_type = 'error'), 30) / 30 when least(count_if(event_type = 'error'), 30) < least(count_if(event_type in ('purchase', 'signup')), 30) then least(count_if(event_type in ('purchase', 'signup')), 30) / 30 else 0 end as score from events group by user_id", longs="n_anti n_pro")
+@query("sco09_indicator_score", "select user_id, count_if(event_type = 'error') as n_anti, count_if(event_type in ('purchase', 'signup')) as n_pro, case when least(count_if(event_type = 'error'), 30) > least(count_if(event_type in ('purchase', 'signup')), 30) then -least(count_if(event_type = 'error'), 30) / 30 when least(count_if(event_type = 'error'), 30) < least(count_if(event_type in ('purchase', 'signup')), 30) then least(count_if(event_type in ('purchase', 'signup')), 30) / 30 else 0 end as score from events group by user_id", longs="n_anti n_pro")
 def _(t):
     c = t.events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n_anti"), F.count_if(F.col("event_type").isin("purchase", "signup")).alias("n_pro"))
     return c.withColumn("score", S.indicator_score(F.col("n_anti"), F.col("n_pro"), 30))
-
-
-@query("mdl01_model_plug_in")
-def _(t):
-    return S.apply_model(t.documents.select("doc_id", "text"), lambda: S.lexical_scorer(("the", "and"), ("that", "was")), "text", "score").select("doc_id", "score")
-
-
-@query("mdl02_mean_over_windows")
-def _(t):
-    w = t.documents.select("doc_id", text.variant_windows(F.col("text"), ("that",), 3, 10).alias("w"))
-    return S.mean_over_windows(w, lambda: S.lexical_scorer(("the", "and"), ("that", "was")), "doc_id", "w", "score")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,8 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share, removed when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex[:12]}"
@@ -125,8 +131,61 @@ def split_windows(start: datetime, stop: datetime, count, cap: int = 250, depth:
     return split_windows(start, mid, count, cap, depth - 1, least) + split_windows(mid, stop, count, cap, depth - 1, least)
 
 
+def repaired_json(text: str, most: int = 100):
+    """JSON of a text, characters that break it blanked one by one; an empty object if that does not help."""
+    for _ in range(most):
+        try:
+            return json.loads(text)
+        except json.JSONDecodeError as e:
+            text = text[: e.pos] + " " + text[e.pos + 1 :]
+    return {}
+
+
+def backoff(k: int) -> float:
+    """Seconds to wait after k + 1 refusals in a row."""
+    return min(10.0 * 2**k, 120.0)
+
+
+def pull(windows: DataFrame, load, schema: str, field: str = "articles", cap: int = 250, depth: int = 8, least: timedelta = timedelta(hours=1), tries: int = 8, wait=backoff) -> DataFrame:
+    """Records of a capped service for every window (start, stop), each window a partition of its own.
+
+    load() gives call(start, stop) -> JSON text, once a task.  A call that raises OSError (refused, timed out) is made again after a
+    wait, tries times at most.  A window with cap records or more is halved and asked again, down to depth halvings or the
+    least length.  Records are distinct by url: the first by the schema's other columns stays.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = load()
+
+        def asked(a, b):
+            for k in range(tries):
+                try:
+                    return repaired_json(call(a, b)).get(field) or []
+                except OSError:
+                    if k == tries - 1:
+                        raise
+                    time.sleep(wait(k))
+
+        def within(a, b, left):
+            rows = asked(a, b)
+            if len(rows) < cap or left == 0 or b - a <= least:
+                return rows
+            mid = a + (b - a) / 2
+            return within(a, mid, left - 1) + within(mid, b, left - 1)
+
+        for frame in parts:
+            for a, b in zip(frame["start"], frame["stop"], strict=True):
+                yield pd.DataFrame([[r.get(n) for n in names] for r in within(a.to_pydatetime(), b.to_pydatetime(), depth)], columns=names)
+
+    rows = windows.repartition(max(1, windows.count()), "start").mapInPandas(run, schema)
+    rest = [n for n in names if n != "url"]
+    return rows.groupBy("url").agg(F.min(F.struct(*rest)).alias("_r")).select("url", "_r.*").select(*names)
+
+
 def replay(fetch, windows, tries: int = 5, wait=lambda k: None) -> list[dict]:
-    """Records of fetch(start, stop) for every window, tried again after a failure; distinct by url, the first stays."""
+    """Records of fetch(start, stop) for every window, tried again after a failure; distinct by url, the first stays.  For a
+    few windows on the driver; pull() is the distributed form."""
     out: dict[str, dict] = {}
     for a, b in windows:
         for k in range(tries):
