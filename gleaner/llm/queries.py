@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import byte_bpe, cnn, decontaminate, jaccard_join, licenses, neural_lm, quality_rules, secrets, token_file, warc
 from .common import table
+from .oracles import oracle_sql  # noqa: F401  part of this module's interface
 
 
 def queries():
@@ -17,9 +18,9 @@ def queries():
         "op7_licenses": lambda spark, d: licenses.digests(table(spark, d, "documents")),
         "op8_secrets": lambda spark, d: secrets.digests(table(spark, d, "documents")),
         "op9_neural_lm": lambda spark, d: neural_lm.digests(table(spark, d, "documents")),
+        # The base columns alone, which SQL can express.
+        "llm_base_quality_rules": lambda spark, d: quality_rules.digests(table(spark, d, "documents")).drop("kept", "probability"),
+        "llm_base_licenses": lambda spark, d: licenses.digests(table(spark, d, "documents")).drop("labels", "score"),
         "op10_cnn": lambda spark, d: cnn.digests(table(spark, d, "documents"), table(spark, d, "labels")),
     }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
