@@ -3,10 +3,12 @@
 Each rule votes good (1), bad (-1) or abstains (0).  A rule that votes has two accuracies, one on good documents and one on
 bad ones (most rules are blind to most kinds of bad documents); expectation-maximisation over the counts of vote patterns
 (at most 3 to the number of rules, whatever the corpus) estimates them and the share of good documents.  A document is kept
-by its posterior probability of being good.
+by its posterior probability of being good.  A kind of bad document is told from good ones that a noisy rule flags by several
+rules that see it, so each kind has more than one.
 
 Defined results: a null or empty text has no words, so it fails the base rule and is not kept; an empty table gives no rows;
-repeated rows are judged each.  Texts are taken whole.
+repeated rows are judged each.  Texts are taken whole.  Columns that keep does not name are left out; it may not name one of
+the output's.
 """
 
 from __future__ import annotations
@@ -29,9 +31,15 @@ RULES = [
     ("shouting", "n_marks > 0.2 * n_words or n_upper > 0.5 * word_chars", "n_marks <= 0.05 * n_words and n_upper <= 0.2 * word_chars"),
     ("sentences", "n_stops < 0.01 * n_words", "n_stops between 0.02 * n_words and 0.4 * n_words"),
     ("variety", "n_distinct < 0.15 * n_words", "n_distinct >= 0.3 * n_words"),
+    ("letters", "n_letters < 0.7 * word_chars", "n_letters >= 0.85 * word_chars"),
+    ("plain_words", "n_plain < 0.7 * n_words", "n_plain >= 0.95 * n_words"),
 ]
 
 
+#: Fixed value of the contract: symbols.
+SYMBOL = r"[#*$%&|<>]"
+FEATURES = ("n_words", "word_chars", "n_repeat_words", "n_distinct", "n_plain", "n_lines", "n_dup_lines", "n_symbols", "n_marks", "n_upper", "n_stops", "n_letters")
+
 #: Before the first round: a rule's vote for bad counts much, its vote for good little.  STRENGTH: documents that the prior is worth.
 START, ACCURACY, STRENGTH = 0.7, (0.995, 0.1), 30
 
@@ -60,14 +68,18 @@ def features(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id
             F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"),
             repeat_words(w).alias("n_repeat_words"),
             F.size(F.array_distinct(w)).cast("long").alias("n_distinct"),
+            F.size(F.filter(w, lambda x: ~x.rlike(SYMBOL))).cast("long").alias("n_plain"),
         ),
     )
     by_line = let(
         F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
         lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")),
     )
-    counts = [F.regexp_count(t, F.lit(p)).cast("long").alias(n) for n, p in (("n_symbols", r"[#*$%&|<>]"), ("n_marks", "!"), ("n_upper", r"[A-ZÀ-Þ]"), ("n_stops", r"[.?!]"))]
-    return df.select(*keep, by_word.alias("_w"), by_line.alias("_l"), *counts).select(*keep, "_w.*", "_l.*", *(c for c in ("n_symbols", "n_marks", "n_upper", "n_stops")))
+    counts = {"n_symbols": SYMBOL, "n_marks": "!", "n_upper": r"[A-ZÀ-Þ]", "n_stops": r"[.?!]", "n_letters": r"\p{L}"}
+    if clash := sorted({*keep} & {*FEATURES, "base_failed", "probability", "kept"}):
+        raise ValueError(f"the input has columns {clash} already")
+    counted = [F.regexp_count(t, F.lit(p)).cast("long").alias(n) for n, p in counts.items()]
+    return df.select(*keep, by_word.alias("_w"), by_line.alias("_l"), *counted).select(*keep, "_w.*", "_l.*", *counts)
 
 
 def votes(feats: DataFrame, rules=RULES) -> DataFrame:

@@ -3,6 +3,8 @@ import re
 from collections import Counter
 from itertools import product
 
+import pytest
+
 from gleaner.llm import quality_rules as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -60,3 +62,21 @@ def test_a_rule_that_flags_good_documents_loses_its_weight():
         assert abs(prior - 0.8) < 0.02
         assert all(abs(a - b) < 0.02 for got, want in zip(acc, true, strict=True) for a, b in zip(got, want, strict=True))
         assert Q.posterior([1, 1, 1, 1, -1], prior, acc) > 0.9
+
+
+def test_verdicts_agree_with_labels(spark):
+    """On sf0.01: what the base rule lets through is kept as labelled, and a noisy rule's bad vote alone condemns nobody."""
+    tables = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = next(tables), next(tables)
+    rows = Q.judge(docs).join(labels, "doc_id", "left").collect()
+    names = [f"vote_{n}" for n, _, _ in Q.RULES]
+    passed = [r for r in rows if not r.base_failed and r.quality is not None]
+    assert sum(r.kept == (r.quality == 1) for r in passed) >= 0.98 * len(passed) and {r.kept for r in passed} == {True, False}
+    alone = [r.probability for r in rows if [r[n] for n in names].count(-1) == 1 and r.vote_length == -1]
+    assert alone and min(alone) > 0.5
+
+
+def test_clashing_names_are_refused(docs):
+    for name in ("n_words", "kept"):
+        with pytest.raises(ValueError, match=name):
+            Q.judge(docs.withColumn(name, docs.doc_id), keep=("doc_id", name))
