@@ -2,8 +2,8 @@
 
 Outputs are the most frequent words (the end token among them) and CLASSES classes of all other words, by their last two
 bytes; inside a class a word has its smoothed relative frequency.  The number of words with an output, and a context, of
-their own is GROWTH times the square root of the training tokens (OUTPUTS at least), so that exact normalisation, which is
-quadratic in it, costs in proportion to the corpus.  For each of the two words before a token there is a log-bilinear model
+their own is GROWTH times the square root of the training tokens (OUTPUTS at least, MOST at most: the vectors are broadcast, and
+exact normalisation is quadratic in it).  For each of the two words before a token there is a log-bilinear model
 s(context, output) = r[context] . q[output] + b[output], whose probabilities are mixed.
 
 Pair counts of the whole corpus are summed in Spark and stay there, dealt by context.  In each of ROUNDS rounds every task
@@ -30,7 +30,7 @@ from . import common
 
 OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
-GROWTH = 4  #: words with an output of their own, per square root of a training token
+GROWTH, MOST = 4, 8192  #: words with an output of their own: per square root of a training token, and at most
 DIM, NOISE, DRAWN, STEPS, ROUNDS, RATE = 32, 10, 1024, 1000, 6, 0.2
 SHRINK = 20  #: tokens that a vector of zeros is worth in each round
 BATCH, CHUNK = 65_536, 2_000_000  #: pairs of a step at most; pairs in a task's memory
@@ -119,7 +119,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     sums = {r["class"]: r for r in counts.mapInArrow(run, "class long, tokens long, words long").groupBy("class").agg(F.sum("tokens").alias("tokens"), F.sum("words").alias("words")).collect()}
     by_class = np.array([[sums[k]["tokens"], sums[k]["words"]] if k in sums else [0, 0] for k in range(CLASSES)], "f8").T
     total, distinct = int(by_class[0].sum()), int(by_class[1].sum())
-    outputs = max(OUTPUTS, int(GROWTH * total**0.5))
+    outputs = min(MOST, max(OUTPUTS, int(GROWTH * total**0.5)))
     head = [(bytes(r.word), r.c) for r in counts.orderBy(F.octet_length("word") > 0, F.desc("c"), "word").limit(max(HEAD, outputs)).collect()]
     return Vocabulary(head, by_class[0].copy(), by_class[1].copy(), total, distinct, outputs)
 
