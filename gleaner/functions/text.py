@@ -69,7 +69,14 @@ def mention_pattern(variants) -> str:
 
 
 def mentions(text: Column, variants) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(mention_pattern(variants))).cast("long")
+    """Count of whole-word mentions; texts that hold no variant as a substring are not searched by pattern."""
+    t = F.coalesce(text, F.lit(""))
+    low = F.lower(t)
+    some = None
+    for v in variants:
+        has = F.contains(low, F.lit(v.lower()))
+        some = has if some is None else some | has
+    return F.when(some, F.regexp_count(t, F.lit(mention_pattern(variants)))).otherwise(0).cast("long")
 
 
 def frame_fraction(text: Column, patterns) -> Column:

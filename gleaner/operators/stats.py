@@ -191,6 +191,122 @@ def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: str, reps:
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
+def weights_of(keys: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) weights by row (a hash of its key) and replicate: the same wherever the row is."""
+    with np.errstate(over="ignore"):
+        x = keys.view("u8")[:, None] + np.arange(1, reps + 1, dtype="u8")[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype("f8")
+
+
+def bootstrap_contrast(df: DataFrame, value: str, group: Column, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
+    """statistic, estimate, low, high: percentile intervals of both means, their difference and Cohen's d.
+
+    Rows get Poisson(1) weights by a hash of their key; every task sums weighted moments for all replicates at once and
+    hands on two rows a replicate, whatever its input.
+    """
+
+    def run(batches):
+        sums = np.zeros((2, reps, 3))
+        for b in batches:
+            keys, first, v = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "first", "value"))
+            for j in range(0, len(v), 1024):
+                w, x, g = weights_of(keys[j : j + 1024], reps), v[j : j + 1024], first[j : j + 1024].astype(bool)
+                for side in (0, 1):
+                    at = g == (side == 0)
+                    sums[side] += w[at].T @ np.stack([np.ones(at.sum()), x[at], x[at] ** 2], 1)
+        import pyarrow as pa
+
+        columns = [np.repeat([1, 2], reps), np.tile(np.arange(reps), 2), *sums.reshape(-1, 3).T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["side", "rep", "w", "s", "q"])
+
+    rows = df.where(F.col(value).isNotNull() & group.isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("key"), group.cast("int").alias("first"), F.col(value).cast("double").alias("value"))
+    parts = rows.mapInArrow(run, "side long, rep long, w double, s double, q double").groupBy("rep")
+    m = parts.agg(*(F.sum(F.when(F.col("side") == k, F.col(c))).alias(f"{n}{k}") for k in (1, 2) for n, c in (("n", "w"), ("s", "s"), ("q", "q"))))
+    moments = m.select(*(e for k in "12" for e in (F.col(f"n{k}"), F.expr(f"try_divide(s{k}, n{k})").alias(f"mean{k}"), F.expr(f"try_divide(q{k} - try_divide(s{k} * s{k}, n{k}), n{k} - 1)").alias(f"var{k}"))))
+    names = {"mean1": "mean_1", "mean2": "mean_2", "difference": "difference", "d": "d"}
+    q = finish_contrast(moments).agg(*(F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q_{c}") for c in names))
+    both = q.crossJoin(contrast(df, [], value, group))  # two single rows
+    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).alias("estimate"), F.col(f"q_{c}")[0].alias("low"), F.col(f"q_{c}")[1].alias("high")) for c, n in names.items()))).alias("r")).select("r.*")
+
+
+def cluster_bootstrap(df: DataFrame, cluster: str, value: str, group: Column, reps: int = 2000, seed: int = 42) -> dict:
+    """Difference of group means over resampled clusters: estimate, 95 % interval, p (at least 1 / reps), n_clusters.
+
+    Clusters get Poisson(1) weights by their hash; every task sums weighted counts and sums for all replicates, so a row a
+    replicate reaches the driver however many clusters there are.
+    """
+
+    def run(batches):
+        sums = np.zeros((reps, 4))
+        for b in batches:
+            a = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in ("n1", "s1", "n2", "s2")], 1).astype("f8")
+            keys = b.column("key").to_numpy()
+            for j in range(0, len(a), 1024):
+                sums += weights_of(keys[j : j + 1024], reps).T @ a[j : j + 1024]
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(reps)), *(pa.array(c) for c in sums.T)], ["rep", "n1", "s1", "n2", "s2"])
+
+    v, zero = F.col(value).cast("double"), F.lit(0.0)
+    parts = [f(F.when(g, v)) for g in (group, ~group) for f in (F.count, F.sum)]
+    each = df.groupBy(F.col(cluster).alias("_c")).agg(*(F.coalesce(p.cast("double"), zero).alias(n) for p, n in zip(parts, ("n1", "s1", "n2", "s2"), strict=True)))
+    each = each.select(F.xxhash64("_c", F.lit(seed)).alias("key"), "n1", "s1", "n2", "s2")
+    total = each.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("n1", "s1", "n2", "s2"))).first()
+    drawn = each.mapInArrow(run, "rep long, n1 double, s1 double, n2 double, s2 double").groupBy("rep").agg(*(F.sum(c).alias(c) for c in ("n1", "s1", "n2", "s2"))).where("n1 > 0 and n2 > 0")
+    diff = np.array([r.d for r in drawn.select(F.expr("s1 / n1 - s2 / n2").alias("d")).collect()])  # a row a replicate
+    p = max(1 / reps, min(1.0, 2 * min((diff <= 0).mean(), (diff >= 0).mean())))
+    low, high = np.percentile(diff, [2.5, 97.5])
+    return {"difference": total.s1 / total.n1 - total.s2 / total.n2, "low": float(low), "high": float(high), "p": float(p), "n_clusters": total.n}
+
+
+def kappa_of(table: np.ndarray) -> np.ndarray:
+    """Cohen's kappa of tables (..., a, b) of counts; nan where chance alone explains all."""
+    n = table.sum((-2, -1))
+    with np.errstate(all="ignore"):
+        agree = np.trace(table, axis1=-2, axis2=-1) / n
+        chance = (table.sum(-1) * table.sum(-2)).sum(-1) / n**2
+        return np.where(chance < 1, (agree - chance) / (1 - chance), np.nan)
+
+
+def kappa_ci(df: DataFrame, a: str, b: str, labels: list, reps: int = 2000, seed: int = 42) -> dict:
+    """n, kappa and its bootstrap interval over pairs of the given labels: resampled pairs are a multinomial draw of the table
+    of counts, so only that table (labels by labels) reaches the driver."""
+    counts = df.where(F.col(a).isin(labels) & F.col(b).isin(labels)).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).collect()
+    table = np.zeros((len(labels), len(labels)), "i8")
+    for r in counts:
+        table[labels.index(r.x), labels.index(r.y)] = r.n
+    n = int(table.sum())
+    if n < 5:  # fixed value: below, there is no interval
+        return {"n": n, "kappa": float(kappa_of(table.astype("f8"))) if n else math.nan, "low": math.nan, "high": math.nan}
+    drawn = kappa_of(np.random.default_rng(seed).multinomial(n, table.ravel() / n, reps).reshape(-1, *table.shape).astype("f8"))
+    drawn = drawn[~np.isnan(drawn)]
+    low, high = np.percentile(drawn, [2.5, 97.5]) if len(drawn) else (math.nan, math.nan)
+    return {"n": n, "kappa": float(kappa_of(table.astype("f8"))), "low": float(low), "high": float(high)}
+
+
+def proportion_ci(k: int, n: int, reps: int = 2000, seed: int = 42) -> tuple[float, float]:
+    """Bootstrap interval of a proportion by order statistics: a resample of 0/1 values is a binomial draw; none for n < 2."""
+    if n < 2:
+        return math.nan, math.nan
+    drawn = np.sort(np.random.default_rng(seed).binomial(n, k / n, reps) / n)
+    return float(drawn[round(0.025 * (reps - 1))]), float(drawn[round(0.975 * (reps - 1))])
+
+
+def agreement(pairs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Of coder pairs with <field>_a and <field>_b: agreement by coder pair and field (n, n_equal, share), and the rows that
+    differ (packet, coders, field, both values).  Pairs with a blank label do not count."""
+    each = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(f"{f}_a").alias("value_a"), F.trim(f"{f}_b").alias("value_b")) for f in fields))
+    long = pairs.select("packet", "coder_a", "coder_b", F.explode(each).alias("x")).select("packet", "coder_a", "coder_b", "x.*").where("value_a <> '' and value_b <> ''")
+    table = long.groupBy("coder_a", "coder_b", "field").agg(F.count("*").alias("n"), F.count_if(F.col("value_a") == F.col("value_b")).alias("n_equal")).withColumn("share", F.col("n_equal") / F.col("n"))
+    return table, long.where("value_a <> value_b")
+
+
+POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+
+
 def weights_of(keys: np.ndarray, reps: int) -> np.ndarray:
     """Poisson(1) weights by row (a hash of its key) and replicate: the same wherever the row is."""
     with np.errstate(over="ignore"):

@@ -11,14 +11,25 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
+#: Tables of texts: their rows cost far more than their bytes say.
+TEXTS = {"documents", "pages"}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out a scan of fewer partitions than cores (a small file may be one row group); larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Tables:
-    """The tables of a folder, by name."""
+    """The tables of a folder, by name; texts spread over the cores."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
 
 def query(name: str, sql: str | None = None, longs: str = "", doubles: str = ""):
