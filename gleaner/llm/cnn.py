@@ -5,9 +5,11 @@ chunk, a linear layer turns the pooled values into the chunk's logit, and the me
 document's probability.  A filter of width w over one-hot bytes is w tables of 256 rows, so a convolution is a sum of table
 look-ups and the gradient reaches only the bytes below each maximum.
 
-The network is fitted on the driver on a bounded sample: the SAMPLE training rows whose doc_id has the smallest hash, of at
-most LONGEST bytes each.  Only bytes of the text are inputs.  A null or empty text is one chunk of padding.  Without both
-labels among the training rows every score is the share of label 1 (0.5 without rows).  A document with several labels
+The network is fitted on the driver on a bounded sample: the SAMPLE training rows whose doc_id has the smallest hash; of a text
+of more than LONGEST bytes, PIECES stretches that make up LONGEST bytes, evenly over the whole of it from a start drawn by hash.
+Only bytes of the text are inputs.  A null or empty text is one chunk of padding.  Without both
+labels among the training rows every score is the share of label 1 (0.5 without rows).  An empty table gives no rows; of columns
+with clashing names only the output's is refused.  A document with several labels
 counts with the lowest; repeated rows are scored each.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, LONGEST = 2000, 1 << 16  #: documents, and bytes of each, that the network is fitted on at most
+SAMPLE, LONGEST, PIECES = 2000, 1 << 16, 16  #: documents, and bytes of each, that the network is fitted on at most
 WIDTH, FILTERS = 8, 24
 SEGMENT, PER_CHUNK, STEP = 64, 8, 7  #: a chunk is PER_CHUNK segments; chunks start every STEP segments
 BLOCK = SEGMENT * STEP * 256  #: positions that are convolved at once
@@ -120,12 +122,21 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def stretches(text):
+    """The bytes of a text, of a long one PIECES stretches spread evenly over it."""
+    size, step = F.octet_length(text), F.floor(F.octet_length(text) / PIECES)
+    start = F.pmod(F.xxhash64(text), F.greatest(step - LONGEST // PIECES, F.lit(1)))
+    parts = [F.substring(text, (start + k * step + 1).cast("int"), F.lit(LONGEST // PIECES)) for k in range(PIECES)]
+    return F.when(size <= LONGEST, text).otherwise(F.concat(*parts))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     """Fit on labelled rows outside the held-out quarter."""
     marked = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()  # ids and labels only
     ids = docs.sparkSession.createDataFrame([(r.doc_id, int(r.quality)) for r in picked], "doc_id long, quality int")
-    texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")).where(F.octet_length("text") <= LONGEST).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("text", stretches(F.col("text")))
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
     return fit([bytes(r.text) for r in rows], [r.quality for r in rows])
 

@@ -66,3 +66,14 @@ def test_held_out_rows_are_not_learned(spark, labels):
     flipped = labels.withColumn("quality", F.when(cnn.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
     a, b = (cnn.train(docs, x, 50) for x in (labels, flipped))
     assert (a.filters == b.filters).all()
+
+
+def test_long_texts_are_fitted_on_stretches_of_all_of_it(spark):
+    long = "".join(f"{k:07d} " for k in range(40_000))
+    df = spark.createDataFrame([(1, long), (2, "short"), (3, "x" * cnn.LONGEST), (4, "é" * cnn.LONGEST)], "doc_id long, text string")
+    got = {r.doc_id: bytes(r.t) for r in df.select("doc_id", cnn.stretches(F.col("text").cast("binary")).alias("t")).collect()}
+    assert got[2] == b"short" and got[3] == b"x" * cnn.LONGEST and len(got[4]) == cnn.LONGEST
+    assert len(got[1]) == cnn.LONGEST
+    size = cnn.LONGEST // cnn.PIECES
+    at = [long.encode().find(got[1][k : k + size]) for k in range(0, cnn.LONGEST, size)]
+    assert at == sorted(at) and at[0] >= 0 and at[0] < len(long) / cnn.PIECES and at[-1] > len(long) * (1 - 2 / cnn.PIECES)
