@@ -15,6 +15,8 @@ ROUNDED = {
     "agg20_share_yes": "share_yes",
     "agg21_agg23_agreement_by_bucket": "agreement",
     "agg22_downgrade_rate": "high low rate",
+    "fig18_its_fitted": "mean fitted",
+    "sta16_clustered_errors": "coef se low high",
     "fig05_frame_heat_map": "legal narrative technical",
     "flagship_group_contrast": "d df difference mean1 mean2 t var1 var2",
     "mdl01_model_plug_in": "score",
@@ -71,5 +73,4 @@ ROUNDED = {
     "txt24_overlap": "score",
     "win01_centred_weighted_mean": "smooth",
     "win02_rolling7": "smooth",
-    "win05_average_rank": "rank",
 }

@@ -294,12 +294,32 @@ def _(t):
     return e.withColumn("step", step).agg(F.round(F.sum(F.col("step") * F.col("step")) / F.sum(F.col("e") * F.col("e")), 8).alias("dw"))
 
 
-@query("sta16_fig11_ols_clustered")
-def _(t):
+def clustered(t):
     o = region_orders(t).select("n_name", "o_totalprice", F.lit(1.0).alias("const"), (F.col("o_orderpriority") < "3").cast("double").alias("urgent"), (F.col("o_orderdate") >= AT).cast("double").alias("post"))
     return t.spark.createDataFrame(A.ols_clustered(o, "o_totalprice", ["const", "urgent", "post"], "n_name"), "term string, coef double, se double, p double, low double, high double")
 
 
+@query("sta16_fig11_ols_clustered")
+def _(t):
+    return clustered(t)
+
+
+#: Each regressor less its fit on the others (r) gives its coefficient, and with the residuals its clustered error.
+CLUSTERED = f"""with o as (select n_name as g, o_totalprice as y, cast(o_orderpriority < '3' as double) as u, cast(o_orderdate >= date '{AT}' as double) as p from {REGION_ORDERS}),
+m as (select *, u - avg(u) over () as u1, p - avg(p) over () as p1, 1 - u * (sum(u) over ()) / (sum(u * u) over ()) as a, p - u * (sum(u * p) over ()) / (sum(u * u) over ()) as q from o),
+r as (select g, y, u, p, u1 - p1 * (sum(u1 * p1) over ()) / (sum(p1 * p1) over ()) as ru, p1 - u1 * (sum(u1 * p1) over ()) / (sum(u1 * u1) over ()) as rp, a - q * (sum(a * q) over ()) / (sum(q * q) over ()) as rc from m),
+b as (select sum(rc * y) / sum(rc * rc) as bc, sum(ru * y) / sum(ru * ru) as bu, sum(rp * y) / sum(rp * rp) as bp, sum(rc * rc) as sc, sum(ru * ru) as su, sum(rp * rp) as sp, count(*) as n from r),
+e as (select g, sum(rc * x) as ec, sum(ru * x) as eu, sum(rp * x) as ep from (select r.*, y - bc - bu * u - bp * p as x from r, b) group by g),
+v as (select sum(ec * ec) as vc, sum(eu * eu) as vu, sum(ep * ep) as vp, count(*) as k from e),
+w as (select unnest(['const', 'urgent', 'post']) as term, unnest([bc, bu, bp]) as coef, unnest([sqrt(vc) / sc, sqrt(vu) / su, sqrt(vp) / sp]) * sqrt(k / (k - 1) * (n - 1) / (n - 3)) as se from b, v)
+select term, coef, se, coef - 1.959963984540054 * se as low, coef + 1.959963984540054 * se as high from w"""
+
+
+@query("sta16_clustered_errors", CLUSTERED, doubles="coef se low high")
+def _(t):
+    return clustered(t).drop("p")
+
+
 @query("sta16_ols_coefficients", f"with o as (select o_totalprice as y, cast(o_orderdate >= date '{AT}' as double) as x from orders) select round(regr_slope(y, x), 6) as slope, round(regr_intercept(y, x), 6) as intercept from o")
 def _(t):
     import numpy as np
@@ -324,10 +344,21 @@ def _(t):
     return diff.unpivot([], ["toxic", "long", "table"], "kind", "v").select("kind", F.round("v", 9).alias("difference"))
 
 
-@query("fig18_its_fitted")
+def less(v: str, x: str, keep: str, source: str) -> str:
+    """SQL: source with the columns v less their weighted fit on x."""
+    return f"select month, mean, n, {keep}, " + ", ".join(f"{c} - {x} * (sum(n * {c} * {x}) over ()) / (sum(n * {x} * {x}) over ()) as {c}" for c in v.split()) + f" from ({source})"
+
+
+FITTED = f"select month, mean, n, " + ", ".join(f"{c} - (sum(n * {c}) over ()) / (sum(n) over ()) as {a}" for c, a in (("time", "x1"), ("post", "x2"), ("time_after", "x3"), ("mean", "y"))) + f" from {DESIGN}"
+FITTED = less("x2 x3 y", "x1", "x1", FITTED)
+FITTED = less("x3 y", "x2", "x2", FITTED)
+FITTED = less("y", "x3", "x3", FITTED)
+
+
+@query("fig18_its_fitted", f"select month, mean, mean - y as fitted from ({FITTED})")
 def _(t):
     d = designed(t)
-    fit = A.segmented(d.collect())
+    fit = A.segmented(d.collect())  # a row a month
     return d.select("month", "mean", (F.lit(fit["const"]) + F.col("time") * fit["time"] + F.col("post") * fit["post"] + F.col("time_after") * fit["time_after"]).alias("fitted"))
 
 
