@@ -5,8 +5,8 @@ backtracking from longest matches: a token may follow another only if the two ar
 concatenation, a fact memoised for each pair.  A sequence whose neighbours are all compatible is the BPE of the piece, and
 every prefix has just one such sequence, so a position that fails is never tried again: time is linear.
 
-Defined results: a null text is encoded like an empty one (no ids); repeated rows are encoded each; input columns whose
-names clash with an output column are refused with ValueError.
+Defined results: a null text is encoded like an empty one (no ids); repeated rows are encoded each; an empty table gives no
+rows; input columns whose names clash with an output column are refused with ValueError.
 """
 
 from __future__ import annotations
@@ -123,14 +123,9 @@ class ByteBPE:
         return b"".join(map(self.found.find, self.split(x)))
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
-
-
 def coder(path: str, pattern: str) -> ByteBPE:
     """One for each worker process."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = ByteBPE(path, pattern)
-    return _coders[path, pattern]
+    return common.worker_table(("byte_bpe", path, pattern), lambda: ByteBPE(path, pattern))
 
 
 def _added(df: DataFrame, column: str, make) -> DataFrame:

@@ -150,6 +150,7 @@ def score(docs: DataFrame, net: Net, out: str = "score") -> DataFrame:
     at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_table("cnn")
         for b in common.sliced(batches):
             scores = [net.score(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in b.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*names, out])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -105,6 +108,21 @@ class Memo:
         return value
 
 
+_held: dict = {}
+
+
+def worker_table(key, make=lambda: None):
+    """make(), kept in a Python worker until another operator asks for its own: workers outlive stages, and their tables add up."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
+                ctypes.CDLL(None).malloc_trim(0)
+        _held[key] = make()
+    return _held[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -100,6 +100,7 @@ def profile(docs: DataFrame, job: Job) -> DataFrame:
     """doc_id, n, a, b (128-bit id of the set) of every document; and, with chunk, a task's part of the count sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_table("jaccard_join")
         sketch = np.zeros(CELLS, "i4")
         for b in common.sliced(batches):
             rows = []
@@ -240,7 +241,9 @@ class Links:
     def __init__(self, docs: DataFrame, profiled: DataFrame, reps: DataFrame, job: Job):
         self.docs, self.job, self.spark = docs, job, docs.sparkSession
         sketch = sketch_of(profiled)
-        rows = common.spool(signature_rows(docs, job, self.share((sketch, max(job.floor, int(8 * sketch.mean()))))), "signatures")
+        shared = self.share((sketch, max(job.floor, int(8 * sketch.mean()))))
+        rows = common.spool(signature_rows(docs, job, shared), "signatures")
+        shared.unpersist()
         signed = rows.where("sig is not null").select("sig", "a")
         # Only signatures of two different sets matter.
         lists = common.spool(signed.groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig"), "lists")

@@ -12,7 +12,8 @@ vectors, weighted by the tokens seen.  Normalisers are then summed over all outp
 
 Word counts are taken over all training documents.  Documents look up the HEAD most frequent words (or those with an output, if more) in a table;
 other words meet their counts in a join.  A null text is an empty one (the end token alone); a null doc_id counts as
-training; repeated rows are counted and scored each; without training documents all scores are uniform.
+training; repeated rows are counted and scored each; without training documents all scores are uniform.  An empty table gives no
+rows; columns but doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -53,6 +54,7 @@ def held_out(doc_id):
 
 
 def _texts(batches, column: str) -> Iterator[bytes]:
+    common.worker_table("neural_lm")
     for b in common.sliced(batches):
         yield from b.column(column).to_pylist()
 

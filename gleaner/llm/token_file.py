@@ -119,14 +119,9 @@ class Units:
         return b"".join([known(u) or find(u) for u in (text or "").encode().split()])
 
 
-_units: dict[str, Units] = {}
-
-
 def units_of(path: str) -> Units:
     """One for each worker process."""
-    if path not in _units:
-        _units[path] = Units(path)
-    return _units[path]
+    return common.worker_table(("token_file", path), lambda: Units(path))
 
 
 def pack(doc_id: int | None, ids: bytes, width: int) -> bytes:
