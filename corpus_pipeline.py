@@ -72,11 +72,9 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(ids.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))).drop("text"), path)
-    checked = F.when(F.xxhash64("decoded") == F.col("_hash"), F.col("ids")).otherwise(F.raise_error(F.lit("ids that do not decode to their text")))
-    return back.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), checked.alias("ids"))
+    where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where, verify=True)
+    return ids.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_free", benchmark_free), ("without_secrets", without_secrets), ("encoded", encoded)]
