@@ -36,6 +36,7 @@ CLASSES = 16
 GROWTH = 16  #: centres of a list, from round to round
 HOT = 64  #: a list with more members compares parities before it makes pairs
 PARITY = 256  #: bits of the parity that every node has; sets of more than twice as many tokens have a longer one besides
+MANY = 4096  #: copies of a text from which on its component is looked up in a broadcast table (of at most a row in MANY)
 BITS = 1 << 20, 1 << 27  #: least and most bits of a bitmap
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -325,18 +326,21 @@ def join(docs: DataFrame, words: int, percent: int, floor: int = 256) -> DataFra
     profiled = profile(rows, job)
     own = profiled.where("chunk is null").drop("chunk", "part")
     sized = own.where("n > 0 and doc_id is not null")
-    reps = sized.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id())
+    reps = sized.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id())
     reps = common.spool(reps, "reps")
     # Copies share a representative; a doc_id of several texts ties their representatives together.
     several = sized.groupBy("doc_id").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("doc_id")
     ties = sized.join(several, "doc_id").select("doc_id", "a", "b").join(reps.select("a", "b", "node"), ["a", "b"]).select("doc_id", "node")
     ties = ties.join(ties.groupBy("doc_id").agg(F.min("node").alias("first")), "doc_id").select(F.col("first").alias("u"), F.col("node").alias("v"))
-    links = Links(rows.where("doc_id is not null"), profiled, reps, job)
+    links = Links(rows.where("doc_id is not null"), profiled, reps.drop("copies"), job)
     labels = components(links.all().union(ties))
     common.drop(*links.made)
     firsts = labels.join(reps, "node").groupBy("label").agg(F.min("doc_id").alias("first"))
-    named = reps.join(labels.join(firsts, "label").select("node", "first"), "node", "left").select("a", "b", F.coalesce("first", "doc_id").alias("first"))
-    found = sized.join(named, ["a", "b"]).select("doc_id", "n", "first")
+    named = reps.join(labels.join(firsts, "label").select("node", "first"), "node", "left").select("a", "b", "copies", F.coalesce("first", "doc_id").alias("first"))
+    hot = common.small(common.spool(named.where(f"copies > {MANY}").drop("copies"), "copied"))
+    marked = sized.join(hot, ["a", "b"], "left")
+    found = marked.where("first is not null").select("doc_id", "n", "first")
+    found = found.union(marked.where("first is null").drop("first").join(named.where(f"copies <= {MANY}"), ["a", "b"]).select("doc_id", "n", "first"))
     rest = own.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("first"))
     return found.union(rest).select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
 

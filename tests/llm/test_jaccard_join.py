@@ -82,3 +82,23 @@ def test_repeated_ids_are_one_document(spark, same):
     a, b = "one two three four five", "six seven eight nine ten"
     rows = [(5, a), (5, b), (3, b), (9, a), (1, "x")]
     same(J.digests(spark.createDataFrame(rows, "doc_id long, text string")), COLUMNS, [(5, 2, 3), (5, 2, 3), (3, 2, 3), (9, 2, 3), (1, 1, 1)])
+
+
+def test_many_copies_of_a_text(spark, same, monkeypatch):
+    """Copies beyond MANY are looked up apart; they, near copies of them and empty texts get the same components."""
+    monkeypatch.setattr(J, "MANY", 20)
+    base = [f"w{j}" for j in range(40)]
+    rows = [(k, " ".join(base)) for k in range(100, 160)] + [(k, " ".join(mutated(random.Random(k), base, 1))) for k in range(50, 60)]
+    rows += [(k, "") for k in range(200, 240)] + [(k, "another text of its own here") for k in range(300, 330)] + [(1, "lonely words stand here today")]
+    same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 85), COLUMNS, brute(rows))
+
+
+def test_other_parameters_than_the_contract(spark, same):
+    """At low similarities sizes differ by more than a factor of two, and parities by more than one halving."""
+    rng, rows = random.Random(8), []
+    base = [f"w{j}" for j in range(1500)]
+    for k, n in enumerate((300, 560, 700, 1100, 1500, 1400)):
+        rows.append((k, " ".join(base[:n])))
+    rows += [(10 + k, " ".join(mutated(rng, base[:900], 30 * k))) for k in range(6)]
+    for percent in (40, 70):
+        same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 2, percent), COLUMNS, brute(rows, 2, percent))
