@@ -105,7 +105,10 @@ class Vocabulary:
         at = np.array([find(w, -1) for w in words], "i4")
         out = self.output[at] if len(self.output) else np.zeros(len(at), "i4")
         tail = at < 0
-        out[tail] = [word_class(w, self.outputs) for w in compress(words, tail.tolist())]
+        rest = list(compress(words, tail.tolist()))
+        out[tail] = self.outputs + np.array([w[-1] * 31 + (w[-2] if len(w) > 1 else 0) if w else -1 for w in rest], "i4") % CLASSES
+        if END in rest:  # without training documents
+            out[[k for k, w in enumerate(words) if w == END]] = self.outputs
         return at, out
 
 
@@ -126,10 +129,26 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(head, by_class[0].copy(), by_class[1].copy(), total, distinct, outputs)
 
 
-def contexts(out: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
-    """Outputs one and two places before each."""
-    padded = np.concatenate([[size, size], out])
-    return padded[1:-1], padded[:-2]
+def flat(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
+    """The tokens of all texts, and where each text's begin (every text has its end token)."""
+    words, sizes = [], []
+    for t in texts:
+        w = tokens(t)
+        words += w
+        sizes.append(len(w))
+    return words, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8")
+
+
+def contexts(out: np.ndarray, size: int = SIZE, starts=(0,)) -> tuple[np.ndarray, np.ndarray]:
+    """Outputs one and two places before each, size before a text's start; starts: where texts begin."""
+    starts = np.asarray(starts)
+    one, two = np.full(len(out), size, out.dtype), np.full(len(out), size, out.dtype)
+    one[1:], two[2:] = out[:-1], out[:-2]
+    one[starts] = two[starts] = size
+    second = starts + 1
+    ends = np.append(starts[1:], len(out))
+    two[second[second < ends]] = size
+    return one, two
 
 
 def count_pairs(training: DataFrame, vocab: Vocabulary) -> DataFrame:
@@ -137,26 +156,28 @@ def count_pairs(training: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared, size = training.sparkSession.sparkContext.broadcast(vocab), vocab.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, cells, n = shared.value, np.empty(0, "i8"), np.empty(0, "i8")
+        vocab, held = shared.value, []
+
+        def merged():
+            cells, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            return cells, np.bincount(where, np.concatenate([n for _, n in held])).astype("i8")
 
-        def rows():
+        def rows(cells, n):
             for k in range(0, len(cells), 100_000):
                 x = cells[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array((x // size).astype("i4")), pa.array((x % size).astype("i4")), pa.array(n[k : k + 100_000])], ["line", "output", "n"])
 
         for b in common.sliced(batches):
-            keys = []
-            for text in b.column("text").to_pylist():
-                out = vocab.look_up(tokens(text))[1].astype("i8")
-                one, two = contexts(out, size)
-                keys += [one * size + out, (two + size + 1) * size + out]
-            new, times = np.unique(np.concatenate(keys), return_counts=True) if keys else (cells[:0], n[:0])
-            cells, where = np.unique(np.concatenate([cells, new]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([n, times])).astype("i8")
-            if len(cells) > CHUNK:
-                yield from rows()
-                cells, n = cells[:0], n[:0]
-        yield from rows()
+            words, starts = flat(b.column("text").to_pylist())
+            out = vocab.look_up(words)[1].astype("i8")
+            one, two = contexts(out, size, starts)
+            held.append(np.unique(np.concatenate([one * size + out, (two + size + 1) * size + out]), return_counts=True))
+            if sum(len(c) for c, _ in held) > CHUNK:
+                held = [merged()]
+                if len(held[0][0]) > CHUNK // 2:
+                    yield from rows(*held.pop())
+        if held:
+            yield from rows(*merged())
 
     parts = training.select("text").mapInArrow(run, "line int, output int, n long")
     return common.spool(parts.repartition("line").groupBy("line", "output").agg(F.sum("n").alias("n")), "pairs")
@@ -298,20 +319,20 @@ def score(docs: DataFrame, vocab: Vocabulary, models: tuple[list[list[np.ndarray
     base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_table("neural_lm")
         vocab, ((near, far), (near_log, far_log)) = shared.value
         for b in common.sliced(batches):
-            found = []
-            for text in b.column("text").to_pylist():
-                words = tokens(text)
-                at, out = vocab.look_up(words)
-                one, two = contexts(out, vocab.size)
-                tail = at < 0
-                by_count = vocab.log_count[at[~tail]]
-                in_class = out >= vocab.outputs
-                model = np.log10(NEAREST * likelihood(near, near_log, one, out) + (1 - NEAREST) * likelihood(far, far_log, two, out)).sum() - vocab.class_log[out].sum() + vocab.log_count[at[in_class & ~tail]].sum()
-                rest = Counter(compress(words, tail.tolist()))
-                found.append((len(words), int((~tail).sum()), float(by_count.sum()), float(model), list(rest.keys()), list(rest.values())))
-            n, known, base, model, rest, times = zip(*found, strict=True)
+            words, starts = flat(b.column("text").to_pylist())
+            at, out = vocab.look_up(words)
+            one, two = contexts(out, vocab.size, starts)
+            tail = at < 0
+            by_count = np.where(tail, 0.0, vocab.log_count[at] if len(vocab.log_count) else 0.0)
+            mixed = np.log10(NEAREST * likelihood(near, near_log, one, out) + (1 - NEAREST) * likelihood(far, far_log, two, out))
+            mixed += np.where(out >= vocab.outputs, by_count, 0.0) - vocab.class_log[out]
+            known, base, model = (np.add.reduceat(x, starts) for x in ((~tail).astype("i8"), by_count, mixed))
+            ends, rare = np.append(starts[1:], len(words)), tail.tolist()
+            counters = [Counter(compress(words[i:j], rare[i:j])) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
+            n, rest, times = ends - starts, [list(c.keys()) for c in counters], [list(c.values()) for c in counters]
             columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *columns], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rest", "times"])
 
