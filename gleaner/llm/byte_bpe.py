@@ -29,7 +29,7 @@ from . import common
 #: \s of the Rust engines: the White_Space property (Python's also has \x1c to \x1f).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 CACHE = 100_000  #: keys in a generation of a worker's two memos
-PAIRS = 500_000  #: entries of the memo of pairs
+PAIRS = 500_000  #: entries of the memo of pairs (in proportion, if the memos are smaller)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -40,14 +40,15 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     """Encoder and decoder over a rank file.  pattern splits a text into pieces, as in the tiktoken library."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, cache: int = CACHE):
         ranks = read_ranks(path)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.pieces = {b.decode("latin-1"): i for b, i in ranks.items()}
         self.longest = max(map(len, self.pieces))
         self.memo: dict[int, bool] = {}
-        self.units = common.Memo(CACHE, self.word)
-        self.found = common.Memo(CACHE, lambda p: array("I", self.piece(p.encode().decode("latin-1"))).tobytes())
+        self.pairs = PAIRS * cache // CACHE
+        self.units = common.Memo(cache, self.word)
+        self.found = common.Memo(cache, lambda p: array("I", self.piece(p.encode().decode("latin-1"))).tobytes())
         # A token that its own merges do not produce is only ever found as a whole piece.
         self.inner = {s: i for s, i in self.pieces.items() if self.merged(s) == [i]}
         self.trie = ahocorasick.Automaton()
@@ -77,7 +78,7 @@ class ByteBPE:
     def compatible(self, a: int, b: int) -> bool:
         key = a << 32 | b
         if (known := self.memo.get(key)) is None:
-            if len(self.memo) >= PAIRS:
+            if len(self.memo) >= self.pairs:
                 self.memo.clear()
             known = self.memo[key] = self.merged((self.bytes_of[a] + self.bytes_of[b]).decode("latin-1")) == [a, b]
         return known
@@ -146,9 +147,9 @@ def decoded(table: dict[int, bytes], ids: bytes | None) -> bytes:
     return b"".join(map(table.__getitem__, array("I", ids or b"")))
 
 
-def coder(path: str, pattern: str) -> ByteBPE:
+def coder(path: str, pattern: str, cache: int = CACHE) -> ByteBPE:
     """One for each worker process."""
-    return common.worker_table(("byte_bpe", path, pattern), lambda: ByteBPE(path, pattern))
+    return common.worker_table(("byte_bpe", path, pattern, cache), lambda: ByteBPE(path, pattern, cache))
 
 
 def _added(df: DataFrame, columns: list[str], make) -> DataFrame:
@@ -167,14 +168,14 @@ def _added(df: DataFrame, columns: list[str], make) -> DataFrame:
     return df.mapInArrow(run, T.StructType([*df.schema.fields, *(T.StructField(c, T.BinaryType()) for c in columns)]))
 
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", verify: bool = False) -> DataFrame:
-    """df with the column out: the ids of text, packed as little-endian unsigned 32-bit integers.
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", verify: bool = False, cache: int = CACHE) -> DataFrame:
+    """df with the column out: the ids of text, packed as little-endian unsigned 32-bit integers.  cache: keys of a memo.
 
     With verify they are decoded in the same pass; ids that do not give the text back are a ValueError.
     """
 
     def make():
-        c, at = coder(path, pattern), df_columns.index(text)
+        c, at = coder(path, pattern, cache), df_columns.index(text)
 
         def one(x: str | None) -> bytes:
             ids = c.encode(x)

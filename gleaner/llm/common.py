@@ -26,9 +26,9 @@ ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package where it is not installed on the executors' path, and hand them rows in batches of
-    at most 1,000 where the session has Spark's own 10,000: texts are long, and a batch stands in memory several times."""
+    at most 500 where the session has Spark's own 10,000: texts are long, and a batch stands in memory several times."""
     if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, "1000")
+        spark.conf.set(ARROW_ROWS, "500")
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
