@@ -13,6 +13,7 @@ from gleaner.llm import byte_bpe, cnn, common, decontaminate, jaccard_join, secr
 
 #: Near duplicates: five words, similarity in hundredths.
 WORDS, PERCENT = 5, 80
+CACHE = 30_000  #: keys of the encoder's memos: executors' memory is fuller here than in an encoding job
 QUALITY = 0.5  #: least probability of a document that stays
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -73,7 +74,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     where = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where, verify=True)
+    ids = byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), *where, verify=True, cache=CACHE)
     return ids.select("doc_id", "lang", "source", F.expr("cast(octet_length(ids) / 4 as bigint)").alias("n_tokens"), "ids")
 
 
