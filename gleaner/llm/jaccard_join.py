@@ -185,7 +185,7 @@ FOLDED = [f"f{j}" for j in range(PARITY // 64)]
 
 def signature_rows(docs: DataFrame, job: Job, shared) -> DataFrame:
     """sig, a of every document's signatures; and, with sig null, its node: doc_id, a, b, n, rank (prefers common texts), parities."""
-    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("doc_id", pa.int64()), ("b", pa.int64()), ("n", pa.int32()), ("rank", pa.int32()), *((f, pa.int64()) for f in FOLDED), ("bits", pa.list_(pa.int64()))])
+    schema = pa.schema([("sig", pa.int64()), ("a", pa.int64()), ("doc_id", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("rank", pa.int32()), *((f, pa.int64()) for f in FOLDED), ("bits", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, frequent = shared.value
@@ -204,7 +204,7 @@ def signature_rows(docs: DataFrame, job: Job, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view("i8")), pa.array(a), *(pa.nulls(len(a), f.type) for f in list(schema)[2:])], schema=schema)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*nodes, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, f"sig long, a long, doc_id long, b long, n int, rank int, {', '.join(f'{f} long' for f in FOLDED)}, bits array<long>")
+    return docs.mapInArrow(run, f"sig long, a long, doc_id long, b long, n long, rank int, {', '.join(f'{f} long' for f in FOLDED)}, bits array<long>")
 
 
 def set_rows(docs: DataFrame, job: Job, wanted) -> DataFrame:
@@ -294,7 +294,7 @@ class Links:
         ids = common.spool(close.select(F.col("xdoc_id").alias("doc_id")).union(close.select("ydoc_id")).distinct(), "wanted")
         sets = set_rows(self.docs, self.job, self.share(bitmap_of(ids)))
         x, y = (sets.select(F.col("doc_id").alias(f"{k}doc_id"), F.col("a").alias(f"{k}a"), F.col("tokens").alias(f"{k}s")) for k in "xy")
-        both = close.join(x, ["xdoc_id", "xa"]).join(y, ["ydoc_id", "ya"]).withColumn("common", F.size(F.array_intersect("xs", "ys")))
+        both = close.join(x, ["xdoc_id", "xa"]).join(y, ["ydoc_id", "ya"]).withColumn("common", F.size(F.array_intersect("xs", "ys")).cast("long"))
         found = both.where(F.expr(f"100 * common >= {p} * (size(xs) + size(ys) - common)")).select(F.col("xl").alias("u"), F.col("yl").alias("v")).distinct()
         out = common.spool(found, "links")
         common.drop(close, ids)
