@@ -30,7 +30,7 @@ MASK_DELTA = 0xA282EAD8
 HEAD = struct.Struct("<QI")
 META = struct.Struct("<BBq")
 PROBE = "The  QUICK bröwn,\tfox. É.g. jump'd\r\n over <|endoftext|> 12 lazy-dogs...\x0band ÀÇ\x0cend"
-CACHE = 120_000  #: keys in a generation of a worker's two memos
+CACHE = 300_000  #: keys in a generation of a worker's two memos
 
 
 def masked(data) -> int:
