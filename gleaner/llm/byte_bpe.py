@@ -28,8 +28,8 @@ from . import common
 
 #: \s of the Rust engines: the White_Space property (Python's also has \x1c to \x1f).
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
-CACHE = 100_000  #: keys in a generation of a worker's two memos
-PAIRS = 500_000  #: entries of the memo of pairs (in proportion, if the memos are smaller)
+CACHE = 200_000  #: keys in a generation of a worker's two memos
+PAIRS = 1_000_000  #: entries of the memo of pairs (in proportion, if the memos are smaller)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
