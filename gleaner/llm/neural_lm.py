@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
+OUTPUTS, CLASSES, HEAD = 1023, 65, 98_304
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
 GROWTH, MOST = 4, 8192  #: words with an output of their own: per square root of a training token, and at most
 DIM, NOISE, DRAWN, STEPS, ROUNDS, RATE = 32, 10, 1024, 1000, 6, 0.2
@@ -37,7 +37,7 @@ SHRINK = 20  #: tokens that a vector of zeros is worth in each round
 BATCH, CHUNK = 65_536, 2_000_000  #: pairs of a step at most; pairs in a task's memory
 NEAREST = 0.65  #: weight of the model of the word right before
 END = b""  #: no word is empty
-FLUSH = 150_000  #: words that a task counts before it hands them on
+FLUSH = 300_000  #: words that a task counts before it hands them on
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -197,7 +197,11 @@ def descend(params, squares, unigram, c, o, n, rng) -> None:
         params[k][at] -= rate * g / (np.sqrt(squares[k][at]) + 1e-10)
 
     def right(s):
-        return 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # that a pair came from the data
+        """Probability that a pair came from the data, in place of its score."""
+        np.clip(s, -30, 30, out=s)
+        np.exp(np.negative(s, out=s), out=s)
+        s += 1
+        return np.reciprocal(s, out=s)
 
     passes = -(-STEPS // max(1, -(-len(c) // batch)))
     for turn in range(passes):
@@ -308,9 +312,14 @@ def train(pairs: DataFrame, vocab: Vocabulary) -> tuple[list[list[np.ndarray]],
     return models, logs.reshape(2, size + 1)
 
 
-def likelihood(model: list[np.ndarray], logs: np.ndarray, context: np.ndarray, out: np.ndarray) -> np.ndarray:
+def likelihood(model: list[np.ndarray], logs: np.ndarray, context: np.ndarray, out: np.ndarray, step: int = 8192) -> np.ndarray:
+    """Probabilities of outputs after contexts, some at a time so that gathered vectors stay in the processor's cache."""
     r, q, b = model
-    return np.concatenate([np.exp(np.einsum("ij,ij->i", r[context[k : k + 50_000]], q[out[k : k + 50_000]]) + b[out[k : k + 50_000]] - logs[context[k : k + 50_000]]) for k in range(0, len(out), 50_000)])
+    p = np.empty(len(out))
+    for k in range(0, len(out), step):
+        i, j = context[k : k + step], out[k : k + step]
+        p[k : k + step] = np.exp(np.einsum("ij,ij->i", r.take(i, 0), q.take(j, 0)) + b.take(j) - logs.take(i))
+    return p
 
 
 def score(docs: DataFrame, vocab: Vocabulary, models: tuple[list[list[np.ndarray]], np.ndarray], counts: DataFrame) -> DataFrame:
