@@ -52,7 +52,7 @@ def _(t):
     return t.documents.select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n"), F.array_join("w", " / ").alias("windows"))
 
 
-@query("mdl01_model_plug_in", f"select doc_id, {lexical_sql('text')} as score from documents", doubles="score")
+@query("mdl01_mdl06_model_plug_in", f"select doc_id, {lexical_sql('text')} as score from documents", doubles="score")
 def _(t):
     return S.apply_model(t.documents.select("doc_id", "text"), lambda: S.lexical_scorer(UP, DOWN), "text", "score").select("doc_id", "score")
 

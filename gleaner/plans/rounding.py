@@ -19,7 +19,7 @@ ROUNDED = {
     "sta16_clustered_errors": "coef se low high",
     "fig05_frame_heat_map": "legal narrative technical",
     "flagship_group_contrast": "d df difference mean1 mean2 t var1 var2",
-    "mdl01_model_plug_in": "score",
+    "mdl01_mdl06_model_plug_in": "score",
     "mdl02_mean_over_windows": "score",
     "mdl03_stance": "stance",
     "mdl04_document_sentiment": "sentiment",

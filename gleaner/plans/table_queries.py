@@ -266,7 +266,7 @@ def _(t):
     return P.assert_blind(P.buckets(t.labels, "doc_id", [("toxic", F.col("toxic") == 1, 15), ("low", F.col("quality") == 0, 15)]).select("doc_id", "bucket"), ["quality", "toxic"])
 
 
-@query("dat02_dat04_dates", "select o_orderkey, cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as bigint) as ordinal, quarter(o_orderdate) as quarter, strftime(o_orderdate, '%Y-%m-%d') as day, make_date(year(o_orderdate), (quarter(o_orderdate) - 1) * 3 + 2, 15) as mid from orders")
+@query("dat02_dat03_dat04_dates", "select o_orderkey, cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as bigint) as ordinal, quarter(o_orderdate) as quarter, strftime(o_orderdate, '%Y-%m-%d') as day, make_date(year(o_orderdate), (quarter(o_orderdate) - 1) * 3 + 2, 15) as mid from orders")
 def _(t):
     d = F.col("o_orderdate")
     return t.orders.select("o_orderkey", scalars.month_ordinal(d).alias("ordinal"), F.quarter(d).cast("long").alias("quarter"), F.date_format(d, "yyyy-MM-dd").alias("day"), scalars.mid_quarter(d).alias("mid"))
