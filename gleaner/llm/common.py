@@ -21,14 +21,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows in a batch where the session has Spark's own value: texts are long, and a batch stands in memory several times.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.parquet.columnarReaderBatchSize": ("4096", "1024")}
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed on the executors' path, and hand them rows in batches of
-    at most 500 where the session has Spark's own 10,000: texts are long, and a batch stands in memory several times."""
-    if spark.conf.get(ARROW_ROWS) == "10000":
-        spark.conf.set(ARROW_ROWS, "500")
+    """Let Python workers import this package where it is not installed on the executors' path; make batches smaller."""
+    for key, (given, smaller) in BATCHES.items():
+        if spark.conf.get(key) == given:
+            spark.conf.set(key, smaller)
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
