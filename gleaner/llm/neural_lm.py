@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-OUTPUTS, CLASSES, HEAD = 1023, 65, 98_304
+OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
-GROWTH, MOST = 4, 8192  #: words with an output of their own: per square root of a training token, and at most
+GROWTH, MOST = 4, 4096  #: words with an output of their own: per square root of a training token, and at most
 DIM, NOISE, DRAWN, STEPS, ROUNDS, RATE = 32, 10, 1024, 1000, 6, 0.2
 SHRINK = 20  #: tokens that a vector of zeros is worth in each round
 BATCH, CHUNK = 65_536, 2_000_000  #: pairs of a step at most; pairs in a task's memory
 NEAREST = 0.65  #: weight of the model of the word right before
 END = b""  #: no word is empty
-FLUSH = 300_000  #: words that a task counts before it hands them on
+FLUSH = 150_000  #: words that a task counts before it hands them on
 
 
 def tokens(text: bytes | None) -> list[bytes]:
