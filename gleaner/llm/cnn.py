@@ -138,7 +138,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Net:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     texts = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).withColumn("text", stretches(F.col("text")))
     rows = sorted(texts.collect(), key=lambda r: r.doc_id)
-    return fit([bytes(r.text) for r in rows], [r.quality for r in rows])
+    net = fit([bytes(r.text) for r in rows], [r.quality for r in rows])
+    del rows
+    common.trim()
+    return net
 
 
 def score(docs: DataFrame, net: Net, out: str = "score") -> DataFrame:

@@ -109,6 +109,13 @@ class Memo:
         return value
 
 
+def trim() -> None:
+    """Give memory that was freed back to the system."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _held: dict = {}
 
 
@@ -117,9 +124,7 @@ def worker_table(key, make=lambda: None):
     if key not in _held:
         if _held:
             _held.clear()
-            gc.collect()
-            with contextlib.suppress(OSError, AttributeError):  # the C library may be another one
-                ctypes.CDLL(None).malloc_trim(0)
+            trim()
         _held[key] = make()
     return _held[key]
 

@@ -246,6 +246,8 @@ class Links:
         shared = self.share((sketch, max(job.floor, int(8 * sketch.mean()))))
         rows = common.spool(signature_rows(docs, job, shared), "signatures")
         shared.unpersist()
+        del sketch, shared
+        common.trim()
         signed = rows.where("sig is not null").select("sig", "a")
         # Only signatures of two different sets matter.
         lists = common.spool(signed.groupBy("sig").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("sig"), "lists")
@@ -280,8 +282,8 @@ class Links:
         met = y.join(x, "sig").where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near()}"))
         return met.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xlabel").alias("xl"), F.col("ylabel").alias("yl")).distinct()
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
-        """u, v: the labels of pairs that link, spooled."""
+    def linked(self, pairs: DataFrame) -> DataFrame | None:
+        """u, v: the labels of pairs that link, spooled; None without any."""
         columns = ["doc_id", "a", "n", *FOLDED, "bits"]
         x, y = (self.nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}{c}") for c in columns)) for k in "xy")
         p = self.job.percent
@@ -292,6 +294,9 @@ class Links:
         unlike = "xbits is null or ybits is null or size(xbits) > 2 * size(ybits) or size(ybits) > 2 * size(xbits)"
         close = pairs.join(x, "x").join(y, "y").where(F.expr(f"{self.near()} and ({unlike} or {apart} * {100 + p} <= (xn + yn) * {100 - p})"))
         close = common.spool(close.select("xdoc_id", "xa", "ydoc_id", "ya", "xl", "yl"), "close")
+        if close.isEmpty():
+            common.drop(close)
+            return None
         ids = common.spool(close.select(F.col("xdoc_id").alias("doc_id")).union(close.select("ydoc_id")).distinct(), "wanted")
         sets = set_rows(self.docs, self.job, self.share(bitmap_of(ids)))
         x, y = (sets.select(F.col("doc_id").alias(f"{k}doc_id"), F.col("a").alias(f"{k}a"), F.col("tokens").alias(f"{k}s")) for k in "xy")
@@ -299,23 +304,26 @@ class Links:
         found = both.where(F.expr(f"100 * common >= {p} * (size(xs) + size(ys) - common)")).select(F.col("xl").alias("u"), F.col("yl").alias("v")).distinct()
         out = common.spool(found, "links")
         common.drop(close, ids)
-        return out
+        return None if out.isEmpty() else out
 
     def all(self) -> DataFrame:
         """u, v: linked nodes."""
         found, alive, turn = None, self.alive, 0
         while not alive.isEmpty():
             turn += 1
-            edges = self.linked(self.pairs(alive))
-            names = components(edges)
-            left = alive.where("not centre").drop("m", "centre").join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
-            left = left.withColumn("label", F.coalesce("new", "label")).drop("new")
+            edges, left, names = self.linked(self.pairs(alive)), alive.where("not centre").drop("m", "centre"), None
+            if edges is not None:
+                names = components(edges)
+                left = left.join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")
+                left = left.withColumn("label", F.coalesce("new", "label")).drop("new")
+                found = edges if found is None else found.union(edges)
+                self.made.append(edges)
             draw = f"xxhash64(sig, node, {turn})"
             chosen = F.expr(f"label <> top and pmod({draw}, {1 << 30}) * m < {GROWTH**turn} * {1 << 30}L")
             alive = self.listed(left, F.max_by("label", F.expr(draw)), chosen)
-            common.drop(names)
-            found = edges if found is None else found.union(edges)
-            self.made += [edges, alive]
+            self.made.append(alive)
+            if names is not None:
+                common.drop(names)
         return found if found is not None else self.nodes.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
 
 
