@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import licenses, secrets, sharding
 from .common import LOWER, UPPER
 
 LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
@@ -61,5 +61,57 @@ def licenses_sql() -> str:
     return f"with w as (select doc_id, {w} as w from documents), f as ({found}) select w.doc_id, cast(any_value(len(w)) as bigint) as n_words, count(p) as n_base, min(p) as first_word, max(p) as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels from w left join f using (doc_id) group by w.doc_id"
 
 
+def crc32_sql(hexed: str) -> str:
+    """CRC-32 of the bytes that the hexadecimal string shows."""
+    bytes_ = f"list_transform(regexp_extract_all({hexed}, '..'), lambda x: cast('0x' || x as bigint))"
+    bits = "list_reduce(range(8), lambda v, k: xor(v >> 1, 3988292384 * (v & 1)), xor(a, b))"
+    return f"xor(list_reduce({bytes_}, lambda a, b: {bits}, 4294967295::bigint), 4294967295)"
+
+
+def merkle_sql() -> str:
+    """Trees by recursion, level by level; each node's proof and fold by walking up."""
+
+    def leaf(n_chars: str) -> str:
+        field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+        return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+    hit = f"{crc32_sql('hex(cast(doc_id as varchar))')} % 7 = 0"
+    grow = "select tree, {more} pos // 2 as pos, sha256(string_agg(h, '' order by pos)) as h, any_value(total + 1) // 2 as total, level + 1 as level from {t} where total > 1 group by tree, pos // 2, level"
+    return f"""with recursive d as (select doc_id, coalesce('1' || lang, '0') as tree, {leaf('n_chars')} as leaf, case when {hit} and n_chars is not null then {leaf('n_chars + 1')} end as changed from documents),
+p as (select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as total from d),
+t(tree, pos, h, total, level) as (select tree, pos, leaf, total, 0 from p union all {grow.format(more='', t='t')}),
+s as (select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as total from t where total = 1),
+u(tree, pos, h, total, level) as (select '', pos, subroot, total, 0 from s union all {grow.format(more='', t='u')}),
+r as (select h as root from u where total = 1),
+b as (select tree, level, total, pos, h, max(level) over (partition by tree) as top from t),
+f(doc_id, tree, pos, level, above, h, proof, leaf) as (select doc_id, tree, pos, 0, false, coalesce(changed, leaf), '', leaf from p
+union all select f.doc_id, case when f.above or n.total > 1 then f.tree else f.tree end, case when n.total > 1 then f.pos // 2 else s.pos end, case when n.total > 1 then f.level + 1 else 0 end, f.above or n.total = 1, case when n.total > 1 then case when o.h is null then sha256(f.h) when f.pos % 2 = 0 then sha256(f.h || o.h) else sha256(o.h || f.h) end else f.h end, f.proof || case when n.total > 1 then coalesce(o.h, '') else '' end, f.leaf
+from f join (select tree, level, pos, total, false as above from t union all select '', level, pos, total, true from u) n on n.above = f.above and n.level = f.level and n.pos = f.pos and n.tree = case when f.above then '' else f.tree end
+left join (select tree, level, pos, h, false as above from t union all select '', level, pos, h, true from u) o on n.total > 1 and o.above = f.above and o.level = f.level and o.pos = xor(f.pos, 1) and o.tree = n.tree
+left join s on s.tree = f.tree where not (f.above and n.total = 1))
+select f.doc_id, f.leaf, s.subroot, r.root, sha256(f.proof) as proof_sha256, f.h as folded_root, f.h = r.root as verified
+from f join (select tree, max(level) as level from u group by tree) m on f.above and f.level = m.level join s on s.tree = f.tree, r"""
+
+
+def sharding_sql() -> str:
+    def shard(n: int) -> str:
+        draws = ", ".join(f"-ln((cast('0x' || substr(md5('{k}:' || coalesce(cast(doc_id as varchar), '')), 1, {sharding.DIGITS}) as bigint) + 0.5) / {16**sharding.DIGITS}.0::double)" for k in range(n))
+        return f"cast(list_position([{draws}], list_min([{draws}])) - 1 as integer)"
+
+    return f"""with d as (select doc_id, cast(coalesce(strlen(text), 0) + 1 as bigint) as size, {crc32_sql('h')} as text_crc32, {shard(sharding.SHARDS)} as shard, {shard(sharding.SHARDS + 1)} as grown_shard from (select *, hex(coalesce(text, '')) as h from documents))
+select doc_id, size, text_crc32, 'key' as law, shard, row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard from d"""
+
+
+TRIE = f"""with t as (select conv_id, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) as t, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as k from conversations where conv_id is not null),
+c as (select conv_id, list(t order by turn nulls first, k) as l, {crc32_sql('hex(cast(conv_id as varchar))')} % 6 as h from t group by conv_id),
+b as (select c.conv_id, list_concat(coalesce(o.l[1:c.h], []), c.l[c.h + 1:]) as l from c left join c o on o.conv_id = c.conv_id - c.conv_id % 100),
+m as (select conv_id, l[1:d] as p, d, d = len(l) as ends from (select *, unnest(range(0, len(l) + 1)) as d from b)),
+n as (select p, any_value(d) as depth, min(conv_id) as conv_id, count(*) as n_convs, sha256(coalesce(string_agg(conv_id, ',' order by conv_id) filter (ends), '')) as ends_sha256 from m group by p),
+k as (select p[1:depth - 1] as p, count(*) as n_children from n where depth > 0 group by 1),
+a as (select n.*, coalesce(n_children, 0) as n_children, case when depth = 0 then 0 else (n_convs - 1) * length(n.p[depth].x) end as saved from n left join k on k.p = n.p),
+s as (select u as p, count(*) filter (n_children = 0) as n_leaves, sum(saved) as saved_tokens from (select n_children, saved, p[1:j] as u from (select *, unnest(range(0, depth + 1)) as j from a)) group by u)
+select a.conv_id, a.depth, case when a.depth > 0 then o.conv_id end as parent_conv_id, a.n_convs, a.n_children, s.n_leaves, cast(s.saved_tokens as bigint) as saved_tokens, a.ends_sha256 from a join s on s.p = a.p left join a o on o.p = a.p[1:a.depth - 1] and o.depth = a.depth - 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_jaccard_join": JACCARD, "op6_warc": WARC, "op8_secrets": secrets_sql(), "llm_base_quality_rules": QUALITY, "llm_base_licenses": licenses_sql()}
+    return {"op4_jaccard_join": JACCARD, "op6_warc": WARC, "op8_secrets": secrets_sql(), "op11_merkle": merkle_sql(), "op12_sharding": sharding_sql(), "op13_prefix_trie": TRIE, "llm_base_quality_rules": QUALITY, "llm_base_licenses": licenses_sql()}

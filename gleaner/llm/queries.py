@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, cnn, decontaminate, jaccard_join, licenses, neural_lm, quality_rules, secrets, token_file, warc
+from . import byte_bpe, cnn, decontaminate, jaccard_join, licenses, merkle, neural_lm, prefix_trie, quality_rules, secrets, sharding, token_file, warc
 from .common import table
 from .oracles import oracle_sql  # noqa: F401  part of this module's interface
 
@@ -22,5 +22,8 @@ def queries():
         "llm_base_quality_rules": lambda spark, d: quality_rules.digests(table(spark, d, "documents")).drop("kept", "probability"),
         "llm_base_licenses": lambda spark, d: licenses.digests(table(spark, d, "documents")).drop("labels", "score"),
         "op10_cnn": lambda spark, d: cnn.digests(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op11_merkle": lambda spark, d: merkle.digests(table(spark, d, "documents")),
+        "op12_sharding": lambda spark, d: sharding.digests(table(spark, d, "documents")),
+        "op13_prefix_trie": lambda spark, d: prefix_trie.digests(table(spark, d, "conversations")),
     }
 

@@ -9,7 +9,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         db.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got, want = queries.queries()[name](spark, DATA), db.sql(queries.oracle_sql()[name])
     columns = sorted(got.columns)
