@@ -1,15 +1,10 @@
-"""The functions of text.py that need match offsets, on one text: for single texts, and as brute force in tests; and kernel(),
-which runs such a function as Arrow batches where a pattern is beyond the JVM's expressions."""
+"""The functions of text.py that need match offsets, on one text: for single texts, and as brute force in tests."""
 
 from __future__ import annotations
 
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from . import text as T
 
 QUOTED = re.compile(T.QUOTE)
@@ -69,26 +64,3 @@ def centrality(headline: str, body: str, pattern: str) -> tuple[float, float, fl
     opening = sum(a < T.NEAR_START or any(c in body[a - T.NEAR_START : a] for c in ".!?\n") for a, _ in at)
     parts = float(bool(hit.search(headline or ""))), float(bool(hit.search(" ".join(sentences[: T.LEDE])))), rate / (rate + 1), 1 - sources / len(at) if at else 0.0, opening / len(at) if at else 0.0
     return (*parts, round(sum(w * x for w, x in zip(T.CENTRALITY.values(), parts, strict=True)), 4))
-
-
-def kernel(df: DataFrame, function, inputs: list[str], out: str, kind: str, guard=None) -> DataFrame:
-    """df with function(*inputs) as column out; rows that fail the native guard send empty texts (nulls do as well)."""
-
-    def rows(frame: pd.DataFrame) -> list:
-        return [function(*r) for r in frame.itertuples(index=False, name=None)]
-
-    if kind.startswith("struct"):
-        names = [c.split(":")[0].strip() for c in kind[7:-1].split(",")]
-
-        @F.pandas_udf(kind)
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(rows(frame), columns=names)
-    else:
-
-        @F.pandas_udf(kind)
-        def run(frame: pd.DataFrame) -> pd.Series:
-            return pd.Series(rows(frame))
-
-    columns = [F.coalesce(F.col(c), F.lit("")) for c in inputs]
-    guarded = columns if guard is None else [F.when(guard, c).otherwise("") for c in columns]
-    return df.withColumn(out, run(F.struct(*(c.alias(n) for c, n in zip(guarded, inputs, strict=True)))))

@@ -20,13 +20,24 @@ def normal_quantile(p: float) -> float:
     return (low + high) / 2
 
 
-def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function, by the continued fraction of Lentz."""
+def stirling_rest(x: float) -> float:
+    """log gamma(x) less (x - 1/2) log x - x + log(2 pi) / 2."""
+    if x < 30:
+        return math.lgamma(x) - (x - 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi)
+    return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+
+
+def beta_inc(a: float, b: float, x: float, y: float | None = None) -> float:
+    """Regularised incomplete beta function, by the continued fraction of Lentz; y is 1 - x where that is known to more digits."""
     if x <= 0 or x >= 1:
         return float(x >= 1)
+    y = 1 - x if y is None else y
     if x > (a + 1) / (a + b + 2):
-        return 1 - beta_inc(b, a, 1 - x)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+        return 1 - beta_inc(b, a, y, x)
+    large, less = max(a, b), min(a, b)
+    gammas = (large - 0.5) * math.log1p(less / large) + less * math.log(a + b) - (less - 0.5) * math.log(less) - 0.5 * math.log(2 * math.pi) + stirling_rest(a + b) - stirling_rest(a) - stirling_rest(b)
+    logs = a * (math.log1p(-y) if x > 0.5 else math.log(x)) + b * (math.log1p(-x) if y > 0.5 else math.log(y))
+    front = math.exp(gammas + logs) / a
     tiny = 1e-300
     c, d = 1.0, 1 / max(tiny, 1 - (a + b) * x / (a + 1)) if abs(1 - (a + b) * x / (a + 1)) > tiny else 1 / tiny
     f = d
@@ -43,7 +54,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return beta_inc(df / 2, 0.5, df / (df + t * t))
+    return beta_inc(df / 2, 0.5, df / (df + t * t), t * t / (df + t * t))
 
 
 def t_upper(t: float, df: float) -> float:

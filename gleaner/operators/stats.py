@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import distributions as P
 from ..functions import tails
 
 # ---- moments and the tests on them -------------------------------------------------------------------------------------
@@ -24,7 +25,7 @@ def moments(df: DataFrame, by: list[str], value: str, where: Column | None = Non
 
 
 def contrast(df: DataFrame, by: list[str], value: str, group: Column, where: Column | None = None) -> DataFrame:
-    """One scan: moments of both groups (group true: 1), their difference, Welch's t and df, and Cohen's d (0 without spread)."""
+    """One scan: moments of both groups (group true: 1), their difference, Welch's t, df and two-sided p, and Cohen's d (0 without spread)."""
     v = F.col(value).cast("double") if where is None else F.when(where, F.col(value).cast("double"))
     one, two = F.when(group, v), F.when(~group, v)
     names = [(one, "1"), (two, "2")]
@@ -33,10 +34,10 @@ def contrast(df: DataFrame, by: list[str], value: str, group: Column, where: Col
 
 
 def finish_contrast(m: DataFrame) -> DataFrame:
-    """difference, t, df and d from n1, mean1, var1, n2, mean2, var2."""
+    """difference, t, df, p (two-sided) and d from n1, mean1, var1, n2, mean2, var2."""
     a, b = F.expr("try_divide(var1, n1)"), F.expr("try_divide(var2, n2)")
     pooled = F.sqrt(F.expr("try_divide((n1 - 1) * var1 + (n2 - 1) * var2, n1 + n2 - 2)"))
-    return m.withColumns(
+    found = m.withColumns(
         {
             "difference": F.col("mean1") - F.col("mean2"),
             "t": F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(a + b)),
@@ -44,10 +45,7 @@ def finish_contrast(m: DataFrame) -> DataFrame:
             "d": F.when(pooled == 0, 0.0).otherwise(F.try_divide(F.col("mean1") - F.col("mean2"), pooled)),
         }
     )
-
-
-def welch_p(t: float, df: float) -> float:
-    return tails.t_two_sided(t, df)
+    return found.withColumn("p", P.t_two_sided(F.col("t"), F.col("df")))
 
 
 def tost(n1, m1, v1, n2, m2, v2, bound_sd: float = 0.2, welch: bool = False) -> dict:
@@ -97,14 +95,14 @@ def value_ranks(df: DataFrame, value: str, group: Column, by: list[str] | None =
 
 
 def rank_test(df: DataFrame, value: str, group: Column, by: list[str] | None = None) -> DataFrame:
-    """Mann-Whitney U of group true, z (ties corrected, continuity), Cliff's delta and the area under the ROC curve."""
+    """Mann-Whitney U of group true, z (ties corrected, continuity) and its two-sided p, Cliff's delta and the area under the ROC curve."""
     r = value_ranks(df, value, group, by)
     t = F.col("n1") + F.col("n2")
     s = r.groupBy(*(by or [])).agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2"), F.sum(F.col("n1") * F.col("rank")).alias("r1"), F.sum((t * t * t - t).cast("double")).alias("ties"))
     n, m = F.col("n1").cast("double"), F.col("n2").cast("double")
     u = F.col("r1") - n * (n + 1) / 2
     sd = F.sqrt(n * m / 12 * (n + m + 1 - F.try_divide(F.col("ties"), (n + m) * (n + m - 1))))
-    return s.withColumns({"u": u, "z": F.try_divide(F.greatest(F.abs(u - n * m / 2) - 0.5, F.lit(0.0)) * F.signum(u - n * m / 2), sd), "delta": F.try_divide(2 * u, n * m) - 1, "auc": F.try_divide(u, n * m)}).drop("r1", "ties")
+    return s.withColumns({"u": u, "z": F.try_divide(F.greatest(F.abs(u - n * m / 2) - 0.5, F.lit(0.0)) * F.signum(u - n * m / 2), sd), "delta": F.try_divide(2 * u, n * m) - 1, "auc": F.try_divide(u, n * m)}).withColumn("p", P.normal_two_sided(F.col("z"))).drop("r1", "ties")
 
 
 def average_rank(df: DataFrame, value: str, out: str, by: list[str]) -> DataFrame:
@@ -123,27 +121,35 @@ def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
+def pearson(df: DataFrame, x: str, y: str, by: list[str], least: int = 11) -> DataFrame:
+    """r of complete pairs and its two-sided p, of groups of at least so many pairs."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by).agg(F.corr(x, y).alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300))))
+    return both.withColumn("p", P.t_two_sided(t, F.col("n") - 2))
+
+
 # ---- contingency tables -------------------------------------------------------------------------------------------------
 
 
 def chi2(table: DataFrame, row: str, col: str, n: str = "n") -> DataFrame:
-    """Statistic, degrees of freedom, Cramer's V of a long table of counts (absent cells are 0; empty rows do not count)."""
+    """Statistic, degrees of freedom, p and Cramer's V of a long table of counts (absent cells are 0; empty rows do not count)."""
     cells = table.where(F.col(row).isNotNull() & F.col(col).isNotNull() & (F.col(n) > 0))
     rows, cols = cells.groupBy(row).agg(F.sum(n).alias("_r")), cells.groupBy(col).agg(F.sum(n).alias("_c"))
     total = cells.agg(F.sum(n).alias("_t"))
     # Sum of (n - e)^2 / e over all cells equals t * (sum of n^2 / (r c) - 1), absent cells included.
     s = cells.join(rows, row).join(cols, col).agg(F.sum(F.col(n) * F.col(n) / (F.col("_r") * F.col("_c"))).alias("_s"), F.count_distinct(row).alias("_nr"), F.count_distinct(col).alias("_nc")).crossJoin(total)
     stat = F.col("_t") * (F.col("_s") - 1)
-    return s.select(stat.alias("chi2"), ((F.col("_nr") - 1) * (F.col("_nc") - 1)).alias("dof"), F.sqrt(F.try_divide(stat, F.col("_t") * (F.least("_nr", "_nc") - 1))).alias("cramers_v"), F.col("_t").alias("n"))
+    dof = (F.col("_nr") - 1) * (F.col("_nc") - 1)
+    return s.select(stat.alias("chi2"), dof.alias("dof"), P.chi2_upper(stat, dof).alias("p"), F.sqrt(F.try_divide(stat, F.col("_t") * (F.least("_nr", "_nc") - 1))).alias("cramers_v"), F.col("_t").alias("n"))
 
 
 def two_by_two(df: DataFrame, a: Column, b: Column, by: list[str]) -> DataFrame:
-    """Counts n11, n10, n01, n00 with Yates's chi-square, phi and the risk ratio of a by b."""
+    """Counts n11, n10, n01, n00 with Yates's chi-square and its p, phi and the risk ratio of a by b."""
     c = df.groupBy(*by).agg(*(F.count_if((a == F.lit(bool(i))) & (b == F.lit(bool(j)))).alias(f"n{i}{j}") for i in (1, 0) for j in (1, 0)))
     n = F.expr("cast(n11 + n10 + n01 + n00 as double)")
     cross = F.greatest(F.abs(F.expr("cast(n11 as double) * n00 - cast(n10 as double) * n01")) - n / 2, F.lit(0.0))
     stat = F.try_divide(n * cross * cross, F.expr("cast(n11 + n10 as double) * (n01 + n00) * (n11 + n01) * (n10 + n00)"))
-    return c.withColumns({"chi2": stat, "phi": F.sqrt(stat / n), "risk_ratio": F.expr("try_divide(try_divide(n11, n11 + n01), try_divide(n10, n10 + n00))")})
+    return c.withColumns({"chi2": stat, "p": P.chi2_upper(stat, F.lit(1.0)), "phi": F.sqrt(stat / n), "risk_ratio": F.expr("try_divide(try_divide(n11, n11 + n01), try_divide(n10, n10 + n00))")})
 
 
 def kappa(df: DataFrame, a: str, b: str, labels: list | None = None, by: list[str] | None = None) -> DataFrame:
@@ -162,21 +168,6 @@ def kappa(df: DataFrame, a: str, b: str, labels: list | None = None, by: list[st
 # ---- resampling ----------------------------------------------------------------------------------------------------------
 
 
-def bootstrap_ci(df: DataFrame, by: list[str], value: str, order: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean by group, with numpy's generator over rows in order.  For groups that fit one task;
-    poisson_bootstrap() is the form for larger ones."""
-    schema = df.select(*by).schema.simpleString()[7:-1]
-
-    def run(frame):
-        x = frame.sort_values(order)[value].to_numpy("f8")
-        rng = np.random.default_rng(seed)
-        means = np.array([x[rng.integers(0, len(x), len(x))].mean() for _ in range(reps)])
-        low, high = np.percentile(means, [2.5, 97.5])
-        return frame[by].head(1).assign(mean=x.mean(), low=low, high=high)
-
-    return df.where(F.col(value).isNotNull()).select(*by, order, F.col(value).cast("double").alias(value)).groupBy(*by).applyInPandas(run, f"{schema.replace(':', ' ')}, mean double, low double, high double")
-
-
 def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: str, reps: int = 200, seed: int = 42) -> DataFrame:
     """The same by Poisson(1) weights drawn from a hash of the row's key: one pass, partial sums, any group size."""
     steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(6)]
@@ -304,105 +295,6 @@ def agreement(pairs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame
     return table, long.where("value_a <> value_b")
 
 
-POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
-
-
-def weights_of(keys: np.ndarray, reps: int) -> np.ndarray:
-    """Poisson(1) weights by row (a hash of its key) and replicate: the same wherever the row is."""
-    with np.errstate(over="ignore"):
-        x = keys.view("u8")[:, None] + np.arange(1, reps + 1, dtype="u8")[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-        x ^= x >> np.uint64(31)
-    return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype("f8")
-
-
-def bootstrap_contrast(df: DataFrame, value: str, group: Column, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
-    """statistic, estimate, low, high: percentile intervals of both means, their difference and Cohen's d.
-
-    Rows get Poisson(1) weights by a hash of their key; every task sums weighted moments for all replicates at once and
-    hands on two rows a replicate, whatever its input.
-    """
-
-    def run(batches):
-        sums = np.zeros((2, reps, 3))
-        for b in batches:
-            keys, first, v = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "first", "value"))
-            for j in range(0, len(v), 1024):
-                w, x, g = weights_of(keys[j : j + 1024], reps), v[j : j + 1024], first[j : j + 1024].astype(bool)
-                for side in (0, 1):
-                    at = g == (side == 0)
-                    sums[side] += w[at].T @ np.stack([np.ones(at.sum()), x[at], x[at] ** 2], 1)
-        import pyarrow as pa
-
-        columns = [np.repeat([1, 2], reps), np.tile(np.arange(reps), 2), *sums.reshape(-1, 3).T]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["side", "rep", "w", "s", "q"])
-
-    rows = df.where(F.col(value).isNotNull() & group.isNotNull()).select(F.xxhash64(F.col(key), F.lit(seed)).alias("key"), group.cast("int").alias("first"), F.col(value).cast("double").alias("value"))
-    parts = rows.mapInArrow(run, "side long, rep long, w double, s double, q double").groupBy("rep")
-    m = parts.agg(*(F.sum(F.when(F.col("side") == k, F.col(c))).alias(f"{n}{k}") for k in (1, 2) for n, c in (("n", "w"), ("s", "s"), ("q", "q"))))
-    moments = m.select(*(e for k in "12" for e in (F.col(f"n{k}"), F.expr(f"try_divide(s{k}, n{k})").alias(f"mean{k}"), F.expr(f"try_divide(q{k} - try_divide(s{k} * s{k}, n{k}), n{k} - 1)").alias(f"var{k}"))))
-    names = {"mean1": "mean_1", "mean2": "mean_2", "difference": "difference", "d": "d"}
-    q = finish_contrast(moments).agg(*(F.percentile(c, F.array(F.lit(0.025), F.lit(0.975))).alias(f"q_{c}") for c in names))
-    both = q.crossJoin(contrast(df, [], value, group))  # two single rows
-    return both.select(F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(c).alias("estimate"), F.col(f"q_{c}")[0].alias("low"), F.col(f"q_{c}")[1].alias("high")) for c, n in names.items()))).alias("r")).select("r.*")
-
-
-def kappa_of(table: np.ndarray) -> np.ndarray:
-    """Cohen's kappa of tables (..., a, b) of counts; nan where chance alone explains all."""
-    n = table.sum((-2, -1))
-    with np.errstate(all="ignore"):
-        agree = np.trace(table, axis1=-2, axis2=-1) / n
-        chance = (table.sum(-1) * table.sum(-2)).sum(-1) / n**2
-        return np.where(chance < 1, (agree - chance) / (1 - chance), np.nan)
-
-
-def kappa_ci(df: DataFrame, a: str, b: str, labels: list, reps: int = 2000, seed: int = 42) -> dict:
-    """n, kappa and its bootstrap interval over pairs of the given labels: resampled pairs are a multinomial draw of the table
-    of counts, so only that table (labels by labels) reaches the driver."""
-    counts = df.where(F.col(a).isin(labels) & F.col(b).isin(labels)).groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.count("*").alias("n")).collect()
-    table = np.zeros((len(labels), len(labels)), "i8")
-    for r in counts:
-        table[labels.index(r.x), labels.index(r.y)] = r.n
-    n = int(table.sum())
-    if n < 5:  # fixed value: below, there is no interval
-        return {"n": n, "kappa": float(kappa_of(table.astype("f8"))) if n else math.nan, "low": math.nan, "high": math.nan}
-    drawn = kappa_of(np.random.default_rng(seed).multinomial(n, table.ravel() / n, reps).reshape(-1, *table.shape).astype("f8"))
-    drawn = drawn[~np.isnan(drawn)]
-    low, high = np.percentile(drawn, [2.5, 97.5]) if len(drawn) else (math.nan, math.nan)
-    return {"n": n, "kappa": float(kappa_of(table.astype("f8"))), "low": float(low), "high": float(high)}
-
-
-def proportion_ci(k: int, n: int, reps: int = 2000, seed: int = 42) -> tuple[float, float]:
-    """Bootstrap interval of a proportion by order statistics: a resample of 0/1 values is a binomial draw; none for n < 2."""
-    if n < 2:
-        return math.nan, math.nan
-    drawn = np.sort(np.random.default_rng(seed).binomial(n, k / n, reps) / n)
-    return float(drawn[round(0.025 * (reps - 1))]), float(drawn[round(0.975 * (reps - 1))])
-
-
-def agreement(pairs: DataFrame, fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Of coder pairs with <field>_a and <field>_b: agreement by coder pair and field (n, n_equal, share), and the rows that
-    differ (packet, coders, field, both values).  Pairs with a blank label do not count."""
-    each = F.array(*(F.struct(F.lit(f).alias("field"), F.trim(f"{f}_a").alias("value_a"), F.trim(f"{f}_b").alias("value_b")) for f in fields))
-    long = pairs.select("packet", "coder_a", "coder_b", F.explode(each).alias("x")).select("packet", "coder_a", "coder_b", "x.*").where("value_a <> '' and value_b <> ''")
-    table = long.groupBy("coder_a", "coder_b", "field").agg(F.count("*").alias("n"), F.count_if(F.col("value_a") == F.col("value_b")).alias("n_equal")).withColumn("share", F.col("n_equal") / F.col("n"))
-    return table, long.where("value_a <> value_b")
-
-
-def cluster_bootstrap(df: DataFrame, cluster: str, value: str, group: Column, reps: int = 2000, seed: int = 42) -> dict:
-    """Difference of group means over resampled clusters; only each cluster's counts and sums reach the driver."""
-    v = F.col(value).cast("double")
-    rows = df.groupBy(cluster).agg(F.count(F.when(group, v)).alias("n1"), F.sum(F.when(group, v)).alias("s1"), F.count(F.when(~group, v)).alias("n2"), F.sum(F.when(~group, v)).alias("s2")).orderBy(cluster).collect()
-    a = np.array([[r.n1, r.s1 or 0, r.n2, r.s2 or 0] for r in rows], "f8").reshape(-1, 4)
-    rng = np.random.default_rng(seed)
-    sums = np.array([a[rng.integers(0, len(a), len(a))].sum(0) for _ in range(reps)])
-    ok = (sums[:, 0] > 0) & (sums[:, 2] > 0)
-    diff = sums[ok, 1] / sums[ok, 0] - sums[ok, 3] / sums[ok, 2]
-    p = max(1 / reps, min(1.0, 2 * min((diff <= 0).mean(), (diff >= 0).mean())))
-    return {"difference": float(a[:, 1].sum() / a[:, 0].sum() - a[:, 3].sum() / a[:, 2].sum()), "low": float(np.percentile(diff, 2.5)), "high": float(np.percentile(diff, 97.5)), "p": float(p), "n_clusters": len(a)}
-
-
 # ---- linear models and time series ---------------------------------------------------------------------------------------
 
 
@@ -460,7 +352,7 @@ def segmented(design: list, lag: int | None = 3, least: int = 6) -> dict:
     rows = sorted(design, key=lambda r: r.month)
     pre, post = sum(r.post == 0 for r in rows), sum(r.post == 1 for r in rows)
     if pre < least or post < least:
-        return {"status": "insufficient_pre_post_months", "n_pre": pre, "n_post": post}
+        return {"status": "too few months", "n_pre": pre, "n_post": post}
     x = np.array([[1, r.time, r.post, r.time_after] for r in rows], "f8")
     y, w = np.array([r.mean for r in rows]), np.array([r.n for r in rows], "f8")
     xw, yw = x * np.sqrt(w)[:, None], y * np.sqrt(w)
@@ -501,7 +393,7 @@ def glsar(design: list, most: int = 50, tolerance: float = 1e-4, least: int = 6)
     rows = sorted(design, key=lambda r: r.month)
     pre, post = sum(r.post == 0 for r in rows), sum(r.post == 1 for r in rows)
     if pre < least or post < least:
-        return {"status": "insufficient_pre_post_months", "n_pre": pre, "n_post": post}
+        return {"status": "too few months", "n_pre": pre, "n_post": post}
     x, y = np.array([[1, r.time, r.post, r.time_after] for r in rows], "f8"), np.array([r.mean for r in rows], "f8")
     n, rho, last, turn = len(y), 0.0, None, 0
 

@@ -42,27 +42,29 @@ ROUNDED = {
     "sco07_sco08_theme_validation": "score",
     "sco09_indicator_score": "score",
     "src05_snk03_jsonl": "value",
-    "sta01_sta02_welch_cohen": "d df difference t",
-    "sta03_sta04_sta35_rank_tests": "auc delta u",
+    "sta01_sta02_welch_cohen": "d df difference p t",
+    "sta03_sta04_sta35_rank_tests": "auc delta p u",
     "sta09_win06_bh_adjust": "p_bh",
-    "sta10_sta12_chi2_cramers": "chi2 cramers_v",
-    "sta11_fig12_yates_risk_ratio": "chi2 risk_ratio",
-    "sta14_pearson_pairs": "r",
+    "sta10_sta12_chi2_cramers": "chi2 cramers_v p",
+    "sta11_fig12_yates_risk_ratio": "chi2 p risk_ratio",
+    "sta14_pearson_pairs": "p r",
+    "sta14_pearson_unrelated": "p r",
+    "sta01_sta09_contrasts_adjusted": "p p_bh",
     "sta15_spearman": "rho",
     "sta16_ols_coefficients": "intercept slope",
     "sta17_its_design": "mean",
     "sta17_its_normal_equations": "b0 b1 s00 s01 s02 s03",
     "sta20_durbin_watson": "dw",
-    "sta22_pre_post_contrast": "d df difference t",
-    "sta23_fig15_quarterly_effect": "d df difference t",
-    "sta24_sta40_leave_one_out": "d df difference t",
+    "sta22_pre_post_contrast": "d df difference p t",
+    "sta23_fig15_quarterly_effect": "d df difference p t",
+    "sta24_sta40_leave_one_out": "d df difference p t",
     "sta25_weighting_variants": "mean",
     "sta26_zero_inflation": "mean_nonzero share_zero",
-    "sta27_fig03_paired_contrast": "d df difference t",
-    "sta28_sta29_sta30_sensitivity": "d df difference t",
+    "sta27_fig03_paired_contrast": "d df difference p t",
+    "sta28_sta29_sta30_sensitivity": "d df difference p t",
     "sta31_kappa_fixed_labels": "kappa",
     "sta31_sta34_kappa": "agreement kappa",
-    "sta35_auc": "auc delta u",
+    "sta35_auc": "auc delta p u",
     "sta36_sta38_wilson": "high low",
     "sta37_threshold_recall": "precision recall",
     "top01_exemplars": "o_totalprice",

@@ -15,12 +15,39 @@ AT = "1998-06-15"
 MOMENTS = "count({v}) filter ({g}) as n1, avg({v}) filter ({g}) as mean1, var_samp({v}) filter ({g}) as var1, count({v}) filter (not ({g})) as n2, avg({v}) filter (not ({g})) as mean2, var_samp({v}) filter (not ({g})) as var2"
 
 
+#: Tail probabilities by Simpson's rule over u = low + s / (1 - s), for s from 0 to 1: another way than the library's.
+CUTS = 4000
+
+
+def upper(density: str, low: str) -> str:
+    """SQL: the integral of a density (of u) from low up."""
+    s = f"(i / {CUTS}.0::double)"
+    each = f"({density.replace('{u}', f'({low} + {s} / (1 - {s}))')}) / power(1 - {s}, 2) * case when i = 0 then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"(list_sum(list_transform(range(0, {CUTS}), lambda i: {each})) / {3 * CUTS}.0)"
+
+
+def t_tail(t: str, df: str) -> str:
+    return f"2 * {upper(f'exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) - ({df} + 1) / 2 * ln(1 + {{u}} * {{u}} / {df}))', f'abs({t})')}"
+
+
+def normal_tail(z: str) -> str:
+    return f"2 * {upper('exp(-{u} * {u} / 2) / sqrt(2 * pi())', f'abs({z})')}"
+
+
+def chi2_tail(x: str, df: str) -> str:
+    return upper(f"exp(({df} / 2.0 - 1) * ln({{u}}) - {{u}} / 2 - {df} / 2.0 * ln(2) - lgamma({df} / 2.0))", x)
+
+
 def finished(inner: str, keep: str = "") -> str:
-    return f"select {keep} n1, n2, round(mean1 - mean2, 6) as difference, round((mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0), 6) as t, round(power(var1 / n1 + var2 / n2, 2) / nullif(power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1), 0), 4) as df, round(case when (n1 - 1) * var1 + (n2 - 1) * var2 = 0 then 0 else (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) end, 6) as d from ({inner})"
+    return f"select {keep} n1, n2, difference, round(t, 6) as t, round(df, 4) as df, round(d, 6) as d, {t_tail('t', 'df')} as p from ({unrounded(inner, keep)})"
+
+
+def unrounded(inner: str, keep: str = "") -> str:
+    return f"select {keep} n1, n2, round(mean1 - mean2, 6) as difference, (mean1 - mean2) / nullif(sqrt(var1 / n1 + var2 / n2), 0) as t, power(var1 / n1 + var2 / n2, 2) / nullif(power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1), 0) as df, case when (n1 - 1) * var1 + (n2 - 1) * var2 = 0 then 0 else (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) end as d from ({inner})"
 
 
 def shown(df, *keep):
-    return df.select(*keep, "n1", "n2", F.round("difference", 6).alias("difference"), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("d", 6).alias("d"))
+    return df.select(*keep, "n1", "n2", F.round("difference", 6).alias("difference"), F.round("t", 6).alias("t"), F.round("df", 4).alias("df"), F.round("d", 6).alias("d"), "p")
 
 
 def scored(t):
@@ -83,6 +110,16 @@ def _(t):
     return shown(A.contrast(o, ["r_name"], "o_totalprice", F.col("c_mktsegment") == "BUILDING"), "r_name")
 
 
+PRICES = MOMENTS.format(v="l_extendedprice", g="l_discount >= 0.05")
+
+
+@query("sta01_sta09_contrasts_adjusted", f"with p as (select supplier, p from ({finished(f'select l_suppkey % 40 as supplier, {PRICES} from lineitem group by 1', 'supplier,')})), r as (select *, rank() over (order by p) + count(*) over (partition by p) - 1 as k, count(*) over () as m from p) select supplier, p, least(1.0, min(p * m / k) over (order by p desc)) as p_bh from r", doubles="p_bh")
+def _(t):
+    """Contrasts by group, their p-values and the adjusted ones, in one plan."""
+    c = A.contrast(t.lineitem.withColumn("supplier", F.col("l_suppkey") % 40), ["supplier"], "l_extendedprice", F.col("l_discount") >= 0.05)
+    return A.benjamini_hochberg(c.where("p is not null"), "p").select("supplier", "p", "p_bh")
+
+
 SUBSETS = {"all": "true", "english": "lang = 'en'", "clean": "toxic = 0", "short": "chars < 2000"}
 
 
@@ -108,18 +145,18 @@ def _(t):
     return A.benjamini_hochberg(p, "p", by=["family"]).select("family", "l_orderkey", "l_linenumber", F.round("p_bh", 9).alias("p_bh"))
 
 
-RANK_SQL = "with v as (select {by} {v} as v, {g} as g from {src}), r as (select *, rank() over ({p} order by v) + (count(*) over (partition by {byp} v) - 1) / 2.0 as k from v), s as (select {by} count(*) filter (g) as n1, count(*) filter (not g) as n2, sum(k) filter (g) as r1 from r {grp}) select {by} n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 3) as u, round(2 * (r1 - n1 * (n1 + 1) / 2.0) / (cast(n1 as double) * n2) - 1, 9) as delta, round((r1 - n1 * (n1 + 1) / 2.0) / (cast(n1 as double) * n2), 9) as auc from s"
+RANK_SQL = "with v as (select {by} {v} as v, {g} as g from {src}), r as (select *, rank() over ({p} order by v) + (count(*) over (partition by {byp} v) - 1) / 2.0 as k from v), s as (select {by} count(*) filter (g) as n1, count(*) filter (not g) as n2, sum(k) filter (g) as r1 from r {grp}), e as (select {by} sum(power(c, 3) - c) as ties from (select {by} v, cast(count(*) as double) as c from v where v is not null and g is not null group by {by} v) {grp}), z as (select *, (greatest(abs(r1 - n1 * (n1 + 1) / 2.0 - cast(n1 as double) * n2 / 2) - 0.5, 0)) / sqrt(cast(n1 as double) * n2 / 12 * (n1 + n2 + 1 - ties / (cast(n1 + n2 as double) * (n1 + n2 - 1)))) as z from s {join} e {on}) select {by} n1, n2, round(r1 - n1 * (n1 + 1) / 2.0, 3) as u, round(2 * (r1 - n1 * (n1 + 1) / 2.0) / (cast(n1 as double) * n2) - 1, 9) as delta, round((r1 - n1 * (n1 + 1) / 2.0) / (cast(n1 as double) * n2), 9) as auc, {tail} as p from z"
 
 
-@query("sta03_sta04_sta35_rank_tests", RANK_SQL.format(by="o_orderstatus,", byp="o_orderstatus,", v="o_totalprice", g="o_orderpriority < '3'", src="orders", p="partition by o_orderstatus", grp="group by o_orderstatus"), doubles="u delta auc")
+@query("sta03_sta04_sta35_rank_tests", RANK_SQL.format(by="o_orderstatus,", byp="o_orderstatus,", v="o_totalprice", g="o_orderpriority < '3'", src="orders", p="partition by o_orderstatus", grp="group by o_orderstatus", join="join", on="using (o_orderstatus)", tail=normal_tail("z")), doubles="u delta auc p")
 def _(t):
-    return A.rank_test(t.orders, "o_totalprice", F.col("o_orderpriority") < "3", ["o_orderstatus"]).select("o_orderstatus", "n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"))
+    return A.rank_test(t.orders, "o_totalprice", F.col("o_orderpriority") < "3", ["o_orderstatus"]).select("o_orderstatus", "n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"), "p")
 
 
-@query("sta35_auc", RANK_SQL.format(by="", byp="", v="n_chars", g="quality = 1", src="documents join labels using (doc_id)", p="", grp=""), doubles="u delta auc")
+@query("sta35_auc", RANK_SQL.format(by="", byp="", v="n_chars", g="quality = 1", src="documents join labels using (doc_id)", p="", grp="", join="cross join", on="", tail=normal_tail("z")), doubles="u delta auc p")
 def _(t):
     d = t.documents.join(t.labels, "doc_id")
-    return A.rank_test(d, "n_chars", good()).select("n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"))
+    return A.rank_test(d, "n_chars", good()).select("n1", "n2", F.round("u", 3).alias("u"), F.round("delta", 9).alias("delta"), F.round("auc", 9).alias("auc"), "p")
 
 
 @query("sta15_spearman", "with r as (select l_returnflag, rank() over (partition by l_returnflag order by l_quantity) + (count(*) over (partition by l_returnflag, l_quantity) - 1) / 2.0 as x, rank() over (partition by l_returnflag order by l_extendedprice) + (count(*) over (partition by l_returnflag, l_extendedprice) - 1) / 2.0 as y from lineitem) select l_returnflag, round(corr(x, y), 8) as rho, count(*) as n from r group by l_returnflag")
@@ -127,20 +164,28 @@ def _(t):
     return A.spearman(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("rho", 8).alias("rho"), "n")
 
 
-@query("sta14_pearson_pairs", "select l_returnflag, round(corr(l_quantity, l_extendedprice), 8) as r, count(*) as n from lineitem group by l_returnflag having count(*) > 10")
+PEARSON = "with c as (select l_returnflag, corr(l_quantity, {y}) as r, count(*) as n from lineitem group by l_returnflag having count(*) > 10) select l_returnflag, round(r, 8) as r, n, {p} as p from c"
+
+
+@query("sta14_pearson_pairs", PEARSON.format(y="l_extendedprice", p=t_tail("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")))
+def _(t):
+    return A.pearson(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", F.round("r", 8).alias("r"), "n", "p")
+
+
+@query("sta14_pearson_unrelated", PEARSON.format(y="l_discount", p=t_tail("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)")))
 def _(t):
-    return t.lineitem.groupBy("l_returnflag").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r"), F.count("*").alias("n")).where("n > 10")
+    return A.pearson(t.lineitem, "l_quantity", "l_discount", ["l_returnflag"]).select("l_returnflag", F.round("r", 8).alias("r"), "n", "p")
 
 
-@query("sta10_sta12_chi2_cramers", "with c as (select source, lang, count(*) as n from documents group by all), r as (select source, sum(n) as r from c group by 1), k as (select lang, sum(n) as k from c group by 1), s as (select sum(n * n / cast(r as double) / k) as s, count(distinct source) as nr, count(distinct lang) as nc, sum(n) as t from c join r using (source) join k using (lang)) select round(t * (s - 1), 6) as chi2, (nr - 1) * (nc - 1) as dof, round(sqrt((s - 1) / (least(nr, nc) - 1)), 8) as cramers_v, t as n from s", longs="n", doubles="chi2")
+@query("sta10_sta12_chi2_cramers", "with c as (select source, lang, count(*) as n from documents group by all), r as (select source, sum(n) as r from c group by 1), k as (select lang, sum(n) as k from c group by 1), s as (select sum(n * n / cast(r as double) / k) as s, count(distinct source) as nr, count(distinct lang) as nc, sum(n) as t from c join r using (source) join k using (lang)) select round(t * (s - 1), 6) as chi2, (nr - 1) * (nc - 1) as dof, " + chi2_tail("(t * (s - 1))", "((nr - 1) * (nc - 1))") + " as p, round(sqrt((s - 1) / (least(nr, nc) - 1)), 8) as cramers_v, t as n from s", longs="n", doubles="chi2 p")
 def _(t):
     c = A.chi2(t.documents.groupBy("source", "lang").agg(F.count("*").alias("n")), "source", "lang")
-    return c.select(F.round("chi2", 6).alias("chi2"), "dof", F.round("cramers_v", 8).alias("cramers_v"), "n")
+    return c.select(F.round("chi2", 6).alias("chi2"), "dof", "p", F.round("cramers_v", 8).alias("cramers_v"), "n")
 
 
-@query("sta11_fig12_yates_risk_ratio", "with c as (select count_if(quality = 1 and toxic = 1) as n11, count_if(quality = 1 and toxic = 0) as n10, count_if(quality = 0 and toxic = 1) as n01, count_if(quality = 0 and toxic = 0) as n00 from labels), x as (select *, cast(n11 + n10 + n01 + n00 as double) as n from c) select n11, n10, n01, n00, round(n * power(greatest(abs(cast(n11 as double) * n00 - cast(n10 as double) * n01) - n / 2, 0), 2) / (cast(n11 + n10 as double) * (n01 + n00) * (n11 + n01) * (n10 + n00)), 8) as chi2, round((n11 / (n11 + n01)) / (n10 / (n10 + n00)), 8) as risk_ratio from x", longs="n11 n10 n01 n00")
+@query("sta11_fig12_yates_risk_ratio", "with c as (select count_if(quality = 1 and toxic = 1) as n11, count_if(quality = 1 and toxic = 0) as n10, count_if(quality = 0 and toxic = 1) as n01, count_if(quality = 0 and toxic = 0) as n00 from labels), x as (select *, cast(n11 + n10 + n01 + n00 as double) as n, n * power(greatest(abs(cast(n11 as double) * n00 - cast(n10 as double) * n01) - n / 2, 0), 2) / (cast(n11 + n10 as double) * (n01 + n00) * (n11 + n01) * (n10 + n00)) as x from c) select n11, n10, n01, n00, round(x, 8) as chi2, " + normal_tail("sqrt(x)") + " as p, round((n11 / (n11 + n01)) / (n10 / (n10 + n00)), 8) as risk_ratio from x", longs="n11 n10 n01 n00")
 def _(t):
-    return A.two_by_two(t.labels, F.col("quality") == 1, F.col("toxic") == 1, []).select("n11", "n10", "n01", "n00", F.round("chi2", 8).alias("chi2"), F.round("risk_ratio", 8).alias("risk_ratio"))
+    return A.two_by_two(t.labels, F.col("quality") == 1, F.col("toxic") == 1, []).select("n11", "n10", "n01", "n00", F.round("chi2", 8).alias("chi2"), "p", F.round("risk_ratio", 8).alias("risk_ratio"))
 
 
 FISHER = """with c as (select count_if(quality = 1 and toxic = 1) as a, count_if(quality = 1 and toxic = 0) as b, count_if(quality = 0 and toxic = 1) as c, count_if(quality = 0 and toxic = 0) as d from labels),

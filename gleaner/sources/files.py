@@ -123,14 +123,6 @@ def date_chunks(spark: SparkSession, start: str, stop: str, days: int) -> DataFr
     return df.select("from_date", F.least(F.date_add("from_date", days - 1), F.to_date(F.lit(stop))).alias("to_date"))
 
 
-def split_windows(start: datetime, stop: datetime, count, cap: int = 250, depth: int = 8, least: timedelta = timedelta(hours=1)) -> list[tuple[datetime, datetime]]:
-    """Windows whose count(start, stop) stays below cap, by bisection; each is one partition of a pull from a capped service."""
-    if depth == 0 or stop - start <= least or count(start, stop) < cap:
-        return [(start, stop)]
-    mid = start + (stop - start) / 2
-    return split_windows(start, mid, count, cap, depth - 1, least) + split_windows(mid, stop, count, cap, depth - 1, least)
-
-
 def repaired_json(text: str, most: int = 100):
     """JSON of a text, characters that break it blanked one by one; an empty object if that does not help."""
     for _ in range(most):
@@ -181,20 +173,3 @@ def pull(windows: DataFrame, load, schema: str, field: str = "articles", cap: in
     rows = windows.repartition(max(1, windows.count()), "start").mapInPandas(run, schema)
     rest = [n for n in names if n != "url"]
     return rows.groupBy("url").agg(F.min(F.struct(*rest)).alias("_r")).select("url", "_r.*").select(*names)
-
-
-def replay(fetch, windows, tries: int = 5, wait=lambda k: None) -> list[dict]:
-    """Records of fetch(start, stop) for every window, tried again after a failure; distinct by url, the first stays.  For a
-    few windows on the driver; pull() is the distributed form."""
-    out: dict[str, dict] = {}
-    for a, b in windows:
-        for k in range(tries):
-            try:
-                for row in fetch(a, b):
-                    out.setdefault(row["url"], row)
-                break
-            except OSError:
-                if k == tries - 1:
-                    raise
-                wait(k)
-    return list(out.values())

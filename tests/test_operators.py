@@ -137,21 +137,6 @@ def test_encodings_and_config(spark, tmp_path):
     assert tuple(files.read_config(spark, str(tmp_path / "c.json"), {"x": "$.a.b", "y": "$.q"}, "none").first()) == ("3", "none")
 
 
-def test_window_split_and_replay():
-    t0, t1 = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
-    w = files.split_windows(t0, t1, lambda a, b: (b - a).total_seconds() / 60, 400)
-    assert w[0][0] == t0 and w[-1][1] == t1 and all(a[1] == b[0] for a, b in zip(w, w[1:]))
-    calls = []
-
-    def fetch(a, b):
-        calls.append(a)
-        if len(calls) == 1:
-            raise OSError
-        return [{"url": "u", "n": len(calls)}]
-
-    assert files.replay(fetch, w[:2]) == [{"url": "u", "n": 2}]
-
-
 def test_tolerant_json_and_vocabulary(spark):
     for given, want in (('{"a": "1"}', {"a": "1"}), ('"a": "1"', {"a": "1"}), ("a: 1, b = two", {"a": "1", "b": "two"}), ("", None)):
         assert one(spark, given, text.tolerant_json) == want

@@ -19,7 +19,7 @@ def test_welch_and_cohen_from_published_moments(spark):
     m = spark.createDataFrame([(N1, MEAN1, SD1**2, N2, MEAN2, SD2**2)], "n1 long, mean1 double, var1 double, n2 long, mean2 double, var2 double")
     r = A.finish_contrast(m).first()
     assert r.t == pytest.approx(T, rel=1e-12) and r.d == pytest.approx(D, rel=1e-12)
-    assert A.welch_p(r.t, r.df) == pytest.approx(P, rel=1e-8)
+    assert r.p == pytest.approx(P, rel=1e-8) and tails.t_two_sided(r.t, r.df) == pytest.approx(P, rel=1e-8)
 
 
 def test_chi2_of_published_table(spark):
@@ -88,15 +88,11 @@ def test_segmented_recovers_a_step_and_refuses_short_series(spark):
     assert r["post"] == pytest.approx(5, abs=0.01) and r["time_after"] == pytest.approx(0.5, abs=0.01) and r["horizon"] == 12
     assert r["effect_at_horizon"] == pytest.approx(r["post"] + 12 * r["time_after"])
     assert A.glsar(design)["post"] == pytest.approx(5, abs=0.01)
-    assert A.segmented([d for d in design if d.time < 15])["status"] == "insufficient_pre_post_months"
+    assert A.segmented([d for d in design if d.time < 15])["status"] == "too few months"
 
 
 def test_bootstraps(spark):
     df = spark.createDataFrame([(k, float(k % 10), k % 2, k % 6) for k in range(400)], "k int, v double, g int, c int")
-    a, b = A.bootstrap_ci(df, ["g"], "v", "k", 300).orderBy("g").collect(), A.bootstrap_ci(df.repartition(7), ["g"], "v", "k", 300).orderBy("g").collect()
-    assert a == b and all(r.low < r.mean < r.high for r in a)
-    for r, p in zip(a, A.poisson_bootstrap(df, ["g"], "v", "k", 200).orderBy("g").collect(), strict=True):
-        assert p.low == pytest.approx(r.low, abs=0.15) and p.high == pytest.approx(r.high, abs=0.15)
     c = A.cluster_bootstrap(df, "c", "v", F.col("g") == 1, 200)
     assert c["n_clusters"] == 6 and math.isfinite(c["difference"])
 
@@ -177,7 +173,7 @@ def test_glsar_finds_rho_and_its_inference_matches_the_normal_equations(spark):
     assert r["rho"] == pytest.approx(0.6, abs=0.1) and r["durbin_watson"] == pytest.approx(2, abs=0.2) and r["horizon"] == 12
     assert r["effect_at_horizon"] == pytest.approx(r["post"] + 12 * r["time_after"])
     assert r["low_post"] < r["post"] < r["high_post"] and 0 <= r["p_post"] <= 1
-    assert A.glsar(rows[:203])["status"] == "insufficient_pre_post_months"
+    assert A.glsar(rows[:203])["status"] == "too few months"
 
 
 def test_ranks_and_adjusted_p_values_against_rows(spark):
@@ -194,3 +190,37 @@ def test_agreement_leaves_blanks_out(spark):
     table, differ = A.agreement(pairs, ["f"])
     assert [tuple(r) for r in table.collect()] == [("a", "b", "f", 2, 1, 0.5)]
     assert [(r.packet, r.value_a, r.value_b) for r in differ.collect()] == [(2, "x", "y")]
+
+
+def test_tail_columns_equal_the_scalar_functions(spark):
+    from gleaner.functions import distributions as D
+
+    ts = [(float(t), float(df)) for t in (0.0, 1e-6, -0.3, 0.7, 1.5, -2.2, 4.0, 9.0, 24.0, 80.0) for df in (0.7, 1, 2, 3.5, 10, 29, 100, 1234.5, 1e5, 1e6)]
+    for r in spark.createDataFrame(ts, "t double, df double").select("t", "df", D.t_two_sided(F.col("t"), F.col("df")).alias("p"), D.t_upper(F.col("t"), F.col("df")).alias("u"), D.normal_two_sided(F.col("t")).alias("z")).collect():
+        assert r.p == pytest.approx(tails.t_two_sided(r.t, r.df), rel=1e-10, abs=1e-280)
+        assert r.u == pytest.approx(tails.t_upper(r.t, r.df), rel=1e-10, abs=1e-280)
+        assert r.z == pytest.approx(tails.normal_two_sided(r.t), rel=1e-10, abs=1e-280)
+    cs = [(float(x), float(df)) for x in (1e-8, 0.1, 0.5, 3.84, 9.0, 20.0, 120.0, 400.0, 1802.0) for df in (0.5, 1, 2, 3, 9, 30, 350, 2000, 50000)]
+    for r in spark.createDataFrame(cs, "x double, df double").select("x", "df", D.chi2_upper(F.col("x"), F.col("df")).alias("p")).collect():
+        assert r.p == pytest.approx(tails.chi2_upper(r.x, r.df), rel=1e-10, abs=1e-280)
+    odd = spark.createDataFrame([(None, 3.0), (1.0, None), (1.0, 0.0), (math.inf, 2.0), (-math.inf, 2.0)], "t double, df double")
+    assert [r.p for r in odd.select(D.t_two_sided(F.col("t"), F.col("df")).alias("p")).collect()] == [None, None, None, 0.0, 0.0]
+    assert [r.p for r in odd.select(D.chi2_upper(F.col("t"), F.col("df")).alias("p")).collect()] == [None, None, None, 0.0, 1.0]
+
+
+def test_p_values_of_published_tables(spark):
+    rows = [(g, k, n) for g, counts in TABLE.items() for k, n in enumerate(counts)]
+    assert A.chi2(spark.createDataFrame(rows, "g string, k int, n long"), "g", "k").first().p == pytest.approx(tails.chi2_upper(CHI2, 9), rel=1e-6)
+    same = spark.createDataFrame([(1.0, True)] * 3 + [(1.0, False)] * 3, "v double, g boolean")
+    r = A.contrast(same, [], "v", F.col("g")).first()
+    assert r.d == 0 and r.t is None and r.p is None
+
+
+def test_cluster_bootstrap_is_the_distributed_one(spark):
+    """The same whatever the partitions, and a row a replicate however many clusters there are."""
+    df = spark.createDataFrame([(k, float(k % 10), k % 2, k % 60) for k in range(4000)], "k int, v double, g int, c int")
+    a, b = (A.cluster_bootstrap(d, "c", "v", F.col("g") == 1, 300) for d in (df.coalesce(1), df.repartition(9)))
+    assert a == {k: pytest.approx(v) for k, v in b.items()} and a["low"] < a["difference"] < a["high"]
+    many = spark.range(1_000_000).select((F.col("id") % 999_983).alias("c"), (F.xxhash64("id") % 100).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
+    r = A.cluster_bootstrap(many, "c", "v", F.col("g") == 1, 50)
+    assert r["n_clusters"] == 999_983 and abs(r["difference"]) < 1 and r["high"] - r["low"] < 1
