@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars, tails
+from ..operators import quantiles as Q
 from ..operators import relational as R
 from ..operators import stats as A
 from .registry import query
@@ -378,7 +379,8 @@ def _(t):
 @query("fig01_quartiles_histogram", "select lang, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.5) as q2, quantile_cont(n_chars, 0.75) as q3, count_if(n_chars < 1000) as b0, count_if(n_chars between 1000 and 2999) as b1, count_if(n_chars >= 3000) as b2 from documents group by lang", longs="b0 b1 b2")
 def _(t):
     n = F.col("n_chars")
-    q = t.documents.groupBy("lang").agg(F.percentile(n, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count_if(n < 1000).alias("b0"), F.count_if(n.between(1000, 2999)).alias("b1"), F.count_if(n >= 3000).alias("b2"))
+    bars = t.documents.groupBy("lang").agg(F.count_if(n < 1000).alias("b0"), F.count_if(n.between(1000, 2999)).alias("b1"), F.count_if(n >= 3000).alias("b2"))
+    q = Q.joined(bars, Q.exact(t.documents, ["lang"], "n_chars", [0.25, 0.5, 0.75]), ["lang"])
     return q.select("lang", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "b0", "b1", "b2")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT as C
 from ..functions import scalars, text
+from ..operators import quantiles as Q
 from ..operators import relational as R
 from ..operators import sampling as P
 from ..operators import stats as A
@@ -123,13 +124,14 @@ def _(t):
 
 @query("agg01_group_moments", "select lang, avg(n_chars) as mean, median(n_chars) as median, stddev_samp(n_chars) as sd, count(*) as n from documents group by lang")
 def _(t):
-    return t.documents.groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.median("n_chars").alias("median"), F.stddev_samp("n_chars").alias("sd"), F.count("*").alias("n"))
+    moments = t.documents.groupBy("lang").agg(F.avg("n_chars").alias("mean"), F.stddev_samp("n_chars").alias("sd"), F.count("*").alias("n"))
+    return Q.joined(moments, Q.exact(t.documents, ["lang"], "n_chars", [0.5]), ["lang"]).select("lang", "mean", F.col("q")[0].alias("median"), "sd", "n")
 
 
 @query("agg02_describe", "select count(l_quantity) as n, avg(l_quantity) as mean, stddev_samp(l_quantity) as sd, min(l_quantity) as low, quantile_cont(l_quantity, 0.25) as q1, quantile_cont(l_quantity, 0.5) as q2, quantile_cont(l_quantity, 0.75) as q3, max(l_quantity) as high from lineitem")
 def _(t):
-    q = F.percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return t.lineitem.agg(F.count("l_quantity").alias("n"), F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), F.min("l_quantity").alias("low"), q.alias("q"), F.max("l_quantity").alias("high")).select("n", "mean", "sd", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "high")
+    moments = t.lineitem.agg(F.count("l_quantity").alias("n"), F.avg("l_quantity").alias("mean"), F.stddev_samp("l_quantity").alias("sd"), F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
+    return Q.joined(moments, Q.exact(t.lineitem, [], "l_quantity", [0.25, 0.5, 0.75]), []).select("n", "mean", "sd", "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"), "high")
 
 
 @query("agg03_top03_value_counts", "select source, count(*) as n from documents group by source order by n desc, source limit 10")
@@ -237,7 +239,8 @@ def _(t):
 
 @query("top02_top04_quantile_candidates", "select l_orderkey, l_linenumber from lineitem where l_discount <= (select quantile_cont(l_discount, 0.05) from lineitem) and l_quantity > (select quantile_cont(l_quantity, 0.9) from lineitem)")
 def _(t):
-    q = t.lineitem.agg(F.percentile("l_discount", F.lit(0.05)).alias("a"), F.percentile("l_quantity", F.lit(0.9)).alias("b"))
+    low, high = (Q.exact(t.lineitem, [], c, [s]).select(F.col("q")[0].alias(a)) for c, s, a in (("l_discount", 0.05, "a"), ("l_quantity", 0.9, "b")))
+    q = low.crossJoin(high)  # two single rows
     return t.lineitem.crossJoin(F.broadcast(q)).where("l_discount <= a and l_quantity > b").select("l_orderkey", "l_linenumber")  # q is one row
 
 

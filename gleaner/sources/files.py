@@ -33,6 +33,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def spooled(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back: its lineage is cut, and later jobs read it instead of making it again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_tsv(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """Strings from quoted, multi-line, headed files; rows with too many fields are skipped, short ones padded with null."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_overflow"]])
