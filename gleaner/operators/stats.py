@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as P
 from ..functions import tails
+from ..sources import files
 
 # ---- moments and the tests on them -------------------------------------------------------------------------------------
 
@@ -168,17 +169,6 @@ def kappa(df: DataFrame, a: str, b: str, labels: list | None = None, by: list[st
 # ---- resampling ----------------------------------------------------------------------------------------------------------
 
 
-def poisson_bootstrap(df: DataFrame, by: list[str], value: str, key: str, reps: int = 200, seed: int = 42) -> DataFrame:
-    """The same by Poisson(1) weights drawn from a hash of the row's key: one pass, partial sums, any group size."""
-    steps = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(6)]
-    uniform = F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.col("rep")), F.lit(1 << 30)) / float(1 << 30)
-    weight = sum(((uniform >= s).cast("double") for s in steps), F.lit(0.0))
-    drawn = df.where(F.col(value).isNotNull()).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", weight)
-    means = drawn.groupBy(*by, "rep").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
-    q = means.groupBy(*by).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("m").alias("mean"))
-    return q.select(*by, "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
-
-
 POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 
 
@@ -192,6 +182,96 @@ def weights_of(keys: np.ndarray, reps: int) -> np.ndarray:
     return np.searchsorted(POISSON, (x >> np.uint64(11)) * 2.0**-53, side="right").astype("f8")
 
 
+GROUPS_HELD, BLOCK = 64, 250  #: groups that a task sums at a time; replicates in a packed array
+
+
+def bootstrap_means(df: DataFrame, by: list[str], value: str, key: str, reps: int = 5000, seed: int = 42, least: int = 1) -> DataFrame:
+    """by, n, mean, low, high: percentile intervals of the mean, of groups of at least so many values.
+
+    Rows get Poisson(1) weights by a hash of their key, so the result does not depend on partitions.  A task sums weights and
+    weighted values of all replicates in two arrays a group, and hands them on as packed blocks when it holds GROUPS_HELD groups or ends; blocks
+    of a group are then added element by element, in streams sorted by group, one block in memory.
+    """
+    import pyarrow as pa
+
+    names = [f"_k{j}" for j in range(len(by))]
+    kinds = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, by, strict=True))
+    kinds = kinds + ", " if kinds else ""
+    cuts = [(k, min(k + BLOCK, reps)) for k in range(0, reps, BLOCK)]
+
+    def run(batches):
+        held: dict = {}
+
+        def packed():
+            rows = [(r, k, w[a:b], s[a:b]) for r, w, s in held.values() for k, (a, b) in enumerate(cuts)]
+            held.clear()
+            groups = pa.concat_tables([r for r, *_ in rows]).combine_chunks()
+            arrays = [pa.array([x[j] for x in rows], pa.list_(pa.float64())) for j in (2, 3)]
+            columns = [groups.column(n).combine_chunks() for n in names] if names else []
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns), pa.array([x[1] for x in rows], pa.int32()), *arrays], [*names, "block", "w", "s"])
+
+        for b in batches:
+            keys, v = b.column("key").to_numpy(), b.column("value").to_numpy()
+            groups = list(zip(*(b.column(n).to_pylist() for n in names), strict=True)) if names else [()] * len(v)
+            places: dict = {}
+            for i, g in enumerate(groups):
+                places.setdefault(g, []).append(i)
+            for g, at in places.items():
+                if g not in held:
+                    if len(held) >= GROUPS_HELD:
+                        yield packed()
+                    held[g] = pa.Table.from_batches([b.slice(at[0], 1)]), np.zeros(reps), np.zeros(reps)
+                _, w_sum, s_sum = held[g]
+                for j in range(0, len(at), 256):
+                    part = at[j : j + 256]
+                    w = weights_of(keys[part], reps)
+                    w_sum += w.sum(0)
+                    s_sum += v[part] @ w
+        if held:
+            yield packed()
+
+    def added(batches):
+        last, w, s = None, None, None
+
+        def row():
+            return pa.RecordBatch.from_arrays([*(last.column(n) for n in [*names, "block"]), pa.array([w], pa.list_(pa.float64())), pa.array([s], pa.list_(pa.float64()))], [*names, "block", "w", "s"])
+
+        for b in batches:
+            ids = list(zip(*(b.column(n).to_pylist() for n in [*names, "block"]), strict=True))
+            for i, g in enumerate(ids):
+                w_i, s_i = (b.column(c)[i].values.to_numpy() for c in "ws")
+                if last is not None and g == own:
+                    w, s = w + w_i, s + s_i
+                    continue
+                if last is not None:
+                    yield row()
+                last, own, w, s = b.slice(i, 1), g, w_i, s_i
+        if last is not None:
+            yield row()
+
+    columns = [F.col(c).alias(n) for c, n in zip(by, names, strict=True)]
+    given = df.where(F.col(value).isNotNull()).select(*columns, F.xxhash64(F.col(key), F.lit(seed)).alias("key"), F.col(value).cast("double").alias("value"))
+    sizes = given.groupBy(*names).agg(F.count("*").alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)
+    schema = f"{kinds}block int, w array<double>, s array<double>"
+    parts = given.mapInArrow(run, schema)
+    sums = parts.repartition(*names, "block").sortWithinPartitions(*names, "block").mapInArrow(added, schema)
+    means = F.filter(F.zip_with("s", "w", lambda a, b: F.try_divide(a, b)), lambda x: x.isNotNull())
+    drawn = sums.groupBy(*names).agg(F.array_sort(F.flatten(F.collect_list(means))).alias("m"))  # reps numbers a group
+
+    def cut(share: float) -> Column:
+        at = F.lit(share) * (F.size("m") - 1)
+        low, high = F.get("m", F.floor(at).cast("int")), F.get("m", F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    for n in names:
+        drawn = drawn.withColumnRenamed(n, f"{n}_d")
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"{n}_d"))
+    both = sizes.join(drawn, same) if names else sizes.crossJoin(drawn)  # single rows
+    return both.select(*(F.col(n).alias(c) for c, n in zip(by, names, strict=True)), "n", "mean", cut(0.025).alias("low"), cut(0.975).alias("high"))
+
+
 def bootstrap_contrast(df: DataFrame, value: str, group: Column, key: str, reps: int = 2000, seed: int = 42) -> DataFrame:
     """statistic, estimate, low, high: percentile intervals of both means, their difference and Cohen's d.
 
@@ -327,6 +407,99 @@ def ols_clustered(df: DataFrame, y: str, xs: list[str], cluster: str) -> list[di
     return out
 
 
+WIDEST = 3000  #: terms of a linear model that the driver solves
+
+
+def ols_factors(df: DataFrame, y: str, xs: list[str], factors: list[str], cluster: str | None = None) -> list[dict]:
+    """Least squares of y on a constant, numeric columns and factors, whose first level by sort order is left out.
+
+    Rows: term (`const`, a column, or `factor[level]`), coef, se, t, p, low, high, n, r2.  Errors are classical (t distribution), or robust to clusters
+    (normal, G / (G - 1) * (n - 1) / (n - k)).  Rows with a null anywhere do not count.
+
+    Moments are summed by combination of levels, so a row adds to (numbers + 2)^2 / 2 sums however many levels there are.  They become cells
+    (row, column, sum) of the normal equations in long form, at most WIDEST squared, which the driver solves.  A second scan
+    sums residuals by cluster and combination; a cluster's scores are a sparse vector, and tasks add their outer products to one matrix each.
+    """
+    import pyarrow as pa
+
+    used = [y, *xs, *factors, *([cluster] if cluster else [])]
+    rows = df.where(" and ".join(f"`{c}` is not null" for c in used))
+    level = [F.col(f).cast("string").alias(f"_f{j}") for j, f in enumerate(factors)]
+    keys = [f"_f{j}" for j in range(len(factors))]
+    value = [F.lit(1.0), *(F.col(x).cast("double") for x in xs), F.col(y).cast("double")]
+    pairs = [(i, j) for i in range(len(value)) for j in range(i, len(value))]
+    moments = files.spooled(rows.groupBy(*level).agg(*(F.sum(value[i] * value[j]).alias(f"s{i}_{j}") for i, j in pairs)), "moments")
+    levels = {f: [r[0] for r in moments.select(k).distinct().orderBy(k).limit(WIDEST + 1).collect()] for f, k in zip(factors, keys, strict=True)}
+    terms = ["const", *xs, *(f"{f}[{v}]" for f in factors for v in levels[f][1:])]
+    if len(terms) > WIDEST:
+        raise ValueError(f"more than {WIDEST} terms")
+    place = {f: {v: 1 + len(xs) + sum(len(levels[g]) - 1 for g in factors[:i]) + k for k, v in enumerate(levels[f][1:])} for i, f in enumerate(factors)}
+
+    def number(f: str, k: str) -> Column:
+        """The term of a level; null for the one left out."""
+        known = place[f]
+        return F.element_at(F.create_map(*(F.lit(x) for v, n in known.items() for x in (v, n))), F.col(k)) if known else F.lit(None).cast("int")
+
+    placed = moments.select(*(number(f, k).alias(k) for f, k in zip(factors, keys, strict=True)), *(f"s{i}_{j}" for i, j in pairs))
+    last = len(xs) + 1  # y
+    cells = [(F.lit(i), F.lit(-1 if j == last else j), F.col(f"s{i}_{j}")) for i, j in pairs if i < last]
+    cells += [(F.col(k), F.lit(-1 if j == last else j), F.col(f"s0_{j}")) for k in keys for j in range(last + 1)]
+    both = [(a, b, F.col(a).isNotNull() & F.col(b).isNotNull()) for i, a in enumerate(keys) for b in keys[i:]]
+    cells += [(F.when(held, F.col(a)), F.when(held, F.col(b)), F.col("s0_0")) for a, b, held in both]
+    long = placed.select(F.explode(F.array(*(F.struct(r.cast("int").alias("r"), c.cast("int").alias("c"), s.alias("s")) for r, c, s in cells))).alias("x")).select("x.*").where("r is not null and c is not null")
+    width, total = len(terms), placed.agg(F.sum("s0_0"), F.sum(f"s0_{last}"), F.sum(f"s{last}_{last}")).first()
+    xtx, xty = np.zeros((width, width)), np.zeros(width)
+    for r in long.groupBy("r", "c").agg(F.sum("s").alias("s")).toLocalIterator():  # cells
+        if r.c < 0:
+            xty[r.r] = r.s
+        else:
+            xtx[r.r, r.c] = xtx[r.c, r.r] = r.s
+    n = int(total[0] or 0)
+    inverse = np.linalg.pinv(xtx, hermitian=True)
+    beta = inverse @ xty
+    fit = sum((F.col(x).cast("double") * float(b) for x, b in zip(xs, beta[1:], strict=False)), F.lit(float(beta[0])))
+    for f in factors:
+        effects = {v: float(beta[k]) for v, k in place[f].items()}
+        if effects:
+            fit = fit + F.coalesce(F.element_at(F.create_map(*(F.lit(x) for v, e in effects.items() for x in (v, e))), F.col(f).cast("string")), F.lit(0.0))
+    e, mean = F.col("_e"), (total[1] or 0.0) / max(n, 1)
+    left = rows.withColumn("_e", F.col(y).cast("double") - fit)
+    squares = left.agg(F.sum(e * e), F.sum((F.col(y).cast("double") - mean) * (F.col(y).cast("double") - mean))).first()
+    r2 = 1 - squares[0] / squares[1] if squares[1] else math.nan
+    if cluster is None:
+        cov = inverse * (squares[0] / (n - width)) if n > width else np.full((width, width), math.nan)
+    else:
+        sums = left.groupBy(F.col(cluster).alias("_g"), *level).agg(*(F.sum(e * v).alias(f"u{j}") for j, v in enumerate(value[:-1])))
+        each = [(F.lit(j), F.col(f"u{j}")) for j in range(last)] + [(number(f, k), F.col("u0")) for f, k in zip(factors, keys, strict=True)]
+        scores = sums.select("_g", F.explode(F.array(*(F.struct(r.cast("int").alias("r"), u.alias("u")) for r, u in each))).alias("x")).select("_g", "x.*").where("r is not null").groupBy("_g", "r").agg(F.sum("u").alias("u"))
+        vectors = scores.groupBy("_g").agg(F.collect_list(F.struct("r", "u")).alias("v"))  # at most a number a term
+
+        def outer(batches):
+            meat, count = np.zeros((width, width)), 0
+            for b in batches:
+                for v in b.column("v"):
+                    at, u = (np.array(v.values.field(c)) for c in ("r", "u"))
+                    meat[np.ix_(at, at)] += np.outer(u, u)
+                    count += 1
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *range(width)], pa.int32()), pa.array([[float(count)], *meat], pa.list_(pa.float64()))], ["r", "m"])
+
+        parts = vectors.select("v").mapInArrow(outer, "r int, m array<double>").select("r", F.posexplode("m").alias("c", "m")).groupBy("r", "c").agg(F.sum("m").alias("m"))
+        meat, g = np.zeros((width, width)), 0
+        for r in parts.toLocalIterator():  # cells
+            if r.r < 0:
+                g = r.m
+            else:
+                meat[r.r, r.c] = r.m
+        cov = inverse @ meat @ inverse * (g / (g - 1) * (n - 1) / (n - width)) if g > 1 and n > width else np.full((width, width), math.nan)
+    out, reach = [], 1.959963984540054 if cluster else (tails.t_quantile(0.975, n - width) if n > width else math.nan)
+    for term, b, v in zip(terms, beta.tolist(), np.diag(cov).tolist(), strict=True):
+        se = math.sqrt(v) if v > 0 else math.nan
+        t = b / se
+        p = math.nan if math.isnan(t) else tails.normal_two_sided(t) if cluster else tails.t_two_sided(t, n - width)
+        out.append({"term": term, "coef": b, "se": se, "t": t, "p": p, "low": b - reach * se, "high": b + reach * se, "n": n, "r2": r2})
+    return out
+
+
 def monthly(df: DataFrame, date: str, value: str, by: list[str] | None = None) -> DataFrame:
     """month, mean, n by calendar month."""
     return df.where(F.col(value).isNotNull() & F.col(date).isNotNull()).groupBy(*(by or []), F.to_date(F.date_trunc("month", F.col(date))).alias("month")).agg(F.avg(F.col(value).cast("double")).alias("mean"), F.count("*").alias("n"))

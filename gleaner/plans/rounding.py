@@ -51,6 +51,7 @@ ROUNDED = {
     "sta14_pearson_unrelated": "p r",
     "sta01_sta09_contrasts_adjusted": "p p_bh",
     "sta15_spearman": "rho",
+    "sta16_fig11_factor_ols": "coef se t r2 p",
     "sta16_ols_coefficients": "intercept slope",
     "sta17_its_design": "mean",
     "sta17_its_normal_equations": "b0 b1 s00 s01 s02 s03",

@@ -255,7 +255,13 @@ def _(t):
 
 @query("sta05_bootstrap_by_group")
 def _(t):
-    return A.poisson_bootstrap(scored(t), ["source"], "chars", "doc_id", 1000)
+    return A.bootstrap_means(scored(t), ["source"], "chars", "doc_id", 1000).drop("n")
+
+
+@query("fig02_fig06_bootstrap_intervals")
+def _(t):
+    """Intervals of the mean by entity, of entities with at least five documents."""
+    return A.bootstrap_means(t.documents, ["source"], "n_chars", "doc_id", 5000, least=5)
 
 
 @query("sta32_kappa_interval")
@@ -376,6 +382,33 @@ def _(t):
     return t.spark.createDataFrame([(round(float(b[1]), 6), round(float(b[0]), 6))], "slope double, intercept double")
 
 
+#: With one factor, slopes are those of values less their level's means, and a level's effect is the difference of means that slopes leave.
+FACTOR_OLS = f"""with o as (select n_name as f, o_totalprice as y, cast(o_orderpriority < '3' as double) as x from {REGION_ORDERS}),
+l as (select f, count(*) as n, avg(x) as mx, avg(y) as my from o group by f),
+w as (select sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) as b, sum((x - mx) * (x - mx)) as sxx, count(*) as n from o join l using (f)),
+z as (select l.*, my - b * mx as a, first_value(my - b * mx) over (order by f) as a0, first_value(l.n) over (order by f) as n0, first_value(mx) over (order by f) as mx0, row_number() over (order by f) as k from l, w),
+e as (select sum(power(y - z.a - b * x, 2)) as ssr, sum(power(y - (select avg(y) from o), 2)) as sst from o join z using (f), w),
+v as (select ssr / (w.n - 1 - (select count(*) from l)) as s2, 1 - ssr / sst as r2, w.n - 1 - (select count(*) from l) as df from e, w),
+t as (select 'urgent' as term, b as coef, sqrt(s2 / sxx) as se from w, v union all select 'const', a, sqrt(s2 * (1 / z.n + mx * mx / sxx)) from z, w, v where k = 1 union all select 'n_name[' || f || ']', a - a0, sqrt(s2 * (1 / z.n + 1 / n0 + power(mx - mx0, 2) / sxx)) from z, w, v where k > 1)
+select term, coef, se, coef / se as t, w.n as n, r2, """ + t_tail("(coef / se)", "df") + " as p from t, v, w"
+
+
+@query("sta16_fig11_factor_ols", FACTOR_OLS, doubles="coef se t r2 p")
+def _(t):
+    """A numeric regressor and a factor of 25 levels."""
+    o = region_orders(t).select("n_name", "o_totalprice", (F.col("o_orderpriority") < "3").cast("double").alias("urgent"))
+    fit = A.ols_factors(o, "o_totalprice", ["urgent"], ["n_name"])
+    return t.spark.createDataFrame([tuple(r[c] for c in ("term", "coef", "se", "t", "n", "r2", "p")) for r in fit], "term string, coef double, se double, t double, n long, r2 double, p double")
+
+
+@query("sta16_fig11_two_factors_clustered")
+def _(t):
+    """Factors of nation and year, errors robust to clusters of market segment and nation."""
+    o = region_orders(t).select("n_name", "o_totalprice", (F.col("o_orderpriority") < "3").cast("double").alias("urgent"), F.year("o_orderdate").alias("year"), F.concat_ws("-", "c_mktsegment", "n_name").alias("g"))
+    fit = A.ols_factors(o, "o_totalprice", ["urgent"], ["n_name", "year"], "g")
+    return t.spark.createDataFrame([tuple(r.values()) for r in fit], "term string, coef double, se double, t double, p double, low double, high double, n long, r2 double")
+
+
 @query("fig01_quartiles_histogram", "select lang, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.5) as q2, quantile_cont(n_chars, 0.75) as q3, count_if(n_chars < 1000) as b0, count_if(n_chars between 1000 and 2999) as b1, count_if(n_chars >= 3000) as b2 from documents group by lang", longs="b0 b1 b2")
 def _(t):
     n = F.col("n_chars")

@@ -224,3 +224,61 @@ def test_cluster_bootstrap_is_the_distributed_one(spark):
     many = spark.range(1_000_000).select((F.col("id") % 999_983).alias("c"), (F.xxhash64("id") % 100).cast("double").alias("v"), (F.col("id") % 2).alias("g"))
     r = A.cluster_bootstrap(many, "c", "v", F.col("g") == 1, 50)
     assert r["n_clusters"] == 999_983 and abs(r["difference"]) < 1 and r["high"] - r["low"] < 1
+
+
+def test_bootstrap_means_by_group(spark, monkeypatch):
+    """Against the same weights summed by numpy, over partitions and with few groups held at a time."""
+    monkeypatch.setattr(A, "BLOCK", 70)
+    rng = np.random.default_rng(3)
+    rows = [(k, g, float(x)) for k, (g, x) in enumerate(zip(rng.choice(["a", "b", "c", "few"], 900, p=[0.6, 0.2, 0.195, 0.005]), rng.exponential(3, 900), strict=True))] + [(5000 + k, None, float(k)) for k in range(30)] + [(9999, "a", None)]
+    df = spark.createDataFrame(rows, "k long, g string, v double").withColumn("h", F.xxhash64(F.col("k"), F.lit(42)))
+    keys = {r.k: r.h for r in df.collect()}
+    got = {r.g: r for r in A.bootstrap_means(df.repartition(6), ["g"], "v", "k", 300, least=10).collect()}
+    monkeypatch.setattr(A, "GROUPS_HELD", 2)
+    again = {r.g: r for r in A.bootstrap_means(df.coalesce(1), ["g"], "v", "k", 300, least=10).collect()}
+    assert set(got) == set(again) == {"a", "b", "c", None}
+    for g, r in got.items():
+        mine = [(keys[k], v) for k, h, v in rows if h == g and v is not None]
+        w = A.weights_of(np.array([k for k, _ in mine], "i8"), 300)
+        means = (np.array([v for _, v in mine]) @ w) / w.sum(0)
+        assert r.n == len(mine) and r.mean == pytest.approx(np.mean([v for _, v in mine]))
+        assert [r.low, r.high] == pytest.approx(list(np.percentile(means, [2.5, 97.5])))
+        assert [again[g].low, again[g].high] == pytest.approx([r.low, r.high])
+    whole = A.bootstrap_means(df, [], "v", "k", 100).first()
+    assert whole.low < whole.mean < whole.high and "explode" not in A.bootstrap_means(df, ["g"], "v", "k", 100)._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("cluster", [None, "c"])
+def test_ols_with_factors_matches_numpy(spark, cluster):
+    rng = np.random.default_rng(7)
+    n = 600
+    f, g, c = rng.choice([f"l{k:02d}" for k in range(30)], n), rng.integers(2000, 2004, n), rng.integers(0, 40, n)
+    x = rng.normal(size=n)
+    y = 2 + 3 * x + np.array([int(v[1:]) for v in f]) * 0.1 + (g - 2000) + rng.normal(size=n)
+    rows = [(float(a), float(b), str(u), int(v), int(w)) for a, b, u, v, w in zip(y, x, f, g, c, strict=True)]
+    df = spark.createDataFrame([*rows, (None, 1.0, "l01", 2000, 1), (1.0, 1.0, None, 2000, 1)], "y double, x double, f string, g int, c int")
+    fit = {r["term"]: r for r in A.ols_factors(df.repartition(5), "y", ["x"], ["f", "g"], cluster)}
+    fs, gs = sorted(set(f)), sorted(set(g))
+    names = ["const", "x", *(f"f[{v}]" for v in fs[1:]), *(f"g[{v}]" for v in gs[1:])]
+    m = np.stack([np.ones(n), x, *(f == v for v in fs[1:]), *(g == v for v in gs[1:])], 1).astype("f8")
+    inverse = np.linalg.inv(m.T @ m)
+    beta = inverse @ m.T @ y
+    e = y - m @ beta
+    k = len(names)
+    if cluster:
+        u = np.stack([(m * e[:, None])[c == v].sum(0) for v in np.unique(c)])
+        cov = inverse @ u.T @ u @ inverse * (40 / 39 * (n - 1) / (n - k))
+    else:
+        cov = inverse * (e @ e) / (n - k)
+    assert list(fit) == names
+    for term, b, v in zip(names, beta, np.diag(cov), strict=True):
+        r = fit[term]
+        assert r["coef"] == pytest.approx(b, rel=1e-8, abs=1e-9) and r["se"] == pytest.approx(math.sqrt(v), rel=1e-8) and r["t"] == pytest.approx(b / math.sqrt(v), rel=1e-7, abs=1e-7)
+        assert r["n"] == n and r["r2"] == pytest.approx(1 - (e @ e) / ((y - y.mean()) @ (y - y.mean()))) and r["low"] < r["coef"] < r["high"]
+    assert fit["x"]["p"] < 1e-6
+    with pytest.raises(ValueError, match="terms"):
+        A.WIDEST, kept = 5, A.WIDEST
+        try:
+            A.ols_factors(df, "y", ["x"], ["f"])
+        finally:
+            A.WIDEST = kept
