@@ -13,9 +13,10 @@ all its windows, are joined by their exact words (but for case and outer punctua
 numbers, names or capitals have no other windows.  They decide where the canonical windows find nothing.  The first word of an item of up to LEAST words is also read as a
 name, as it is read inside a document's sentence.
 
-A window that more than FREQUENT distinct items share (a stock phrase) does not by itself bring a text and these items together:
-an item's rarer windows open a pair, and only then its frequent ones count.  An item whose windows are all frequent is opened by
-its rarest.  Items equal in all words count once in this.
+Items share windows (stock phrases, templates).  Windows that stand side by side wherever they occur, with the same words and
+values, are one run; a document meets a run once, whatever items hold it, and what it covers there is handed to these at the end.  An item's windows that
+other items have too, from the most shared on, do not open a pair as long as all of them together cover too little to count: a text
+that meets no other window of the item cannot be contaminated by it.  This leaves the results as they are.
 
 Hashes outside a bitmap of the benchmark's windows never leave the scan; the bitmap has a fixed size, so a larger benchmark
 only lets more windows through to the join.  An item of fewer than SHORT words is matched only by a text that is nothing else.  Null or empty texts and
@@ -38,7 +39,8 @@ from . import common
 
 SPAN, LITERAL, LEAST, NEAR, SHORT = 8, 4, 13, 3, 4
 BITS = 1 << 24
-FREQUENT = 32  #: distinct items that share a window which still brings texts and items together
+RUNS = 100_000  #: runs' windows that may be broadcast
+SALTS = 16  #: parts of a window's hits in a join that is not
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*(?:%|st|nd|rd|th)?")
 #: Common units, as they stand behind a number.
 UNITS = frozenset("mm cm m km in ft yd mi inch inches foot feet mile miles mg g kg t lb lbs oz ml l gal s sec min h hr hrs hour hours day days week weeks month months year years second seconds minute minutes % percent dollar dollars euro euros cent cents usd eur km/h mph c f k kb mb gb tb w kw hz khz mhz ghz v".split())
@@ -209,23 +211,67 @@ def bitmap_of(windows: DataFrame) -> bytes:
     return out.tobytes()
 
 
-def opened(found: DataFrame, own: DataFrame, ids: DataFrame) -> DataFrame:
-    """Hits of documents joined with the items' windows of the same words; frequent windows only for pairs that a rarer one opened."""
-    kind = ids.select("item", F.xxhash64("text").alias("kind"))
-    shared = own.join(kind, "item").groupBy("h", "exact").agg(F.count_distinct("kind").alias("n")).where(f"n > {FREQUENT}")
-    same = F.col("canon") == F.col("icanon")
-    shared = common.spool(shared, "shared")
-    if shared.isEmpty():
-        return found.join(own, ["h", "exact"]).where(same)
-    ranked = own.join(shared, ["h", "exact"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
-    least = ranked.groupBy("item").agg(F.min("n").alias("least"))
-    ranked = common.spool(ranked.join(least, "item").withColumn("opens", F.expr(f"n <= {FREQUENT} or n = least")).drop("n", "least"), "ranked")
-    found = common.spool(found, "hits")
-    by_rare = found.join(ranked.where("opens").drop("opens"), ["h", "exact"]).where(same)
-    pairs = by_rare.select("owner", "side", "item").distinct()
-    columns = by_rare.columns
-    by_frequent = pairs.join(found, ["owner", "side"]).join(ranked.where("not opens").drop("opens"), ["item", "h", "exact"]).where(same)
-    return by_rare.unionByName(by_frequent.select(*columns))
+def runs_of(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Runs of the items' windows own (item, h, exact, ipos, isize, icanon, islots).
+
+    Returns the runs' windows, each once (run, off, h, exact, icanon, islots), and where the runs stand (run, item, start, isize, exact, shut: the offsets
+    whose windows do not open a pair).  A window follows another in a run if it follows it in all places of either.
+    """
+    windows = own.withColumn("w", F.struct("h", "exact", F.xxhash64("icanon", "islots").alias("v")))
+    order = Window.partitionBy("item", "exact").orderBy("ipos", "w")  # an item's windows
+    step = (F.col("ipos") - F.lag("ipos").over(order)).alias("step")
+    after = windows.select("item", "ipos", "w", F.lag("w").over(order).alias("before"), step)
+    n = common.spool(windows.groupBy("w").agg(F.count("*").alias("n")), "places")
+    both = after.where("before is not null").groupBy("before", "w", "step").agg(F.count("*").alias("c"))
+    both = both.join(n, "w").where("c = n").drop("n").join(n.withColumnRenamed("w", "before"), "before").where("c = n")
+    windows = windows.join(common.small(common.spool(both.select("w", F.lit(False).alias("first")), "links"), RUNS), "w", "left").withColumn("first", F.coalesce("first", F.lit(True)))
+    part = F.sum(F.col("first").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = windows.withColumn("part", part).groupBy("item", "exact", "part").agg(F.min(F.struct("ipos", "w")).alias("head"), F.max("isize").alias("isize"), F.collect_list(F.struct("ipos", "h", "icanon", "islots")).alias("list"))
+    placed = common.spool(placed.select("item", "exact", "isize", F.col("head.w").alias("run"), F.col("head.ipos").alias("start"), "list"), "placed")
+    # Of an item: its windows that others have too, most shared first, while they cover too little to count.
+    shared = own.where("not exact").select("item", "h").distinct().groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    common_ones = own.where("not exact").join(shared, "h").groupBy("item").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "ipos", F.size("icanon").alias("m")))).alias("list"), F.max("isize").alias("isize"))
+    nothing = F.array().cast("array<int>")
+
+    def take(acc, x):
+        covered = F.array_union(acc["covered"], F.sequence(x["ipos"], x["ipos"] + x["m"] - 1))
+        fits = ~acc["full"] & (F.size(covered) < F.least(F.col("isize"), F.lit(LEAST)))
+        return F.when(fits, F.struct(covered.alias("covered"), F.array_append(acc["shut"], x["ipos"]).alias("shut"), F.lit(False).alias("full"))).otherwise(F.struct(acc["covered"].alias("covered"), acc["shut"].alias("shut"), F.lit(True).alias("full")))
+
+    start = F.struct(nothing.alias("covered"), nothing.alias("shut"), F.lit(False).alias("full"))
+    shut = common_ones.select("item", F.array_distinct(F.aggregate("list", start, take)["shut"]).alias("shut"))
+    members = placed.join(shut, "item", "left").select("run", "item", "start", "isize", "exact", F.when(F.col("exact"), nothing).otherwise(F.transform(F.coalesce("shut", nothing), lambda p: p - F.col("start"))).alias("shut"))
+    once = placed.groupBy("run").agg(F.first(F.struct("start", "list")).alias("x")).select("run", "x.start", F.explode("x.list").alias("w"))
+    once = once.select("run", (F.col("w.ipos") - F.col("start")).alias("off"), "w.h", F.col("run.exact").alias("exact"), "w.icanon", "w.islots")
+    return common.spool(once, "runs"), common.spool(members, "members")
+
+
+def met(found: DataFrame, runs: DataFrame) -> DataFrame:
+    """owner, side, run, line (position in the text less that in the run), offs (matched windows), at (words, from the run's start), pairs (values), same; spooled.
+
+    A window that is common in the corpus is joined by broadcast where the runs are counted to be few, else in parts.
+    """
+    if runs.count() <= RUNS:
+        both = found.join(F.broadcast(runs), ["h", "exact"])
+    else:
+        salt = F.pmod(F.xxhash64("owner", "side", "pos"), F.lit(SALTS)).cast("int")
+        both = found.withColumn("salt", salt).join(runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["h", "exact", "salt"])
+    pairs = F.filter(F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull())
+    at = F.sequence("off", F.col("off") + F.size("icanon") - 1)
+    same = F.when(F.forall("pairs", lambda x: x["a"] == x["b"]), F.col("at"))
+    windows = both.where(F.col("canon") == F.col("icanon")).select("owner", "side", "run", "off", (F.col("pos") - F.col("off")).alias("line"), at.alias("at"), pairs.alias("pairs"))
+    lines = windows.groupBy("owner", "side", "run", "line").agg(F.collect_set("off").alias("offs"), *(F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for c, n in (("at", "at"), ("pairs", "pairs"), (same, "same"))))
+    return common.spool(lines, "met")
+
+
+def handed_on(lines: DataFrame, members: DataFrame) -> DataFrame:
+    """What texts meet of runs, for the items that hold them, of all pairs that a window opens."""
+    opens = F.size(F.array_except("offs", "shut")) > 0
+    if members.where(F.size("shut") > 0).isEmpty():
+        return lines.join(common.small(members, RUNS), "run")
+    pairs = lines.select("owner", "side", "run", "offs").join(common.small(members, RUNS), "run").where(opens).select("owner", "side", "item").distinct()
+    near = common.spool(pairs, "pairs")
+    return near.join(common.small(members, RUNS), "item").join(lines, ["owner", "side", "run"])
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -235,12 +281,11 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(items))
     own = items.select(F.col("owner").alias("item"), "h", "exact", F.col("pos").alias("ipos"), F.col("size").alias("isize"), F.col("canon").alias("icanon"), F.col("slots").alias("islots"))
     lengths = [r.n for r in items.where("exact").select(F.size("canon").alias("n")).distinct().collect()]  # at most LEAST
-    met = opened(hits(docs, bitmap, lengths), own, ids)
-    pairs = F.filter(F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull())
-    at = F.sequence("ipos", F.col("ipos") + F.size("icanon") - 1)
-    same = F.when(F.forall("pairs", lambda x: x["a"] == x["b"]), F.col("at"))
-    windows = met.select("owner", "side", "item", "isize", "exact", (F.col("pos") - F.col("ipos")).alias("diagonal"), at.alias("at"), pairs.alias("pairs"))
-    lines = windows.groupBy("owner", "side", "item", "isize", "exact", "diagonal").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(n) for c, n in (("at", "at"), ("pairs", "pairs"), (same, "same"))))
+    runs, members = runs_of(own)
+    held = handed_on(met(hits(docs, bitmap, lengths), runs), members)
+    moved = lambda c: F.transform(c, lambda p: p + F.col("start"))
+    windows = held.select("owner", "side", "item", "isize", "exact", (F.col("line") - F.col("start")).alias("diagonal"), moved("at").alias("at"), "pairs", moved("same").alias("same"))
+    lines = windows.groupBy("owner", "side", "item", "isize", "exact", "diagonal").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("at", "pairs", "same")))
     order = Window.partitionBy("owner", "side", "item", "exact").orderBy("diagonal")
     fresh = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True))
     line = F.struct((-F.size("at")).alias("rank"), "diagonal", "at", "pairs")

@@ -140,16 +140,42 @@ def test_short_item_with_other_numbers_inside_a_sentence(spark):
     assert found_in(spark, FILL + item.replace("3", "8").replace("2", "5") + " " + FILL, item)
 
 
-def test_stock_phrases_bring_nothing_together_by_themselves(spark, monkeypatch):
-    """Sixty items open with the same phrase of twenty words: a text with the phrase alone is clean, one with an item is not."""
+@pytest.mark.parametrize("salted", [False, True])
+def test_shared_phrases_count_for_every_item(spark, monkeypatch, same, salted):
+    """Sixty items open with the same phrase of twenty words: a text with the phrase covers enough of each."""
+    if salted:
+        monkeypatch.setattr(D, "RUNS", -1)
     phrase = " ".join(f"choose{k}" for k in range(20))
     items = [(k, f"{phrase} " + " ".join(f"w{k}x{j}y" for j in range(20))) for k in range(60)] + [(100 + k, phrase) for k in range(3)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    rows = [(1, f"before it {phrase} behind it"), (2, f"so: {items[7][1]} then"), (3, "nothing of this"), (4, " ".join(items[9][1].split()[20:34]))]
-    got = {r.doc_id: r for r in D.digests(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
-    assert got[2].item_ids == [7, 100, 101, 102] and got[2].covered == 40
-    assert got[1].item_ids == [100, 101, 102] and got[1].covered == 20  # the items that are the phrase: their rarest windows
-    assert got[3].item_ids == [] and got[4].item_ids == [9]
+    rows = [(1, f"before it {phrase} behind it"), (2, f"so: {items[7][1]} then"), (3, "nothing of this"), (4, " ".join(items[9][1].split()[20:34])), (5, " ".join(phrase.split()[3:15]) + " and no more"), (6, " ".join(items[5][1].split()[9:30]))]
+    want = brute(rows, items)
+    assert want[0][2] == [*range(60), 100, 101, 102] and want[4][1] is False and want[5][2] == [5]
+    same(D.digests(spark.createDataFrame(rows, "doc_id long, text string"), benchmark), ("doc_id", "contaminated", "item_ids", "covered"), want)
+
+
+@pytest.mark.parametrize("n", [32, 33])
+def test_a_phrase_of_many_items(spark, n):
+    phrase = " ".join(f"stock{k}" for k in range(18))
+    benchmark = spark.createDataFrame([(k, f"{phrase} " + " ".join(f"own{k}x{j}" for j in range(9))) for k in range(n)], "item_id long, text string")
+    r = D.digests(spark.createDataFrame([(1, f"some {phrase} rest")], "doc_id long, text string"), benchmark).first()
+    assert r.item_ids == list(range(n)) and r.covered == 18
+
+
+def test_items_of_stock_phrases_alone(spark, monkeypatch):
+    """Items put together from few phrases, each shorter than what counts, shared by many items and repeated inside some."""
+    rng = random.Random(8)
+    phrases = [" ".join(f"{a}{k}" for k in range(n)) for a, n in zip("abcdef", (8, 9, 10, 11, 12, 8), strict=True)]
+    items = [(k, " ".join(rng.choice(phrases) for _ in range(rng.randint(1, 4)))) for k in range(80)]
+    items += [(200 + k, f"{rng.choice(phrases)} {k} {k + rng.randint(0, 2)} kg {rng.choice(phrases)}") for k in range(20)]
+    rows = [(k, " ".join([FILL, *(rng.choice([*phrases, "x y z", "7", "Then Anna"]) for _ in range(rng.randint(1, 5)))])) for k in range(60)] + [(100 + i, f"{FILL} {t}") for i, t in items[:15]]
+    want = brute(rows, items)
+    tables = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in D.digests(*tables).collect())
+    assert sum(r[1] for r in want) > 20 and not all(r[1] for r in want)
+    assert all(set(ids) <= set(r[2]) for (_, _, ids, _), r in zip(sorted(want), got, strict=True))  # the library also takes what agrees where a value does not
+    monkeypatch.setattr(D, "handed_on", lambda lines, members: lines.join(members, "run"))  # every pair opened
+    assert sorted(tuple(r) for r in D.digests(*tables).collect()) == got
 
 
 def test_extra_columns_and_empty_tables(spark, docs, clashing, empty):
