@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import Config
+from ..sources import files
 
 
 def entity_table(spark: SparkSession, config: Config) -> DataFrame:
@@ -36,6 +37,41 @@ def interval_lookup(df: DataFrame, dim: DataFrame, keys: list[str], date: str, n
     return joined.withColumn(out, F.get(held, F.lit(0))[name]).drop("_intervals")
 
 
+OPEN = "9999-12-31"
+
+
+def interval_join(df: DataFrame, dim: DataFrame, keys: list[str], date: str, name: str = "name", start: str = "start", end: str = "end", order: str = "ord", out: str = "found") -> DataFrame:
+    """interval_lookup() for a dimension of any size: nothing holds all intervals of a key.
+
+    An interval goes to a level whose buckets are at least as long as it is (powers of two days), so it lies in two buckets of its level at most;
+    one without an end goes to a level of its own.  Each pair of keys and date that occurs is looked up once in every level
+    in use (there are some fifteen at most), by equality of keys, level and bucket, and the first interval by order, then name,
+    is kept as an aggregate.  Intervals that end before they start hold no date.
+    """
+    none = F.to_date(F.lit(OPEN))
+    days = F.datediff(F.coalesce(F.col(end), none), F.col(start)) + 1
+    level = F.when(F.col(end).isNull() | (F.col(end) >= none), -1).otherwise(F.ceil(F.log2(days.cast("double")))).cast("int")
+    known = dim.where(F.col(start).isNotNull() & (days > 0)).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(start).cast("date").alias("_s"), F.coalesce(F.col(end).cast("date"), none).alias("_e"), F.struct(F.col(order).alias("o"), F.col(name).alias("n")).alias("_v"), level.alias("_level"))
+
+    def bucket(d: Column, at: Column) -> Column:
+        return F.when(at < 0, 0).otherwise(F.floor(F.unix_date(d) / F.pow(F.lit(2.0), at))).cast("long")
+
+    held = known.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("_s"), F.col("_level")), bucket(F.col("_e"), F.col("_level"))))))
+    levels = sorted(r[0] for r in known.select("_level").distinct().collect())  # one for a power of two days
+    whole = " and ".join(f"`{k}` is not null" for k in [*keys, date])
+    asked = df.where(whole).select(*keys, F.col(date).cast("date").alias("_day")).distinct()
+    asked = asked.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_bucket", bucket(F.col("_day"), F.col("_level")))
+    same = (asked["_level"] == held["_level"]) & (asked["_bucket"] == held["_bucket"]) & (F.col("_s") <= F.col("_day")) & (F.col("_day") <= F.col("_e"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    first = asked.join(held, same).groupBy(*keys, "_day").agg(F.min("_v").alias("_v"))
+    first = first.select(*(F.col(k).alias(f"_{k}") for k in keys), "_day", F.col("_v.n").alias(out))
+    back = F.col(date).cast("date") == F.col("_day")
+    for k in keys:
+        back = back & (F.col(k) == F.col(f"_{k}"))
+    return df.join(first, back, "left").drop("_day", *(f"_{k}" for k in keys))
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """First row of each key by order; null keys are equal."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")
@@ -48,8 +84,11 @@ def latest_success(df: DataFrame, key: str, error: str, seq: str) -> DataFrame:
 
 
 def dense_id(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:
-    """0, 1, ... in the order of columns, by range partitions: only the partitions' sizes meet in one place."""
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id())
+    """0, 1, ... in the order of columns, by range partitions: only the partitions' sizes meet in one place.
+
+    The dealt rows are written once, as ids need the same ranges when they are counted and when they are numbered.
+    """
+    parts = files.spooled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_k", F.monotonically_increasing_id()), "dealt").withColumn("_p", F.shiftright("_k", 33))
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_k").alias("_first"))
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return parts.join(F.broadcast(starts.drop("_n")), "_p").withColumn(out, F.col("_start") + F.col("_k") - F.col("_first")).drop("_p", "_k", "_first", "_start")

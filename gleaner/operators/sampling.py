@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +49,31 @@ def overlap(df: DataFrame, key: str, coders: list[str], shared: int, own: int, s
 
 
 def buckets(df: DataFrame, key: str, rules: list[tuple[str, Column, int]], seed: int = 42) -> DataFrame:
-    """bucket and rows: for each rule in turn up to n rows that no earlier bucket took."""
-    left, out = df, None
-    for name, rule, n in rules:
-        took = uniform(left.where(rule), key, n, seed).withColumn("bucket", F.lit(name))
-        out = took if out is None else out.unionByName(took)
-        left = left.join(took.select(key), key, "left_anti")
-    return out
+    """bucket and rows: for each rule in turn up to n rows whose key no earlier bucket took.
+
+    One scan: a bucket's rows are among the first n_1 + ... + n of its rule in draw order, as earlier buckets take at most the others.  Those are a
+    top-k by rule, pruned before the shuffle; the choice in turn is made on these few.
+    """
+    limits, total = [], 0
+    for _, _, n in rules:
+        total += n
+        limits.append(total)
+    matched = F.array_compact(F.array(*(F.when(rule, k) for k, (_, rule, _) in enumerate(rules))))
+    drawn = df.withColumn("_draw", draw_order(key, seed)).withColumn("_rule", F.explode(matched))
+    most = F.element_at(F.array(*map(F.lit, limits)), F.col("_rule") + 1)
+    first = drawn.withColumn("_rn", F.row_number().over(Window.partitionBy("_rule").orderBy("_draw", key))).where(F.col("_rn") <= limits[-1]).where(F.col("_rn") <= most)
+
+    def choose(frame):
+        took, rows = set(), []
+        for k, (_, _, n) in enumerate(rules_n):
+            mine = frame[(frame["_rule"] == k) & ~frame[key].isin(took)].sort_values("_rn").head(n)
+            took |= set(mine[key])
+            rows.append(mine.assign(bucket=names[k]))
+        return pd.concat(rows)[[*columns, "bucket"]]
+
+    columns, names, rules_n = df.columns, [r[0] for r in rules], [(r[0], None, r[2]) for r in rules]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return first.groupBy(F.lit(0).alias("_one")).applyInPandas(choose, f"{schema}, bucket string")
 
 
 def assert_blind(df: DataFrame, hidden: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import input_queries, model_queries, pattern_queries, stat_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register
+from . import input_queries, mechanism_queries, model_queries, pattern_queries, stat_queries, stream_queries, table_queries, text_queries  # noqa: F401  they register
 from .registry import QUERIES, SQL
 
 

@@ -28,6 +28,8 @@ ROUNDED = {
     "fig01_quartiles_histogram": "q1 q2 q3",
     "fig02_fig06_group_means": "mean se",
     "fig04_fig17_monthly_by_group": "mean",
+    "fig10_kernel_density": "density",
+    "view_wilson": "low high",
     "fig07_agg11_prevalence_difference": "difference",
     "fig08_fig09_normalised_mix": "share",
     "jon07_sta21_controlled_difference": "difference",

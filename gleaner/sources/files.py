@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,49 @@ def spooled(df: DataFrame, name: str) -> DataFrame:
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
     """Strings from quoted, multi-line, headed files; rows with too many fields are skipped, short ones padded with null."""
+    return raw_tsv(spark, path, columns, sep).where("_overflow is null").drop("_overflow")
+
+
+def raw_tsv(spark: SparkSession, path: str, columns: list[str], sep: str, header: bool = True) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_overflow"]])
-    raw = spark.read.options(sep=sep, header=True, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
-    return raw.where("_overflow is null").drop("_overflow")
+    return spark.read.options(sep=sep, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
+
+
+def counted(df: DataFrame, bad: dict[str, Column], name: str = "counted") -> tuple[DataFrame, dict[str, int]]:
+    """Rows that are bad in no way, written and read back, and how many were read (`read`), are bad in each way, and stay (`kept`).
+
+    The counts are observed in the scan that writes the rows; there is no second pass.
+    """
+    ways = {k: F.coalesce(c, F.lit(False)) for k, c in bad.items()}
+    seen = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    observed = df.withColumns({f"_bad_{k}": c for k, c in ways.items()}).observe(seen, F.count("*").alias("read"), *(F.count_if(F.col(f"_bad_{k}")).alias(k) for k in ways), F.count_if(kept_of(ways)).alias("kept"))
+    out = spooled(observed.where(kept_of(ways)).select(*df.columns), name)
+    return out, {k: int(v) for k, v in seen.get.items()}
+
+
+def kept_of(ways) -> Column:
+    out = F.lit(True)
+    for k in ways:
+        out = out & ~F.col(f"_bad_{k}")
+    return out
+
+
+def dated(df: DataFrame, text: str, out: str) -> tuple[DataFrame, dict[str, int]]:
+    """Rows whose date can be read, with it as a timestamp, and the counts of counted() (bad: `undated`)."""
+    return counted(df.withColumn(out, lenient_date(F.col(text))), {"undated": F.col(out).isNull()}, "dated")
+
+
+def read_tsv_counted(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", header: bool = True) -> tuple[DataFrame, dict[str, int]]:
+    """read_tsv() with counts: rows of too many fields (`long`)."""
+    rows, counts = counted(raw_tsv(spark, path, columns, sep, header), {"long": F.col("_overflow").isNotNull()}, "tsv")
+    return rows.drop("_overflow"), counts
+
+
+def read_jsonl_counted(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, dict[str, int]]:
+    """read_jsonl() with counts: damaged lines (`corrupt`)."""
+    raw = spark.read.schema(f"{schema}, _corrupt string").options(mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt").json(path)
+    rows, counts = counted(raw, {"corrupt": F.col("_corrupt").isNotNull()}, "jsonl")
+    return rows.drop("_corrupt"), counts
 
 
 def na_to_null(df: DataFrame) -> DataFrame:
