@@ -35,6 +35,7 @@ CELLS = CHUNKS * CHUNK  #: cells of the count sketch, whatever the corpus
 CLASSES = 16
 GROWTH = 16  #: centres of a list, from round to round
 HOT = 64  #: a list with more members compares parities before it makes pairs
+PART = 2048  #: members of a long list that meet its centres in one task
 PARITY = 256  #: bits of the parity that every node has; sets of more than twice as many tokens have a longer one besides
 MANY = 4096  #: copies of a text from which on its component is looked up in a broadcast table (of at most a row in MANY)
 BITS = 1 << 20, 1 << 27  #: least and most bits of a bitmap
@@ -142,17 +143,30 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
     """Bits of hashed values of a spooled long column, 16 for each up to a limit: lets all of them, and some others, through."""
     size = min(BITS[1], max(BITS[0], 1 << (16 * ids.count()).bit_length()))
 
+    chunk = size // 8 // CHUNKS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(size // 8, "u1")
         for b in batches:
             at = bit(b.column(0).to_numpy().view("u8"), size)
             np.bitwise_or.at(bits, at >> 3, (128 >> (at & 7)).astype("u1"))
-        yield pa.RecordBatch.from_pydict({"bits": [zlib.compress(bits.tobytes(), 1)]})
+        for k in np.nonzero(bits.reshape(CHUNKS, chunk).any(1))[0].tolist():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "bits": [zlib.compress(bits[k * chunk : (k + 1) * chunk].tobytes(), 1)]})
 
-    out = np.zeros(size // 8, "u1")
-    for r in ids.coalesce(16).mapInArrow(run, "bits binary").toLocalIterator():
-        out |= np.frombuffer(zlib.decompress(bytes(r.bits)), "u1")
-    return out
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column("chunk").to_pylist(), b.column("bits"), strict=True):
+                values = np.frombuffer(zlib.decompress(part.as_py()), "u1")
+                sums[k] = sums[k] | values if k in sums else values
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([k], pa.int32()), "bits": [zlib.compress(v.tobytes(), 1)]})
+
+    out = np.zeros((CHUNKS, chunk), "u1")
+    schema = "chunk int, bits binary"
+    for r in ids.mapInArrow(run, schema).repartition(CHUNKS // 4, "chunk").mapInArrow(joined, schema).toLocalIterator():
+        out[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.bits)), "u1")
+    return out.reshape(-1)
 
 
 def bit(values: np.ndarray, size: int) -> np.ndarray:
@@ -275,11 +289,15 @@ class Links:
         return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and coalesce(({differ}) * {100 + p} <= (xn + yn) * {100 - p}, true)"
 
     def pairs(self, alive: DataFrame) -> DataFrame:
-        """x, y, xl, yl: nodes to compare, and their labels."""
+        """x, y, xl, yl: nodes to compare, and their labels.
+
+        The members of a long list are dealt into parts by hash, and its centres go to each of these, so no task compares a whole list.
+        """
         columns = ["node", "n", "label", *FOLDED]
-        x = alive.where("centre").select("sig", *(F.col(c).alias(f"x{c}") for c in columns))
-        y = alive.select("sig", "centre", *(F.col(c).alias(f"y{c}") for c in columns))
-        met = y.join(x, "sig").where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near()}"))
+        parts = F.ceil(F.col("m") / PART).cast("int")
+        x = alive.where("centre").select("sig", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"x{c}") for c in columns))
+        y = alive.select("sig", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "centre", *(F.col(c).alias(f"y{c}") for c in columns))
+        met = y.join(x, ["sig", "part"]).where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near()}"))
         return met.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xlabel").alias("xl"), F.col("ylabel").alias("yl")).distinct()
 
     def linked(self, pairs: DataFrame) -> DataFrame | None:

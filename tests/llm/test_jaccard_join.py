@@ -102,3 +102,13 @@ def test_other_parameters_than_the_contract(spark, same):
     rows += [(10 + k, " ".join(mutated(rng, base[:900], 30 * k))) for k in range(6)]
     for percent in (40, 70):
         same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), 2, percent), COLUMNS, brute(rows, 2, percent))
+
+
+def test_long_lists_of_sets_that_do_not_link(spark, monkeypatch, same):
+    """Sets that share all but their rare tokens, dealt into many parts; a few of them link."""
+    monkeypatch.setattr(J, "PART", 16)
+    shared = " ".join(f"c{k}" for k in range(20))
+    rows = [(k, f"{shared} u{k} v{k} w{k}") for k in range(600)] + [(1000 + k, f"{shared} u{k} v{k} w{k} x{k}") for k in range(5)]
+    want = brute(rows, 4, 85)
+    assert len({c for _, _, c in want}) == 600
+    same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, floor=8), ("doc_id", "n_shingles", "component_id"), want)
