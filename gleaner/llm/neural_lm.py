@@ -1,14 +1,19 @@
-"""Language-model scoring with log-bilinear models in numpy, trained by noise-contrastive estimation.
+"""Language-model scoring with a log-bilinear model in numpy, trained by noise-contrastive estimation.
 
 Outputs are the most frequent words (the end token among them) and CLASSES classes of all other words, by their last two
 bytes; inside a class a word has its smoothed relative frequency.  The number of words with an output, and a context, of
-their own is GROWTH times the square root of the training tokens (OUTPUTS at least, MOST at most: the vectors are broadcast, and
-exact normalisation is quadratic in it).  For each of the two words before a token there is a log-bilinear model
-s(context, output) = r[context] . q[output] + b[output], whose probabilities are mixed.
+their own is GROWTH times the square root of the training tokens (OUTPUTS at least, MOST at most: the vectors and the
+normalisers are broadcast, and exact normalisation is quadratic in it).
 
-Pair counts of the whole corpus are summed in Spark and stay there, dealt by context.  In each of ROUNDS rounds every task
-takes noise-contrastive steps over its pairs, with noise words shared by the contexts of a step; the driver averages the
-vectors, weighted by the tokens seen.  Normalisers are then summed over all outputs for every context.
+The context vector of a token is the sum of the vectors of the two words before it, each transformed by the matrix of its position;
+s = context . q[output] + b[output].  A normaliser sums exp(s) over all outputs.  As the exponential of a sum is a product,
+the normalisers of all pairs of context words are one matrix product over the outputs, made in blocks by tasks: a table of at most
+(MOST + CLASSES + 1) squared numbers.
+
+Training documents are turned to numbers once.  In each of ROUNDS rounds every task takes noise-contrastive steps over a part of its tokens, each token
+against NOISE draws from the unigram distribution, for which DRAWN words stand in a step.  Vectors, weighted by the tokens a task saw
+of them, are added up block by block in tasks; the driver reads one model a round.  Small corpora have fewer tasks and more
+passes in a round.
 
 Word counts are taken over all training documents.  Documents look up the HEAD most frequent words (or those with an output, if more) in a table;
 other words meet their counts in a join.  A null text is an empty one (the end token alone); a null doc_id counts as
@@ -32,10 +37,11 @@ from . import common
 OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
 GROWTH, MOST = 4, 4096  #: words with an output of their own: per square root of a training token, and at most
-DIM, NOISE, DRAWN, STEPS, ROUNDS, RATE = 32, 10, 1024, 1000, 6, 0.2
-SHRINK = 20  #: tokens that a vector of zeros is worth in each round
-BATCH, CHUNK = 65_536, 2_000_000  #: pairs of a step at most; pairs in a task's memory
-NEAREST = 0.65  #: weight of the model of the word right before
+DIM, NOISE, DRAWN, ROUNDS, RATE, LAST = 32, 10, 256, 4, 0.2, 0.005
+BATCH, STEPS = 2048, 400  #: tokens of a step at most; steps that a task takes in a round at least
+SLICE, HELD, SHARE = 1 << 16, 1 << 20, 500_000  #: tokens in a row; in a task's memory; of a corpus for each of its tasks at least
+ENOUGH = 1_500_000  #: tokens below which a round goes over its part several times
+ROWS = 512  #: vectors in a block
 END = b""  #: no word is empty
 FLUSH = 150_000  #: words that a task counts before it hands them on
 
@@ -151,194 +157,235 @@ def contexts(out: np.ndarray, size: int = SIZE, starts=(0,)) -> tuple[np.ndarray
     return one, two
 
 
-def count_pairs(training: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """line ((distance - 1) * (size + 1) + context), output, n over all training documents; a line's rows are in one file."""
-    shared, size = training.sparkSession.sparkContext.broadcast(vocab), vocab.size
+def numbered(training: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """turn (the round that reads it), ids: outputs of the tokens of all training documents, text after text, about SLICE in a row; spooled."""
+    shared = training.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held = shared.value, []
-
-        def merged():
-            cells, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-            return cells, np.bincount(where, np.concatenate([n for _, n in held])).astype("i8")
+        vocab, turn, held, size = shared.value, 0, [], 0
 
-        def rows(cells, n):
-            for k in range(0, len(cells), 100_000):
-                x = cells[k : k + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array((x // size).astype("i4")), pa.array((x % size).astype("i4")), pa.array(n[k : k + 100_000])], ["line", "output", "n"])
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["turn", "ids"])
 
-        for b in common.sliced(batches):
-            words, starts = flat(b.column("text").to_pylist())
-            out = vocab.look_up(words)[1].astype("i8")
-            one, two = contexts(out, size, starts)
-            held.append(np.unique(np.concatenate([one * size + out, (two + size + 1) * size + out]), return_counts=True))
-            if sum(len(c) for c, _ in held) > CHUNK:
-                held = [merged()]
-                if len(held[0][0]) > CHUNK // 2:
-                    yield from rows(*held.pop())
+        for b in common.sliced(batches, 1 << 19):
+            held.append(vocab.look_up(flat(b.column("text").to_pylist())[0])[1].astype("u2"))
+            size += len(held[-1])
+            if size >= SLICE:
+                yield row()
+                turn, held, size = turn + 1, [], 0
         if held:
-            yield from rows(*merged())
-
-    parts = training.select("text").mapInArrow(run, "line int, output int, n long")
-    return common.spool(parts.repartition("line").groupBy("line", "output").agg(F.sum("n").alias("n")), "pairs")
-
-
-def descend(params, squares, unigram, c, o, n, rng) -> None:
-    """Noise-contrastive steps in place over pairs (context, output, count), some contexts a step; at least STEPS of them.
-
-    A data pair competes with NOISE draws from the unigram distribution, for which DRAWN words stand in each step.
-    """
-    r, q, b = params
-    shift, cdf = np.log(NOISE * unigram).astype("f4"), np.cumsum(unigram)
-    batch = min(BATCH, max(256, len(c) // STEPS))
-
-    def move(k, at, g):
-        squares[k][at] += g * g
-        params[k][at] -= rate * g / (np.sqrt(squares[k][at]) + 1e-10)
-
-    def right(s):
-        """Probability that a pair came from the data, in place of its score."""
-        np.clip(s, -30, 30, out=s)
-        np.exp(np.negative(s, out=s), out=s)
-        s += 1
-        return np.reciprocal(s, out=s)
-
-    passes = -(-STEPS // max(1, -(-len(c) // batch)))
-    for turn in range(passes):
-        order = np.argsort(rng.permutation(len(r))[c], kind="stable")
-        for k in range(0, len(c), batch):
-            i, rate = order[k : k + batch], RATE * (1 - (turn + k / len(c)) / passes)
-            ci, oi, ni = c[i], o[i], n[i].astype("f4")
-            begin = np.concatenate([[0], np.nonzero(np.diff(ci))[0] + 1])
-            own, mass = ci[begin], np.add.reduceat(ni, begin)
-            w = np.minimum(np.searchsorted(cdf, rng.random(DRAWN) * cdf[-1]), len(cdf) - 1)
-            rc, qo, rl, qw = r[ci], q[oi], r[own], q[w]
-            e = ni * (right(np.einsum("ij,ij->i", rc, qo) + b[oi] - shift[oi]) - 1)
-            noise = right(rl @ qw.T + (b[w] - shift[w])) * (mass[:, None] * np.float32(NOISE / DRAWN))
-            move(0, own, np.add.reduceat(e[:, None] * qo, begin) + noise @ qw)
-            by = np.argsort(where := np.concatenate([oi, w]), kind="stable")
-            begin = np.concatenate([[0], np.nonzero(np.diff(where[by]))[0] + 1])
-            at = where[by][begin]
-            move(1, at, np.add.reduceat(np.concatenate([e[:, None] * rc, noise.T @ rl])[by], begin))
-            move(2, at, np.add.reduceat(np.concatenate([e, noise.sum(0)])[by], begin))
-
-
-def first_model(unigram: np.ndarray, contexts: int, seed: int) -> list[np.ndarray]:
-    """r, q, b: unigram probabilities after every context."""
-    return [np.zeros((contexts, DIM), "f4"), np.random.default_rng(seed).normal(0, 0.1, (len(unigram), DIM)).astype("f4"), np.log(unigram).astype("f4")]
-
-
-def fit(pairs: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Probabilities by (context, output) of one model, from a table of counts in memory."""
-    unigram = (pairs.sum(0) + 0.1) / (pairs.sum() + 0.1 * pairs.shape[1])
-    params, (c, o) = first_model(unigram, len(pairs), seed), np.nonzero(pairs)
-    squares = [np.zeros_like(p) for p in params]
-    for k in range(ROUNDS):
-        descend(params, squares, unigram, c, o, pairs[c, o], np.random.default_rng(seed + k))
-    s = params[0] @ params[1].T + params[2]
-    s = np.exp(s - s.max(1, keepdims=True))
-    return (s / s.sum(1, keepdims=True)).astype("f4")
-
-
-def train(pairs: DataFrame, vocab: Vocabulary) -> tuple[list[list[np.ndarray]], np.ndarray]:
-    """r, q, b of both models, and the logarithms of their normalisers by line."""
-    sc, size, unigram = pairs.sparkSession.sparkContext, vocab.size, vocab.unigram
-    models, lines = [first_model(unigram, size + 1, seed) for seed in (5, 6)], 2 * (size + 1)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = [[p.copy() for p in m] for m in shared.value]
-        squares, rng = [[np.zeros_like(p) for p in m] for m in models], np.random.default_rng(7)
-        seen, held, rows = [[np.zeros(size + 1), np.zeros(size)] for _ in models], [], 0
-
-        def learn():
-            line, o, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            for d in (0, 1):
-                at = (line >= size + 1) == bool(d)
-                if at.any():
-                    c = line[at] - d * (size + 1)
-                    descend(models[d], squares[d], unigram, c, o[at], n[at], rng)
-                    seen[d][0] += np.bincount(c, n[at], size + 1)
-                    seen[d][1] += np.bincount(o[at], n[at], size)
+            yield row()
+
+    return common.spool(training.select("text").mapInArrow(run, "turn int, ids binary"), "numbers")
+
+
+def right(s: np.ndarray) -> np.ndarray:
+    """Probability that a token came from the data, in place of its score."""
+    np.clip(s, -30, 30, out=s)
+    np.exp(np.negative(s, out=s), out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
+
+
+class Learner:
+    """A model and the sums of its squared gradients: words' vectors, outputs' vectors and biases, the matrices of both positions."""
+
+    def __init__(self, params: list[np.ndarray], squares: list[np.ndarray], unigram: np.ndarray, rng):
+        self.params, self.squares, self.rng = [p.copy() for p in params], [s.copy() for s in squares], rng
+        self.shift, self.cdf = np.log(NOISE * unigram).astype("f4"), np.cumsum(unigram)
+        self.mass = [np.zeros(len(p)) for p in params]
+
+    def move(self, k: int, at: np.ndarray, g: np.ndarray, rate: float) -> None:
+        """A step of rows of parameter k, some of them named several times."""
+        by = np.argsort(at, kind="stable")
+        begin = np.concatenate([[0], np.nonzero(np.diff(at[by]))[0] + 1])
+        rows, g = at[by][begin], np.add.reduceat(g[by], begin)
+        self.squares[k][rows] += g * g
+        self.params[k][rows] -= rate * g / np.sqrt(self.squares[k][rows])
+
+    def learn(self, o: np.ndarray, one: np.ndarray, two: np.ndarray, rates: tuple[float, float], passes: int = 1) -> None:
+        """Steps over tokens o after the words one and two places before, in random order, the rate going down."""
+        words, q, b, near, far = self.params
+        n, top = len(o), len(self.cdf) - 1
+        batch = min(BATCH, max(256, n * passes // STEPS))
+        for turn in range(passes):
+            order = self.rng.permutation(n)
+            for k in range(0, n, batch):
+                i = order[k : k + batch]
+                rate = np.float32(rates[0] + (rates[1] - rates[0]) * (turn + k / n) / passes)
+                out, a, c = o[i], one[i], two[i]
+                w = np.minimum(np.searchsorted(self.cdf, self.rng.random(DRAWN) * self.cdf[-1]), top)
+                va, vc, qo, qw = words[a], words[c], q[out], q[w]
+                context = va @ near + vc @ far
+                e = right(np.einsum("ij,ij->i", context, qo) + b[out] - self.shift[out]) - 1
+                noise = right(context @ qw.T + (b[w] - self.shift[w])) * np.float32(NOISE / DRAWN)
+                g = e[:, None] * qo + noise @ qw
+                both = np.concatenate([out, w])
+                self.move(1, both, np.concatenate([e[:, None] * context, noise.T @ context]), rate)
+                self.move(2, both, np.concatenate([e, noise.sum(0)]), rate)
+                self.move(0, np.concatenate([a, c]), np.concatenate([g @ near.T, g @ far.T]), rate)
+                for k_, v in ((3, va), (4, vc)):
+                    m = v.T @ g
+                    self.squares[k_] += m * m
+                    self.params[k_] -= rate * m / np.sqrt(self.squares[k_])
+        self.mass[0] += np.bincount(one, minlength=len(words)) + np.bincount(two, minlength=len(words))
+        for k in (1, 2):
+            self.mass[k] += np.bincount(o, minlength=len(q))
+        for k in (3, 4):
+            self.mass[k] += n
+
+    def blocks(self) -> Iterator[pa.RecordBatch]:
+        """k, block, mass, value, square: weighted rows that were seen, in blocks of ROWS."""
+        for k, (p, s, m) in enumerate(zip(self.params, self.squares, self.mass, strict=True)):
+            for j in range(0, len(p), ROWS):
+                w = m[j : j + ROWS]
+                if w.any():
+                    wide = w.reshape(-1, *[1] * (p.ndim - 1))
+                    parts = [w, wide * p[j : j + ROWS], wide * s[j : j + ROWS]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([j // ROWS], pa.int32()), *(pa.array([x.astype("f8").tobytes()], pa.binary()) for x in parts)], ["k", "block", "mass", "value", "square"])
+
+
+BLOCKS = "k int, block int, mass binary, value binary, square binary"
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of the same place added up, element by element."""
+    sums: dict = {}
+    for b in batches:
+        for k, j, *parts in zip(*(b.column(c).to_pylist() for c in ("k", "block", "mass", "value", "square")), strict=True):
+            arrays = [np.frombuffer(x) for x in parts]
+            sums[k, j] = [a + x for a, x in zip(sums[k, j], arrays, strict=True)] if (k, j) in sums else arrays
+    for (k, j), arrays in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([j], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in arrays)], ["k", "block", "mass", "value", "square"])
+
+
+def first_model(unigram: np.ndarray, seed: int = 5) -> list[np.ndarray]:
+    """Unigram probabilities after every context; the last word is the start of a text."""
+    words = np.random.default_rng(seed).normal(0, 0.1, (len(unigram) + 1, DIM)).astype("f4")
+    return [words, np.zeros((len(unigram), DIM), "f4"), np.log(unigram).astype("f4"), np.eye(DIM, dtype="f4"), np.eye(DIM, dtype="f4") / 2]
+
+
+class Model:
+    """near, far: the words' vectors transformed for both positions; q, b; z: logarithms of the normalisers by both context words."""
+
+    def __init__(self, params: list[np.ndarray]):
+        words, self.q, self.b, near, far = params
+        self.near, self.far, self.z = words @ near, words @ far, None
+
+    def factors(self, rows: np.ndarray, which: str) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the scores' parts of context words, less their largest, and the largest; the bias goes with the nearer word."""
+        s = rows @ self.q.T
+        if which == "near":
+            s += self.b
+        top = s.max(1)
+        return np.exp(np.subtract(s, top[:, None], out=s), out=s), top
+
+    def log_sums(self, near: np.ndarray, far: np.ndarray, far_top: np.ndarray) -> np.ndarray:
+        """Logarithms of the normalisers of some nearer words (rows of self.near) and all farther ones."""
+        a, top = self.factors(near, "near")
+        z = a @ far.T
+        with np.errstate(divide="ignore"):
+            out = np.log(z) + top[:, None] + far_top
+        for i, j in zip(*np.nonzero(z < 1e-30), strict=True):  # their largest parts lie too far apart for single precision
+            s = (near[i] + self.far[j]).astype("f8") @ self.q.T + self.b
+            out[i, j] = s.max() + np.log(np.exp(s - s.max()).sum())
+        return out.astype("f4")
+
+    def log10(self, one: np.ndarray, two: np.ndarray, out: np.ndarray, step: int = 8192) -> np.ndarray:
+        """log10 probabilities of outputs after the words one and two places before, some at a time so that what is gathered stays in the processor's cache."""
+        p = np.empty(len(out))
+        for k in range(0, len(out), step):
+            i, j, o = one[k : k + step], two[k : k + step], out[k : k + step]
+            p[k : k + step] = np.einsum("ij,ij->i", self.near.take(i, 0) + self.far.take(j, 0), self.q.take(o, 0)) + self.b.take(o) - self.z[i, j]
+        return p / np.log(10)
+
+
+def normalise(spark, model: Model) -> Model:
+    """The model with its table of normalisers: blocks of rows are made by tasks, each with all farther words' factors."""
+    sc, n = spark.sparkContext, len(model.near)
+    shared, parts = sc.broadcast(model), max(1, min(sc.defaultParallelism, n // 64))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, far = shared.value, None
         for b in batches:
-            held.append([b.column(c).to_numpy() for c in ("line", "output", "n")])
-            rows += b.num_rows
-            if rows >= CHUNK:
-                learn()
-                held, rows = [], 0
-        if rows:
-            learn()
-        for d in (0, 1):
-            for k, s in ((0, 0), (1, 1), (2, 1)):
-                at = np.nonzero(seen[d][s])[0]
-                for j in range(0, len(at), 50_000):
-                    x = at[j : j + 50_000]
-                    yield pa.RecordBatch.from_pydict({"model": [d], "k": [k], "at": [x.tobytes()], "mass": [seen[d][s][x].tobytes()], "value": [models[d][k][x].tobytes()]})
-
-    for _ in range(ROUNDS):
-        shared = sc.broadcast(models)
-        found = common.spool(pairs.coalesce(sc.defaultParallelism).mapInArrow(local, "model long, k long, at binary, mass binary, value binary"), "vectors")
-        sums, mass = [[np.zeros(p.shape) for p in m] for m in models], [[np.zeros(len(p)) for p in m] for m in models]
-        for x in found.toLocalIterator():
-            at, w = np.frombuffer(x.at, "i8"), np.frombuffer(x.mass)
-            value = np.frombuffer(x.value, "f4").reshape(len(at), -1)
-            sums[x.model][x.k].reshape(len(mass[x.model][x.k]), -1)[at] += w[:, None] * value
-            mass[x.model][x.k][at] += w
-        for m, total, w in zip(models, sums, mass, strict=True):
-            for k in range(3):
-                at = w[k] > 0
-                m[k] = m[k].copy()
-                m[k][at] = (total[k][at].T / (w[k][at] + (SHRINK if k < 2 else 0))).T
-    shared = sc.broadcast(models)
-
-    def normalisers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            ids = batch.column("id").to_numpy()
-            out = np.empty(len(ids))
-            for k in range(0, len(ids), 64):
-                for d in (0, 1):
-                    at = k + np.nonzero(ids[k : k + 64] // (size + 1) == d)[0]
-                    if len(at):
-                        r, q, b = models[d]
-                        s = r[ids[at] - d * (size + 1)] @ q.T + b
-                        top = s.max(1)
-                        out[at] = top + np.log(np.exp(s - top[:, None]).sum(1, dtype="f8"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out)], ["id", "z"])
-
-    z = pairs.sparkSession.range(0, lines, 1, 4 * sc.defaultParallelism).mapInArrow(normalisers, "id long, z double").toArrow()
-    logs = np.empty(lines)
-    logs[z.column("id").to_numpy()] = z.column("z").to_numpy()
-    return models, logs.reshape(2, size + 1)
-
-
-def likelihood(model: list[np.ndarray], logs: np.ndarray, context: np.ndarray, out: np.ndarray, step: int = 8192) -> np.ndarray:
-    """Probabilities of outputs after contexts, some at a time so that gathered vectors stay in the processor's cache."""
-    r, q, b = model
-    p = np.empty(len(out))
-    for k in range(0, len(out), step):
-        i, j = context[k : k + step], out[k : k + step]
-        p[k : k + step] = np.exp(np.einsum("ij,ij->i", r.take(i, 0), q.take(j, 0)) + b.take(j) - logs.take(i))
-    return p
-
-
-def score(docs: DataFrame, vocab: Vocabulary, models: tuple[list[list[np.ndarray]], np.ndarray], counts: DataFrame) -> DataFrame:
+            for i in b.column("id").to_pylist():
+                far = far or model.factors(model.far, "far")
+                yield pa.RecordBatch.from_pydict({"id": [i], "z": [model.log_sums(model.near[64 * i : 64 * i + 64], *far).tobytes()]})
+
+    model.z = np.empty((n, n), "f4")
+    for r in spark.range(0, -(-n // 64), 1, parts).mapInArrow(run, "id long, z binary").toLocalIterator():
+        rows = np.frombuffer(bytes(r.z), "f4").reshape(-1, n)
+        model.z[64 * r.id : 64 * r.id + len(rows)] = rows
+    shared.unpersist()
+    return model
+
+
+def train(numbers: DataFrame, vocab: Vocabulary) -> Model:
+    """The model fitted to numbered training documents, with its normalisers."""
+    spark, sc = numbers.sparkSession, numbers.sparkSession.sparkContext
+    unigram, size, total = vocab.unigram, vocab.size, max(1, vocab.total)
+    tasks = max(1, min(sc.defaultParallelism, total // SHARE))
+    passes, expected = -(-ENOUGH // total) if total < ENOUGH else 1, max(1, total / tasks / ROUNDS)
+    passes = min(passes, 8)
+    params = first_model(unigram)
+    squares = [np.full_like(p, 1e-8) for p in params]
+    for turn in range(ROUNDS):
+        shared = sc.broadcast((params, squares))
+
+        def local(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            common.worker_table("neural_lm")
+            learner, held, seen = Learner(*shared.value, unigram, np.random.default_rng([7, turn])), [], 0
+
+            def rate(done: float) -> float:
+                return LAST + RATE * (1 - (turn + min(1.0, done / expected)) / ROUNDS)
+
+            def learn(seen: int) -> None:
+                o = np.concatenate(held).astype("i4")
+                one, two = contexts(o, size, np.concatenate([[0], np.nonzero(o[:-1] == 0)[0] + 1]))
+                learner.learn(o, one, two, (rate(seen), rate(seen + len(o))), passes)
+                held.clear()
+
+            for b in batches:
+                for ids in b.column("ids"):
+                    held.append(np.frombuffer(ids.as_py(), "u2"))
+                    if (n := sum(map(len, held))) >= HELD:
+                        learn(seen)
+                        seen += n
+            if held:
+                learn(seen)
+            yield from learner.blocks()
+
+        found = numbers.where(F.col("turn") == turn).coalesce(tasks).mapInArrow(local, BLOCKS)
+        sums = common.spool(found.repartition(4, "k", "block").mapInArrow(added, BLOCKS), "vectors")
+        params, squares = [p.copy() for p in params], [s.copy() for s in squares]
+        for r in sums.toLocalIterator():  # one model
+            at = slice(ROWS * r.block, ROWS * (r.block + 1))
+            w = np.frombuffer(bytes(r.mass))
+            own = w > 0
+            for arrays, data in ((params, r.value), (squares, r.square)):
+                rows = np.frombuffer(bytes(data)).reshape(len(w), -1)[own] / w[own, None]
+                arrays[r.k][at][own] = rows.reshape(-1, *arrays[r.k].shape[1:])
+        common.drop(sums)
+        shared.unpersist()
+    return normalise(spark, Model(params))
+
+
+def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, models))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
     base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.worker_table("neural_lm")
-        vocab, ((near, far), (near_log, far_log)) = shared.value
+        vocab, lbl = shared.value
         for b in common.sliced(batches):
             words, starts = flat(b.column("text").to_pylist())
             at, out = vocab.look_up(words)
             one, two = contexts(out, vocab.size, starts)
             tail = at < 0
             by_count = np.where(tail, 0.0, vocab.log_count[at] if len(vocab.log_count) else 0.0)
-            mixed = np.log10(NEAREST * likelihood(near, near_log, one, out) + (1 - NEAREST) * likelihood(far, far_log, two, out))
-            mixed += np.where(out >= vocab.outputs, by_count, 0.0) - vocab.class_log[out]
-            known, base, model = (np.add.reduceat(x, starts) for x in ((~tail).astype("i8"), by_count, mixed))
+            own = lbl.log10(one, two, out) + np.where(out >= vocab.outputs, by_count, 0.0) - vocab.class_log[out]
+            known, base, model = (np.add.reduceat(x, starts) for x in ((~tail).astype("i8"), by_count, own))
             ends, rare = np.append(starts[1:], len(words)), tail.tolist()
             counters = [Counter(compress(words[i:j], rare[i:j])) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
             n, rest, times = ends - starts, [list(c.keys()) for c in counters], [list(c.values()) for c in counters]
@@ -369,5 +416,7 @@ def digests(docs: DataFrame) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = common.spool(count_words(training), "counts")
     vocab = vocabulary(counts)
-    pairs = count_pairs(training, vocab)
-    return score(rows, vocab, train(pairs, vocab), counts)
+    numbers = numbered(training, vocab)
+    model = train(numbers, vocab)
+    common.drop(numbers)
+    return score(rows, vocab, model, counts)

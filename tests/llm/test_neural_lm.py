@@ -48,13 +48,34 @@ def test_no_training_documents(spark):
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
 
 
-def test_tables_are_normalised_and_learn():
-    pairs = np.zeros((N.SIZE + 1, N.SIZE))
-    pairs[0, 1] = pairs[1, 0] = 500
-    pairs[0, 0] = pairs[1, 1] = 20
-    p = N.fit(pairs)
-    assert np.allclose(p.sum(1), 1, atol=1e-4)
-    assert p[0, 1] > 0.8 and p[1, 0] > 0.8
+def test_model_is_normalised_and_learns():
+    """Token 0 ends texts; 2 follows 1 and 1 follows 2, unless 3 stands two places before: then 4 comes."""
+    rng, o = np.random.default_rng(2), []
+    for _ in range(400):
+        for _ in range(8):
+            o += [1, 2] if rng.random() < 0.7 else [3, 1, 4]
+        o.append(0)
+    o = np.array(o, "i4")
+    unigram = (np.bincount(o, minlength=N.SIZE) + 0.1) / (len(o) + 0.1 * N.SIZE)
+    first = N.first_model(unigram)
+    learner = N.Learner(first, [np.full_like(p, 1e-8) for p in first], unigram, rng)
+    one, two = N.contexts(o, N.SIZE, np.concatenate([[0], np.nonzero(o[:-1] == 0)[0] + 1]))
+    learner.learn(o, one, two, (0.2, 0.01), 20)
+    m = N.Model(learner.params)
+    m.z = m.log_sums(m.near, *m.factors(m.far, "far"))
+    a, c = np.array([1, 1, 2, N.SIZE, 4]), np.array([3, 2, 1, N.SIZE, 1])
+    p = np.stack([10 ** m.log10(a, c, np.full(len(a), k)) for k in range(N.SIZE)], 1)
+    assert np.allclose(p.sum(1), 1, atol=1e-3)
+    assert p[0, 4] > 0.8 and p[1, 2] > 0.8  # the same word before, another two places before
+    s = (m.near[a] + m.far[c]).astype("f8") @ m.q.T + m.b
+    assert np.allclose(m.z[a, c], np.log(np.exp(s).sum(1)), atol=1e-3)
+
+
+def test_normalisers_beyond_single_precision():
+    m = N.Model(N.first_model(np.full(4, 0.25)))
+    m.near, m.far, m.q, m.b = np.array([[60.0, -60.0]], "f4"), np.array([[-90.0, 90.0]], "f4"), np.array([[1.0, 0], [0, 1.0], [0, 0], [0.5, 0.5]], "f4"), np.zeros(4, "f4")
+    s = (m.near[0] + m.far[0]).astype("f8") @ m.q.T
+    assert m.log_sums(m.near, *m.factors(m.far, "far"))[0, 0] == pytest.approx(math.log(np.exp(s).sum()), rel=1e-5)
 
 
 def test_words_share_their_class():
@@ -82,9 +103,11 @@ def test_vocabulary_follows_the_corpus(spark):
     counts = N.count_words(rows).cache()
     vocab = N.vocabulary(counts)
     assert vocab.outputs == int(N.GROWTH * (1500 * 401) ** 0.5) > N.OUTPUTS
-    models, logs = N.train(N.count_pairs(rows, vocab), vocab)
-    (r, q, b), z = models[0], logs[0]
-    assert np.allclose(np.exp(r[:50] @ q.T + b - z[:50, None]).sum(1), 1, atol=1e-3)
-    common, rare = (vocab.output[[vocab.index[b"%s%d" % (x, k)] for x in (b"a", b"b")]] for k in (0, 1))
-    for c, o in (common, rare):
-        assert N.likelihood(models[0], z, np.array([c]), np.array([o]))[0] > 5 * vocab.unigram[o]
+    model = N.train(N.numbered(rows, vocab), vocab)
+    own = N.first_model(vocab.unigram)
+    assert [x.shape for x in (model.q, model.b, model.near)] == [x.shape for x in (own[1], own[2], own[0])]
+    given = np.exp((model.near[:50] + model.far[50:100]).astype("f8") @ model.q.T + model.b - model.z[np.arange(50), np.arange(50, 100)][:, None])
+    assert np.allclose(given.sum(1), 1, atol=1e-3)
+    follows = [vocab.output[[vocab.index[b"%s%d" % (x, k)] for x in (b"a", b"b")]] for k in range(200)]
+    gains = [(model.log10(np.array([c]), np.array([follows[(k + 1) % 200][1]]), np.array([o]))[0] - np.log10(vocab.unigram[o])) for k, (c, o) in enumerate(follows)]
+    assert np.median(gains) > np.log10(5)
