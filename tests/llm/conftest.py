@@ -34,7 +34,7 @@ def clashing(docs):
     """Extra columns, with names that operators use."""
     from pyspark.sql import functions as F
 
-    return docs.withColumns({c: F.lit(1) for c in ("h", "ids", "w", "words", "key", "n", "digest", "kept", "score", "spans", "rules", "uid")})
+    return docs.withColumns({c: F.lit(1) for c in ("h", "ids", "w", "words", "key", "n", "digest", "kept", "score", "spans", "rules", "uid", "sig", "node", "a", "b", "label", "owner", "side", "item", "run", "off", "part", "uri", "turn", "line")})
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 from collections import Counter
 from itertools import product
@@ -80,3 +81,30 @@ def test_clashing_names_are_refused(docs):
     for name in ("n_words", "kept"):
         with pytest.raises(ValueError, match=name):
             Q.judge(docs.withColumn(name, docs.doc_id), keep=("doc_id", name))
+
+
+def test_a_noisy_rule_does_not_condemn_rows(spark):
+    """Through judge(): a rule that flags a third of the good documents; kept agrees with the labels, dropping all with a bad vote does not."""
+    rng = random.Random(11)
+    words = "time people way water long little very after words called just where most know oil sound house point page letter".split()
+
+    def prose(names):
+        sentences = []
+        for _ in range(40):
+            s = rng.sample(words, 9)
+            sentences.append(" ".join([s[0].title(), *(w.title() if names and rng.random() < 0.3 else w for w in s[1:])]) + ".")
+        return " ".join(sentences)
+
+    rows = [(k, prose(k % 3 == 0), 1) for k in range(300)]
+    for k in range(300, 400):
+        line = " ".join(rng.sample(words, 6)) + " ### $$$ %%% |||"
+        rows.append((k, "\n".join([line + f" {rng.random()}" for _ in range(30)] + [line] * 12), 0))
+    rules = [*Q.RULES, ("names", "n_upper > 60", "n_upper <= 60")]
+    out = Q.judge(spark.createDataFrame(rows, "doc_id long, text string, label long"), keep=("doc_id", "label"), rules=rules).collect()
+    names = [f"vote_{n}" for n, _, _ in rules]
+    assert not any(r.base_failed for r in out if r.label)
+    passed = {r.doc_id: not r.base_failed and all(r[n] >= 0 for n in names) for r in out}
+    kept, strict = (sum(verdict == bool(r.label) for r in out for verdict in [f(r)]) / len(out) for f in (lambda r: r.kept, lambda r: passed[r.doc_id]))
+    flagged = [r for r in out if r.label and r.vote_names < 0]
+    assert len(flagged) >= 90 and all(r.kept and not passed[r.doc_id] for r in flagged if [r[n] for n in names].count(-1) == 1)
+    assert kept >= 0.98 and strict < 0.8
