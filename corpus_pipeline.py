@@ -84,7 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         docs = common.spool(stage(spark, docs, sf_dir), name)
+        common.drop(*before)
+        before = [docs]
     return docs
