@@ -57,6 +57,8 @@ ROUNDED = {
     "sta16_ols_coefficients": "intercept slope",
     "sta17_its_design": "mean",
     "sta17_its_normal_equations": "b0 b1 s00 s01 s02 s03",
+    "sta17_sta18_hac_errors": "coef p se",
+    "sta07_sta08_tost": "bound difference p",
     "sta20_durbin_watson": "dw",
     "sta22_pre_post_contrast": "d df difference p t",
     "sta23_fig15_quarterly_effect": "d df difference p t",

@@ -241,7 +241,17 @@ def _(t):
     return p.select(F.round(scalars.cohen_h(F.col("a"), F.col("b")), 9).alias("h"))
 
 
-@query("sta07_sta08_tost")
+def t_above(t: str, df: str) -> str:
+    return upper(f"exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2) - 0.5 * ln({df} * pi()) - ({df} + 1) / 2 * ln(1 + {{u}} * {{u}} / {df}))", t)
+
+
+TOST = f"""with m as (select {MOMENTS.format(v='chars', g='quality = 1')} from {SCORED}), q as (select *, ((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2) as pooled, var1 / n1 + var2 / n2 as ab, mean1 - mean2 as diff from m),
+w as (select false as welch, sqrt(pooled * (1 / n1 + 1 / n2)) as se, cast(n1 + n2 - 2 as double) as df, diff, 0.2::double * sqrt(pooled) as bound from q union all select true, sqrt(ab), ab * ab / (power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1)), diff, 0.2::double * sqrt(pooled) from q),
+p as (select welch, diff, bound, greatest({t_above('((diff + bound) / se)', 'df')}, {t_above('((bound - diff) / se)', 'df')}) as p from w)
+select welch, diff as difference, bound, p, p < 0.05 as equivalent from p"""
+
+
+@query("sta07_sta08_tost", TOST, doubles="difference bound p")
 def _(t):
     m = A.contrast(scored(t), [], "chars", good()).first()
     rows = [(w, *A.tost(m.n1, m.mean1, m.var1, m.n2, m.mean2, m.var2, welch=w).values()) for w in (False, True)]
@@ -330,6 +340,36 @@ def _(t):
     return t.spark.createDataFrame([tuple(r.values()) for r in out], list(out[0]))
 
 
+TERMS = ("const", "time", "post", "time_after")
+
+
+def alone(term: str) -> str:
+    """SQL: month, n, y and r, the regressor less its weighted fit on the others, one after the other."""
+    left, source = [t for t in TERMS if t != term], f"(select month, n, mean as y, cast(1 as double) as const, cast(time as double) as time, cast(post as double) as post, cast(time_after as double) as time_after from {DESIGN})"
+    while left:
+        x = left.pop(0)
+        rest = ", ".join(f"{c} - {x} * (sum(n * {c} * {x}) over ()) / (sum(n * {x} * {x}) over ()) as {c}" for c in [*left, term])
+        source = f"(select month, n, y, {rest} from {source})"
+    return f"select '{term}' as term, month, n, y, {term} as r from {source}"
+
+
+#: Each coefficient and its Newey-West error (three lags) from its regressor's own part; the horizon's effect adds two of them.
+HAC = f"""with r as ({' union all '.join(alone(t) for t in TERMS)}), s as (select term, sum(n * r * y) / sum(n * r * r) as b, sum(n * r * r) as s from r group by term),
+w as (select max(b) filter (term = 'const') as c, max(b) filter (term = 'time') as t, max(b) filter (term = 'post') as p, max(b) filter (term = 'time_after') as a from s),
+e as (select month, row_number() over (order by month) as k, mean - c - t * time - p * post - a * time_after as e, count(*) over () - 4 as df, least(12, sum(post) over () - 1) as h from {DESIGN}, w),
+u as (select term, k, n * r * e / s as u, b, df, h from r join s using (term) join e using (month)),
+v as (select * from u union all select 'at_horizon', k, sum(case when term = 'post' then u else h * u end), sum(case when term = 'post' then b else h * b end), any_value(df), any_value(h) from u where term in ('post', 'time_after') group by k),
+z as (select x.term, any_value(x.b) as coef, any_value(x.df) as df, sqrt(sum(x.u * y.u * case when x.k = y.k then 1 else (1 - abs(x.k - y.k) / 4.0::double) end)) as se from v x join v y on x.term = y.term and abs(x.k - y.k) <= 3 group by x.term)
+select term, coef, se, {t_tail('(coef / se)', 'cast(df as double)')} as p from z"""
+
+
+@query("sta17_sta18_hac_errors", HAC, doubles="coef se p")
+def _(t):
+    fit = A.segmented(designed(t).collect())  # a row a month
+    rows = [(k, fit["effect_at_horizon" if k == "at_horizon" else k], fit[f"se_{k}"], fit[f"p_{k}"]) for k in [*TERMS, "at_horizon"]]
+    return t.spark.createDataFrame(rows, "term string, coef double, se double, p double")
+
+
 @query("sta19_glsar")
 def _(t):
     fit = A.glsar(designed(t).collect())  # a row a month
