@@ -10,7 +10,7 @@ from ..operators import models as M
 from ..operators import scoring as S
 from .pattern_queries import SENTENCES
 from .registry import query
-from .stat_queries import SCORED, finished, MOMENTS
+from .stat_queries import MOMENTS, SCORED, finished, t_tail
 from .text_queries import WORDS, articles, frame_sql, themes_sql
 
 UP, DOWN = ("the", "and"), ("that", "was")
@@ -170,7 +170,7 @@ def composite_sql() -> str:
 
 
 def stats_sql(inner: str) -> str:
-    return f"select n1, cast(mean1 as double) as mean1, var1, n2, cast(mean2 as double) as mean2, var2, mean1 - mean2 as difference, (mean1 - mean2) / sqrt(var1 / n1 + var2 / n2) as t, power(var1 / n1 + var2 / n2, 2) / (power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1)) as df, (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) as d from ({inner})"
+    return f"select *, {t_tail('t', 'df')} as p from (select n1, cast(mean1 as double) as mean1, var1, n2, cast(mean2 as double) as mean2, var2, mean1 - mean2 as difference, (mean1 - mean2) / sqrt(var1 / n1 + var2 / n2) as t, power(var1 / n1 + var2 / n2, 2) / (power(var1 / n1, 2) / (n1 - 1) + power(var2 / n2, 2) / (n2 - 1)) as df, (mean1 - mean2) / sqrt(((n1 - 1) * var1 + (n2 - 1) * var2) / (n1 + n2 - 2)) as d from ({inner}))"
 
 
 @query("flagship_group_contrast", stats_sql("select " + MOMENTS.format(v="composite", g="quality = 1") + f" from {composite_sql()}"))

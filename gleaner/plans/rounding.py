@@ -18,7 +18,7 @@ ROUNDED = {
     "fig18_its_fitted": "mean fitted",
     "sta16_clustered_errors": "coef se low high",
     "fig05_frame_heat_map": "legal narrative technical",
-    "flagship_group_contrast": "d df difference mean1 mean2 t var1 var2",
+    "flagship_group_contrast": "d df difference mean1 mean2 p t var1 var2",
     "mdl01_mdl06_model_plug_in": "score",
     "mdl02_mean_over_windows": "score",
     "mdl03_stance": "stance",
