@@ -29,6 +29,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +39,9 @@ OUTPUTS, CLASSES, HEAD = 1023, 65, 32_768
 SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
 GROWTH, MOST = 4, 4096  #: words with an output of their own: per square root of a training token, and at most
 DIM, NOISE, DRAWN, ROUNDS, RATE, LAST = 32, 10, 256, 4, 0.2, 0.005
-BATCH, STEPS = 2048, 400  #: tokens of a step at most; steps that a task takes in a round at least
-SLICE, HELD, SHARE = 1 << 16, 1 << 20, 500_000  #: tokens in a row; in a task's memory; of a corpus for each of its tasks at least
-ENOUGH = 1_500_000  #: tokens below which a round goes over its part several times
+BATCH, STEPS = 4096, 400  #: tokens of a step at most; steps that a task takes in a round at least
+SLICE, HELD, SHARE = 1 << 14, 1 << 20, 500_000  #: tokens in a row; in a task's memory; of a corpus for each of its tasks at least
+ENOUGH = 1_000_000  #: tokens below which a round goes over its part several times
 ROWS = 512  #: vectors in a block
 END = b""  #: no word is empty
 FLUSH = 150_000  #: words that a task counts before it hands them on
@@ -162,12 +163,12 @@ def numbered(training: DataFrame, vocab: Vocabulary) -> DataFrame:
     shared = training.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, turn, held, size = shared.value, 0, [], 0
+        vocab, turn, held, size = shared.value, TaskContext.get().partitionId(), [], 0  # few rows a task are spread over the rounds
 
         def row():
             return pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["turn", "ids"])
 
-        for b in common.sliced(batches, 1 << 19):
+        for b in common.sliced(batches, 1 << 17):
             held.append(vocab.look_up(flat(b.column("text").to_pylist())[0])[1].astype("u2"))
             size += len(held[-1])
             if size >= SLICE:
@@ -179,12 +180,12 @@ def numbered(training: DataFrame, vocab: Vocabulary) -> DataFrame:
     return common.spool(training.select("text").mapInArrow(run, "turn int, ids binary"), "numbers")
 
 
-def right(s: np.ndarray) -> np.ndarray:
-    """Probability that a token came from the data, in place of its score."""
-    np.clip(s, -30, 30, out=s)
-    np.exp(np.negative(s, out=s), out=s)
+def right(s: np.ndarray, scale: float = 1.0) -> np.ndarray:
+    """Probability that a token came from the data, times scale, in place of its score with the sign turned."""
+    with np.errstate(over="ignore"):  # the exponential of a large number is infinite, and the probability 0
+        np.exp(s, out=s)
     s += 1
-    return np.reciprocal(s, out=s)
+    return np.divide(np.float32(scale), s, out=s)
 
 
 class Learner:
@@ -195,18 +196,25 @@ class Learner:
         self.shift, self.cdf = np.log(NOISE * unigram).astype("f4"), np.cumsum(unigram)
         self.mass = [np.zeros(len(p)) for p in params]
 
-    def move(self, k: int, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-        """A step of rows of parameter k, some of them named several times."""
-        by = np.argsort(at, kind="stable")
+    def sums(self, at: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows that at names, and each part's sums by these."""
+        by = np.argsort(at, kind="stable")  # of 16-bit numbers: by radix
         begin = np.concatenate([[0], np.nonzero(np.diff(at[by]))[0] + 1])
-        rows, g = at[by][begin], np.add.reduceat(g[by], begin)
-        self.squares[k][rows] += g * g
-        self.params[k][rows] -= rate * g / np.sqrt(self.squares[k][rows])
+        yield at[by][begin]
+        for p in parts:
+            yield np.add.reduceat(p.take(by, 0), begin)
+
+    def move(self, k: int, rows, g: np.ndarray, rate: float) -> None:
+        """A step of rows of parameter k, each named once."""
+        square = self.squares[k][rows] + g * g
+        self.squares[k][rows] = square
+        self.params[k][rows] -= rate * g / np.sqrt(square)
 
     def learn(self, o: np.ndarray, one: np.ndarray, two: np.ndarray, rates: tuple[float, float], passes: int = 1) -> None:
         """Steps over tokens o after the words one and two places before, in random order, the rate going down."""
         words, q, b, near, far = self.params
         n, top = len(o), len(self.cdf) - 1
+        o, one, two = (x.astype("u2") for x in (o, one, two))
         batch = min(BATCH, max(256, n * passes // STEPS))
         for turn in range(passes):
             order = self.rng.permutation(n)
@@ -214,20 +222,18 @@ class Learner:
                 i = order[k : k + batch]
                 rate = np.float32(rates[0] + (rates[1] - rates[0]) * (turn + k / n) / passes)
                 out, a, c = o[i], one[i], two[i]
-                w = np.minimum(np.searchsorted(self.cdf, self.rng.random(DRAWN) * self.cdf[-1]), top)
-                va, vc, qo, qw = words[a], words[c], q[out], q[w]
+                w = np.minimum(np.searchsorted(self.cdf, self.rng.random(DRAWN) * self.cdf[-1]), top).astype("u2")
+                va, vc, qo, qw = words.take(a, 0), words.take(c, 0), q.take(out, 0), q.take(w, 0)
                 context = va @ near + vc @ far
-                e = right(np.einsum("ij,ij->i", context, qo) + b[out] - self.shift[out]) - 1
-                noise = right(context @ qw.T + (b[w] - self.shift[w])) * np.float32(NOISE / DRAWN)
+                e = right(self.shift[out] - b[out] - np.einsum("ij,ij->i", context, qo)) - 1
+                noise = context @ -qw.T
+                noise += self.shift[w] - b[w]
+                noise = right(noise, NOISE / DRAWN)
                 g = e[:, None] * qo + noise @ qw
-                both = np.concatenate([out, w])
-                self.move(1, both, np.concatenate([e[:, None] * context, noise.T @ context]), rate)
-                self.move(2, both, np.concatenate([e, noise.sum(0)]), rate)
-                self.move(0, np.concatenate([a, c]), np.concatenate([g @ near.T, g @ far.T]), rate)
-                for k_, v in ((3, va), (4, vc)):
-                    m = v.T @ g
-                    self.squares[k_] += m * m
-                    self.params[k_] -= rate * m / np.sqrt(self.squares[k_])
+                rows, gq, gb = self.sums(np.concatenate([out, w]), np.concatenate([e[:, None] * context, noise.T @ context]), np.concatenate([e, noise.sum(0)]))
+                own, gw = self.sums(np.concatenate([a, c]), np.concatenate([g @ near.T, g @ far.T]))
+                for j, at, grad in ((1, rows, gq), (2, rows, gb), (0, own, gw), (3, slice(None), va.T @ g), (4, slice(None), vc.T @ g)):
+                    self.move(j, at, grad, rate)
         self.mass[0] += np.bincount(one, minlength=len(words)) + np.bincount(two, minlength=len(words))
         for k in (1, 2):
             self.mass[k] += np.bincount(o, minlength=len(q))
