@@ -164,7 +164,7 @@ def bitmap_of(ids: DataFrame) -> np.ndarray:
 
     out = np.zeros((CHUNKS, chunk), "u1")
     schema = "chunk int, bits binary"
-    for r in ids.mapInArrow(run, schema).repartition(CHUNKS // 4, "chunk").mapInArrow(joined, schema).toLocalIterator():
+    for r in ids.mapInArrow(run, schema).repartition(CHUNKS // 4, "chunk").mapInArrow(joined, schema).collect():  # one bitmap
         out[r.chunk] = np.frombuffer(zlib.decompress(bytes(r.bits)), "u1")
     return out.reshape(-1)
 

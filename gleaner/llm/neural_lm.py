@@ -319,9 +319,11 @@ def normalise(spark, model: Model) -> Model:
                 yield pa.RecordBatch.from_pydict({"id": [i], "z": [model.log_sums(model.near[64 * i : 64 * i + 64], *far).tobytes()]})
 
     model.z = np.empty((n, n), "f4")
-    for r in spark.range(0, -(-n // 64), 1, parts).mapInArrow(run, "id long, z binary").toLocalIterator():
+    table = common.spool(spark.range(0, -(-n // 64), 1, parts).mapInArrow(run, "id long, z binary"), "normalisers")
+    for r in table.toLocalIterator():
         rows = np.frombuffer(bytes(r.z), "f4").reshape(-1, n)
         model.z[64 * r.id : 64 * r.id + len(rows)] = rows
+    common.drop(table)
     shared.unpersist()
     return model
 
