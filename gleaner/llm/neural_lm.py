@@ -43,6 +43,7 @@ BATCH, STEPS = 4096, 400  #: tokens of a step at most; steps that a task takes i
 SLICE, HELD, SHARE = 1 << 14, 1 << 20, 500_000  #: tokens in a row; in a task's memory; of a corpus for each of its tasks at least
 ENOUGH = 1_000_000  #: tokens below which a round goes over its part several times
 ROWS = 512  #: vectors in a block
+CACHED = 512  #: tokens whose noise scores are worked on at a time
 END = b""  #: no word is empty
 FLUSH = 150_000  #: words that a task counts before it hands them on
 
@@ -226,11 +227,17 @@ class Learner:
                 va, vc, qo, qw = words.take(a, 0), words.take(c, 0), q.take(out, 0), q.take(w, 0)
                 context = va @ near + vc @ far
                 e = right(self.shift[out] - b[out] - np.einsum("ij,ij->i", context, qo)) - 1
-                noise = context @ -qw.T
-                noise += self.shift[w] - b[w]
-                noise = right(noise, NOISE / DRAWN)
-                g = e[:, None] * qo + noise @ qw
-                rows, gq, gb = self.sums(np.concatenate([out, w]), np.concatenate([e[:, None] * context, noise.T @ context]), np.concatenate([e, noise.sum(0)]))
+                g, turned, level = e[:, None] * qo, -qw.T, self.shift[w] - b[w]
+                drawn, bias = np.zeros_like(qw), np.zeros(DRAWN, "f4")
+                for j in range(0, len(i), CACHED):  # scores of the noise that stay in the processor's cache
+                    part = context[j : j + CACHED]
+                    noise = part @ turned
+                    noise += level
+                    right(noise, NOISE / DRAWN)
+                    g[j : j + CACHED] += noise @ qw
+                    drawn += noise.T @ part
+                    bias += noise.sum(0)
+                rows, gq, gb = self.sums(np.concatenate([out, w]), np.concatenate([e[:, None] * context, drawn]), np.concatenate([e, bias]))
                 own, gw = self.sums(np.concatenate([a, c]), np.concatenate([g @ near.T, g @ far.T]))
                 for j, at, grad in ((1, rows, gq), (2, rows, gb), (0, own, gw), (3, slice(None), va.T @ g), (4, slice(None), vc.T @ g)):
                     self.move(j, at, grad, rate)
