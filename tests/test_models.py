@@ -163,3 +163,19 @@ def test_a_shared_folder_is_asked_for_outside_of_local_mode():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         files.scratch(Session, "x")
+
+
+def test_stance_query_reads_whole_lines(spark, tmp_path):
+    """A line's words behind the 512th count as in the query's SQL, which cuts none."""
+    import duckdb
+
+    from gleaner.plans.registry import SQL, QUERIES
+    import gleaner.plans.catalog  # noqa: F401  registers
+
+    rows = [(1, "that " + "x " * 600 + "the and the"), (2, "that" + LONG + " was"), (3, "nothing"), (4, None)]
+    rows += [(10 + k, "that" + " the" * up + " was" * down + " x" * 20) for k, (up, down) in enumerate((a, 637 - a) for a in range(2, 636))]  # shares of 640: halves at the seventh digit
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.stance for r in QUERIES["mdl03_stance"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(con.execute(SQL["mdl03_stance"]).fetchall()) and got[1] == 0.5
