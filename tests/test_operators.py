@@ -159,3 +159,21 @@ def test_streamed_scores_equal_batch_and_resume(spark, tmp_path):
     got = jobs.current(spark, out, "id", "error", "seq").collect()
     assert {r.id: r.error for r in got} == {"a": None, "b": None} and spark.read.parquet(out).count() == 3
     assert [r.id for r in jobs.pending(spark.createDataFrame([("a",), ("z",)], "id string"), spark.read.parquet(out), "id").collect()] == ["z"]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Halves at the seventh digit, products past 2 to the 53rd and values that are no numbers, as DuckDB rounds them."""
+    import duckdb
+
+    from gleaner.plans.registry import rounded_as_sql
+
+    con = duckdb.connect()
+    ties = [(2 * k + 1) / 2e7 * m for k in range(0, 40000, 7) for m in (1, 10, 1 / 3)]
+    values = [*ties, 1436029418121313.1, 9019661319359314.0 / 3, 1e300, -0.25, -1.0000005, float("inf"), float("-inf"), 0.0, None]
+    con.execute("create table t (k bigint, v double)")
+    con.executemany("insert into t values (?, ?)", list(enumerate(values)))
+    want = dict(con.execute("select k, round(v, 6) + 0.0 from t").fetchall())
+    df = spark.createDataFrame(list(enumerate(values)), "k long, v double").coalesce(1)
+    got = {r.k: r.r for r in df.select("k", (rounded_as_sql(F.col("v")) + 0.0).alias("r")).collect()}
+    assert got == want
+    assert any(r.r != want[r.k] for r in df.select("k", (F.round("v", 6) + 0.0).alias("r")).collect())
