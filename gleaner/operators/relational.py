@@ -41,35 +41,46 @@ OPEN = "9999-12-31"
 
 
 def interval_join(df: DataFrame, dim: DataFrame, keys: list[str], date: str, name: str = "name", start: str = "start", end: str = "end", order: str = "ord", out: str = "found") -> DataFrame:
-    """interval_lookup() for a dimension of any size: nothing holds all intervals of a key.
+    """interval_lookup() for a dimension of any size: nothing holds all intervals of a key, and no date meets them one by one.
 
-    An interval goes to a level whose buckets are at least as long as it is (powers of two days), so it lies in two buckets of its level at most;
-    one without an end goes to a level of its own.  Each pair of keys and date that occurs is looked up once in every level
-    in use (there are some fifteen at most), by equality of keys, level and bucket, and the first interval by order, then name,
-    is kept as an aggregate.  Intervals that end before they start hold no date.
+    Of intervals of the same keys, start and end the first (by order, then name) is kept.  Each is cut into whole blocks of
+    powers of two days, two of a size at most, and of a block again the first is kept, so there is one row a block.  Each pair
+    of keys and date that occurs looks up the one block of every size that holds it, by equality, and the first of what it
+    finds is kept.  Intervals that end before they start hold no date.
     """
     none = F.to_date(F.lit(OPEN))
-    days = F.datediff(F.coalesce(F.col(end), none), F.col(start)) + 1
-    level = F.when(F.col(end).isNull() | (F.col(end) >= none), -1).otherwise(F.ceil(F.log2(days.cast("double")))).cast("int")
-    known = dim.where(F.col(start).isNotNull() & (days > 0)).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(start).cast("date").alias("_s"), F.coalesce(F.col(end).cast("date"), none).alias("_e"), F.struct(F.col(order).alias("o"), F.col(name).alias("n")).alias("_v"), level.alias("_level"))
-
-    def bucket(d: Column, at: Column) -> Column:
-        return F.when(at < 0, 0).otherwise(F.floor(F.unix_date(d) / F.pow(F.lit(2.0), at))).cast("long")
-
-    held = known.withColumn("_bucket", F.explode(F.array_distinct(F.array(bucket(F.col("_s"), F.col("_level")), bucket(F.col("_e"), F.col("_level"))))))
-    levels = sorted(r[0] for r in known.select("_level").distinct().collect())  # one for a power of two days
+    known = dim.where(" and ".join(f"`{k}` is not null" for k in [*keys, start])).select(*(F.col(k).alias(f"_{k}") for k in keys), F.unix_date(F.col(start).cast("date")).cast("long").alias("_s"), (F.unix_date(F.coalesce(F.col(end).cast("date"), none)) + 1).cast("long").alias("_e"), F.struct(F.col(order).alias("o"), F.col(name).alias("n")).alias("_v")).where("_s < _e")
+    own = [f"_{k}" for k in keys]
+    longest = known.agg(F.max(F.col("_e") - F.col("_s"))).first()[0] or 0
+    sizes = F.lit(list(range(longest.bit_length()))).cast("array<int>")  # blocks of 1, 2, 4, ... days, up to the longest interval
+
+    def blocks(low: Column, high: Column) -> Column:
+        """level and block of the parts of low to high (exclusive)."""
+
+        def of(j: Column) -> Column:
+            up = F.pow(F.lit(2.0), j)
+            first, last = F.ceil(low / up), F.floor(high / up)  # whole blocks; days are small enough for exact quotients
+            odd = lambda x: F.pmod(x, F.lit(2)) == 1
+            left = F.when((first < last) & odd(first), first)
+            right = F.when((first < last) & odd(last), last - 1)
+            return F.array(*(F.struct(j.alias("level"), x.cast("long").alias("block")) for x in (left, right)))
+
+        fitting = F.filter(sizes, lambda j: F.pow(F.lit(2.0), j) <= high - low)
+        return F.filter(F.flatten(F.transform(fitting, of)), lambda x: x["block"].isNotNull())
+
+    # explode_outer: a span always has a block, and explode() would have them made again to test for none.
+    spans = known.groupBy(*own, "_s", "_e").agg(F.min("_v").alias("_v"))
+    held = spans.withColumn("_b", F.explode_outer(blocks(F.col("_s"), F.col("_e")))).select(*own, F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"), "_v")
+    held = held.groupBy(*own, "_level", "_block").agg(F.min("_v").alias("_v"))
     whole = " and ".join(f"`{k}` is not null" for k in [*keys, date])
-    asked = df.where(whole).select(*keys, F.col(date).cast("date").alias("_day")).distinct()
-    asked = asked.withColumn("_level", F.explode(F.lit(levels).cast("array<int>"))).withColumn("_bucket", bucket(F.col("_day"), F.col("_level")))
-    same = (asked["_level"] == held["_level"]) & (asked["_bucket"] == held["_bucket"]) & (F.col("_s") <= F.col("_day")) & (F.col("_day") <= F.col("_e"))
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    first = asked.join(held, same).groupBy(*keys, "_day").agg(F.min("_v").alias("_v"))
-    first = first.select(*(F.col(k).alias(f"_{k}") for k in keys), "_day", F.col("_v.n").alias(out))
+    asked = df.where(whole).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col(date).cast("date").alias("_day")).distinct()
+    asked = asked.withColumn("_level", F.explode(sizes)).withColumn("_block", F.floor(F.unix_date("_day") / F.pow(F.lit(2.0), F.col("_level"))).cast("long"))
+    first = asked.join(held, [*own, "_level", "_block"]).groupBy(*own, "_day").agg(F.min("_v").alias("_v"))
+    first = first.select(*own, "_day", F.col("_v.n").alias(out))
     back = F.col(date).cast("date") == F.col("_day")
     for k in keys:
         back = back & (F.col(k) == F.col(f"_{k}"))
-    return df.join(first, back, "left").drop("_day", *(f"_{k}" for k in keys))
+    return df.join(first, back, "left").drop("_day", *own)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:

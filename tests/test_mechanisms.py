@@ -145,3 +145,15 @@ def test_functions_have_sql_text(spark):
 
     with pytest.raises(ValueError, match="lambda"):
         views.sql_of(spark, text.word_count, {"t": "string"})
+
+
+def test_interval_join_meets_blocks_not_intervals(spark):
+    """No join compares dates with intervals: many long ones over a date give it one row a block, by equality alone."""
+    day = dt.date(1969, 12, 1)
+    dim = spark.range(2000).select(F.lit("hot").alias("k"), F.col("id").alias("name"), F.date_add(F.lit(day), (F.col("id") % 40).cast("int")).alias("start"), F.date_add(F.lit(day), (40 + F.col("id") % 77).cast("int")).alias("end"), (-F.col("id")).alias("ord"))
+    facts = spark.range(130).select(F.lit("hot").alias("k"), F.date_add(F.lit(day), (F.col("id") - 5).cast("int")).alias("day"))
+    out = R.interval_join(facts, dim, ["k"], "day")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not any("<=" in line or ">=" in line for line in plan.splitlines() if "Join" in line)
+    want = {d: max((k for k in range(2000) if k % 40 <= d <= 40 + k % 77), default=None) for d in range(-5, 125)}
+    assert {(r.day - day).days: r.found for r in out.collect()} == want
