@@ -75,10 +75,11 @@ def _(t):
 
 @query("ded03_snk04_stream_state", "select user_id, event_id, event_type, value, ts from (select *, row_number() over (partition by user_id order by event_type <> 'error' desc, event_id desc) as rn from events) where rn = 1")
 def _(t):
-    """Latest success wins, as state of a stream that reads six files, one a trigger."""
+    """Latest success wins, as state of a stream that reads all events in six triggers, each of a file a core."""
+    cores = t.spark.sparkContext.defaultParallelism
     source, out, checkpoint = (files.scratch(t.spark, n) for n in ("events", "changes", "checkpoint"))
-    t.events.repartitionByRange(6, "event_id").write.parquet(source)
-    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    t.events.repartitionByRange(6 * cores, "event_id").write.parquet(source)
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", cores).parquet(source)
     stream = stream.select("user_id", "event_id", "event_type", "value", "ts", F.when(F.col("event_type") == "error", "error").alias("failure"))
     jobs.append_changes(jobs.winners(stream, "user_id", "failure", "event_id"), out, checkpoint).awaitTermination()
     return jobs.latest(t.spark, out, "user_id").drop("failure")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,36 +22,18 @@ def current(spark: SparkSession, path: str, key: str, error: str, seq: str) -> D
     return latest_success(spark.read.parquet(path).drop("batch"), key, error, seq)
 
 
-#: Formats that keep microseconds.
-EXACT = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-
-
 def winners(stream: DataFrame, key: str, error: str, seq: str) -> DataFrame:
     """Latest-success-wins as keyed state: a row for each change of a key's winner (key, and the stream's other columns).
 
-    The state of a key is its winner: whether it is a success, its number, and the row as JSON.  A success replaces an error and any
-    success of a lower number; an error replaces an error of a lower number; of equal numbers the first stays.
+    The state of a key is its winner, as an aggregate, so rows combine before the shuffle and no key is handed out of the JVM.
+    A success replaces an error and any success of a lower number; an error replaces an error of a lower number; of equal
+    numbers the earlier trigger's stays.  Within a trigger current_timestamp() is one value, so a winner that has it is new.
     """
     columns = [c for c in stream.columns if c != key]
-    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in [key, *columns])
-    rows = stream.select(F.col(key).alias("_key"), F.col(error).isNull().alias("_good"), F.col(seq).cast("long").alias("_seq"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false", **EXACT}).alias("_row"))
-
-    def step(group, batches, state):
-        held = state.get if state.exists else None
-        before = held
-        for frame in batches:
-            best = frame.sort_values(["_good", "_seq"], ascending=False, kind="stable").iloc[0]
-            new = (bool(best["_good"]), int(best["_seq"]), best["_row"])
-            if held is None or new[:2] > tuple(held[:2]):
-                held = new
-        if held is not before:
-            state.update(held)
-            yield pd.DataFrame({"_key": [group[0]], "_row": [held[2]]})
-
-    changes = rows.groupBy("_key").applyInPandasWithState(step, f"_key {kinds[key]}, _row string", "good boolean, seq long, row string", "update", "NoTimeout")
-    inner = ", ".join(f"`{c}` {kinds[c]}" for c in columns)
-    return changes.select(F.col("_key").alias(key), F.from_json("_row", inner, EXACT).alias("_r")).select(key, *(F.col(f"_r.`{c}`").alias(c) for c in columns))
+    now = F.unix_micros(F.current_timestamp())
+    rows = stream.select(F.col(key).alias("_key"), F.struct(*columns).alias("_row"), F.struct(F.col(error).isNull().alias("good"), F.col(seq).alias("seq"), (-now).alias("early")).alias("_order"))
+    held = rows.groupBy("_key").agg(F.max_by(F.struct("_row", (-F.col("_order.early")).alias("at")), F.col("_order")).alias("_w"))
+    return held.where(F.col("_w.at") == now).select(F.col("_key").alias(key), *(F.col(f"_w._row.`{c}`").alias(c) for c in columns))
 
 
 def append_changes(changes: DataFrame, path: str, checkpoint: str):

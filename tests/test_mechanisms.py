@@ -157,3 +157,16 @@ def test_interval_join_meets_blocks_not_intervals(spark):
     assert "Join" in plan and not any("<=" in line or ">=" in line for line in plan.splitlines() if "Join" in line)
     want = {d: max((k for k in range(2000) if k % 40 <= d <= 40 + k % 77), default=None) for d in range(-5, 125)}
     assert {(r.day - day).days: r.found for r in out.collect()} == want
+
+
+def test_winners_are_an_aggregate_and_only_changes_come(spark, tmp_path):
+    """Rows combine in the JVM before the shuffle; a trigger writes the keys whose winner is new, and equal numbers change none."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    schema = "k string, seq long, error string, v double"
+    batches = [[("a", 1, None, 1.0), ("b", 1, "bad", 2.0)], [("a", 1, None, 9.0), ("a", 5, "bad", 9.0), ("b", 0, None, 3.0)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{source}/{n}")
+        changes = jobs.winners(spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(source), "k", "error", "seq")
+        assert "Pandas" not in changes._jdf.queryExecution().analyzed().toString()
+        jobs.append_changes(changes, out, checkpoint).awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(out).select("batch", "k", "v").collect()) == [(0, "a", 1.0), (0, "b", 2.0), (1, "b", 3.0)]
