@@ -51,3 +51,17 @@ def test_curly_quotes_do_not_swallow_the_next_one():
     from gleaner.functions import kernels
 
     assert kernels.quote_spans("“unclosed and “closed one” end") == [(14, 26)]
+
+
+def test_matches_do_not_read_the_text_before_them_again(spark):
+    """No part of the text from its start is taken for a match, and long texts of negated and quoted matches equal the kernels."""
+    from pyspark.sql import functions as F
+
+    from gleaner.functions import kernels, text
+
+    texts = ["not one price, " * 700, "not a b c " + '"price\'s", ' * 300 + "no" + "price", "never | price " * 300 + "a b c d price"]
+    args = (r"price", r"\bb\b"), ("not", "never"), ("far from",)
+    found, outside = text.pattern_hit(F.col("t"), *args)
+    out = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", found.alias("f"), outside.alias("o"))
+    assert "substring(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.k: (r.f, r.o) for r in out.collect()} == {k: kernels.pattern_hit(t, args[0], frozenset(args[1]), args[2]) for k, t in enumerate(texts)}
