@@ -6,11 +6,13 @@ token is extended by CLASSES tokens: it then shares CLASSES + 1 tokens with any
 pigeonhole principle, two frequent ones of the same class.  Rare tokens are indexed singly, frequent ones as pairs within
 their class.  Sets too small for the extension index all tokens of the plain prefix singly; sets just above do both.
 
-Copies (equal sets) are one node, named by their smallest doc_id.  No list of a signature's members is expanded into all its
+Copies (equal sets) are one node, named by their smallest doc_id.  Of lists with the same members (a passage's signatures) one
+stays.  No list of a signature's members is expanded into all its
 pairs: first a list elects its commonest text, in round r some GROWTH ** r members that are not in its pivot's component (both by
 hash), and all members of other components are compared with these centres.  Centres leave the list, and a list goes when all
-that is left of it is one component.  Before sets are moved, pairs pass two exact bounds: their sizes, and the parity of their tokens by hash bit (each
-bit in which two parities differ is a token that only one of them has).  Whole sets decide, so the result is exact.
+that is left of it is one component.  Members take their sizes and the parities of their tokens by hash bit along, and pairs are
+made only where two exact bounds on these allow a link (each bit in which two parities differ is a token that only one of them
+has).  Whole sets decide, so the result is exact.
 
 Defined results: a document without words has an empty set and links with nothing; a null doc_id has n_shingles and a null
 component_id and links with nothing; rows that repeat a doc_id are one document with several texts.  An empty table gives no
@@ -34,9 +36,10 @@ CHUNKS, CHUNK = 64, 1 << 16
 CELLS = CHUNKS * CHUNK  #: cells of the count sketch, whatever the corpus
 CLASSES = 16
 GROWTH = 16  #: centres of a list, from round to round
-HOT = 64  #: a list with more members compares parities before it makes pairs
 PART = 2048  #: members of a long list that meet its centres in one task
-PARITY = 256  #: bits of the parity that every node has; sets of more than twice as many tokens have a longer one besides
+PARITY = 256  #: bits of the parity that every node has; sets of more tokens have a longer one besides
+CARRIED = 256  #: longs of a longer parity that is taken along in lists; beyond, it is compared after pairs are made
+OWN = 32  #: least signatures of its lists that a member takes along, so that a pair is made in one list of those that it shares
 MANY = 4096  #: copies of a text from which on its component is looked up in a broadcast table (of at most a row in MANY)
 BITS = 1 << 20, 1 << 27  #: least and most bits of a bitmap
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -212,7 +215,7 @@ def signature_rows(docs: DataFrame, job: Job, shared) -> DataFrame:
                     counts, (x, y) = sketch[cell(s)], set_id(s)
                     sig = job.signatures(s, counts, frequent)
                     parts.append((sig, np.full(len(sig), x, "i8")))
-                    longer = parity(s, 1 << (len(s) // 2).bit_length()).tolist() if len(s) > 2 * PARITY else None
+                    longer = parity(s, 1 << len(s).bit_length()).tolist() if len(s) > PARITY else None
                     nodes.append((None, x, doc_id, y, len(s), int(np.log2(1 + counts).mean() * 128), *parity(s, PARITY).tolist(), longer))
             if parts:
                 sig, a = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -270,47 +273,58 @@ class Links:
         members = common.spool(members.join(self.nodes.select("a", "node", "n", "rank"), "a").select("sig", "node", "n", "rank", F.col("node").alias("label")), "members")
         common.drop(rows, lists)
         first = self.listed(members, F.max(F.struct("rank", "node"))["node"], F.expr("node = top"))
-        # Members of long lists take their parities along, so that these prune pairs inside the join.
-        hot = common.spool(first.where(f"m > {HOT}").join(self.nodes.select("node", *FOLDED), "node"), "hot")
-        self.alive = first.where(f"m <= {HOT}").withColumns({f: F.lit(None).cast("long") for f in FOLDED}).unionByName(hot)
-        self.made = [members, self.nodes, first, hot]
+        # Members take their parities along, so that these prune pairs inside the join.
+        carried = F.when(F.size("bits") <= CARRIED, F.col("bits")).alias("bits")
+        own = first.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, OWN).alias("own"))
+        self.alive = common.spool(first.join(self.nodes.select("node", *FOLDED, carried), "node").join(own, "node"), "alive")
+        common.drop(members, first)
+        self.made = [self.nodes, self.alive]
 
     def share(self, value):
         return self.spark.sparkContext.broadcast(value)
 
     def listed(self, members: DataFrame, top, centre) -> DataFrame:
-        """Members of the lists that span components, with m (members of the list) and whether they are a centre."""
-        stats = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), top.alias("top")).where("low <> high")
+        """Members of the lists that span components, with m (members of the list) and whether they are a centre.
+
+        Of lists with the same members, told by 128 bits of their nodes' hashes, that of the least signature stays.
+        """
+        which = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set{k}") for k in (0, 1)]
+        stats = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m"), top.alias("top"), *which).where("low <> high")
+        stats = stats.groupBy("set0", "set1", "m").agg(F.min(F.struct("sig", "top")).alias("kept")).select("kept.*", "m")
         return common.spool(members.join(stats.select("sig", "m", "top"), "sig").withColumn("centre", centre).drop("top", "rank"), "alive")
 
-    def near(self) -> str:
-        """SQL: the sizes of x and y, and the parities that both have, allow a link."""
+    def near(self, more: str = "true") -> str:
+        """SQL: the sizes of x and y, and the parities that both have, allow a link; and more, which is tried before the longer parities."""
         p, differ = self.job.percent, " + ".join(f"bit_count(x{f} ^ y{f})" for f in FOLDED)
-        return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and coalesce(({differ}) * {100 + p} <= (xn + yn) * {100 - p}, true)"
+        # Longer parities of unequal length: the longer one is folded to half.
+        halved = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
+        longer = "if(size({0}) > size({1}), " + halved + ", {0})"
+        apart = f"aggregate(zip_with({longer.format('xbits', 'ybits')}, {longer.format('ybits', 'xbits')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+        unlike = "xbits is null or ybits is null or size(xbits) > 2 * size(ybits) or size(ybits) > 2 * size(xbits)"
+        most = f"(xn + yn) * {100 - p}"
+        return f"100 * least(xn, yn) >= {p} * greatest(xn, yn) and ({differ}) * {100 + p} <= {most} and {more} and ({unlike} or {apart} * {100 + p} <= {most})"
 
-    def pairs(self, alive: DataFrame) -> DataFrame:
+    def met(self, alive: DataFrame) -> DataFrame:
         """x, y, xl, yl: nodes to compare, and their labels.
 
+        A pair is passed over in a list where both members know a lesser signature that they share: it meets in that one's list,
+        at the latest when this is down to the two, or in the list of a lesser signature that has the same members left.
         The members of a long list are dealt into parts by hash, and its centres go to each of these, so no task compares a whole list.
         """
-        columns = ["node", "n", "label", *FOLDED]
+        columns = ["node", "n", "label", *FOLDED, "bits", "own"]
         parts = F.ceil(F.col("m") / PART).cast("int")
         x = alive.where("centre").select("sig", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), *(F.col(c).alias(f"x{c}") for c in columns))
         y = alive.select("sig", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), "centre", *(F.col(c).alias(f"y{c}") for c in columns))
-        met = y.join(x, ["sig", "part"]).where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near()}"))
-        return met.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xlabel").alias("xl"), F.col("ylabel").alias("yl")).distinct()
+        once = "coalesce(array_min(array_intersect(xown, yown)) >= sig, true)"
+        met = y.join(x, ["sig", "part"]).where(F.expr(f"xlabel <> ylabel and (not centre or xnode < ynode) and {self.near(once)}"))
+        return met.select(F.col("xnode").alias("x"), F.col("ynode").alias("y"), F.col("xlabel").alias("xl"), F.col("ylabel").alias("yl"))
 
     def linked(self, pairs: DataFrame) -> DataFrame | None:
         """u, v: the labels of pairs that link, spooled; None without any."""
         columns = ["doc_id", "a", "n", *FOLDED, "bits"]
         x, y = (self.nodes.select(F.col("node").alias(k), *(F.col(c).alias(f"{k}{c}") for c in columns)) for k in "xy")
         p = self.job.percent
-        # Parities of unequal length: the longer one is folded to half.
-        halved = "zip_with(slice({0}, 1, size({0}) div 2), slice({0}, size({0}) div 2 + 1, size({0}) div 2), (p, q) -> p ^ q)"
-        longer = "if(size({0}) > size({1}), " + halved + ", {0})"
-        apart = f"aggregate(zip_with({longer.format('xbits', 'ybits')}, {longer.format('ybits', 'xbits')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
-        unlike = "xbits is null or ybits is null or size(xbits) > 2 * size(ybits) or size(ybits) > 2 * size(xbits)"
-        close = pairs.join(x, "x").join(y, "y").where(F.expr(f"{self.near()} and ({unlike} or {apart} * {100 + p} <= (xn + yn) * {100 - p})"))
+        close = pairs.join(x, "x").join(y, "y").where(F.expr(self.near()))
         close = common.spool(close.select("xdoc_id", "xa", "ydoc_id", "ya", "xl", "yl"), "close")
         if close.isEmpty():
             common.drop(close)
@@ -329,7 +343,7 @@ class Links:
         found, alive, turn = None, self.alive, 0
         while not alive.isEmpty():
             turn += 1
-            edges, left, names = self.linked(self.pairs(alive)), alive.where("not centre").drop("m", "centre"), None
+            edges, left, names = self.linked(self.met(alive).distinct()), alive.where("not centre").drop("m", "centre"), None
             if edges is not None:
                 names = components(edges)
                 left = left.join(names.select(F.col("node").alias("label"), F.col("label").alias("new")), "label", "left")

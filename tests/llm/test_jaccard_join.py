@@ -112,3 +112,27 @@ def test_long_lists_of_sets_that_do_not_link(spark, monkeypatch, same):
     want = brute(rows, 4, 85)
     assert len({c for _, _, c in want}) == 600
     same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85, floor=8), ("doc_id", "n_shingles", "component_id"), want)
+
+
+@pytest.mark.parametrize("own, carried", [(32, 256), (2, 0)])
+def test_a_pair_is_made_once(spark, monkeypatch, same, own, carried):
+    """Texts with most of a passage each, so that pairs share many lists of different members; few link, and only what may link is made, once where all lists are known."""
+    monkeypatch.setattr(J, "OWN", own)
+    monkeypatch.setattr(J, "CARRIED", carried)
+    made, met = [], J.Links.met
+
+    def counted(self, alive):
+        made.extend((min(r), max(r)) for r in met(self, alive).select("x", "y").collect())
+        return met(self, alive)
+
+    monkeypatch.setattr(J.Links, "met", counted)
+    rng, rows = random.Random(4), []
+    for size, n in ((40, 60), (360, 30)):
+        passage = [f"{size}p{j}" for j in range(size)]
+        for k in range(n):
+            at = rng.randrange(size // 8)
+            rows.append((len(rows), " ".join(passage[at : at + 7 * size // 8] + [f"u{size}x{k // 2}y{j}" for j in range(size // 20)])))
+    want = brute(rows, 2, 85)
+    same(J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, 85), COLUMNS, want)
+    assert len(made) < 90 * 89 / 2 * (1 if own == 32 else 5)
+    assert own < 32 or len(made) == len(set(made))
