@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -109,13 +109,12 @@ class Vocabulary:
 
     def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Index in the head (-1: none) and output of every word."""
-        find = self.index.get
-        at = np.array([find(w, -1) for w in words], "i4")
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
         out = self.output[at] if len(self.output) else np.zeros(len(at), "i4")
         tail = at < 0
-        rest = list(compress(words, tail.tolist()))
+        rest = [words[k] for k in np.flatnonzero(tail).tolist()]
         out[tail] = self.outputs + np.array([w[-1] * 31 + (w[-2] if len(w) > 1 else 0) if w else -1 for w in rest], "i4") % CLASSES
-        if END in rest:  # without training documents
+        if END not in self.index:  # without training documents
             out[[k for k, w in enumerate(words) if w == END]] = self.outputs
         return at, out
 
@@ -141,9 +140,10 @@ def flat(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray]:
     """The tokens of all texts, and where each text's begin (every text has its end token)."""
     words, sizes = [], []
     for t in texts:
-        w = tokens(t)
+        w = (t or b"").lower().split()
         words += w
-        sizes.append(len(w))
+        words.append(END)
+        sizes.append(len(w) + 1)
     return words, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype("i8")
 
 

@@ -111,3 +111,17 @@ def test_vocabulary_follows_the_corpus(spark):
     follows = [vocab.output[[vocab.index[b"%s%d" % (x, k)] for x in (b"a", b"b")]] for k in range(200)]
     gains = [(model.log10(np.array([c]), np.array([follows[(k + 1) % 200][1]]), np.array([o]))[0] - np.log10(vocab.unigram[o])) for k, (c, o) in enumerate(follows)]
     assert np.median(gains) > np.log10(5)
+
+
+@pytest.mark.parametrize("ended", [True, False])
+def test_look_up_by_single_words(ended):
+    """Index and output of words in the head, of others and of the end token, looked up word by word."""
+    head = [(b"the", 9), (b"of", 5), (b"rare", 1)] + [(N.END, 7)] * ended
+    vocab = N.Vocabulary(head, np.full(N.CLASSES, 99.0), np.full(N.CLASSES, 99.0), 200, 90, 3)
+    words, starts = N.flat([b"The of xy", None, b" \n", b"rare q the \xff"])
+    assert words == [b"the", b"of", b"xy", N.END, N.END, N.END, b"rare", b"q", b"the", b"\xff", N.END] and starts.tolist() == [0, 4, 5, 6]
+    at, out = vocab.look_up(words)
+    places = [w for w, _ in head]
+    assert at.tolist() == [places.index(w) if w in places else -1 for w in words]
+    own = [N.END, b"the", b"of"]
+    assert out.tolist() == [own.index(w) if w in own and w in places else N.word_class(w, 3) for w in words]
