@@ -10,7 +10,7 @@ s = context . q[output] + b[output].  A normaliser sums exp(s) over all outputs.
 the normalisers of all pairs of context words are one matrix product over the outputs, made in blocks by tasks: a table of at most
 (MOST + CLASSES + 1) squared numbers.
 
-Training documents are turned to numbers once.  In each of ROUNDS rounds every task takes noise-contrastive steps over a part of its tokens, each token
+Documents are turned to numbers once, which training and scores read.  In each of ROUNDS rounds every task takes noise-contrastive steps over a part of its tokens, each token
 against NOISE draws from the unigram distribution, for which DRAWN words stand in a step.  Vectors, weighted by the tokens a task saw
 of them, are added up block by block in tasks; the driver reads one model a round.  Small corpora have fewer tasks and more
 passes in a round.
@@ -40,10 +40,10 @@ SIZE = OUTPUTS + CLASSES  #: outputs; as a context, SIZE is the start of a text
 GROWTH, MOST = 4, 4096  #: words with an output of their own: per square root of a training token, and at most
 DIM, NOISE, DRAWN, ROUNDS, RATE, LAST = 32, 10, 256, 4, 0.2, 0.005
 BATCH, STEPS = 4096, 400  #: tokens of a step at most; steps that a task takes in a round at least
-SLICE, HELD, SHARE = 1 << 14, 1 << 20, 500_000  #: tokens in a row; in a task's memory; of a corpus for each of its tasks at least
+SLICE, HELD, SHARE = 1 << 14, 1 << 20, 500_000  #: tokens of one turn in a row; in a task's memory; of a corpus for each of its tasks at least
 ENOUGH = 1_000_000  #: tokens below which a round goes over its part several times
 ROWS = 512  #: vectors in a block
-CACHED = 512  #: tokens whose noise scores are worked on at a time
+CACHED = 64  #: tokens whose noise scores are worked on at a time
 END = b""  #: no word is empty
 FLUSH = 150_000  #: words that a task counts before it hands them on
 
@@ -159,34 +159,92 @@ def contexts(out: np.ndarray, size: int = SIZE, starts=(0,)) -> tuple[np.ndarray
     return one, two
 
 
-def numbered(training: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """turn (the round that reads it), ids: outputs of the tokens of all training documents, text after text, about SLICE in a row; spooled."""
-    shared = training.sparkSession.sparkContext.broadcast(vocab)
+NUMBERS = "row long, doc_id long, held_out boolean, turn int, ids binary, n_tokens long, known long, base double, own double, rest array<binary>, times array<long>"
+
+
+def numbered(docs: DataFrame, vocab: Vocabulary, held_out=None) -> DataFrame:
+    """All documents, split and looked up once; spooled.  held_out: a column; without it all are for training.
+
+    turn: the round that learns from a training document, about SLICE tokens in a row; ids: outputs of its tokens; known, base: number of its tokens in the head and
+    the sum of their log10(count + 1); own: log10 of its tokens' shares in their classes, but for the counts of words that are not in the head;
+    rest, times: these words and how often they stand in it.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, turn, held, size = shared.value, TaskContext.get().partitionId(), [], 0  # few rows a task are spread over the rounds
+        common.worker_table("neural_lm")
+        vocab, before = shared.value, 0
+        first = TaskContext.get().partitionId()  # few documents a task are spread over the rounds
+        for b in common.sliced(batches):
+            words, starts = flat(b.column("text").to_pylist())
+            at, out = vocab.look_up(words)
+            tail, ends = at < 0, np.append(starts[1:], len(words))
+            by_count = np.where(tail, 0.0, vocab.log_count[at] if len(vocab.log_count) else 0.0)
+            own = np.where(out >= vocab.outputs, by_count, 0.0) - vocab.class_log[out]
+            known, base, own = (np.add.reduceat(x, starts) for x in ((~tail).astype("i8"), by_count, own))
+            n, held = ends - starts, b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            seen = before + np.cumsum(np.where(held, 0, n))
+            turn = (first + np.append(before, seen[:-1]) // SLICE) % ROUNDS
+            before, rare, ids = int(seen[-1]), tail.tolist(), out.astype("u2").tobytes()
+            places = list(zip(starts.tolist(), ends.tolist(), strict=True))
+            counters = [Counter(compress(words[i:j], rare[i:j])) for i, j in places]
+            columns = [pa.array(turn, pa.int32(), mask=held), pa.array([ids[2 * i : 2 * j] for i, j in places], pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
+            columns += [pa.array([list(c.keys()) for c in counters], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counters], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *columns], ["row", "doc_id", "held_out", "turn", "ids", "n_tokens", "known", "base", "own", "rest", "times"])
 
-        def row():
-            return pa.RecordBatch.from_arrays([pa.array([turn % ROUNDS], pa.int32()), pa.array([np.concatenate(held).tobytes()], pa.binary())], ["turn", "ids"])
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text")
+    return common.spool(rows.mapInArrow(run, NUMBERS), "numbers")
 
-        for b in common.sliced(batches, 1 << 17):
-            held.append(vocab.look_up(flat(b.column("text").to_pylist())[0])[1].astype("u2"))
-            size += len(held[-1])
-            if size >= SLICE:
-                yield row()
-                turn, held, size = turn + 1, [], 0
-        if held:
-            yield row()
 
-    return common.spool(training.select("text").mapInArrow(run, "turn int, ids binary"), "numbers")
+def joined(ids: pa.Array) -> np.ndarray:
+    """The outputs of all documents of a batch."""
+    return np.frombuffer(b"".join(ids.to_pylist()), "u2")
 
 
-def right(s: np.ndarray, scale: float = 1.0) -> np.ndarray:
-    """Probability that a token came from the data, times scale, in place of its score with the sign turned."""
+def right(s: np.ndarray) -> np.ndarray:
+    """Probability that a token came from the data, in place of its score with the sign turned."""
     with np.errstate(over="ignore"):  # the exponential of a large number is infinite, and the probability 0
         np.exp(s, out=s)
     s += 1
-    return np.divide(np.float32(scale), s, out=s)
+    return np.divide(np.float32(1), s, out=s)
+
+
+def noise_sums(context: np.ndarray, q: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the probabilities right(level - context . q): their sums over the outputs q by each context, and over the contexts by each output.
+
+    Outputs are weighted by their vectors, contexts by theirs and the 1 in their last column.  As right(s) = (1 - tanh(s / 2)) / 2, the tables hold
+    the hyperbolic tangent alone, and both sums follow from its.
+    """
+    turned = np.empty((context.shape[1], len(q)), "f4")
+    turned[:-1], turned[-1] = q.T * np.float32(-0.5), level / 2
+    each, drawn = np.empty((len(context), q.shape[1]), "f4"), np.zeros((len(q), context.shape[1]), "f4")
+    table, part = np.empty((CACHED, len(q)), "f4"), np.empty_like(drawn)
+    for j in range(0, len(context), CACHED):  # scores that stay in the processor's cache
+        some = context[j : j + CACHED]
+        t = np.matmul(some, turned, out=table[: len(some)])
+        np.tanh(t, out=t)
+        np.matmul(t, q, out=each[j : j + CACHED])
+        drawn += np.matmul(t.T, some, out=part)
+    return (q.sum(0) - each) / 2, (context.sum(0) - drawn) / 2
+
+
+class Groups:
+    """Equal numbers (16 bits) of a list: rows are the distinct ones."""
+
+    def __init__(self, at: np.ndarray):
+        self.by = np.argsort(at, kind="stable")  # of 16-bit numbers: by radix
+        found = at.take(self.by)
+        new = np.concatenate([[True], found[1:] != found[:-1]])
+        self.begin = np.flatnonzero(new)
+        self.rows, self.place = found[self.begin].astype("i8"), np.empty(len(at), "i8")
+        self.place[self.by] = np.cumsum(new) - 1  # of each number in rows
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Sums of values (single precision) by row; vectors are added two numbers at a time, as complex ones."""
+        values = values.take(self.by, 0)
+        if values.ndim == 1:
+            return np.add.reduceat(values, self.begin)
+        return np.add.reduceat(values.view("c8"), self.begin).view("f4")
 
 
 class Learner:
@@ -197,50 +255,46 @@ class Learner:
         self.shift, self.cdf = np.log(NOISE * unigram).astype("f4"), np.cumsum(unigram)
         self.mass = [np.zeros(len(p)) for p in params]
 
-    def sums(self, at: np.ndarray, *parts: np.ndarray) -> Iterator[np.ndarray]:
-        """The rows that at names, and each part's sums by these."""
-        by = np.argsort(at, kind="stable")  # of 16-bit numbers: by radix
-        begin = np.concatenate([[0], np.nonzero(np.diff(at[by]))[0] + 1])
-        yield at[by][begin]
-        for p in parts:
-            yield np.add.reduceat(p.take(by, 0), begin)
-
     def move(self, k: int, rows, g: np.ndarray, rate: float) -> None:
         """A step of rows of parameter k, each named once."""
         square = self.squares[k][rows] + g * g
         self.squares[k][rows] = square
-        self.params[k][rows] -= rate * g / np.sqrt(square)
+        np.divide(g, np.sqrt(square, out=square), out=square)
+        square *= rate
+        self.params[k][rows] -= square
 
     def learn(self, o: np.ndarray, one: np.ndarray, two: np.ndarray, rates: tuple[float, float], passes: int = 1) -> None:
         """Steps over tokens o after the words one and two places before, in random order, the rate going down."""
         words, q, b, near, far = self.params
         n, top = len(o), len(self.cdf) - 1
         o, one, two = (x.astype("u2") for x in (o, one, two))
-        batch = min(BATCH, max(256, n * passes // STEPS))
+        batch, share = min(BATCH, max(256, n * passes // STEPS)), np.float32(NOISE / DRAWN)
+        moved, seen = np.zeros_like(words), np.zeros(len(words), bool)
         for turn in range(passes):
             order = self.rng.permutation(n)
             for k in range(0, n, batch):
                 i = order[k : k + batch]
                 rate = np.float32(rates[0] + (rates[1] - rates[0]) * (turn + k / n) / passes)
-                out, a, c = o[i], one[i], two[i]
+                out, a, c = o[i], Groups(one[i]), Groups(two[i])
                 w = np.minimum(np.searchsorted(self.cdf, self.rng.random(DRAWN) * self.cdf[-1]), top).astype("u2")
-                va, vc, qo, qw = words.take(a, 0), words.take(c, 0), q.take(out, 0), q.take(w, 0)
-                context = va @ near + vc @ far
-                e = right(self.shift[out] - b[out] - np.einsum("ij,ij->i", context, qo)) - 1
-                g, turned, level = e[:, None] * qo, -qw.T, self.shift[w] - b[w]
-                drawn, bias = np.zeros_like(qw), np.zeros(DRAWN, "f4")
-                for j in range(0, len(i), CACHED):  # scores of the noise that stay in the processor's cache
-                    part = context[j : j + CACHED]
-                    noise = part @ turned
-                    noise += level
-                    right(noise, NOISE / DRAWN)
-                    g[j : j + CACHED] += noise @ qw
-                    drawn += noise.T @ part
-                    bias += noise.sum(0)
-                rows, gq, gb = self.sums(np.concatenate([out, w]), np.concatenate([e[:, None] * context, drawn]), np.concatenate([e, bias]))
-                own, gw = self.sums(np.concatenate([a, c]), np.concatenate([g @ near.T, g @ far.T]))
-                for j, at, grad in ((1, rows, gq), (2, rows, gb), (0, own, gw), (3, slice(None), va.T @ g), (4, slice(None), vc.T @ g)):
+                va, vc, qo, qw = words[a.rows], words[c.rows], q.take(out, 0), q.take(w, 0)
+                context = np.ones((len(i), DIM + 1), "f4")
+                np.add((va @ near).take(a.place, 0), (vc @ far).take(c.place, 0), out=context[:, :DIM])
+                e = right(self.shift[out] - b[out] - np.einsum("ij,ij->i", context[:, :DIM], qo)) - 1
+                g, drawn = noise_sums(context, qw, self.shift[w] - b[w])
+                g *= share
+                g += e[:, None] * qo
+                ga, gc = a.sums(g), c.sums(g)  # what a word moves by in all its places is transformed once
+                moved[a.rows] = ga @ near.T
+                moved[c.rows] += gc @ far.T
+                seen[a.rows] = seen[c.rows] = True
+                own = np.flatnonzero(seen)
+                drawn *= share
+                outputs = Groups(np.concatenate([out, w]))
+                gq, gb = outputs.sums(np.concatenate([e[:, None] * context[:, :DIM], drawn[:, :DIM]])), outputs.sums(np.concatenate([e, drawn[:, DIM]]))
+                for j, at, grad in ((1, outputs.rows, gq), (2, outputs.rows, gb), (0, own, moved.take(own, 0)), (3, slice(None), va.T @ ga), (4, slice(None), vc.T @ gc)):
                     self.move(j, at, grad, rate)
+                moved[own], seen[own] = 0, False
         self.mass[0] += np.bincount(one, minlength=len(words)) + np.bincount(two, minlength=len(words))
         for k in (1, 2):
             self.mass[k] += np.bincount(o, minlength=len(q))
@@ -336,7 +390,7 @@ def normalise(spark, model: Model) -> Model:
 
 
 def train(numbers: DataFrame, vocab: Vocabulary) -> Model:
-    """The model fitted to numbered training documents, with its normalisers."""
+    """The model fitted to those of the numbered documents that have a turn, with its normalisers."""
     spark, sc = numbers.sparkSession, numbers.sparkSession.sparkContext
     unigram, size, total = vocab.unigram, vocab.size, max(1, vocab.total)
     tasks = max(1, min(sc.defaultParallelism, total // SHARE))
@@ -360,17 +414,16 @@ def train(numbers: DataFrame, vocab: Vocabulary) -> Model:
                 learner.learn(o, one, two, (rate(seen), rate(seen + len(o))), passes)
                 held.clear()
 
-            for b in batches:
-                for ids in b.column("ids"):
-                    held.append(np.frombuffer(ids.as_py(), "u2"))
-                    if (n := sum(map(len, held))) >= HELD:
-                        learn(seen)
-                        seen += n
+            for b in common.sliced(batches, HELD):
+                held.append(joined(b.column("ids")))
+                if (n := sum(map(len, held))) >= HELD:
+                    learn(seen)
+                    seen += n
             if held:
                 learn(seen)
             yield from learner.blocks()
 
-        found = numbers.where(F.col("turn") == turn).coalesce(tasks).mapInArrow(local, BLOCKS)
+        found = numbers.where(F.col("turn") == turn).select("ids").coalesce(tasks).mapInArrow(local, BLOCKS)
         sums = common.spool(found.repartition(4, "k", "block").mapInArrow(added, BLOCKS), "vectors")
         params, squares = [p.copy() for p in params], [s.copy() for s in squares]
         for r in sums.toLocalIterator():  # one model
@@ -385,35 +438,27 @@ def train(numbers: DataFrame, vocab: Vocabulary) -> Model:
     return normalise(spark, Model(params))
 
 
-def score(docs: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
-    base_log = float(np.log10(vocab.total + vocab.distinct + 1.0))
+def score(numbers: DataFrame, vocab: Vocabulary, model: Model, counts: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every numbered document."""
+    shared = numbers.sparkSession.sparkContext.broadcast(model)
+    base_log, size = float(np.log10(vocab.total + vocab.distinct + 1.0)), vocab.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.worker_table("neural_lm")
-        vocab, lbl = shared.value
-        for b in common.sliced(batches):
-            words, starts = flat(b.column("text").to_pylist())
-            at, out = vocab.look_up(words)
-            one, two = contexts(out, vocab.size, starts)
-            tail = at < 0
-            by_count = np.where(tail, 0.0, vocab.log_count[at] if len(vocab.log_count) else 0.0)
-            own = lbl.log10(one, two, out) + np.where(out >= vocab.outputs, by_count, 0.0) - vocab.class_log[out]
-            known, base, model = (np.add.reduceat(x, starts) for x in ((~tail).astype("i8"), by_count, own))
-            ends, rare = np.append(starts[1:], len(words)), tail.tolist()
-            counters = [Counter(compress(words[i:j], rare[i:j])) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-            n, rest, times = ends - starts, [list(c.keys()) for c in counters], [list(c.values()) for c in counters]
-            columns = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(model, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *columns], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rest", "times"])
-
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
-    rows = common.spool(rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rest array<binary>, times array<long>"), "scored")
-    rare = rows.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
+        model = shared.value
+        for b in common.sliced(batches, HELD):
+            out, n = joined(b.column("ids")), b.column("n_tokens").to_numpy()
+            starts = np.cumsum(n) - n
+            p = np.add.reduceat(model.log10(*contexts(out, size, starts), out), starts) + b.column("own").to_numpy()
+            kept = ["row", "doc_id", "held_out", "n_tokens", "known", "base"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p, pa.float64())], [*kept, "model"])
+
+    rows = numbers.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "own", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
+    rare = numbers.select("row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("row", F.col("x.rest").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counts, "word")
     sums = met.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("logs"))
     logs = F.coalesce(F.col("logs"), F.lit(0.0))
-    return rows.drop("rest", "times").join(sums, "row", "left").select(
+    return rows.join(sums, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -428,10 +473,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     common.ship(docs.sparkSession)
     rows = common.spread(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text")))
-    training = rows.where(~F.col("held_out"))
-    counts = common.spool(count_words(training), "counts")
+    counts = common.spool(count_words(rows.where(~F.col("held_out"))), "counts")
     vocab = vocabulary(counts)
-    numbers = numbered(training, vocab)
-    model = train(numbers, vocab)
-    common.drop(numbers)
-    return score(rows, vocab, model, counts)
+    numbers = numbered(rows, vocab, F.col("held_out"))
+    return score(numbers, vocab, train(numbers, vocab), counts)

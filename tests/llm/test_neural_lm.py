@@ -125,3 +125,45 @@ def test_look_up_by_single_words(ended):
     assert at.tolist() == [places.index(w) if w in places else -1 for w in words]
     own = [N.END, b"the", b"of"]
     assert out.tolist() == [own.index(w) if w in own and w in places else N.word_class(w, 3) for w in words]
+
+
+def test_texts_are_read_twice(spark, rows):
+    """Once for the counts of words, and once for numbers that training and scores share."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    few = spark.createDataFrame([r for r in rows if r[0] is not None][-40:], "doc_id long, text string").repartition(spark.sparkContext.defaultParallelism)
+    assert len(N.digests(few.mapInArrow(counted, few.schema)).collect()) == 40
+    assert read.value == 2 * 40
+
+
+def test_step_against_plain_form():
+    """A step of training in double precision, token by token."""
+    rng, size, n = np.random.default_rng(4), 90, 200
+    unigram = rng.dirichlet(np.ones(size))
+    start = [rng.normal(0, 0.5, x.shape).astype("f4") for x in N.first_model(unigram)]
+    o, one, two = rng.integers(0, 40, n), rng.integers(0, size + 1, n), rng.integers(0, size + 1, n)
+    learner = N.Learner(start, [np.full_like(x, 1e-8) for x in start], unigram, np.random.default_rng(9))
+    learner.learn(o, one, two, (0.2, 0.1))
+    same = np.random.default_rng(9)
+    same.permutation(n)
+    drawn = np.searchsorted(np.cumsum(unigram), same.random(N.DRAWN) * unigram.sum())
+    words, q, b, near, far = before = [x.astype("f8") for x in start]
+    grads, level = [np.zeros_like(x) for x in before], np.log(N.NOISE * unigram)
+    for out, a, c in zip(o, one, two, strict=True):
+        context, g = words[a] @ near + words[c] @ far, np.zeros(N.DIM)
+        for w, weight, true in [(out, 1, 1), *((w, N.NOISE / N.DRAWN, 0) for w in drawn)]:
+            e = weight * (1 / (1 + np.exp(level[w] - b[w] - context @ q[w])) - true)
+            g += e * q[w]
+            grads[1][w] += e * context
+            grads[2][w] += e
+        grads[0][a] += near @ g
+        grads[0][c] += far @ g
+        grads[3] += np.outer(words[a], g)
+        grads[4] += np.outer(words[c], g)
+    for x, y, g in zip(learner.params, before, grads, strict=True):
+        assert np.allclose(x, y - 0.2 * g / np.sqrt(1e-8 + g * g), atol=2e-3)
