@@ -23,12 +23,11 @@ rows; columns but doc_id and text are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +44,7 @@ ENOUGH = 1_000_000  #: tokens below which a round goes over its part several tim
 ROWS = 512  #: vectors in a block
 CACHED = 64  #: tokens whose noise scores are worked on at a time
 END = b""  #: no word is empty
-FLUSH = 150_000  #: words that a task counts before it hands them on
+FLUSH = 600_000  #: counts of batches' words that a task holds before it adds them up and hands them on
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -57,14 +56,16 @@ def word_class(word: bytes, outputs: int = OUTPUTS) -> int:
     return outputs if word == END else outputs + (word[-1] * 31 + (word[-2] if len(word) > 1 else 0)) % CLASSES
 
 
-def held_out(doc_id):
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
+def word_classes(words: pa.Array) -> np.ndarray:
+    """word_class of every word, less the outputs."""
+    ends, data = (np.frombuffer(x or b"", t) for x, t in zip(words.buffers()[1:], ("i4", "u1"), strict=True))
+    ends = ends[words.offset : words.offset + len(words) + 1]
+    data, size, ends = np.concatenate([np.zeros(2, "u1"), data]), np.diff(ends), ends[1:]
+    return np.where(size > 0, (data[ends + 1].astype("i4") * 31 + np.where(size > 1, data[ends], 0)) % CLASSES, 0)
 
 
-def _texts(batches, column: str) -> Iterator[bytes]:
-    common.worker_table("neural_lm")
-    for b in common.sliced(batches):
-        yield from b.column(column).to_pylist()
+def held_out(doc_id):
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
 def count_words(training: DataFrame) -> DataFrame:
@@ -72,15 +73,20 @@ def count_words(training: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "c"])
+            sums = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")])
+            yield from sums.select(["word", "c_sum"]).rename_columns(["word", "c"]).to_batches()
 
-        counts: Counter = Counter()
-        for text in _texts(batches, "text"):
-            counts.update(tokens(text))
-            if len(counts) > FLUSH:
-                yield flush()
-                counts.clear()
-        yield flush()
+        common.worker_table("neural_lm")
+        held, size = [], 0
+        for b in common.sliced(batches):
+            found = pa.array(flat(b.column("text").to_pylist())[0], pa.binary()).value_counts()
+            held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+            size += len(found)
+            if size > FLUSH:
+                yield from flush()
+                held, size = [], 0
+        if held:
+            yield from flush()
 
     parts = training.select("text").mapInArrow(run, "word binary, c long")
     return parts.groupBy("word").agg(F.sum("c").alias("c"))
@@ -93,7 +99,7 @@ class Vocabulary:
         own = [END, *[w for w, _ in head if w != END][: outputs - 1]]
         self.outputs, self.size = outputs, outputs + CLASSES
         place = {w: k for k, w in enumerate(own)}
-        self.index = {w: k for k, (w, _) in enumerate(head)}
+        self.index, self.head = {w: k for k, (w, _) in enumerate(head)}, pa.array([w for w, _ in head], pa.binary())
         self.output = np.array([place[w] if w in place else word_class(w, outputs) for w, _ in head], "i4")
         self.log_count = np.log10(np.array([c for _, c in head], "f8") + 1)
         tokens = np.zeros(outputs)
@@ -107,15 +113,13 @@ class Vocabulary:
         self.unigram /= self.unigram.sum()
         self.total, self.distinct = total, distinct
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def look_up(self, words: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Index in the head (-1: none) and output of every word."""
-        at = np.fromiter(map(self.index.get, words, repeat(-1)), "i4", len(words))
+        words = words if isinstance(words, pa.Array) else pa.array(words, pa.binary())
+        at = pc.index_in(words, value_set=self.head).fill_null(-1).to_numpy(zero_copy_only=False)
         out = self.output[at] if len(self.output) else np.zeros(len(at), "i4")
         tail = at < 0
-        rest = [words[k] for k in np.flatnonzero(tail).tolist()]
-        out[tail] = self.outputs + np.array([w[-1] * 31 + (w[-2] if len(w) > 1 else 0) if w else -1 for w in rest], "i4") % CLASSES
-        if END not in self.index:  # without training documents
-            out[[k for k, w in enumerate(words) if w == END]] = self.outputs
+        out[tail] = self.outputs + word_classes(words.filter(pa.array(tail)))
         return at, out
 
 
@@ -123,7 +127,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((2, CLASSES), "i8")
         for b in common.sliced(batches, 1 << 20):
-            classes = np.array([word_class(w) - OUTPUTS for w in b.column("word").to_pylist()], "i8")
+            classes = word_classes(b.column("word"))
             found[0] += np.bincount(classes, b.column("c").to_numpy(), CLASSES).astype("i8")
             found[1] += np.bincount(classes, minlength=CLASSES)
         yield pa.RecordBatch.from_pydict({"class": range(CLASSES), "tokens": found[0], "words": found[1]})
@@ -159,6 +163,15 @@ def contexts(out: np.ndarray, size: int = SIZE, starts=(0,)) -> tuple[np.ndarray
     return one, two
 
 
+def listed(words: pa.Array, tail: np.ndarray, starts: np.ndarray) -> list[pa.Array]:
+    """Of each text's words in the tail: the distinct ones, and how often they stand in it."""
+    rest = words.filter(pa.array(tail)).dictionary_encode()
+    text, wide = np.searchsorted(starts, np.flatnonzero(tail), "right") - 1, max(1, len(rest.dictionary))
+    pairs, times = np.unique(text * wide + rest.indices.to_numpy(), return_counts=True)
+    begin = pa.array(np.searchsorted(pairs, np.arange(len(starts) + 1) * wide), pa.int32())
+    return [pa.ListArray.from_arrays(begin, x) for x in (rest.dictionary.take(pa.array(pairs % wide)), pa.array(times, pa.int64()))]
+
+
 NUMBERS = "row long, doc_id long, held_out boolean, turn int, ids binary, n_tokens long, known long, base double, own double, rest array<binary>, times array<long>"
 
 
@@ -177,6 +190,7 @@ def numbered(docs: DataFrame, vocab: Vocabulary, held_out=None) -> DataFrame:
         first = TaskContext.get().partitionId()  # few documents a task are spread over the rounds
         for b in common.sliced(batches):
             words, starts = flat(b.column("text").to_pylist())
+            words = pa.array(words, pa.binary())
             at, out = vocab.look_up(words)
             tail, ends = at < 0, np.append(starts[1:], len(words))
             by_count = np.where(tail, 0.0, vocab.log_count[at] if len(vocab.log_count) else 0.0)
@@ -185,11 +199,8 @@ def numbered(docs: DataFrame, vocab: Vocabulary, held_out=None) -> DataFrame:
             n, held = ends - starts, b.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             seen = before + np.cumsum(np.where(held, 0, n))
             turn = (first + np.append(before, seen[:-1]) // SLICE) % ROUNDS
-            before, rare, ids = int(seen[-1]), tail.tolist(), out.astype("u2").tobytes()
-            places = list(zip(starts.tolist(), ends.tolist(), strict=True))
-            counters = [Counter(compress(words[i:j], rare[i:j])) for i, j in places]
-            columns = [pa.array(turn, pa.int32(), mask=held), pa.array([ids[2 * i : 2 * j] for i, j in places], pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())]
-            columns += [pa.array([list(c.keys()) for c in counters], pa.list_(pa.binary())), pa.array([list(c.values()) for c in counters], pa.list_(pa.int64()))]
+            before, ids = int(seen[-1]), out.astype("u2").tobytes()
+            columns = [pa.array(turn, pa.int32(), mask=held), pa.array([ids[2 * i : 2 * j] for i, j in zip(starts.tolist(), ends.tolist(), strict=True)], pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), *listed(words, tail, starts)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), b.column("held_out"), *columns], ["row", "doc_id", "held_out", "turn", "ids", "n_tokens", "known", "base", "own", "rest", "times"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (F.lit(False) if held_out is None else held_out).alias("held_out"), "text")

@@ -167,3 +167,17 @@ def test_step_against_plain_form():
         grads[4] += np.outer(words[c], g)
     for x, y, g in zip(learner.params, before, grads, strict=True):
         assert np.allclose(x, y - 0.2 * g / np.sqrt(1e-8 + g * g), atol=2e-3)
+
+
+def test_words_of_the_tail_by_text():
+    """Distinct words without an index, and how often each text has them; the classes of words."""
+    rng = np.random.default_rng(6)
+    texts = [b" ".join(bytes(rng.integers(97, 103, rng.integers(1, 4)).tolist()) for _ in range(k)) for k in (0, 1, 300, 40, 0, 500)]
+    words, starts = N.flat(texts)
+    vocab = N.Vocabulary([(w, 2) for w in sorted(set(words))[::3]], np.full(N.CLASSES, 9.0), np.full(N.CLASSES, 9.0), 9, 9, 20)
+    at, _ = vocab.look_up(words)
+    rest, times = N.listed(N.pa.array(words, N.pa.binary()), at < 0, starts)
+    want = [Counter(w for w in N.tokens(t) if w not in vocab.index) for t in texts]
+    assert [dict(zip(*x, strict=True)) for x in zip(rest.to_pylist(), times.to_pylist(), strict=True)] == want
+    some = N.pa.array(words, N.pa.binary())[5:]
+    assert N.word_classes(some).tolist() == [N.word_class(w) - N.OUTPUTS for w in words[5:]]
