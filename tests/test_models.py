@@ -95,6 +95,36 @@ def test_extraction_keeps_errors_and_stops_at_a_limit(spark):
     assert {r.k for r in M.extract(limited.where("k <> 3"), load, "k", ["body"], done).collect()} == {1, 2, 4, 5}
 
 
+def test_extraction_keeps_keys_among_nulls_and_repeats(spark):
+    """Whole numbers beyond 2 to the 53rd beside a null, a carried column, and rows of a repeated key."""
+    rows = [(None, "a"), (2**53 + 1, "b"), (2**63 - 1, None), (7, "c"), (7, "d e")]
+    df = spark.createDataFrame(rows, "k long, body string").withColumn("more", F.length("body")).coalesce(1)
+    load = lambda: lambda t: [{"extraction_class": "c", "extraction_text": w, "attributes": {}} for w in t.split()]
+    got = M.extract(df, load, "k", ["body"], once=False, carried=("more",)).select("k", "more", "n_extractions", "error").collect()
+    assert {tuple(r) for r in got} == {(None, 1, 1, None), (2**53 + 1, 1, 1, None), (2**63 - 1, None, 0, "empty_text"), (7, 1, 1, None), (7, 3, 2, None)}
+    assert sorted(r.k or 0 for r in M.extract(df, load, "k", ["body"]).collect()) == [0, 7, 2**53 + 1, 2**63 - 1]
+
+
+@pytest.mark.parametrize("toxic", [[(3, 1), (4, 0), (None, 0), (5, None)], [(3, 1), (None, 1)], [(4, 0)]])
+def test_extraction_equals_sql_on_odd_rows(spark, tmp_path, toxic):
+    """Null, empty, blank and repeated texts, null ids, a vertical tab among over 3,000 words, and null ids among those left out."""
+    import duckdb
+
+    from gleaner.plans import catalog
+
+    long = "w " * (M.EXTRACT_WORDS - 2)
+    texts = ["license token", None, "", "  ", "\t", "\n", "token", "token", "stupid", long + "a\x0bb license", long + "a b license"]
+    rows = [(k, t) for k, t in enumerate(texts, 1)] + [(7, "token token"), (None, "license"), (None, None), (-10, "token"), (2**53 + 1, "token")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(toxic, "doc_id long, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    db = duckdb.connect()
+    for name in ("documents", "labels"):
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    want = db.sql(f"select doc_id, n_extractions, error from ({catalog.oracle_sql()['mdl07_extraction']})").fetchall()
+    got = catalog.queries()["mdl07_extraction"](spark, str(tmp_path)).select("doc_id", "n_extractions", "error").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_notes(spark):
     notes = ["Low prosecutor relevance", "non-prosecutor", "not  mainly so", "wrong DA", "fine", None]
     df = spark.createDataFrame([(n,) for n in notes], "n string")
