@@ -40,14 +40,23 @@ def spooled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_tsv(spark: SparkSession, path: str, columns: list[str], sep: str = "\t") -> DataFrame:
-    """Strings from quoted, multi-line, headed files; rows with too many fields are skipped, short ones padded with null."""
-    return raw_tsv(spark, path, columns, sep).where("_overflow is null").drop("_overflow")
+def read_tsv(spark: SparkSession, path: str, columns: list[str], sep: str = "\t", null: str = "") -> DataFrame:
+    """Strings from quoted, multi-line, headed files; rows with too many fields are skipped, short ones padded with null.
+
+    Unquoted empty fields are null, and fields that equal the argument null, quoted or not: by default quoted empty ones as well.
+    With a text that no field has (unlike()) what write_tsv() wrote comes back as it was.
+    """
+    return raw_tsv(spark, path, columns, sep, null=null).where("_overflow is null").drop("_overflow")
 
 
-def raw_tsv(spark: SparkSession, path: str, columns: list[str], sep: str, header: bool = True) -> DataFrame:
+def raw_tsv(spark: SparkSession, path: str, columns: list[str], sep: str, header: bool = True, null: str = "") -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_overflow"]])
-    return spark.read.options(sep=sep, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True).schema(schema).csv(path)
+    return spark.read.options(sep=sep, header=header, multiLine=True, escape='"', mode="PERMISSIVE", enforceSchema=True, nullValue=null, emptyValue="").schema(schema).csv(path)
+
+
+def unlike() -> str:
+    """A text that no given field has."""
+    return uuid.uuid4().hex
 
 
 def counted(df: DataFrame, bad: dict[str, Column], name: str = "counted") -> tuple[DataFrame, dict[str, int]]:
@@ -140,8 +149,16 @@ def coder_of(df: DataFrame) -> DataFrame:
     return df.withColumn("coder", F.coalesce(F.nullif(F.regexp_extract(path, r"coder=([^/]+)/", 1), F.lit("")), F.regexp_extract(path, r"([^/]+?)\.[a-z]+$", 1)))
 
 
+#: Of separated files: white space around a field is kept, null is an empty field and an empty text a quoted one.
+EXACT = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "nullValue": "", "emptyValue": '""'}
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    (df.coalesce(1) if single else df).write.mode("overwrite").options(header=True, escape='"').csv(path)
+    (df.coalesce(1) if single else df).write.mode("overwrite").options(**EXACT).csv(path)
+
+
+def write_tsv(df: DataFrame, path: str, sep: str = "\t") -> None:
+    df.write.options(**EXACT, sep=sep).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

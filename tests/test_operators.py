@@ -128,6 +128,26 @@ def test_tsv_short_and_long_rows(spark, tmp_path):
         files.clean_headers(spark.createDataFrame([(1,)], "body int"), ["date"])
 
 
+ODD = [None, "", " ", " a", "a ", "\ta\t", "\n\na\n", "\r", "a\r", "\r\n", "a\x00", "\x01", "NA", "nan", "null", "None", "<NA>", "NA ", "\\N", "\\", '"', '""', '"a"', 'a\\"', '"\n"', '"\t"', "#", "plain"]
+
+
+@pytest.mark.parametrize("name", ["src01_src03_tsv_scan", "snk02_csv"])
+def test_separated_files_keep_odd_values(spark, tmp_path, name):
+    """Null and empty values, white space around values, marks of missing ones, line ends, quotes and backslashes."""
+    import duckdb
+
+    from gleaner.plans import catalog
+
+    table, columns = ("documents", "doc_id long, text string, source string") if name != "snk02_csv" else ("customer", "c_custkey long, c_name string, c_mktsegment string")
+    rows = [(None if k == 7 else k, a, b) for k, (a, b) in enumerate((a, b) for a in ODD for b in ODD)]
+    spark.createDataFrame(rows, columns).coalesce(2).write.parquet(str(tmp_path / f"{table}.parquet"))
+    db = duckdb.connect()
+    db.execute(f"create view {table} as select * from '{tmp_path}/{table}.parquet/*.parquet'")
+    want = db.sql(catalog.oracle_sql()[name]).fetchall()
+    got = catalog.queries()[name](spark, str(tmp_path)).collect()
+    assert len(want) == len(ODD) ** 2 and sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 def test_encodings_and_config(spark, tmp_path):
     (tmp_path / "u").mkdir()
     (tmp_path / "u" / "a.csv").write_bytes("﻿é".encode())
